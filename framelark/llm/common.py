@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured size is at most this.
 BROADCAST_ROWS = 200_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 16 << 20  # default bound on the Arrow batches sent to Python
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python by bytes, as texts can be very long."""
+    """Bound the Arrow batches sent to Python by bytes, as texts can be very long.
+
+    A session that sets a bound of its own (other than Spark's default) keeps it.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key)) > BATCH_BYTES:
-        spark.conf.set(key, BATCH_BYTES)
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
