@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framelark.llm import bpe_counts, decontaminate
+from framelark.llm import bpe_counts, decontaminate, main_text, mixing, quality_rules, site_bayes, warc
 from framelark.llm.common import table
 
 QUERIES = {}
@@ -31,3 +32,32 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_mixing", mixing.ORACLE)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.replicate(docs.select("doc_id", "source", "lang", "n_chars"), mixing.source_rates(docs))
+    return mixed.withColumn("rate", F.round("rate", 6))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = site_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "source", "lang", "n_words", "llr", "site_rate", "path_rate", "p_good", "kept")
+
+
+@query("op6_warc", warc.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.records(warc.read_warc(spark, manifest, keep_data=False))
+
+
+@query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
