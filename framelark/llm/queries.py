@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm import bpe_counts, decontaminate, main_text, mixing, quality_rules, site_bayes, warc
+from framelark.llm import bpe_counts, decontaminate, main_text, mixing, near_dedup, quality_rules, site_bayes, warc
 from framelark.llm.common import table
 
 QUERIES = {}
@@ -61,3 +61,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_main_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op1_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
