@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelark.llm.common import bounded_batches, stash
+from framelark.llm.common import bounded_batches, small, stash
 from framelark.llm.textscan import LOWER, NON_SPACE, Words, mix, slices, windows
 
 SHINGLE = 5
@@ -134,8 +134,8 @@ def shingle_array(texts: pa.Array) -> pa.Array:
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= threshold * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = docs.join(wanted, "id", "left_semi").select("id", shingle_array(F.col("text")).alias("s"))
+    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = docs.join(small(wanted), "id", "left_semi").select("id", shingle_array(F.col("text")).alias("s"))
     sets = stash(sets)  # read twice
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -234,3 +234,9 @@ def across(members: DataFrame, part: DataFrame, sketches: DataFrame, done: DataF
     off: Column = F.bit_count(F.col("aa").bitwiseXOR(F.col("ba"))) + F.bit_count(F.col("ab").bitwiseXOR(F.col("bb")))
     close = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (off <= SKETCH_FAR))
     return close.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+    """`docs` with one document of each component: that with the smallest id."""
+    gone = stash(near_duplicates(docs, key=key, text=text, **kw).where("not kept").select(key).distinct())
+    return docs.join(small(gone), key, "left_anti").select(*docs.columns)

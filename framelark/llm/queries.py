@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm import bpe_counts, decontaminate, main_text, mixing, near_dedup, quality_rules, repeats, site_bayes, warc
+from framelark.llm import bpe_counts, decontaminate, main_text, mixing, near_dedup, pitman_yor, quality_rules, repeats, site_bayes, warc
 from framelark.llm.common import table
 
 QUERIES = {}
@@ -71,3 +71,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_lm_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
