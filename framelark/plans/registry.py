@@ -20,3 +20,11 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from framelark.plans import notes  # noqa: F401
+
+
+load()
