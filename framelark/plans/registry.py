@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from framelark.plans import notes  # noqa: F401
+    from framelark.plans import ensemble, features, notes, selection  # noqa: F401
 
 
 load()
