@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +21,15 @@ def local_session(cpus: int | None = None, app: str = "framelark") -> SparkSessi
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Enough where all machines see the same folder (local runs, shared installs);
+    elsewhere install the package on the executors or pass it with --py-files.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))

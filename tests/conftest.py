@@ -23,5 +23,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from framelark.session import reach_workers
+
+    reach_workers(session)
     yield session
     session.stop()
