@@ -70,7 +70,7 @@ class Test:
         return f"{self.feature} {'>=' if self.above else '<'} {self.cut:.6g}"
 
 
-def _cover(rule: list[Test], x: dict[str, np.ndarray]) -> np.ndarray:
+def cover_of(rule: list[Test], x: dict[str, np.ndarray]) -> np.ndarray:
     out = np.ones(len(next(iter(x.values()))), bool)
     for t in rule:
         out &= t.mask(x)
@@ -111,7 +111,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Test]:
 def _prune(rule: list[Test], x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[list[Test], float]:
     best, best_worth = rule, -1.0
     for n in range(len(rule), 0, -1):
-        c = _cover(rule[:n], x)
+        c = cover_of(rule[:n], x)
         p, q = int((c & bad).sum()), int((c & ~bad).sum())
         worth = (p - q) / (p + q) if p + q else -1.0
         if worth >= best_worth:
@@ -134,7 +134,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray) -> list[l
             rule, worth = _prune(rule, {k: v[h] for k, v in x.items()}, bad[h])
             if worth <= 0:
                 break
-        c = _cover(rule, x) & left
+        c = cover_of(rule, x) & left
         if (c & bad).sum() <= (c & ~bad).sum():
             break
         rules.append(rule)

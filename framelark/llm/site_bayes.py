@@ -1,9 +1,11 @@
 """Quality classifier with hierarchical empirical Bayes over sites and paths.
 
-A document's evidence is a log-likelihood ratio of good against bad under naive
-Bayes: binned statistics (`textstats` ratios) and the presence of words whose
-share among bad and good labelled documents differs significantly. Bad means
-quality 0 or toxic 1.
+A document's evidence has two parts. Its statistics put it into a bucket of a
+learned decision list (`quality_rules.learn`), and the share of low quality in the
+bucket is its chance of low quality. The words in it that are significantly more
+frequent in toxic labelled documents give, by naive Bayes over their presence, its
+chance of being toxic. A good document is neither; the evidence is the log odds of
+that, less the log odds of a good document at large.
 
 A site (`source`) and a path in it (`source`, `lang`) have rates of good
 documents. The rates of all sites come from a Beta prior fitted by moments to
@@ -35,45 +37,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelark.llm.common import bounded_batches, small
-from framelark.llm.quality_rules import FEATURES, labelled_sample
+from framelark.llm.quality_rules import FEATURES, Test, cover_of, labelled_sample, learn
 from framelark.llm.textscan import ALNUM, LOWER, Words, slices
 from framelark.llm.textstats import FIELDS, stats_of, text_stats
 
 SAMPLE = 20_000
-MAX_WORDS = 5_000
-BINS = 8
-LEAST_Z = 4.0  # significance that a word must reach
+MAX_WORDS = 200
+LEAST_Z = 5.0  # significance that a word must reach
+LEAST_SHARE = 0.02  # share of the toxic documents that a word must be in: rare words of a few copies say nothing
+LEAST_WEIGHT = 3.5  # log ratio of the shares among toxic and other documents
 
 
 @dataclass
 class Evidence:
     """What documents are judged by; small, and sent to the executors with the function."""
 
-    edges: dict[str, np.ndarray]
-    ratios: dict[str, np.ndarray]
+    rules: list[list[Test]]
+    low: np.ndarray  # chance of low quality by first rule that fires; last: none does
     words: np.ndarray  # sorted hashes
-    weights: np.ndarray
+    weights: np.ndarray  # log-likelihood ratio of toxic for the presence of each
+    toxic: float  # log odds of a toxic document that has none of the words
+    toxic_prior: float  # log odds of a toxic document
     prior: float  # share of good documents among the labelled
 
     def of(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words and log-likelihood ratio (good over bad) of each text."""
         stats = dict(zip(FIELDS, stats_of(buf, offs), strict=True))
-        total = np.zeros(len(offs) - 1)
-        for name, edges in self.edges.items():
-            total += self.ratios[name][np.searchsorted(edges, _ratio(stats, name), "right")]
+        low = self.low[first_rule(self.rules, ratios(stats))]
+        toxic = np.full(len(low), self.toxic)
         if len(self.words):
             w = Words(LOWER[buf], offs, ALNUM)
             h = w.hashes()
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             hit = np.flatnonzero(self.words[at] == h)
             pairs = np.unique(np.stack([w.doc[hit], at[hit]], 1), axis=0)
-            np.add.at(total, pairs[:, 0], self.weights[pairs[:, 1]])
-        return stats["n_words"], total
+            toxic[np.unique(pairs[:, 0])] = self.toxic_prior
+            np.add.at(toxic, pairs[:, 0], self.weights[pairs[:, 1]])
+        good = np.clip((1 - low) / (1 + np.exp(np.minimum(toxic, 500))), 1e-12, 1 - 1e-12)
+        return stats["n_words"], np.log(good / (1 - good)) - math.log(self.prior / (1 - self.prior))
 
 
-def _ratio(stats: dict[str, np.ndarray], name: str) -> np.ndarray:
-    top, bottom = FEATURES[name]
-    return stats[top] / np.maximum(stats[bottom], 1) if bottom else stats[top].astype(float)
+def ratios(stats: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {f: stats[a] / np.maximum(stats[b], 1) if b else stats[a].astype(float) for f, (a, b) in FEATURES.items()}
+
+
+def first_rule(rules: list[list[Test]], x: dict[str, np.ndarray]) -> np.ndarray:
+    """Index of the first rule that fires, len(rules) if none does."""
+    out = np.full(len(next(iter(x.values()))), len(rules))
+    for k in range(len(rules) - 1, -1, -1):
+        out[cover_of(rules[k], x)] = k
+    return out
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -91,39 +104,45 @@ def distinct_words(texts: pa.Array) -> pa.Array:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Evidence | None:
-    rows = labelled_sample(docs, labels, key, text, sample).withColumn(
-        "_good", ((F.col("_quality") == 1) & (F.coalesce("_toxic", F.lit(0)) == 0)).cast("int")
-    )
-    got = rows.select("_good", text_stats(F.col(text)).alias("s")).select("_good", "s.*").orderBy(*FIELDS, "_good").toPandas()
-    good = got["_good"].to_numpy() == 1
-    n_good, n_bad = int(good.sum()), int((~good).sum())
-    if not n_good or not n_bad:
+    rows = labelled_sample(docs, labels, key, text, sample).withColumn("_toxic", F.coalesce("_toxic", F.lit(0)))
+    got = rows.select("_quality", "_toxic", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(3)).alias("_part"), key, text_stats(F.col(text)).alias("s"))
+    got = got.select("_quality", "_toxic", "_part", key, "s.*").toPandas().sort_values([key, "n_words"])  # at most `sample` rows of numbers
+    if got.empty:
+        return None
+    low, toxic = got["_quality"].to_numpy() == 0, got["_toxic"].to_numpy() == 1
+    good = float((~low & ~toxic).mean())
+    if not 0 < good < 1:
         return None
-    stats = {f: got[f].to_numpy() for f in FIELDS}
-    edges, ratios = {}, {}
-    for name in FEATURES:
-        x = _ratio(stats, name)
-        edges[name] = np.unique(np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1]))
-        bad_tail = np.quantile(x[~good], [0.25, 0.5, 0.75])
-        edges[name] = np.unique(np.concatenate([edges[name], bad_tail]))
-        bins, n = np.searchsorted(edges[name], x, "right"), len(edges[name]) + 1
-        p, q = np.bincount(bins[good], minlength=n), np.bincount(bins[~good], minlength=n)
-        ratios[name] = np.log((p + 1) / (n_good + n)) - np.log((q + 1) / (n_bad + n))
+    x = ratios({f: got[f].to_numpy() for f in FIELDS})
+    rules = learn(x, low, got["_part"].to_numpy())
+    bucket = first_rule(rules, x)
+    n, k = np.bincount(bucket, minlength=len(rules) + 1), np.bincount(bucket, low, len(rules) + 1)
+    words, weights = toxic_words(rows, text, int(toxic.sum()), int((~toxic).sum()))
+    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
+    prior = math.log((n_toxic + 0.5) / (n_clean + 0.5))
+    absent = 0.0
+    if len(words):
+        listed = F.array(*(F.lit(int(v)) for v in words.view(np.int64)))
+        none = rows.where(~F.arrays_overlap(distinct_words(F.col(text)), listed)).agg(F.count_if(F.col("_toxic") == 1).alias("t"), F.count_if(F.col("_toxic") == 0).alias("c")).first()
+        absent = math.log((none.t + 0.5) / (n_toxic + 1)) - math.log((none.c + 0.5) / (n_clean + 1))
+    return Evidence(rules, (k + 0.5 * low.mean()) / (n + 0.5), words, weights, prior + absent, prior, good)
+
+
+def toxic_words(rows: DataFrame, text: str, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words whose presence speaks for a toxic document, and by how much; the most significant MAX_WORDS."""
+    if not n_toxic or not n_clean:
+        return np.zeros(0, np.uint64), np.zeros(0)
     per_word = (
-        rows.select("_good", F.explode(distinct_words(F.col(text))).alias("w"))
-        .groupBy("w")
-        .agg(F.sum("_good").alias("g"), F.count("*").alias("n"))
-        .where("n >= 5")
+        rows.select("_toxic", F.explode(distinct_words(F.col(text))).alias("w")).groupBy("w").agg(F.sum("_toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= F.lit(max(3.0, LEAST_SHARE * n_toxic)))
     )
-    g, b = F.col("g"), F.col("n") - F.col("g")
-    pooled = F.col("n") / F.lit(n_good + n_bad)
-    z = (b / n_bad - g / n_good) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * F.lit(1 / n_good + 1 / n_bad))
-    weight = F.log((g + 0.5) / F.lit(n_good + 1.0)) - F.log((b + 0.5) / F.lit(n_bad + 1.0))
-    # a word that speaks for bad documents; topics of good ones say nothing of quality
-    top = per_word.select("w", z.alias("z"), weight.alias("weight")).where((F.col("z") >= LEAST_Z) & (F.col("weight") < -1.0)).orderBy(F.col("z").desc(), "w").limit(MAX_WORDS).toPandas()
+    t, c = F.col("t"), F.col("n") - F.col("t")
+    pooled = F.col("n") / F.lit(n_toxic + n_clean)
+    z = (t / n_toxic - c / n_clean) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * F.lit(1 / n_toxic + 1 / n_clean))
+    weight = F.log((t + 0.5) / F.lit(n_toxic + 1.0)) - F.log((c + 0.5) / F.lit(n_clean + 1.0))
+    top = per_word.select("w", z.alias("z"), weight.alias("weight")).where((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.col("z").desc(), "w").limit(MAX_WORDS).toPandas()
     words = top["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
-    return Evidence(edges, ratios, words[order], top["weight"].to_numpy(float)[order], n_good / (n_good + n_bad))
+    return words[order], top["weight"].to_numpy(float)[order]
 
 
 SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("llr", T.DoubleType())])
