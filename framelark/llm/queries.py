@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm import bpe_counts, decontaminate, main_text, mixing, near_dedup, pitman_yor, quality_rules, repeats, site_bayes, warc
+from framelark.llm import bpe_counts, decontaminate, main_text, mixing, near_dedup, oracles, pitman_yor, quality_rules, repeats, site_bayes, warc
 from framelark.llm.common import table
 
 QUERIES = {}
@@ -29,7 +29,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op4_decontamination")
+@query("op4_decontamination", oracles.DECONTAMINATION)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,12 +63,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-@query("op1_near_dedup")
+@query("op1_near_dedup", oracles.NEAR_DEDUP)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
 
