@@ -11,12 +11,12 @@ from framelark.streaming import causal
 
 @query(
     "s01_sliding_windows",
-    """SELECT w AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM
+    """SELECT w AS hour, event_type, count(*) AS n, round(avg(value), 3) AS mean FROM
     (SELECT *, unnest(range(floor(epoch(ts) / 3600)::BIGINT - 7, floor(epoch(ts) / 3600)::BIGINT + 1)) AS w FROM events) GROUP BY ALL""",
 )
 def s01(spark, d):
     rows = causal.windowed_activity(table(spark, d, "events"), F.col("ts").cast("timestamp"))
-    return rows.select((F.unix_timestamp("window.start") / 3600).cast("long").alias("hour"), "event_type", "n", F.round("mean", 6).alias("mean"))
+    return rows.select((F.unix_timestamp("window.start") / 3600).cast("long").alias("hour"), "event_type", "n", F.round("mean", 3).alias("mean"))
 
 
 @query(
