@@ -14,9 +14,12 @@ Jaccard similarity of at least 0.75; a component is what links reach.
    on their full sets; links give components.
 4. What step 3 can miss is a link between two members of a bucket that are
    in different components after it. Buckets whose members are all in one
-   component are done; in the others members of different components are paired,
-   those whose signature sketches are too far apart (below a similarity of
-   about 0.5, 7 standard errors off) are dropped, and the rest verified as well.
+   component are done. In the others signatures of different components are
+   compared inside the task (buckets of more than BLOCK members in pairs of blocks), and
+   each pair of components with signatures near enough is one row. Such a pair is
+   settled on full sets: the larger component is an index of shingles, in blocks of
+   members, and the members of the smaller one are streamed past it until one links.
+   So rows follow components, never pairs of members.
 5. Components come from alternating large-star and small-star steps over the
    verified links until nothing changes; every step is written to the shared folder.
 
@@ -37,7 +40,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +51,9 @@ SHINGLE = 5
 MINIMA = 128
 BANDS = 32
 ROWS = MINIMA // BANDS
-SKETCH_FAR = 45  # differing bits of 128 beyond which a pair is below about 0.3 to 0.5
+BLOCK = 4096  # members compared by signature in one group
+INDEX = 2048  # members of a component in one index
+SPREAD = 4.5  # standard errors by which a signature may fall short of the threshold
 
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,22 +91,21 @@ SIGNED = T.StructType(
         T.StructField("n_shingles", T.LongType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("buckets", T.ArrayType(T.LongType())),
-        T.StructField("sketch_a", T.LongType()),
-        T.StructField("sketch_b", T.LongType()),
+        T.StructField("minima", T.BinaryType()),
     ]
 )
 
 
 @F.arrow_udf(SIGNED)
 def signature(texts: pa.Array) -> pa.Array:
-    sizes, digests, buckets, sketches = [], [], [], []
+    sizes, digests, buckets, signatures = [], [], [], []
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for s in shingle_sets(texts):
         sizes.append(len(s))
         if not len(s):
             digests.append(None)
             buckets.append(np.zeros(0, np.int64))
-            sketches.append((0, 0))
+            signatures.append(None)
             continue
         digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
         m = minima(s)
@@ -109,8 +113,7 @@ def signature(texts: pa.Array) -> pa.Array:
         for r in range(ROWS):
             key = mix(key ^ m[r::ROWS])
         buckets.append(key.view(np.int64))
-        bits = np.packbits((mix(m) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-        sketches.append((int(bits[0]), int(bits[1])))
+        signatures.append(mix(m).astype(np.uint16).tobytes())
     ends = np.cumsum([0, *map(len, buckets)])
     flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
     return pa.StructArray.from_arrays(
@@ -118,8 +121,7 @@ def signature(texts: pa.Array) -> pa.Array:
             pa.array(sizes, pa.int64()),
             pa.array(digests, pa.binary()),
             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
-            pa.array([a for a, _ in sketches], pa.int64()),
-            pa.array([b for _, b in sketches], pa.int64()),
+            pa.array(signatures, pa.binary()),
         ],
         names=SIGNED.fieldNames(),
     )
@@ -188,9 +190,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, key: str = "doc_id", t
     sets = stash(
         signed.where(real).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     )
-    reps = signed.where(real).select("id", "digest", "buckets", "sketch_a", "sketch_b").join(
+    reps = signed.where(real).select("id", "digest", "buckets").join(
         sets.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi"
-    ).select("id", "buckets", "sketch_a", "sketch_b").dropDuplicates(["id", "buckets"])
+    ).select("id", "buckets").dropDuplicates(["id", "buckets"])
 
     members = stash(in_buckets(reps))
     star = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
@@ -198,10 +200,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, key: str = "doc_id", t
     links = stash(links)
     part = stash(components(links))
 
-    more = across(members, part, signed.where(real).select("id", "sketch_a", "sketch_b"), star)
-    more = stash(more)
-    if more.limit(1).count():
-        found = stash(verified(more, texts, threshold))
+    near = stash(near_components(members, part, signed.where(real).select("id", "minima"), threshold))
+    if near.limit(1).count():
+        everyone = sets.select(F.col("rep").alias("id")).join(part, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+        found = stash(settled(near, everyone, texts, threshold))
         if found.limit(1).count():
             part = stash(components(links.unionByName(found)))
 
@@ -224,16 +226,124 @@ def in_buckets(reps: DataFrame) -> DataFrame:
     return spread.join(shared.select("bucket", "low"), "bucket").select("bucket", "id", "low")
 
 
-def across(members: DataFrame, part: DataFrame, sketches: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components that are not verified yet, unless their sketches are far apart."""
+def _compare(threshold: int):
+    """mapInArrow over members sorted by group: pairs of components with signatures near enough."""
+    share = threshold / 100
+    least = MINIMA * share - SPREAD * (MINIMA * share * (1 - share)) ** 0.5
+
+    def pairs(c: np.ndarray, m: np.ndarray) -> np.ndarray:
+        found = []
+        for k in range(len(c) - 1):
+            other = np.flatnonzero(c[k + 1 :] != c[k]) + k + 1
+            if len(other):
+                near = other[(m[other] == m[k]).sum(axis=1) >= least]
+                if len(near):
+                    met = np.unique(c[near])
+                    found.append(np.stack([np.minimum(met, c[k]), np.maximum(met, c[k])], 1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        got = pairs(np.array([r[0] for r in rows], np.int64), np.frombuffer(b"".join(r[1] for r in rows), np.uint16).reshape(len(rows), MINIMA))
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0], pa.int64()), pa.array(got[:, 1], pa.int64())], names=["x", "y"])
+
+    def run(batches):
+        group, rows = None, []
+        for batch in batches:
+            for key, c, m in zip(batch["group"].to_pylist(), batch["c"].to_pylist(), batch["minima"].to_pylist(), strict=True):
+                if key != group:
+                    if len(rows) > 1:
+                        yield emit(rows)
+                    group, rows = key, []
+                rows.append((c, m))
+        if len(rows) > 1:
+            yield emit(rows)
+
+    return run
+
+
+def near_components(members: DataFrame, part: DataFrame, minima_of: DataFrame, threshold: int) -> DataFrame:
+    """(x, y), x < y: pairs of components that share a bucket and have members with near signatures."""
     known = members.join(part, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    open_ = known.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-    left = stash(known.join(open_, "bucket", "left_semi").join(sketches.dropDuplicates(["id"]), "id"))
-    a = left.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sketch_a").alias("aa"), F.col("sketch_b").alias("ab"))
-    b = left.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch_a").alias("ba"), F.col("sketch_b").alias("bb"))
-    off: Column = F.bit_count(F.col("aa").bitwiseXOR(F.col("ba"))) + F.bit_count(F.col("ab").bitwiseXOR(F.col("bb")))
-    close = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (off <= SKETCH_FAR))
-    return close.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    open_ = stash(
+        known.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x <> y").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    )
+    left = known.join(open_, "bucket").join(minima_of.dropDuplicates(["id"]), "id")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    each = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+    dealt = each.select(group.alias("group"), "c", "minima").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(_compare(threshold), "x long, y long").distinct()
+
+
+def _settle(threshold: int):
+    """mapInArrow over groups in which the members of the larger component stand before those of smaller ones."""
+
+    def run(batches):
+        group, ids, sets, index, done = None, [], [], None, set()
+        for batch in batches:
+            out_a, out_b = [], []
+            rows = zip(batch["group"].to_pylist(), batch["small"].to_pylist(), batch["id"].to_pylist(), batch["s"], strict=True)
+            for key, small_, ident, s in rows:
+                s = np.asarray(s.values)
+                if key != group:
+                    group, ids, sets, index, done = key, [], [], None, set()
+                if small_ is None:
+                    ids.append(ident)
+                    sets.append(s)
+                    continue
+                if not ids or small_ in done:
+                    continue
+                if index is None:
+                    sizes = np.array([len(x) for x in sets])
+                    values = np.concatenate(sets)
+                    order = np.argsort(values, kind="stable")
+                    index = values[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes
+                    sets = []
+                values, owner, sizes = index
+                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                n = hi - lo
+                if not n.any():
+                    continue
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(sizes))
+                linked = np.flatnonzero((shared > 0) & (100 * shared >= threshold * (sizes + len(s) - shared)))
+                if len(linked):
+                    out_a.append(ids[int(linked[0])])
+                    out_b.append(ident)
+                    done.add(small_)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def settled(near: DataFrame, everyone: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """A verified link (a, b) for each pair of components that has one (or for each block of the larger)."""
+    wanted = stash(near.select(F.explode(F.array("x", "y")).alias("c")).distinct())
+    there = stash(everyone.join(wanted, "c").select("id", "c"))
+    sizes = stash(there.groupBy("c").agg(F.countDistinct("id").alias("n")))
+    sets = stash(docs.join(small(there.select("id").distinct()), "id", "left_semi").select("id", shingle_array(F.col("text")).alias("s")))
+    n_x, n_y = sizes.select(F.col("c").alias("x"), F.col("n").alias("nx")), sizes.select(F.col("c").alias("y"), F.col("n").alias("ny"))
+    sided = near.join(n_x, "x").join(n_y, "y")
+    first = F.col("nx") >= F.col("ny")
+    pairs = stash(
+        sided.select(
+            F.when(first, F.col("x")).otherwise(F.col("y")).alias("large"),
+            F.when(first, F.col("y")).otherwise(F.col("x")).alias("small"),
+            F.ceil(F.greatest("nx", "ny") / INDEX).alias("blocks"),
+        )
+    )
+    full = there.join(sets, "id").select("id", "c", "s")
+    large = pairs.select("large", "blocks").distinct()
+    indexed = full.join(large, F.col("c") == F.col("large")).select(
+        F.xxhash64("large", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("group"), F.lit(None).cast("long").alias("small"), "id", "s"
+    )
+    streamed = (
+        full.join(pairs, F.col("c") == F.col("small"))
+        .select("large", "small", "id", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        .select(F.xxhash64("large", "block").alias("group"), "small", "id", "s")
+    )
+    rows = indexed.unionByName(streamed).repartition("group").sortWithinPartitions("group", F.col("small").isNotNull(), "small")
+    return rows.mapInArrow(_settle(threshold), "a long, b long")
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
