@@ -11,14 +11,16 @@ same document. Every word of a removed window is cut.
 2. Runs. Consecutive windows with the same recurring anchor form a run. Its words
    go to the shard of the anchor. Nothing else of a text leaves its document.
 3. Phrases. In a shard the windows that occur twice or more are confirmed and
-   compiled, over word numbers, into Aho-Corasick automata of bounded size.
-4. Occurrences. All runs of the shard are streamed through the automata in document
-   order; every located phrase but its first occurrence is removed.
+   compiled, over word numbers, into Aho-Corasick automata of bounded size. A run that
+   only occurs as a whole is one phrase; else each of its windows is.
+4. Occurrences. All runs of the shard are streamed through the automata; every located
+   phrase but its first occurrence is removed.
 
-Anchors met more than HOT times are not left to one task: their windows are
-confirmed by a grouped minimum with map-side partial aggregation, the
-confirmed phrases are copied to SALTS sub-shards, and the runs are dealt over these
-by document.
+Anchors met more than HOT times are not left to one task. Their runs are dealt over
+SALTS sub-shards by document; each task that cuts runs also sums up their windows (first
+occurrence and count), and these sums go to all sub-shards, where they are confirmed and
+compiled before the runs are streamed. So a passage that a third of all documents
+share is spread, and costs each cutting task a row for each of its windows.
 
 Equality of windows is decided on the words themselves, inside the automata. Hashes
 only choose what is compared.
@@ -47,7 +49,7 @@ from framelark.llm.textscan import NON_SPACE, Words, slices, windows
 WINDOW = 20
 GRAM = 6
 HOT = 4_000  # occurrences of an anchor from which its runs are spread over SALTS tasks
-SALTS = 64
+SALTS = 16
 AUTOMATON_PHRASES = 20_000
 LAST_ID = 2**63 - 1
 
@@ -109,18 +111,48 @@ def anchors(window: int):
     return find
 
 
-RUNS = "h long, hot boolean, rid long, id long, start int, words string"
+#: kind 0: sums of a hot window, 1: a run of a hot anchor, 2: any other run
+RUNS = "shard long, kind int, rid long, id long, start int, words string, n int"
+HELD_PHRASES = 50_000
+
+
+def _shard(h: int, salt: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{h}/{salt}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def runs_of(window: int):
-    """mapInArrow: the runs of each text whose anchors are in `cold` or `hot`."""
+    """mapInArrow: the runs of each text whose anchors are in `cold` or `hot`, and the sums of hot windows."""
 
     def cut(batches):
+        out: list[list] = [[] for _ in range(7)]
+        held = 0
+        sums: dict[tuple[int, bytes], list] = {}
+
+        def put(*row) -> None:
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+
+        def batch_of() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
+            arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+            arrays[5] = arrays[5].cast(pa.string())
+            for c in out:
+                c.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["shard", "kind", "rid", "id", "start", "words", "n"])
+
+        def phrases():
+            for (key, words), (at, start, n) in sums.items():
+                for salt in range(SALTS):
+                    put(_shard(key, salt), 0, None, at, start, words, n)
+                if len(out[0]) >= 20_000:
+                    yield batch_of()
+            sums.clear()
+            if out[0]:
+                yield batch_of()
+
         for batch in batches:
             rids, ids = batch["rid"].to_pylist(), batch["id"].to_pylist()
             cold, hot = batch["cold"], batch["hot"]
-            out: list[list] = [[], [], [], [], [], []]
-            held = 0
             for lo, hi, buf, offs in slices(batch["text"]):
                 raw = buf.tobytes()
                 w = Words(buf, offs, NON_SPACE)
@@ -130,33 +162,40 @@ def runs_of(window: int):
                     m = minimizers(h[a:b], window)
                     if not len(m):
                         continue
+                    rid, ident = rids[lo + d], ids[lo + d]
                     edges = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
                     keys = m[edges].view(np.int64)
-                    is_hot = np.isin(keys, np.array(hot[lo + d].as_py() or [], np.int64))
-                    wanted = is_hot | np.isin(keys, np.array(cold[lo + d].as_py() or [], np.int64))
+                    is_hot = np.isin(keys, np.asarray(hot[lo + d].values))
+                    wanted = is_hot | np.isin(keys, np.asarray(cold[lo + d].values))
                     ends = np.concatenate([edges[1:], [len(m)]])
                     for k in np.flatnonzero(wanted).tolist():
-                        i, j = int(edges[k]), int(ends[k]) + window - 1  # words [i, j)
-                        text = b" ".join([raw[s:e] for s, e in zip(w.start[a + i : a + j].tolist(), w.end[a + i : a + j].tolist(), strict=True)])
-                        for column, value in zip(out, (int(keys[k]), bool(is_hot[k]), rids[lo + d], ids[lo + d], i, text), strict=True):
-                            column.append(value)
+                        i, j, key = int(edges[k]), int(ends[k]) + window - 1, int(keys[k])  # words [i, j)
+                        words = [raw[s:e] for s, e in zip(w.start[a + i : a + j].tolist(), w.end[a + i : a + j].tolist(), strict=True)]
+                        text = b" ".join(words)
                         held += len(text) + 60
-                        if held > 4 << 20:
-                            yield _run_batch(out)
-                            out, held = [[], [], [], [], [], []], 0
-            if held:
-                yield _run_batch(out)
+                        if not is_hot[k]:
+                            put(key, 2, rid, ident, i, text, 1)
+                            continue
+                        put(_shard(key, rid % SALTS), 1, rid, ident, i, text, 1)
+                        for x in range(j - i - window + 1):
+                            phrase = (key, b" ".join(words[x : x + window]))
+                            old = sums.get(phrase)
+                            if old is None:
+                                sums[phrase] = [ident, i + x, 1]
+                            else:
+                                old[:2] = min((old[0], old[1]), (ident, i + x))
+                                old[2] += 1
+                    if held > 4 << 20:
+                        yield batch_of()
+                        held = 0
+                    if len(sums) > HELD_PHRASES:
+                        yield from phrases()
+                        held = 0
+        yield from phrases()
 
     return cut
 
 
-def _run_batch(columns: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-    arrays[5] = arrays[5].cast(pa.string())
-    return pa.RecordBatch.from_arrays(arrays, names=["h", "hot", "rid", "id", "start", "words"])
-
-
 class Locator:
     """Confirmed phrases of a shard as automata of bounded size over word numbers."""
 
@@ -181,16 +220,17 @@ class Locator:
             self._open = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
             self.automata.append(self._open)
         self._open.add_word(phrase, len(self.first))
-        self.first.append(first)
+        self.first.append((first, len(phrase)))
 
     def compile(self) -> None:
         for a in self.automata:
             a.make_automaton()
 
-    def locate(self, numbers: tuple[int, ...]) -> list[tuple[int, int]]:
-        """(window start within the run, phrase) of every occurrence."""
-        w = self.window
-        return [(end - w + 1, k) for a in self.automata for end, k in a.iter(numbers)]
+    def locate(self, numbers: tuple[int, ...]) -> list[tuple[int, int, tuple[int, int]]]:
+        """(start within the run, windows, first occurrence) of every located phrase, sorted."""
+        first, w = self.first, self.window
+        found = ((end, *first[k]) for a in self.automata for end, k in a.iter(numbers))
+        return sorted((end - n + 1, n - w + 1, at) for end, at, n in found)
 
 
 def _ranges(starts: list[int]) -> list[list[int]]:
@@ -208,92 +248,110 @@ CUTS = "rid long, cuts array<array<int>>"
 _CUT_TYPE = pa.list_(pa.list_(pa.int32()))
 
 
-def _removed(locator: Locator, rows: list[tuple], numbers: list[tuple]) -> pa.RecordBatch:
-    """Which windows of each run (rid, id, start, ...) are not the first occurrence of their phrase."""
+def _removed(locator: Locator, rows: list[tuple], located: dict[str, list]) -> pa.RecordBatch:
+    """Which windows of each run (rid, id, start, words) are not in the first occurrence of their phrase."""
     rids, cuts = [], []
-    first, seen = locator.first, {}
-    for (rid, at, start, words), text in zip(rows, numbers, strict=True):
-        found = seen.get(words)
-        if found is None:
-            found = seen[words] = sorted(locator.locate(text))
-        gone = [start + i for i, k in found if first[k] < (at, start + i)]
+    for rid, at, start, words in rows:
+        gone = sorted({start + i + x for i, n, first in located[words] if first < (at, start + i) for x in range(n)})
         if gone:
             rids.append(rid)
             cuts.append(_ranges(gone))
     return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(cuts, _CUT_TYPE)], names=["rid", "cuts"])
 
 
-def locate_cold(window: int):
-    """mapInArrow over runs sorted by anchor: confirm, compile and locate, some anchors at a time."""
-
-    def flush(rows):
-        locator = Locator(window)
-        numbers = [locator.number(r[3]) for r in rows]
-        met: dict[tuple, tuple] = {}
-        again: dict[tuple, tuple] = {}
-        for (_, at, start, _), text in zip(rows, numbers, strict=True):
+def _cold(window: int, groups: list[list[tuple]]) -> pa.RecordBatch:
+    """Confirm, compile and locate the runs of some anchors."""
+    locator = Locator(window)
+    numbers: dict[str, tuple] = {}
+    for rows in groups:
+        texts: dict[str, list] = {}  # first occurrence and count of each different run
+        for _, at, start, words in rows:
+            old = texts.get(words)
+            if old is None:
+                texts[words] = [(at, start), 1]
+            else:
+                old[0] = min(old[0], (at, start))
+                old[1] += 1
+        for words in texts:
+            numbers[words] = locator.number(words)
+        if len(texts) == 1:
+            (words, (first, n)), text = next(iter(texts.items())), numbers[next(iter(texts))]
+            if len({text[i : i + window] for i in range(len(text) - window + 1)}) == len(text) - window + 1:
+                if n > 1:
+                    locator.add(text, first)
+                continue
+        met: dict[tuple, list] = {}
+        for words, ((at, start), n) in texts.items():
+            text = numbers[words]
             for i in range(len(text) - window + 1):
-                phrase, here = text[i : i + window], (at, start + i)
-                before = met.setdefault(phrase, here)
-                if before is not here:
-                    if here < before:
-                        met[phrase] = here
-                    again[phrase] = phrase
-        for phrase in again:
-            locator.add(phrase, met[phrase])
-        locator.compile()
-        return _removed(locator, rows, numbers)
-
-    def locate(batches):
-        rows, last, held = [], None, 0
-        for batch in batches:
-            for h, *row in zip(*(batch[c].to_pylist() for c in ("h", "rid", "id", "start", "words")), strict=True):
-                if h != last and held >= 2 * AUTOMATON_PHRASES:
-                    yield flush(rows)
-                    rows, held = [], 0
-                last = h
-                rows.append(tuple(row))
-                held += 8
-        if rows:
-            yield flush(rows)
-
-    return locate
-
-
-def locate_hot(window: int):
-    """mapInArrow over sub-shards in which the confirmed phrases (rid null) stand before the runs."""
+                old = met.get(text[i : i + window])
+                if old is None:
+                    met[text[i : i + window]] = [(at, start + i), n]
+                else:
+                    old[0] = min(old[0], (at, start + i))
+                    old[1] += n
+        for phrase, (first, n) in met.items():
+            if n > 1:
+                locator.add(phrase, first)
+    locator.compile()
+    located = {words: locator.locate(text) for words, text in numbers.items()}
+    return _removed(locator, [r for rows in groups for r in rows], located)
+
+
+def locate(window: int):
+    """mapInArrow over rows of RUNS sorted by shard and kind: the removed windows of each run."""
+
+    def run(batches):
+        shard, kind = None, None
+        groups: list[list[tuple]] = []  # cold
+        held = 0
+        sums: dict[str, list] = {}  # hot
+        locator, located, rows = Locator(window), {}, []
+
+        def hot_rows():
+            for r in rows:
+                if r[3] not in located:
+                    located[r[3]] = locator.locate(locator.known(r[3]))
+            done = _removed(locator, rows, located)
+            rows.clear()
+            located.clear()
+            return done
 
-    def locate(batches):
-        locator, shard, rows, built = Locator(window), None, [], False
         for batch in batches:
-            for key, rid, at, start, words in zip(*(batch[c].to_pylist() for c in ("shard", "rid", "id", "start", "words")), strict=True):
-                if key != shard:
+            for key, what, rid, at, start, words, n in zip(*(batch[c].to_pylist() for c in ("shard", "kind", "rid", "id", "start", "words", "n")), strict=True):
+                if key != shard or (what == 2) != (kind == 2):
                     if rows:
-                        yield _removed(locator, rows, [locator.known(r[3]) for r in rows])
-                    locator, shard, rows, built = Locator(window), key, [], False
-                if rid is None:
-                    locator.add(locator.number(words), (at, start))
-                    continue
-                if not built:
-                    locator.compile()
-                    built = True
-                rows.append((rid, at, start, words))
-                if len(rows) >= 5_000:
-                    yield _removed(locator, rows, [locator.known(r[3]) for r in rows])
-                    rows = []
+                        yield hot_rows()
+                    locator, sums = Locator(window), {}
+                    if held >= 2 * AUTOMATON_PHRASES:
+                        yield _cold(window, groups)
+                        groups, held = [], 0
+                    if what == 2:
+                        groups.append([])
+                shard, kind = key, what
+                if what == 2:
+                    groups[-1].append((rid, at, start, words))
+                    held += 4
+                elif what == 0:
+                    old = sums.setdefault(words, [(at, start), 0])
+                    old[0] = min(old[0], (at, start))
+                    old[1] += n
+                else:
+                    if sums:
+                        for phrase, (first, count) in sums.items():
+                            if count > 1:
+                                locator.add(locator.number(phrase), first)
+                        locator.compile()
+                        sums = {}
+                    rows.append((rid, at, start, words))
+                    if len(rows) >= 5_000:
+                        yield hot_rows()
         if rows:
-            yield _removed(locator, rows, [locator.known(r[3]) for r in rows])
+            yield hot_rows()
+        if groups:
+            yield _cold(window, groups)
 
-    return locate
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _phrases(words: pa.Array, window: pa.Array) -> pa.Array:
-    out = []
-    for text, n in zip(words.to_pylist(), window.to_pylist(), strict=True):
-        w = text.split(" ")
-        out.append([" ".join(w[i : i + n]) for i in range(len(w) - n + 1)])
-    return pa.array(out, pa.list_(pa.string()))
+    return run
 
 
 def with_cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -301,8 +359,8 @@ def with_cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
     bounded_batches(docs.sparkSession)
     rid = F.xxhash64(F.col(key), F.coalesce(text, F.lit("")))
     ident = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
-    listed = docs.select(rid.alias("rid"), F.explode(anchors(window)(F.col(text))).alias("a")).select("rid", "a.h", "a.n")
-    counted = docs.select(F.explode(anchors(window)(F.col(text))).alias("a")).groupBy("a.h").agg(F.sum("a.n").alias("n"))
+    listed = stash(docs.select(rid.alias("rid"), F.explode(anchors(window)(F.col(text))).alias("a")).select("rid", "a.h", "a.n"))
+    counted = listed.groupBy("h").agg(F.sum("n").alias("n"))
     recurring = stash(counted.where("n > 1").select("h", (F.col("n") > hot).alias("hot")))
     wanted = (
         listed.select("rid", "h")
@@ -312,28 +370,11 @@ def with_cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
     )  # a document's own anchors
     rows = docs.select(rid.alias("rid"), ident.alias("id"), F.col(text).alias("text"))
     runs = rows.join(wanted, "rid").select("rid", "id", "text", "cold", "hot").mapInArrow(runs_of(window), RUNS)
-    cuts = runs.where("not hot").select("h", "rid", "id", "start", "words").repartition("h").sortWithinPartitions("h").mapInArrow(locate_cold(window), CUTS)
-    if recurring.where("hot").limit(1).count():
-        cuts = cuts.unionByName(_hot_cuts(stash(runs.where("hot")), window))
-    cuts = cuts.groupBy(F.col("rid").alias("_rid")).agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("_cuts"))
+    cuts = runs.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(locate(window), CUTS)
+    cuts = cuts.groupBy(F.col("rid").alias("_rid")).agg(F.flatten(F.collect_list("cuts")).alias("_cuts"))
     return docs.withColumn("_key", rid).join(cuts, F.col("_key") == F.col("_rid"), "left").drop("_key", "_rid")
 
 
-def _hot_cuts(runs: DataFrame, window: int) -> DataFrame:
-    each = runs.select("h", "id", "start", F.posexplode(_phrases(F.col("words"), F.lit(window))).alias("k", "phrase"))
-    confirmed = (
-        each.groupBy("h", "phrase")
-        .agg(F.min(F.struct("id", (F.col("start") + F.col("k")).alias("start"))).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("h", "first.id", "first.start", F.col("phrase").alias("words"))
-    )
-    shard = F.xxhash64("h", "salt")
-    phrases = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(shard.alias("shard"), F.lit(None).cast("long").alias("rid"), "id", "start", "words")
-    dealt = runs.withColumn("salt", F.pmod(F.col("rid"), F.lit(SALTS)).cast("int")).select(shard.alias("shard"), "rid", "id", "start", "words")
-    both = phrases.unionByName(dealt).repartition("shard").sortWithinPartitions("shard", F.col("rid").isNotNull())
-    return both.mapInArrow(locate_hot(window), CUTS)
-
-
 def _gone(n: int, cuts: list | None, window: int) -> np.ndarray:
     step = np.zeros(n + 1, np.int64)
     for lo, hi in cuts or ():
