@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelark.llm.common import bounded_batches, small
+from framelark.llm.common import bounded_batches, small, stash
 from framelark.llm.quality_rules import FEATURES, Test, cover_of, labelled_sample, learn
 from framelark.llm.textscan import ALNUM, LOWER, Words, slices
 from framelark.llm.textstats import FIELDS, stats_of, text_stats
@@ -104,7 +104,7 @@ def distinct_words(texts: pa.Array) -> pa.Array:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Evidence | None:
-    rows = labelled_sample(docs, labels, key, text, sample).withColumn("_toxic", F.coalesce("_toxic", F.lit(0)))
+    rows = stash(labelled_sample(docs, labels, key, text, sample).withColumn("_toxic", F.coalesce("_toxic", F.lit(0))))
     got = rows.select("_quality", "_toxic", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(3)).alias("_part"), key, text_stats(F.col(text)).alias("s"))
     got = got.select("_quality", "_toxic", "_part", key, "s.*").toPandas().sort_values([key, "n_words"])  # at most `sample` rows of numbers
     if got.empty:
@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     absent = 0.0
     if len(words):
         listed = F.array(*(F.lit(int(v)) for v in words.view(np.int64)))
-        none = rows.where(~F.arrays_overlap(distinct_words(F.col(text)), listed)).agg(F.count_if(F.col("_toxic") == 1).alias("t"), F.count_if(F.col("_toxic") == 0).alias("c")).first()
+        flagged = rows.select("_toxic", F.arrays_overlap(distinct_words(F.col(text)), listed).alias("has"))
+        none = flagged.agg(F.count_if(~F.col("has") & (F.col("_toxic") == 1)).alias("t"), F.count_if(~F.col("has") & (F.col("_toxic") == 0)).alias("c")).first()
         absent = math.log((none.t + 0.5) / (n_toxic + 1)) - math.log((none.c + 0.5) / (n_clean + 1))
     return Evidence(rules, (k + 0.5 * low.mean()) / (n + 0.5), words, weights, prior + absent, prior, good)
 
