@@ -10,18 +10,24 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured size is at most this.
 BROADCAST_ROWS = 200_000
-BATCH_BYTES = 16 << 20  # default bound on the Arrow batches sent to Python
+BATCH_BYTES = 4 << 20  # default bound on the Arrow batches sent to Python
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Python workers live on between tasks: large buffers are given back at once
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python by bytes, as texts can be very long.
+    """Bound the memory of Python workers: the bytes of Arrow batches, and what idle workers hold.
 
-    A session that sets a bound of its own (other than Spark's default) keeps it.
+    A session that sets a bound or variables of its own keeps them.
     """
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(key, str(BATCH_BYTES))

@@ -17,7 +17,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20  # bytes of text handled at once
+SLICE = 1 << 19  # bytes of text handled at once
 _LONG = 512  # words longer than this are hashed by blake2b
 
 _SPACE = np.zeros(256, bool)
