@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Python workers live on between tasks: large buffers are given back at once
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Python workers live on between tasks: what they keep of freed memory is bounded, at more than one slice needs
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "33554432", "MALLOC_TRIM_THRESHOLD_": "50331648", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def bounded_batches(spark: SparkSession) -> None:
