@@ -368,11 +368,12 @@ def with_cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
         .groupBy("rid")
         .agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     )  # a document's own anchors
-    rows = docs.select(rid.alias("rid"), ident.alias("id"), F.col(text).alias("text"))
-    runs = rows.join(wanted, "rid").select("rid", "id", "text", "cold", "hot").mapInArrow(runs_of(window), RUNS)
+    keyed = docs.withColumn("_key", rid)  # both joins read it with the same columns, so texts are shuffled once
+    found = keyed.join(wanted, F.col("_key") == F.col("rid"))
+    runs = found.select("rid", ident.alias("id"), F.col(text).alias("text"), "cold", "hot").mapInArrow(runs_of(window), RUNS)
     cuts = runs.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(locate(window), CUTS)
     cuts = cuts.groupBy(F.col("rid").alias("_rid")).agg(F.flatten(F.collect_list("cuts")).alias("_cuts"))
-    return docs.withColumn("_key", rid).join(cuts, F.col("_key") == F.col("_rid"), "left").drop("_key", "_rid")
+    return keyed.join(cuts, F.col("_key") == F.col("_rid"), "left").drop("_key", "_rid")
 
 
 def _gone(n: int, cuts: list | None, window: int) -> np.ndarray:
