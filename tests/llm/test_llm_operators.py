@@ -321,3 +321,47 @@ def test_pipeline_keeps_columns(spark, tmp_path, docs):
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert set(docs.columns) - {"kept"} <= set(out.columns) and out.count() > 0
+
+
+def test_every_context_of_the_corpus_is_seated(spark):
+    py = pitman_yor
+    rnd = random.Random(4)
+    texts = [f"a{i} b{i} c{rnd.randrange(9)}" for i in range(300) for _ in range(4)]  # 300 contexts, all alike in count
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "") for i, t in enumerate(texts)], DOCS).repartition(3)
+    hashes = {}
+    for t in {w for x in texts for w in x.split()}:
+        hashes[t] = int(py.tokens_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0][0])
+    begin, end = int(py.BEGIN), int(py.END)
+    count = {}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 10:
+            words = [begin, *(hashes[w] for w in t.split()), end]
+            for p in zip(words, words[1:]):
+                count[p] = count.get(p, 0) + 1
+    pairs = list(count)
+    us, ws = sorted({u for u, _ in pairs}), sorted({w for _, w in pairs})
+    ui, wi = np.array([us.index(u) for u, _ in pairs]), np.array([ws.index(w) for _, w in pairs])
+    n, w = np.array([float(count[p]) for p in pairs]), np.array(ws, np.uint64)
+    c, total = np.bincount(ui, n), np.bincount(wi, n)
+    totals = py.Totals(len(ws), c)
+    chance, pull, before, kept, roots, pulls = (total + 0.1) / n.sum(), py.STRENGTH + py.DISCOUNT * 0.1 * c, float(len(ws)), 0, [], []
+    for k in range(py.BURN + py.SAMPLES):
+        t = py.seat(n, np.minimum(chance[wi], 1), pull[ui], py.DISCOUNT, py._salt(w[wi], k, np.array(us, np.uint64)[ui]))
+        rc = np.bincount(wi, t)
+        rt = py.seat(rc, np.full(len(w), totals.base), np.full(len(w), py.ROOT_STRENGTH + py.ROOT_DISCOUNT * before), py.ROOT_DISCOUNT, py._salt(w, k, 0))
+        before = rt.sum()
+        totals.root_tables.append(before)
+        totals.root_customers.append(rc.sum())
+        chance, pull = totals.root(k, rc, rt), py.STRENGTH + py.DISCOUNT * np.bincount(ui, t)
+        if k >= py.BURN:
+            kept = kept + (n - py.DISCOUNT * t) / py.SAMPLES
+            roots.append(chance)
+            pulls.append(pull)
+    seated = dict(zip(pairs, kept))
+    for r in py.score_documents(docs).collect():
+        words, want = [begin, *(hashes[x] for x in texts[r.doc_id].split()), end], 0.0
+        for u, x in zip(words, words[1:]):
+            root = [p[ws.index(x)] if x in ws else totals.root(py.BURN + s, 0, 0) for s, p in enumerate(roots)]
+            up = [p[us.index(u)] if u in us else py.STRENGTH for p in pulls]
+            want += math.log10((seated.get((u, x), 0.0) + np.mean(np.multiply(root, up))) / (py.STRENGTH + (c[us.index(u)] if u in us else 0)))
+        assert r.score == pytest.approx(want)
