@@ -365,3 +365,14 @@ def test_every_context_of_the_corpus_is_seated(spark):
             up = [p[us.index(u)] if u in us else py.STRENGTH for p in pulls]
             want += math.log10((seated.get((u, x), 0.0) + np.mean(np.multiply(root, up))) / (py.STRENGTH + (c[us.index(u)] if u in us else 0)))
         assert r.score == pytest.approx(want)
+
+
+def test_mixture_query_returns_whole_documents(spark, docs, rows, tmp_path):
+    from framelark.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    mixed = queries.QUERIES["op8_mixed_documents"](spark, str(tmp_path)).collect()
+    text = {i: t for i, t, *_ in rows}
+    assert mixed and all(r.text == text[r.doc_id] for r in mixed)
+    places = {(r.doc_id, r.copy, r.order_key) for r in queries.QUERIES["op8_mixing"](spark, str(tmp_path)).collect()}
+    assert places == {(r.doc_id, r.copy, r.order_key) for r in mixed}
