@@ -16,11 +16,12 @@ same document. Every word of a removed window is cut.
 4. Occurrences. All runs of the shard are streamed through the automata; every located
    phrase but its first occurrence is removed.
 
-Anchors met more than HOT times are not left to one task. Their runs are dealt over
-SALTS sub-shards by document; each task that cuts runs also sums up their windows (first
-occurrence and count), and these sums go to all sub-shards, where they are confirmed and
-compiled before the runs are streamed. So a passage that a third of all documents
-share is spread, and costs each cutting task a row for each of its windows.
+Anchors met more than HOT times are not left to one task. Their windows (first
+occurrence and count) are summed up by a groupBy on the words, and those that occur once are
+dropped. The confirmed ones of an anchor are dealt by their words over buckets of about
+AUTOMATON_PHRASES, and a run goes to the buckets of its windows. Each bucket is dealt
+over SALTS sub-shards by document, its phrases to all of them. So a passage that a third of
+all documents share is spread, and no task holds more phrases than a bucket.
 
 Equality of windows is decided on the words themselves, inside the automata. Hashes
 only choose what is compared.
@@ -39,6 +40,7 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,12 +118,8 @@ RUNS = "shard long, kind int, rid long, id long, start int, words string, n int"
 HELD_PHRASES = 50_000
 
 
-def _shard(h: int, salt: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{h}/{salt}".encode(), digest_size=8).digest(), "little", signed=True)
-
-
-def runs_of(window: int):
-    """mapInArrow: the runs of each text whose anchors are in `cold` or `hot`, and the sums of hot windows."""
+def runs_of(window: int, sums_only: bool = False):
+    """mapInArrow: the runs of each text whose anchors are in `cold` or `hot`, or else the sums of hot windows; shard is the anchor."""
 
     def cut(batches):
         out: list[list] = [[] for _ in range(7)]
@@ -142,8 +140,7 @@ def runs_of(window: int):
 
         def phrases():
             for (key, words), (at, start, n) in sums.items():
-                for salt in range(SALTS):
-                    put(_shard(key, salt), 0, None, at, start, words, n)
+                put(key, 0, None, at, start, words, n)
                 if len(out[0]) >= 20_000:
                     yield batch_of()
             sums.clear()
@@ -151,6 +148,8 @@ def runs_of(window: int):
                 yield batch_of()
 
         for batch in batches:
+            if sums_only:
+                batch = batch.filter(pc.greater(pc.list_value_length(batch["hot"]), 0))
             rids, ids = batch["rid"].to_pylist(), batch["id"].to_pylist()
             cold, hot = batch["cold"], batch["hot"]
             for lo, hi, buf, offs in slices(batch["text"]):
@@ -166,17 +165,16 @@ def runs_of(window: int):
                     edges = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
                     keys = m[edges].view(np.int64)
                     is_hot = np.isin(keys, np.asarray(hot[lo + d].values))
-                    wanted = is_hot | np.isin(keys, np.asarray(cold[lo + d].values))
+                    wanted = is_hot if sums_only else is_hot | np.isin(keys, np.asarray(cold[lo + d].values))
                     ends = np.concatenate([edges[1:], [len(m)]])
                     for k in np.flatnonzero(wanted).tolist():
                         i, j, key = int(edges[k]), int(ends[k]) + window - 1, int(keys[k])  # words [i, j)
                         words = [raw[s:e] for s, e in zip(w.start[a + i : a + j].tolist(), w.end[a + i : a + j].tolist(), strict=True)]
                         text = b" ".join(words)
-                        held += len(text) + 60
-                        if not is_hot[k]:
-                            put(key, 2, rid, ident, i, text, 1)
+                        if not sums_only:
+                            held += len(text) + 60
+                            put(key, 1 if is_hot[k] else 2, rid, ident, i, text, 1)
                             continue
-                        put(_shard(key, rid % SALTS), 1, rid, ident, i, text, 1)
                         for x in range(j - i - window + 1):
                             phrase = (key, b" ".join(words[x : x + window]))
                             old = sums.get(phrase)
@@ -354,6 +352,28 @@ def locate(window: int):
     return run
 
 
+def dealt(texts: DataFrame, window: int) -> DataFrame:
+    """The rows that `locate` takes: cold runs by anchor, confirmed hot windows and hot runs by bucket and salt."""
+    first = F.min(F.struct("id", "start"))
+    sums = texts.mapInArrow(runs_of(window, True), RUNS).groupBy("shard", "words").agg(first.alias("first"), F.sum("n").alias("n")).where("n > 1")
+    # a row for AUTOMATON_PHRASES phrases at least, so this side is small
+    buckets = sums.groupBy("shard").count().where(F.col("count") > AUTOMATON_PHRASES)
+    buckets = F.broadcast(buckets.select("shard", F.ceil(F.col("count") / AUTOMATON_PHRASES).alias("_b")))
+    bucket = lambda words: F.pmod(F.xxhash64(words), F.coalesce("_b", F.lit(1)))
+    phrases = sums.join(buckets, "shard", "left").select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.xxhash64("shard", bucket(F.col("words")), s.cast("long")))).alias("shard"),
+        F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rid"), "first.id", "first.start", "words", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"),
+    )
+    words = F.split("words", " ")
+    each = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: bucket(F.array_join(F.slice(words, i, F.lit(window)), " ")))
+    own = F.when(F.col("_b").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(each))
+    salt = F.pmod("rid", F.lit(SALTS)).cast("long")
+    shards = F.when(F.col("kind") == 2, F.array("shard")).otherwise(F.transform(own, lambda b: F.xxhash64("shard", b, salt)))
+    runs = texts.mapInArrow(runs_of(window), RUNS).join(buckets, "shard", "left")
+    runs = runs.select(F.explode(shards).alias("shard"), "kind", "rid", "id", "start", "words", "n")
+    return phrases.unionByName(runs)
+
+
 def with_cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """`docs` with a column `_cuts`: ranges [from, to) of starts of removed windows (null: none)."""
     bounded_batches(docs.sparkSession)
@@ -370,7 +390,7 @@ def with_cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
     )  # a document's own anchors
     keyed = docs.withColumn("_key", rid)  # both joins read it with the same columns, so texts are shuffled once
     found = keyed.join(wanted, F.col("_key") == F.col("rid"))
-    runs = found.select("rid", ident.alias("id"), F.col(text).alias("text"), "cold", "hot").mapInArrow(runs_of(window), RUNS)
+    runs = dealt(found.select("rid", ident.alias("id"), F.col(text).alias("text"), "cold", "hot"), window)
     cuts = runs.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(locate(window), CUTS)
     cuts = cuts.groupBy(F.col("rid").alias("_rid")).agg(F.flatten(F.collect_list("cuts")).alias("_cuts"))
     return keyed.join(cuts, F.col("_key") == F.col("_rid"), "left").drop("_key", "_rid")

@@ -376,3 +376,37 @@ def test_mixture_query_returns_whole_documents(spark, docs, rows, tmp_path):
     assert mixed and all(r.text == text[r.doc_id] for r in mixed)
     places = {(r.doc_id, r.copy, r.order_key) for r in queries.QUERIES["op8_mixing"](spark, str(tmp_path)).collect()}
     assert places == {(r.doc_id, r.copy, r.order_key) for r in mixed}
+
+
+def test_hot_windows_are_confirmed_before_they_are_dealt(spark, monkeypatch):
+    rnd = random.Random(6)
+
+    def gram(line):
+        raw = np.frombuffer(line.encode(), np.uint8)
+        return int(textscan.windows(textscan.Words(raw, np.array([0, len(raw)]), textscan.NON_SPACE).hashes(), repeats.GRAM)[0])
+
+    line = min((f"one line of six words{i}" + " here" for i in range(500)), key=gram)  # small, so it is a minimizer
+    texts = [" ".join(f"x{rnd.randrange(10**6)}" for _ in range(25)) + f" {line} " + " ".join(f"y{rnd.randrange(10**6)}" for _ in range(25)) for _ in range(120)]
+    texts += texts[:12] + [" ".join(t.split()[8:44]) for t in texts[20:26]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "") for i, t in enumerate(texts)], DOCS).repartition(3)
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        words, gone = t.split(), set()
+        for k in range(len(words) - 19):
+            phrase = tuple(words[k : k + 20])
+            if phrase in seen:
+                gone.update(range(k, k + 20))
+            seen.add(phrase)
+        want[i] = len(gone)
+    monkeypatch.setattr(repeats, "AUTOMATON_PHRASES", 20)
+    for hot in (5, 10**6):
+        assert {r.doc_id: r.n_removed for r in repeats.report(docs, hot=hot).collect()} == want
+    rows, deal = [], repeats.dealt
+    monkeypatch.setattr(repeats, "dealt", lambda *a: rows.append(deal(*a)) or rows[0])
+    repeats.report(docs, hot=5)
+    sums = rows[0].where("kind = 0").collect()
+    assert sums and all(r.n > 1 for r in sums)
+    held = {}
+    for r in sums:
+        held[r.shard] = held.get(r.shard, 0) + 1
+    assert len(held) > repeats.SALTS and max(held.values()) <= 60
