@@ -15,14 +15,16 @@ wrappers is broadcast only if its size is counted small, else joined by host wit
 splittable skew.
 
 Edge cases: null or empty html gives an empty text. A null or unparsable url
-belongs to the host ''. Pages without article or main element fall back to the
-block with most text. Deep nesting is cut by DEPTH levels (text below moves up to
+belongs to the host ''. A page without text in an article or main element, whatever
+other pages of its host have, falls back to the block with most text. Copies of a page count as one
+when a text is judged as part of the template. Deep nesting is cut by DEPTH levels (text below moves up to
 the last level kept). Repeated rows are extracted each for itself. An empty table gives an
 empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pyarrow as pa
@@ -44,7 +46,7 @@ def host_of(url: Column) -> Column:
 
 
 def flat(node: list, depth: int = 0) -> list:
-    """The tree with levels below DEPTH folded into their ancestor."""
+    """The tree with levels below DEPTH folded into their ancestor, without what is out of the text."""
     stack = [(node, 0)]
     while stack:
         x, d = stack.pop()
@@ -52,6 +54,8 @@ def flat(node: list, depth: int = 0) -> list:
             below, todo = [], list(x[2])
             while todo:
                 y = todo.pop(0)
+                if P.out_of_text(y[0]):
+                    continue
                 below += [(0, t) for _, t in y[1]]
                 todo = y[2] + todo
             x[1], x[2] = [(0, t) for _, t in x[1]] + below, []
@@ -71,7 +75,8 @@ def _infer(batches):
             if not page:
                 continue
             host = host.as_py()
-            w = P.wrapper_of(flat(P.parse(page)))
+            digest = int.from_bytes(hashlib.blake2b(page.encode(errors="replace"), digest_size=6).digest(), "little")
+            w = P.wrapper_of(flat(P.parse(page)), digest)
             held[host] = P.merge(held[host], w) if host in held else w
             if len(held) >= HELD_HOSTS:
                 yield emit()
@@ -110,7 +115,7 @@ def apply_wrapper(pages: pa.Array, wrappers: pa.Array) -> pa.Array:
         if wrapper not in marks:
             if len(marks) > 500:
                 marks.clear()
-            marks[wrapper] = P.mark(json.loads(wrapper))
+            marks[wrapper] = P.marks_of(json.loads(wrapper))
         out.append("\n".join(P.extract(flat(P.parse(page)), marks[wrapper])))
     return pa.array(out, pa.string())
 

@@ -194,12 +194,15 @@ def parse(page: str) -> list:
 # ---- wrappers -----------------------------------------------------------------
 
 
-def wrapper_of(node: list) -> list:
-    """The wrapper that matches this tree alone, with repeats folded."""
+TEMPLATE_PAGES = 3  # different pages from which an equal text counts as part of the template
+
+
+def wrapper_of(node: list, page: int = 0) -> list:
+    """The wrapper that matches this tree alone, with repeats folded; `page` is a digest of the page."""
     texts = node[1]
     mass = sum(len(t) for _, t in texts)
     text = None if not texts else texts[0][1] if len(texts) == 1 and len(texts[0][1]) <= 200 else True
-    return [node[0], False, False, text, mass, 1, fold([wrapper_of(k) for k in node[2]])]
+    return [node[0], False, False, text, mass, [page], fold([wrapper_of(k, page) for k in node[2]])]
 
 
 def fold(kids: list[list]) -> list[list]:
@@ -230,7 +233,7 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
         text = a[3] if b[3] is None else b[3]
     else:
         text = a[3] if a[3] == b[3] else True
-    pages = max(a[5], b[5]) if same_page else a[5] + b[5]
+    pages = a[5] if a[5] == b[5] else sorted({*a[5], *b[5]})[:TEMPLATE_PAGES]
     return [a[0], a[1] or b[1], a[2] or b[2], text, a[4] + b[4], pages, align(a[6], b[6], same_page)]
 
 
@@ -278,17 +281,20 @@ def _find(w: list, tag: str) -> bool:
     return (w[0].split("|")[0] == tag and _mass(w) > 0) or any(_find(k, tag) for k in w[6])
 
 
-def mark(w: list) -> list:
-    """Decide which slots are main text: [label, inside, own text counts, kids].
+def marks_of(w: list) -> list[list]:
+    """Which slots are main text, as [label, inside, own text counts, kids], for each kind of region in order.
 
-    The region is the article elements, else the main element or role, else
+    The regions are the article elements, the main element or role, and
     the block that is reached from the root by following the child that holds most
-    of the text. Outside such elements a text that is the same in 3 pages or
-    more is part of the template, and left out.
+    of the text; a page takes the first that gives it text. In the block a text
+    that is the same in TEMPLATE_PAGES different pages or more is part of the
+    template, and left out.
     """
-    for tag in ("article", "main"):
-        if _find(w, tag):
-            return _mark(w, lambda x, tag=tag: x[0].split("|")[0] == tag, False, False)
+    found = [tag for tag in ("article", "main") if _find(w, tag)]
+    return [*(_mark(w, lambda x, tag=tag: x[0].split("|")[0] == tag, False, False) for tag in found), _block(w)]
+
+
+def _block(w: list) -> list:
     target = w
     while True:
         total = _mass(target)
@@ -303,14 +309,21 @@ def _mark(w: list, region, inside: bool, drop_constant: bool) -> list:
     if out_of_text(w[0]):
         return [w[0], False, False, []]
     inside = inside or region(w)
-    own = inside and not (drop_constant and isinstance(w[3], str) and w[5] >= 3)
+    own = inside and not (drop_constant and isinstance(w[3], str) and len(w[5]) >= TEMPLATE_PAGES)
     return [w[0], inside, own, [_mark(k, region, inside, drop_constant) for k in w[6]]]
 
 
-def extract(node: list, marks: list) -> list[str]:
-    """The main text blocks of a page, by its host's marked wrapper, in page order."""
+def extract(node: list, regions: list[list]) -> list[str]:
+    """The main text blocks of a page, by its host's marked wrapper, in page order.
+
+    A page that has none of the host's regions is judged by its own block.
+    """
     out: list[str] = []
-    _extract(node, marks, out)
+    for marks in regions:
+        _extract(node, marks, out)
+        if out:
+            return out
+    _extract(node, _block(wrapper_of(node)), out)
     return out
 
 

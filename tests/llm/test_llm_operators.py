@@ -410,3 +410,16 @@ def test_hot_windows_are_confirmed_before_they_are_dealt(spark, monkeypatch):
     for r in sums:
         held[r.shard] = held.get(r.shard, 0) + 1
     assert len(held) > repeats.SALTS and max(held.values()) <= 60
+
+
+def test_region_is_chosen_for_each_page(spark):
+    other = "<div><h1>Head</h1><p>plain block {} of some length</div>"
+    deep = "<div>" * 250 + "<div class=comments><p>menu</div><p>deep text" + "</div>" * 250
+    rows = [(0, "http://h.x/0", "<article><p>article text</article>"), (1, "http://h.x/1", "<main><p>main text</main>")]
+    rows += [(2 + i, f"http://h.x/{i}", other.format(i)) for i in range(2)]
+    rows += [(10 + i, "http://c.x/1", other.format("same")) for i in range(4)] + [(20, "http://d.x", deep)]
+    got = {r.page_id: r.text for r in main_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[0] == "article text" and got[1] == "main text"
+    assert all(got[2 + i] == f"Head\nplain block {i} of some length" for i in range(2))
+    assert all(got[10 + i] == "Head\nplain block same of some length" for i in range(4))
+    assert got[20] == "deep text"
