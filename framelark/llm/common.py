@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured size is at most this.
 BROADCAST_ROWS = 200_000
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = 4 << 20  # default bound on the Arrow batches sent to Python
 
 
@@ -17,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Python workers live on between tasks: what they keep of freed memory is bounded, at more than one slice needs
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "33554432", "MALLOC_TRIM_THRESHOLD_": "50331648", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Python workers live on between tasks: large buffers go back to the system when they are freed, and few small ones are kept
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -56,9 +57,15 @@ def stash(df: DataFrame) -> DataFrame:
     Cuts the lineage: what follows survives the loss of any executor without
     computing `df` again.
     """
-    path = f"{shared_folder(df.sparkSession)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")  # what was shuffled for the result isn't needed after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -66,5 +73,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores added until no column of `df` has it: a helper column never meets one of the caller's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

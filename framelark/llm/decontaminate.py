@@ -12,13 +12,14 @@ stretches in which some neighbouring pair of words never stands in an item.
 
 The items are the bounded side. They are cut into blocks of at most
 `block_words` words; each block is one automaton and one pass over the
-documents, so a large benchmark costs passes, not memory.
+documents. Between passes the documents with their hits so far are written to the shared
+folder, so a large benchmark costs passes and disk, not memory or Python workers.
 
 Edge cases: a null text has no words and is clean; items without words are
 ignored; equal items are each counted by their own id; items with a null id
 still hit words but are not listed; an empty benchmark leaves all documents
 clean. Repeated documents are judged each for itself. Other columns pass
-through untouched.
+through untouched, whatever their names: helper columns take names that are free.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelark.llm.common import bounded_batches
+from framelark.llm.common import bounded_batches, fresh, stash
 from framelark.llm.textscan import ALNUM, LOWER, Words, slices
 
 WINDOW = 10
@@ -217,13 +218,24 @@ def item_blocks(items: DataFrame, text: str, key: str, block_words: int):
         yield block
 
 
-def benchmark_hits(text: Column, block: list[tuple[str, str]], window: int, spark) -> Column:
-    """Struct of (n_words, hit word spans [from, to), ids of the items found) for one block of items."""
+def _union(a: list, b: list) -> list[list[int]]:
+    """Spans [from, to) of both lists, those that touch joined."""
+    merged: list[list[int]] = []
+    for lo, hi in sorted([*a, *b]):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    return merged
+
+
+def benchmark_hits(text: Column, block: list[tuple[str, str]], window: int, spark, before: Column | None = None) -> Column:
+    """Struct of (n_words, hit word spans [from, to), ids of the items found) for one block of items, joined to the hits `before`."""
     ident = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast(block)
 
     @F.arrow_udf(HITS)
-    def scan(texts: pa.Array) -> pa.Array:
+    def scan(texts: pa.Array, earlier: pa.Array) -> pa.Array:
         sam = _built.get(ident)
         if sam is None:
             items = _words(pa.array([t for _, t in shared.value], pa.string()))
@@ -244,26 +256,15 @@ def benchmark_hits(text: Column, block: list[tuple[str, str]], window: int, spar
                 edge = np.diff(np.concatenate([[0], hit[w.first[d] : w.first[d + 1]].view(np.int8), [0]]))
                 spans.append(np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).tolist())
                 items.append(sorted({sam.names[k] for k in got if sam.names[k] is not None}))
+        for d, old in enumerate(earlier.to_pylist()):
+            if old is not None and old["items"] + old["spans"]:
+                spans[d], items[d] = _union(old["spans"], spans[d]), sorted({*old["items"], *items[d]})
         return pa.StructArray.from_arrays(
             [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
             names=HITS.fieldNames(),
         )
 
-    return scan(text)
-
-
-@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def _union_spans(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        merged: list[list[int]] = []
-        for lo, hi in sorted([*x, *y]):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        out.append(merged)
-    return pa.array(out, pa.list_(pa.list_(pa.int32())))
+    return scan(text, F.lit(None).cast(HITS) if before is None else before)
 
 
 def with_hits(
@@ -276,38 +277,35 @@ def with_hits(
     block_words: int = BLOCK_WORDS,
     into: str = "hits",
 ) -> DataFrame:
-    """`docs` with a column `into`: the struct of `benchmark_hits` over all items."""
+    """`docs` with a column `into` (a name that is free): the struct of `benchmark_hits` over all items."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    own = [F.col(c) for c in docs.columns]
     out = None
     for block in item_blocks(items, item_text, item_key, block_words):
         if out is None:
-            out = docs.withColumn(into, benchmark_hits(F.col(text), block, window, spark))
-            continue
-        one = f"{into}_block"
-        out = out.withColumn(one, benchmark_hits(F.col(text), block, window, spark))
-        out = out.withColumn(
-            into,
-            F.struct(
-                F.col(f"{into}.n_words").alias("n_words"),
-                _union_spans(F.col(f"{into}.spans"), F.col(f"{one}.spans")).alias("spans"),
-                F.array_sort(F.array_union(f"{into}.items", f"{one}.items")).alias("items"),
-            ),
-        ).drop(one)
-    return docs.withColumn(into, benchmark_hits(F.col(text), [], window, spark)) if out is None else out
-
-
-def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
+            out = docs.select(*own, benchmark_hits(F.col(text), block, window, spark).alias(into))
+        else:
+            out = stash(out).select(*own, benchmark_hits(F.col(text), block, window, spark, F.col(into)).alias(into))
+    return docs.select(*own, benchmark_hits(F.col(text), [], window, spark).alias(into)) if out is None else out
+
+
+def _n_hit(hits: Column) -> Column:
+    return F.aggregate(hits["spans"], F.lit(0).cast("long"), lambda n, s: n + (s[1] - s[0]).cast("long"))
+
+
+def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """Per document: its words, its hit words, the items found and a digest of their ids."""
-    hits = with_hits(docs.select(key, kw.get("text", "text")), items, **kw)
-    n_hit = F.aggregate("hits.spans", F.lit(0).cast("long"), lambda n, s: n + (s[1] - s[0]).cast("long"))
-    return hits.select(
-        key,
-        F.col("hits.n_words").alias("n_words"),
-        n_hit.alias("n_hit"),
-        F.size("hits.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
-    ).withColumn("contaminated", F.col("n_hit") > 0)
+    found = with_hits(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), items, into="hits", **kw)
+    hits = F.col("hits")
+    return found.select(
+        F.col("key").alias(key),
+        hits["n_words"].alias("n_words"),
+        _n_hit(hits).alias("n_hit"),
+        F.size(hits["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"),
+        (_n_hit(hits) > 0).alias("contaminated"),
+    )
 
 
 @F.arrow_udf(T.StringType())
@@ -337,10 +335,9 @@ def decontaminate(
     `most_share` of its words are hit, or if fewer than `least_words` words are
     left after a cut. Untouched documents keep their text byte for byte.
     """
-    columns = docs.columns
-    out = with_hits(docs, items, text=text, into="_hits", **kw)
-    n_hit = F.aggregate("_hits.spans", F.lit(0).cast("long"), lambda n, s: n + (s[1] - s[0]).cast("long"))
-    n = F.col("_hits.n_words")
+    into = fresh(docs, "_hits")
+    out = with_hits(docs, items, text=text, into=into, **kw)
+    hits = F.col(into)
+    n_hit, n = _n_hit(hits), hits["n_words"]
     gone = (n_hit > 0) & ((n_hit > most_share * n) | (n - n_hit < least_words))
-    return out.where(~gone).withColumn(text, _cut(F.col(text), F.col("_hits.spans"))).select(*columns)
-
+    return out.where(~gone).select(*(_cut(F.col(c), hits["spans"]).alias(c) if c == text else F.col(c) for c in docs.columns))

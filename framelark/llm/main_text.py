@@ -2,13 +2,13 @@
 
 For each host a wrapper is inferred from all of its pages (see `page_tree`): the
 pages' token streams are aligned one after the other, mismatches turning into
-optional groups, repeated groups or text slots. Each slot of the wrapper is
-then judged once, by where it stands, and a page's main text is the text in the
-slots of its host's wrapper that count as article text.
+optional groups, repeated groups or text slots. Each node of the wrapper is
+then judged once, by where it stands, whether its text varies, and how much of the host's text it
+holds; a page's main text is what stands in the nodes that its host's wrapper counts as article text.
 
 Scale: each task merges the pages of a host that it reads into one wrapper before
 anything is shuffled, so what is shuffled is bounded by hosts times tasks, not by
-pages. Wrappers of a host are merged in two rounds (spread over MERGE_SPREAD
+pages; a wrapper's own size is bounded (see `page_tree`). Wrappers of a host are merged in two rounds (spread over MERGE_SPREAD
 groups first), so a host with a third of all pages is no single group. Merging
 is associative enough for any order: labels that occur stay covered. The table of
 wrappers is broadcast only if its size is counted small, else joined by host with
@@ -16,15 +16,14 @@ splittable skew.
 
 Edge cases: null or empty html gives an empty text. A null or unparsable url
 belongs to the host ''. A page without text in an article or main element, whatever
-other pages of its host have, falls back to the block with most text. Copies of a page count as one
-when a text is judged as part of the template. Deep nesting is cut by DEPTH levels (text below moves up to
-the last level kept). Repeated rows are extracted each for itself. An empty table gives an
+other pages of its host have, falls back to the block with most text. Near copies of a page mostly count as one
+when a text is judged as part of the template. Wrappers end at DEPTH levels; text below counts
+by the last level that the wrapper has, in its place. Repeated rows are extracted each for itself. An empty table gives an
 empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 
 import pyarrow as pa
@@ -37,7 +36,6 @@ from framelark.llm.common import bounded_batches, stash
 
 MERGE_SPREAD = 32
 HELD_HOSTS = 2_000  # wrappers that a task holds before it emits them
-DEPTH = 200
 BROADCAST_CHARS = 16_000_000
 
 
@@ -45,24 +43,6 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def flat(node: list, depth: int = 0) -> list:
-    """The tree with levels below DEPTH folded into their ancestor, without what is out of the text."""
-    stack = [(node, 0)]
-    while stack:
-        x, d = stack.pop()
-        if d >= DEPTH and x[2]:
-            below, todo = [], list(x[2])
-            while todo:
-                y = todo.pop(0)
-                if P.out_of_text(y[0]):
-                    continue
-                below += [(0, t) for _, t in y[1]]
-                todo = y[2] + todo
-            x[1], x[2] = [(0, t) for _, t in x[1]] + below, []
-        stack += [(k, d + 1) for k in x[2]]
-    return node
-
-
 def _infer(batches):
     held: dict[str, list] = {}
 
@@ -75,8 +55,8 @@ def _infer(batches):
             if not page:
                 continue
             host = host.as_py()
-            digest = int.from_bytes(hashlib.blake2b(page.encode(errors="replace"), digest_size=6).digest(), "little")
-            w = P.wrapper_of(flat(P.parse(page)), digest)
+            tree = P.parse(page)
+            w = P.wrapper_of(tree, P.print_of(tree))
             held[host] = P.merge(held[host], w) if host in held else w
             if len(held) >= HELD_HOSTS:
                 yield emit()
@@ -105,18 +85,18 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 @F.arrow_udf(T.StringType())
 def apply_wrapper(pages: pa.Array, wrappers: pa.Array) -> pa.Array:
-    marks: dict[str, list] = {}
+    verdicts: dict[str, dict] = {}
     out = []
     for page, wrapper in zip(pages, wrappers, strict=True):
         page, wrapper = page.as_py(), wrapper.as_py()
         if not page or not wrapper:
             out.append("")
             continue
-        if wrapper not in marks:
-            if len(marks) > 500:
-                marks.clear()
-            marks[wrapper] = P.marks_of(json.loads(wrapper))
-        out.append("\n".join(P.extract(flat(P.parse(page)), marks[wrapper])))
+        if wrapper not in verdicts:
+            if len(verdicts) > 500:
+                verdicts.clear()
+            verdicts[wrapper] = P.judge(json.loads(wrapper))
+        out.append("\n".join(P.extract(P.parse(page), verdicts[wrapper])))
     return pa.array(out, pa.string())
 
 

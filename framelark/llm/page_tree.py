@@ -1,20 +1,35 @@
 """Parsing of a page into nested blocks, and the wrappers that are inferred from pages.
 
-A page becomes a tree of nodes [label, texts, kids]. Labels are the tag with its
-class, id and role words (digits folded). Inline tags are transparent unless
-their class says otherwise; scripts, styles and comments leave nothing. End tags
+A page becomes a tree of nodes [label, texts, kids]. Labels are the tag with its role
+and class words; words with digits are left out, and so are ids, which differ by page. Inline tags are transparent;
+scripts, styles and comments leave nothing. End tags
 that HTML lets authors leave out are supplied.
 
 A wrapper is a union-free regular expression over such trees: a node is
-[label, repeated, optional, text, mass, pages, kids], where text is None (no text),
-a string (the same text in every page so far) or True (a slot), and mass counts
-the characters met. `merge` aligns two wrappers: equal labels are matched in
+[label, repeated, optional, text, mass, linked, pages, kids], where text is None (no text),
+a string (the same text in every page so far) or True (a slot), mass counts
+the characters met, and linked those of them in links. `merge` aligns two wrappers: equal labels are matched in
 order, neighbouring equals become one repeated group, what only one side has
-becomes optional, and differing texts become a slot.
+becomes optional, and differing texts become a slot. A wrapper is bounded: a node has at most
+KIDS kids with class words of their own (those beyond it, with the fewest characters, lose their class words and so fall
+together), long sequences are grouped by label, and levels below DEPTH are summed up.
+
+What is main text is decided by HTML's own elements and roles, and by the host's wrapper:
+
+* The region is the article elements, else the main element or role, else the block that is reached
+  from the root by following the child that holds most of the host's varying, unlinked text.
+* A text that is the same in TEMPLATE_PAGES different pages is template, if most of
+  the region's text on the host varies.
+* A repeated group of which nearly all text is links is a menu, if it is the smaller part of the region.
+* A block whose class or id is the very name of a kind that is no main text (KINDS) goes only if the
+  wrapper says the same: it is the smaller part of the host's region, or a repeated
+  group of records. Words inside longer names say nothing.
+* A page of which nothing would be left keeps all of its region.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -23,7 +38,6 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _DIGITS = re.compile(r"\d+")
-_SPLIT = re.compile(r"[^a-z]+")
 
 _WORDS = str.split
 VOID = frozenset(_WORDS("area base br col embed hr img input link meta param source track wbr"))
@@ -44,59 +58,62 @@ CLOSES = {
     "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-#: blocks that are not part of the main text, by tag, role or words of class and id
-OUT_TAGS = frozenset(_WORDS("nav header footer aside form button menu dialog head fieldset"))
+#: elements and roles that HTML itself defines as something else than main text
+OUT_TAGS = frozenset(_WORDS("nav footer aside form button menu dialog head fieldset"))
 OUT_ROLES = frozenset(_WORDS("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar"))
-OUT_WORDS = frozenset(
-    _WORDS(
-        "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar rail "
-        "menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer colophon comment comments commentlist disqus "
-        "respond reply replies discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-        "signup signin login register share sharing social related recommended recommendations widget toolbar pagination pager skip "
-        "copyright legal hidden"
-    )
-)
+HEADINGS = frozenset(_WORDS("h1 h2 h3 h4 h5 h6"))
+#: names of kinds of blocks that are no main text, as a whole class word or id
+KINDS = frozenset(_WORDS("menu header footer sidebar notice ad ads advert adverts comment comments"))
+
+
+def tag_of(label: str) -> str:
+    return label.partition("|")[0]
 
 
 def out_of_text(label: str) -> bool:
-    """Whether a label names a block that is not main text."""
+    """Whether a label is an element or role that HTML defines as something else than main text."""
     tag, _, rest = label.partition("|")
-    if tag in OUT_TAGS:
-        return True
-    if not rest:
-        return False
     role, _, names = rest.partition("|")
-    if role in OUT_ROLES:
-        return True
-    return tag not in ("html", "body", "article", "main") and any(w in OUT_WORDS for w in _SPLIT.split(names))
+    return tag in OUT_TAGS or role in OUT_ROLES or names.startswith("!")
+
+
+def is_kind(label: str) -> bool:
+    return not KINDS.isdisjoint(label.partition("|")[2].partition("|")[2].split())
 
 
 def _label(tag: str, attributes: str) -> str:
     if "=" not in attributes and "hidden" not in attributes:
         return tag
-    role, names = "", []
+    role, names, hidden = "", set(), False
     for name, a, b, c in _ATTR.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
         if name == "role":
             role = value
         elif name == "hidden" or (name == "aria-hidden" and value == "true" and tag != "a"):
-            names.append("hidden")
-        elif name in ("class", "id"):
-            names.append(_DIGITS.sub("0", value))
-    return f"{tag}|{role}|{' '.join(names)}" if role or names else tag
+            hidden = True
+        elif name == "class":
+            names.update(x for x in value.split() if not _DIGITS.search(x) and "|" not in x)
+        elif name == "id" and value in KINDS:
+            names.add(value)
+    if hidden:
+        return f"{tag}|{role}|!hidden"
+    return f"{tag}|{role}|{' '.join(sorted(names))}" if role or names else tag
 
 
 def parse(page: str) -> list:
-    """The tree of a page: [label, texts, kids], texts being (position among the kids, text)."""
+    """The tree of a page: [label, texts, kids], texts being (position among the kids, text, its characters in links)."""
     root = ["#", [], []]
     stack = [(root, "#")]
     at, end = 0, len(page)
     match = _TOKEN.match
     pending: list[str] = []
+    linked = 0
 
     def flush():
+        nonlocal linked
         if pending:
             text = " ".join(html.unescape("".join(pending)).split())
+            in_links, linked = min(linked, len(text)), 0
             pending.clear()
             if text:
                 node = stack[-1][0]
@@ -104,7 +121,7 @@ def parse(page: str) -> list:
                 while k and stack[k][1] in INLINE and "|" not in stack[k][0][0]:
                     k -= 1
                 node = stack[k][0]
-                node[1].append((len(node[2]), text))
+                node[1].append((len(node[2]), text, in_links))
 
     def pop_to(k: int):
         flush()
@@ -118,6 +135,8 @@ def parse(page: str) -> list:
             token = m[0]
             if token[0] != "<" or token == "<":
                 pending.append(token)
+                if any(x[1] == "a" for x in stack):
+                    linked += len(token.strip())
             continue
         tag = tag.lower()
         if m[1]:
@@ -154,7 +173,7 @@ def parse(page: str) -> list:
                 at = close.end() if close else end
             continue
         if tag in INLINE:
-            if label == tag or not out_of_text(label):
+            if not out_of_text(label):
                 stack.append(([tag, [], []], tag))  # transparent: not hung into the tree
             else:
                 flush()
@@ -195,14 +214,36 @@ def parse(page: str) -> list:
 
 
 TEMPLATE_PAGES = 3  # different pages from which an equal text counts as part of the template
+KIDS = 64
+DEPTH = 60
+CELLS = 250_000  # label comparisons of one alignment; longer sequences are grouped by label
+LABEL, REPEATED, OPTIONAL, TEXT, MASS, LINKED, PAGES, WITHIN = range(8)
+
+
+def walk(node: list):
+    """All nodes of a page, in page order."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += reversed(x[2])
+
 
+def print_of(node: list) -> int:
+    """A number by which pages are told apart: the least hash of the five longest texts, so that near copies mostly have the same."""
+    texts = sorted({t for x in walk(node) for _, t, _ in x[1]}, key=lambda t: (-len(t), t))[:5]
+    return min((int.from_bytes(hashlib.blake2b(t.encode(errors="replace"), digest_size=6).digest(), "little") for t in texts), default=0)
 
-def wrapper_of(node: list, page: int = 0) -> list:
-    """The wrapper that matches this tree alone, with repeats folded; `page` is a digest of the page."""
-    texts = node[1]
-    mass = sum(len(t) for _, t in texts)
-    text = None if not texts else texts[0][1] if len(texts) == 1 and len(texts[0][1]) <= 200 else True
-    return [node[0], False, False, text, mass, [page], fold([wrapper_of(k, page) for k in node[2]])]
+
+def wrapper_of(node: list, page: int = 0, depth: int = 0) -> list:
+    """The wrapper that matches this tree alone, with repeats folded; `page` is the page's number."""
+    if depth == DEPTH:
+        texts = [t for x in walk(node) if not out_of_text(x[0]) for t in x[1]]
+        kids = []
+    else:
+        texts, kids = node[1], fold([wrapper_of(k, page, depth + 1) for k in node[2]])
+    text = None if not texts else texts[0][1] if len(texts) == 1 and len(texts[0][1]) <= 200 and depth < DEPTH else True
+    return [node[0], False, False, text, sum(len(t) for _, t, _ in texts), sum(n for _, _, n in texts), [page], bounded(kids)]
 
 
 def fold(kids: list[list]) -> list[list]:
@@ -210,8 +251,8 @@ def fold(kids: list[list]) -> list[list]:
     out: list[list] = []
     for k in kids:
         if out and out[-1][0] == k[0]:
-            out[-1] = merge(out[-1], k, same_page=True)
-            out[-1][1] = True
+            out[-1] = merge(out[-1], k)
+            out[-1][REPEATED] = True
         else:
             out.append(k)
     for width in (2, 3):
@@ -219,29 +260,55 @@ def fold(kids: list[list]) -> list[list]:
         while i + 2 * width <= len(out):
             if all(out[i + j][0] == out[i + width + j][0] for j in range(width)):
                 for j in range(width):
-                    out[i + j] = merge(out[i + j], out[i + width + j], same_page=True)
-                    out[i + j][1] = True
+                    out[i + j] = merge(out[i + j], out[i + width + j])
+                    out[i + j][REPEATED] = True
                 del out[i + width : i + 2 * width]
             else:
                 i += 1
     return out
 
 
-def merge(a: list, b: list, same_page: bool = False) -> list:
+def grouped(kids: list[list]) -> list[list]:
+    """One repeated, optional node for each label, in order of first occurrence."""
+    out: dict[str, list] = {}
+    for k in kids:
+        old = out.get(k[0])
+        if old is None:
+            out[k[0]] = k
+        else:
+            out[k[0]] = merge(old, k)
+            out[k[0]][REPEATED] = out[k[0]][OPTIONAL] = True
+    return list(out.values())
+
+
+def bounded(kids: list[list]) -> list[list]:
+    """At most KIDS kids keep class words of their own."""
+    if len(kids) <= KIDS:
+        return kids
+    kids = grouped(kids)
+    named = sorted((k for k in kids if "|" in k[0]), key=lambda k: (-mass(k), k[0]))
+    for k in named[KIDS:]:
+        k[0] = tag_of(k[0])
+    return grouped(kids) if len(named) > KIDS else kids
+
+
+def merge(a: list, b: list) -> list:
     """The least wrapper that covers both."""
-    if a[3] is None or b[3] is None:
-        text = a[3] if b[3] is None else b[3]
+    if a[TEXT] is None or b[TEXT] is None:
+        text = a[TEXT] if b[TEXT] is None else b[TEXT]
     else:
-        text = a[3] if a[3] == b[3] else True
-    pages = a[5] if a[5] == b[5] else sorted({*a[5], *b[5]})[:TEMPLATE_PAGES]
-    return [a[0], a[1] or b[1], a[2] or b[2], text, a[4] + b[4], pages, align(a[6], b[6], same_page)]
+        text = a[TEXT] if a[TEXT] == b[TEXT] else True
+    pages = a[PAGES] if a[PAGES] == b[PAGES] else sorted({*a[PAGES], *b[PAGES]})[:TEMPLATE_PAGES]
+    return [a[0], a[1] or b[1], a[2] or b[2], text, a[MASS] + b[MASS], a[LINKED] + b[LINKED], pages, align(a[WITHIN], b[WITHIN])]
 
 
-def align(xs: list[list], ys: list[list], same_page: bool = False) -> list[list]:
+def align(xs: list[list], ys: list[list]) -> list[list]:
     """Align two sequences by their labels; what stands on one side only becomes optional."""
     if [x[0] for x in xs] == [y[0] for y in ys]:
-        return [merge(x, y, same_page) for x, y in zip(xs, ys, strict=True)]
+        return [merge(x, y) for x, y in zip(xs, ys, strict=True)]
     n, m = len(xs), len(ys)
+    if n * m > CELLS:
+        return bounded(grouped([*xs, *ys]))
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -249,98 +316,153 @@ def align(xs: list[list], ys: list[list], same_page: bool = False) -> list[list]
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and xs[i][0] == ys[j][0]:
-            out.append(merge(xs[i], ys[j], same_page))
+            out.append(merge(xs[i], ys[j]))
             i, j = i + 1, j + 1
         else:
             if j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
                 node, i = xs[i], i + 1
             else:
                 node, j = ys[j], j + 1
-            node[2] = True
+            node[OPTIONAL] = True
             out.append(node)
-    return fold(out)
+    return bounded(fold(out))
 
 
 def as_expression(w: list) -> str:
     """The wrapper as a regular expression over tags, for people to read."""
-    tag = w[0].split("|")[0]
-    text = "" if w[3] is None else "#TEXT" if w[3] is True else w[3]
-    body = f"<{tag}>{text}{''.join(map(as_expression, w[6]))}</{tag}>"
-    if w[1] or w[2]:
-        body = f"({body}){'*' if w[1] and w[2] else '+' if w[1] else '?'}"
+    tag = tag_of(w[0])
+    text = "" if w[TEXT] is None else "#TEXT" if w[TEXT] is True else w[TEXT]
+    body = f"<{tag}>{text}{''.join(map(as_expression, w[WITHIN]))}</{tag}>"
+    if w[REPEATED] or w[OPTIONAL]:
+        body = f"({body}){'*' if w[REPEATED] and w[OPTIONAL] else '+' if w[REPEATED] else '?'}"
     return body
 
 
-def _mass(w: list) -> int:
-    return 0 if out_of_text(w[0]) else w[4] + sum(map(_mass, w[6]))
+# ---- what is main text --------------------------------------------------------
 
 
-def _find(w: list, tag: str) -> bool:
-    if out_of_text(w[0]):
-        return False
-    return (w[0].split("|")[0] == tag and _mass(w) > 0) or any(_find(k, tag) for k in w[6])
+def _sum(w: list, of) -> int:
+    return 0 if out_of_text(w[0]) else of(w) + sum(_sum(k, of) for k in w[WITHIN])
 
 
-def marks_of(w: list) -> list[list]:
-    """Which slots are main text, as [label, inside, own text counts, kids], for each kind of region in order.
+def _fixed(w: list) -> bool:
+    return isinstance(w[TEXT], str) and len(w[PAGES]) >= TEMPLATE_PAGES
 
-    The regions are the article elements, the main element or role, and
-    the block that is reached from the root by following the child that holds most
-    of the text; a page takes the first that gives it text. In the block a text
-    that is the same in TEMPLATE_PAGES different pages or more is part of the
-    template, and left out.
-    """
-    found = [tag for tag in ("article", "main") if _find(w, tag)]
-    return [*(_mark(w, lambda x, tag=tag: x[0].split("|")[0] == tag, False, False) for tag in found), _block(w)]
 
+def mass(w: list) -> int:
+    return _sum(w, lambda x: x[MASS])
 
-def _block(w: list) -> list:
-    target = w
-    while True:
-        total = _mass(target)
-        kids = [k for k in target[6] if not k[1] and _mass(k) >= 0.6 * total > 0]
-        if not kids or kids[0][0].split("|")[0] not in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center"):
-            break
-        target = kids[0]
-    return _mark(w, lambda x: x is target, False, True)
 
+def is_region(label: str, tag: str) -> bool:
+    return tag_of(label) == tag or label.split("|")[1:2] == [tag]
 
-def _mark(w: list, region, inside: bool, drop_constant: bool) -> list:
+
+def _regions(w: list, tag: str) -> list[list]:
     if out_of_text(w[0]):
-        return [w[0], False, False, []]
-    inside = inside or region(w)
-    own = inside and not (drop_constant and isinstance(w[3], str) and len(w[5]) >= TEMPLATE_PAGES)
-    return [w[0], inside, own, [_mark(k, region, inside, drop_constant) for k in w[6]]]
+        return []
+    return [w] if is_region(w[0], tag) else [x for k in w[WITHIN] for x in _regions(k, tag)]
 
 
-def extract(node: list, regions: list[list]) -> list[str]:
-    """The main text blocks of a page, by its host's marked wrapper, in page order.
+def _block(w: list) -> list[list]:
+    """The nodes from the root to the block that holds most of the varying, unlinked text."""
 
-    A page that has none of the host's regions is judged by its own block.
-    """
-    out: list[str] = []
-    for marks in regions:
-        _extract(node, marks, out)
+    def varying(x: list) -> int:
+        return 0 if tag_of(x[0]) == "header" else _sum(x, lambda y: 0 if _fixed(y) else y[MASS] - y[LINKED])
+
+    path = [w]
+    while True:
+        total = varying(path[-1])
+        kids = [k for k in path[-1][WITHIN] if not k[REPEATED] and varying(k) > 0.5 * total]
+        if not kids or tag_of(kids[0][0]) not in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center"):
+            return path
+        path.append(kids[0])
+
+
+def judge(w: list) -> dict:
+    """The host's verdicts: for each kind of region the wrapper nodes that go (`drop`) and those whose own text is template (`fixed`), by id()."""
+    path = _block(w)
+    found = {}
+    for kind, roots in (("article", _regions(w, "article")), ("main", _regions(w, "main")), ("block", [path[-1]])):
+        drop, fixed = set(), set()
+        total = sum(map(mass, roots))
+        settled = sum(_sum(r, lambda x: x[MASS] if _fixed(x) else 0) for r in roots)
+        stack = list(roots)
+        while stack:
+            x = stack.pop()
+            if out_of_text(x[0]):
+                continue
+            own, linked = mass(x), _sum(x, lambda y: y[LINKED])
+            records = any(k[REPEATED] for k in x[WITHIN])
+            small = own < 0.5 * total
+            if x not in roots and ((is_kind(x[0]) and (small or (records or x[REPEATED]) and own < total)) or (records and small and linked >= 0.8 * own > 0)):
+                drop.add(id(x))
+                continue
+            if settled < 0.5 * total and _fixed(x):
+                fixed.add(id(x))
+            stack += x[WITHIN]
+        found[kind] = (drop, fixed)
+    return {"wrapper": w, "path": {id(x) for x in path}, "end": id(path[-1]), "kinds": found}
+
+
+def extract(page: list, verdicts: dict) -> list[str]:
+    """The main text blocks of a page in page order, by its host's wrapper and verdicts; see the module's text."""
+    for careful in (True, False):
+        for kind in ("article", "main"):
+            out = _collect(page, verdicts, kind, careful)
+            if out:
+                return out
+        out = _collect(page, verdicts, "block", careful)
         if out:
             return out
-    _extract(node, _block(wrapper_of(node)), out)
+    alone = judge(wrapper_of(page))  # the page has nothing where its host's pages have their text
+    return _collect(page, alone, "block", False)
+
+
+def _collect(page: list, verdicts: dict, kind: str, careful: bool) -> list[str]:
+    drop, fixed = verdicts["kinds"][kind]
+    out: list[str] = []
+    # (node, its place in the wrapper, inside the region) or a text to give out
+    stack: list = [(page, verdicts["wrapper"], False)]
+    while stack:
+        top = stack.pop()
+        if isinstance(top, str):
+            out.append(top)
+            continue
+        node, w, inside = top
+        if out_of_text(node[0]):
+            continue
+        if tag_of(node[0]) == "header" and not (inside and any(tag_of(x[0]) in HEADINGS for x in walk(node))):
+            continue
+        if kind == "block":
+            if not inside and (w is None or id(w) not in verdicts["path"]):
+                continue
+            inside = inside or id(w) == verdicts["end"]
+        else:
+            inside = inside or is_region(node[0], kind)
+        if careful and inside and (is_kind(node[0]) if w is None else id(w) in drop):  # below the wrapper the name decides
+            continue
+        own = inside and not (careful and w is not None and id(w) in fixed)
+        within = w[WITHIN] if w is not None else []
+        todo, t, at = [], 0, 0
+        texts = node[1]
+        for k, kid in enumerate(node[2]):
+            while t < len(texts) and texts[t][0] <= k:
+                if own:
+                    todo.append(texts[t][1])
+                t += 1
+            place, at = _place(kid[0], within, at)
+            todo.append((kid, place, inside))
+        if own:
+            todo += [x for _, x, _ in texts[t:]]
+        stack += reversed(todo)
     return out
 
 
-def _extract(node: list, marks: list, out: list[str]) -> None:
-    own, kids = marks[2], marks[3]
-    texts, t = node[1], 0
-    at = 0
-    for k, kid in enumerate(node[2]):
-        while t < len(texts) and texts[t][0] <= k:
-            if own:
-                out.append(texts[t][1])
-            t += 1
-        for step in range(len(kids)):
-            j = (at + step) % len(kids)
-            if kids[j][0] == kid[0]:
-                at = j
-                _extract(kid, kids[j], out)
-                break
-    if own:
-        out += [x for _, x in texts[t:]]
+def _place(label: str, within: list[list], at: int) -> tuple[list | None, int]:
+    """The kid of the wrapper that stands for a page's kid, searched from the last one on; failing that, one of the same tag without class words."""
+    for wanted in dict.fromkeys((label, tag_of(label))):
+        for step in range(len(within)):
+            j = (at + step) % len(within)
+            if within[j][0] == wanted:
+                return within[j], j
+    return None, at

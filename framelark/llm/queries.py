@@ -39,24 +39,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op8_mixed_documents")
-def op8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture itself: whole documents, texts included, through the global shuffle."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
-
-
 @query("op8_mixing", mixing.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The draws and places of the copies in op8_mixed_documents, in the columns of the SQL form."""
-    docs = table(spark, sf_dir, "documents")
-    mixed = mixing.replicate(docs.select("doc_id", "source", "lang", "n_chars"), mixing.source_rates(docs))
-    return mixed.withColumn("rate", F.round("rate", 6))
+    """The mixture: whole documents, texts included, replicated and shuffled globally."""
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
 
 
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = site_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "source", "lang", "n_words", "llr", "site_rate", "path_rate", "p_good", "kept")
+    return site_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query("op6_warc", warc.ORACLE)

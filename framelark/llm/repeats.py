@@ -30,7 +30,8 @@ Edge cases: null and wordless texts have 0 words and keep nothing (the digest of
 empty string). Documents of fewer than WINDOW words are never touched. A null
 id counts as larger than every other. Rows that share an id are compared by
 start only: an equal start in a row of the same id is not earlier. An empty table gives
-an empty result. Other columns pass through `without_repeats`.
+an empty result. Other columns pass through `without_repeats` under their own names, whatever they
+are: helper columns take names that are free.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelark.llm.common import bounded_batches, stash
+from framelark.llm.common import bounded_batches, fresh, stash
 from framelark.llm.textscan import NON_SPACE, Words, slices, windows
 
 WINDOW = 20
@@ -374,11 +375,10 @@ def dealt(texts: DataFrame, window: int) -> DataFrame:
     return phrases.unionByName(runs)
 
 
-def with_cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """`docs` with a column `_cuts`: ranges [from, to) of starts of removed windows (null: none)."""
+def with_cuts(docs: DataFrame, into: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """`docs` with a column `into` (a name that is free): ranges [from, to) of starts of removed windows (null: none)."""
     bounded_batches(docs.sparkSession)
     rid = F.xxhash64(F.col(key), F.coalesce(text, F.lit("")))
-    ident = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
     listed = stash(docs.select(rid.alias("rid"), F.explode(anchors(window)(F.col(text))).alias("a")).select("rid", "a.h", "a.n"))
     counted = listed.groupBy("h").agg(F.sum("n").alias("n"))
     recurring = stash(counted.where("n > 1").select("h", (F.col("n") > hot).alias("hot")))
@@ -388,12 +388,14 @@ def with_cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
         .groupBy("rid")
         .agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     )  # a document's own anchors
-    keyed = docs.withColumn("_key", rid)  # both joins read it with the same columns, so texts are shuffled once
-    found = keyed.join(wanted, F.col("_key") == F.col("rid"))
-    runs = dealt(found.select("rid", ident.alias("id"), F.col(text).alias("text"), "cold", "hot"), window)
+    # both joins read the same columns, so texts are shuffled once; the caller's travel as one struct, so no name of theirs meets one used here
+    keyed = docs.select(rid.alias("key"), F.struct(*(F.col(c) for c in docs.columns)).alias("own"))
+    found = keyed.join(wanted, F.col("key") == F.col("rid"))
+    ident = F.coalesce(F.col("own")[key].cast("long"), F.lit(LAST_ID))
+    runs = dealt(found.select("rid", ident.alias("id"), F.col("own")[text].alias("text"), "cold", "hot"), window)
     cuts = runs.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(locate(window), CUTS)
-    cuts = cuts.groupBy(F.col("rid").alias("_rid")).agg(F.flatten(F.collect_list("cuts")).alias("_cuts"))
-    return keyed.join(cuts, F.col("_key") == F.col("_rid"), "left").drop("_key", "_rid")
+    cuts = cuts.groupBy("rid").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    return keyed.join(cuts, F.col("key") == F.col("rid"), "left").select("own.*", F.col("cuts").alias(into))
 
 
 def _gone(n: int, cuts: list | None, window: int) -> np.ndarray:
@@ -434,8 +436,8 @@ def digest(window: int):
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **kw) -> DataFrame:
     """Per document: its words, the removed words, and a digest of the kept ones joined by spaces."""
-    cut = with_cuts(docs.select(key, text), key, text, window, **kw)
-    return cut.select(F.col(key), digest(window)(F.col(text), F.col("_cuts")).alias("s")).select(key, "s.*")
+    cut = with_cuts(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "cuts", "doc", "text", window, **kw)
+    return cut.select(F.col("doc").alias(key), digest(window)(F.col("text"), F.col("cuts")).alias("s")).select(key, "s.*")
 
 
 def _cut_text(window: int):
@@ -462,6 +464,7 @@ def _cut_text(window: int):
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **kw) -> DataFrame:
     """`docs` with repeated passages cut out of the texts; a document of which no word is left goes."""
-    cut = with_cuts(docs, key, text, window, **kw)
-    new = cut.withColumn(text, _cut_text(window)(F.col(text), F.col("_cuts")))
-    return new.where(F.col("_cuts").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    into = fresh(docs, "_cuts")
+    cut = with_cuts(docs, into, key, text, window, **kw)
+    new = cut.select(*(_cut_text(window)(F.col(c), F.col(into)).alias(c) if c == text else F.col(c) for c in docs.columns), into)
+    return new.where(F.col(into).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).drop(into)

@@ -2,9 +2,12 @@
 
 A document's evidence has two parts. Its statistics put it into a bucket of a
 learned decision list (`quality_rules.learn`), and the share of low quality in the
-bucket is its chance of low quality. The words in it that are significantly more
-frequent in toxic labelled documents give, by naive Bayes over their presence, its
-chance of being toxic. A good document is neither; the evidence is the log odds of
+bucket is its chance of low quality. Its words give, by naive Bayes over their presence,
+its chance of being toxic: every word of the labelled sample has a log ratio of its
+shares among toxic and other documents, shrunk by its counts. The shrinkage is
+empirical Bayes with a spike and a slab: most words say nothing (SLAB is the share of those that do), so
+a word met once or twice weighs next to nothing and one met often keeps its ratio.
+A good document is neither; the evidence is the log odds of
 that, less the log odds of a good document at large.
 
 A site (`source`) and a path in it (`source`, `lang`) have rates of good
@@ -14,15 +17,18 @@ global one, so a site with few documents says little and a large one speaks for
 itself. The path's posterior replaces the global prior in the odds of each of
 its documents.
 
-Scale: fitting sees at most SAMPLE labelled documents (chosen by hash of id) and
-keeps at most MAX_WORDS words; site and path sums cover all documents and are
+Scale: fitting sees at most SAMPLE labelled documents (chosen by hash of id), which
+bounds the table of words too. Texts are read once: the evidence of each document is
+written beside the columns that the caller carries on, and sums of sites and paths read three columns of that.
+Site and path sums cover all documents and are
 grouped with map-side partial sums, so one site holding most rows is no burden.
 The path table is broadcast only if it is counted small.
 
 Edge cases: a text without words (null, empty) is rejected. Null source or lang
 is a value of its own. Without labels of both classes everything with words is
 kept. Labels that are null or of unknown documents are ignored. Repeated
-documents are judged each for itself. Other columns pass through.
+documents are judged each for itself. An empty table gives an empty result. Other columns pass
+through under their own names, whatever they are: helper columns take names that are free.
 """
 
 from __future__ import annotations
@@ -36,16 +42,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelark.llm.common import bounded_batches, small, stash
+from framelark.llm.common import bounded_batches, fresh, small, stash
 from framelark.llm.quality_rules import FEATURES, Test, cover_of, labelled_sample, learn
-from framelark.llm.textscan import ALNUM, LOWER, Words, slices
+from framelark.llm.textscan import ALNUM, LOWER, Words, lookup, slices
 from framelark.llm.textstats import FIELDS, stats_of, text_stats
 
 SAMPLE = 20_000
-MAX_WORDS = 200
-LEAST_Z = 5.0  # significance that a word must reach
-LEAST_SHARE = 0.02  # share of the toxic documents that a word must be in: rare words of a few copies say nothing
-LEAST_WEIGHT = 3.5  # log ratio of the shares among toxic and other documents
+SLAB, SPREAD = 0.01, 3.0  # share of words that speak for or against toxicity, and the spread of their log ratios
 
 
 @dataclass
@@ -55,8 +58,7 @@ class Evidence:
     rules: list[list[Test]]
     low: np.ndarray  # chance of low quality by first rule that fires; last: none does
     words: np.ndarray  # sorted hashes
-    weights: np.ndarray  # log-likelihood ratio of toxic for the presence of each
-    toxic: float  # log odds of a toxic document that has none of the words
+    weights: np.ndarray  # shrunk log ratio of toxic over other documents for the presence of each
     toxic_prior: float  # log odds of a toxic document
     prior: float  # share of good documents among the labelled
 
@@ -64,16 +66,15 @@ class Evidence:
         """Words and log-likelihood ratio (good over bad) of each text."""
         stats = dict(zip(FIELDS, stats_of(buf, offs), strict=True))
         low = self.low[first_rule(self.rules, ratios(stats))]
-        toxic = np.full(len(low), self.toxic)
+        toxic = np.full(len(low), self.toxic_prior)
         if len(self.words):
             w = Words(LOWER[buf], offs, ALNUM)
             h = w.hashes()
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            hit = np.flatnonzero(self.words[at] == h)
-            pairs = np.unique(np.stack([w.doc[hit], at[hit]], 1), axis=0)
-            toxic[np.unique(pairs[:, 0])] = self.toxic_prior
-            np.add.at(toxic, pairs[:, 0], self.weights[pairs[:, 1]])
-        good = np.clip((1 - low) / (1 + np.exp(np.minimum(toxic, 500))), 1e-12, 1 - 1e-12)
+            at = lookup(self.words, h)
+            hit = np.flatnonzero(at >= 0)
+            pairs = np.unique(w.doc[hit] * len(self.words) + at[hit])
+            toxic += np.bincount(pairs // len(self.words), self.weights[pairs % len(self.words)], len(low))
+        good = np.clip((1 - low) / (1 + np.exp(np.clip(toxic, -500, 500))), 1e-12, 1 - 1e-12)
         return stats["n_words"], np.log(good / (1 - good)) - math.log(self.prior / (1 - self.prior))
 
 
@@ -117,33 +118,31 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rules = learn(x, low, got["_part"].to_numpy())
     bucket = first_rule(rules, x)
     n, k = np.bincount(bucket, minlength=len(rules) + 1), np.bincount(bucket, low, len(rules) + 1)
-    words, weights = toxic_words(rows, text, int(toxic.sum()), int((~toxic).sum()))
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    prior = math.log((n_toxic + 0.5) / (n_clean + 0.5))
-    absent = 0.0
-    if len(words):
-        listed = F.array(*(F.lit(int(v)) for v in words.view(np.int64)))
-        flagged = rows.select("_toxic", F.arrays_overlap(distinct_words(F.col(text)), listed).alias("has"))
-        none = flagged.agg(F.count_if(~F.col("has") & (F.col("_toxic") == 1)).alias("t"), F.count_if(~F.col("has") & (F.col("_toxic") == 0)).alias("c")).first()
-        absent = math.log((none.t + 0.5) / (n_toxic + 1)) - math.log((none.c + 0.5) / (n_clean + 1))
-    return Evidence(rules, (k + 0.5 * low.mean()) / (n + 0.5), words, weights, prior + absent, prior, good)
+    words, weights = toxic_words(rows, text, n_toxic, n_clean)
+    return Evidence(rules, (k + 0.5 * low.mean()) / (n + 0.5), words, weights, math.log((n_toxic + 0.5) / (n_clean + 0.5)), good)
+
+
+def shrunk(t: np.ndarray, c: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log ratio of the shares t / n_toxic and c / n_clean of a word, shrunk by how little its counts say."""
+    total = n_toxic + n_clean
+    a, b = t + n_toxic / total, c + n_clean / total
+    ratio, noise = np.log(a / n_toxic) - np.log(b / n_clean), 1 / a + 1 / b
+    wide = noise + SPREAD**2
+    odds = SLAB / (1 - SLAB) * np.sqrt(noise / wide) * np.exp(np.minimum(ratio**2 / 2 * (1 / noise - 1 / wide), 500))
+    return ratio * odds / (1 + odds) * SPREAD**2 / wide
 
 
 def toxic_words(rows: DataFrame, text: str, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words whose presence speaks for a toxic document, and by how much; the most significant MAX_WORDS."""
+    """All words of the labelled sample, sorted by hash, and their weights."""
     if not n_toxic or not n_clean:
         return np.zeros(0, np.uint64), np.zeros(0)
-    per_word = (
-        rows.select("_toxic", F.explode(distinct_words(F.col(text))).alias("w")).groupBy("w").agg(F.sum("_toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= F.lit(max(3.0, LEAST_SHARE * n_toxic)))
-    )
-    t, c = F.col("t"), F.col("n") - F.col("t")
-    pooled = F.col("n") / F.lit(n_toxic + n_clean)
-    z = (t / n_toxic - c / n_clean) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * F.lit(1 / n_toxic + 1 / n_clean))
-    weight = F.log((t + 0.5) / F.lit(n_toxic + 1.0)) - F.log((c + 0.5) / F.lit(n_clean + 1.0))
-    top = per_word.select("w", z.alias("z"), weight.alias("weight")).where((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.col("z").desc(), "w").limit(MAX_WORDS).toPandas()
-    words = top["w"].to_numpy(np.int64).view(np.uint64)
+    counted = rows.select("_toxic", F.explode(distinct_words(F.col(text))).alias("w")).groupBy("w").agg(F.sum("_toxic").alias("t"), F.count("*").alias("n"))
+    got = counted.toPandas()  # the words of at most `sample` documents
+    words = got["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
-    return words[order], top["weight"].to_numpy(float)[order]
+    t, n = got["t"].to_numpy(float)[order], got["n"].to_numpy(float)[order]
+    return words[order], shrunk(t, n - t, n_toxic, n_clean).astype(np.float32)
 
 
 SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("llr", T.DoubleType())])
@@ -192,21 +191,39 @@ def site_posteriors(scored: DataFrame, prior: float) -> DataFrame:
     return paths.join(small(sites), F.col("site").eqNullSafe(F.col("_site"))).select("site", "path", rate.alias("rate"), "site_rate")
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", path: str = "lang", model: Evidence | None = None) -> DataFrame:
-    """`docs` with columns n_words, llr, site_rate, path_rate, p_good and kept."""
+def judged(
+    docs: DataFrame,
+    labels: DataFrame,
+    into: str,
+    key: str = "doc_id",
+    text: str = "text",
+    site: str = "source",
+    path: str = "lang",
+    model: Evidence | None = None,
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """The columns `carry` of `docs` (default: all) and a struct `into` with n_words, llr, site_rate, path_rate, p_good and kept."""
     bounded_batches(docs.sparkSession)
     model = fit(docs, labels, key, text) if model is None else model
     prior = min(max(model.prior, 1e-3), 1 - 1e-3) if model else 0.5
-    added = ("n_words", "llr", "site_rate", "path_rate", "p_good", "kept")
-    own = [c for c in docs.columns if c not in added]
-    scored = docs.select(*own, evidence_of(F.col(text), model).alias("_e"))
-    rates = site_posteriors(scored.select(F.col(site).alias("site"), F.col(path).alias("path"), F.col("_e.llr").alias("llr")), prior)
-    rates = small(rates.select(F.col("site").alias("_s"), F.col("path").alias("_p"), "site_rate", F.col("rate").alias("path_rate")))
-    odds = F.col("_e.llr") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
-    return (
-        scored.join(rates, F.col(site).eqNullSafe(F.col("_s")) & F.col(path).eqNullSafe(F.col("_p")))
-        .select(*own, F.col("_e.n_words").alias("n_words"), F.col("_e.llr").alias("llr"), "site_rate", "path_rate", (1 / (1 + F.exp(-odds))).alias("p_good"))
-        .withColumn("kept", (F.col("n_words") > 0) & (F.col("p_good") >= 0.5))
-    )
-
-
+    carry = docs.columns if carry is None else carry
+    own = F.struct(*(F.col(c) for c in carry)).alias("own")  # a caller's column can have any name
+    scored = stash(docs.select(F.col(site).alias("site"), F.col(path).alias("path"), evidence_of(F.col(text), model).alias("e"), own))
+    rates = site_posteriors(scored.select("site", "path", F.col("e.llr").alias("llr")), prior)
+    rates = small(rates.select(F.col("site").alias("s"), F.col("path").alias("p"), "site_rate", "rate"))
+    p_good = 1 / (1 + F.exp(-(F.col("e.llr") + F.log(F.col("rate") / (1 - F.col("rate"))))))
+    found = scored.join(rates, F.col("site").eqNullSafe(F.col("s")) & F.col("path").eqNullSafe(F.col("p")))
+    kept = (F.col("e.n_words") > 0) & (p_good >= 0.5)
+    verdict = F.struct(F.col("e.n_words").alias("n_words"), F.col("e.llr").alias("llr"), "site_rate", F.col("rate").alias("path_rate"), p_good.alias("p_good"), kept.alias("kept"))
+    return found.select("own.*", verdict.alias(into))
+
+
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", site: str = "source", path: str = "lang", **kw) -> DataFrame:
+    """Per document: its id, site and path, with n_words, llr, site_rate, path_rate, p_good and kept."""
+    return judged(docs, labels, "_verdict", key=key, site=site, path=path, carry=[key, site, path], **kw).select(key, site, path, "_verdict.*")
+
+
+def without_bad(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
+    """`docs` without the rejected documents."""
+    into = fresh(docs, "_verdict")
+    return judged(docs, labels, into, **kw).where(F.col(into)["kept"]).select(*docs.columns)

@@ -371,11 +371,103 @@ def test_mixture_query_returns_whole_documents(spark, docs, rows, tmp_path):
     from framelark.llm import queries
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    mixed = queries.QUERIES["op8_mixed_documents"](spark, str(tmp_path)).collect()
+    mixed = queries.QUERIES["op8_mixing"](spark, str(tmp_path)).collect()
     text = {i: t for i, t, *_ in rows}
     assert mixed and all(r.text == text[r.doc_id] for r in mixed)
-    places = {(r.doc_id, r.copy, r.order_key) for r in queries.QUERIES["op8_mixing"](spark, str(tmp_path)).collect()}
-    assert places == {(r.doc_id, r.copy, r.order_key) for r in mixed}
+    assert len({(r.doc_id, r.copy, r.order_key) for r in mixed}) == len(mixed)
+
+
+CLASHES = "rid key own hot cold cuts _cuts _key _s _p site path e rate copy order_key _copies _cdf _source cdf id of n place _hits hits kept llr _verdict digest component c s text_".split()
+
+
+def test_stages_keep_columns_of_any_name(spark, rows):
+    import corpus_pipeline
+
+    wide = [(*r[:5], *(f"{c}{r[0]}" for c in CLASHES)) for r in rows] + [(None, "no id here " * 30, None, None, None, *CLASHES)] * 2
+    docs = spark.createDataFrame(wide, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 8 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(WORD.findall(rows[0][1])[:40])), (None, rows[2][1])], "item_id long, text string")
+    first = {r.doc_id: r for r in docs.collect() if r.doc_id is not None}
+    for name, made in {
+        "quality": site_bayes.without_bad(docs, labels),
+        "near": near_dedup.without_near_duplicates(docs),
+        "repeats": repeats.without_repeats(docs),
+        "clean": decontaminate.decontaminate(docs, bench, block_words=20),
+        "mix": mixing.mix(docs),
+    }.items():
+        got = made.collect()
+        assert made.columns[: len(docs.columns)] == docs.columns and got, name
+        for r in got:
+            if r.doc_id is not None:
+                assert all(r[c] == first[r.doc_id][c] for c in CLASHES), name
+    assert [c for c in mixing.mix(docs).columns if c not in docs.columns] == ["rate_", "copy_", "order_key_"]
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_poisson_inversion_by_halving(spark):
+    rates = spark.createDataFrame([("a", 0.0), ("b", 0.3), ("c", 900.0)], "source string, rate double")
+    for r in mixing.poisson_tables(rates).collect():
+        assert r.cdf == sorted(r.cdf) and r.cdf[-1] == pytest.approx(1)
+        us = [0.0, 0.2, 0.5, 0.97, 0.9999999]
+        from pyspark.sql import functions as F
+
+        one = spark.createDataFrame([(r.cdf, u) for u in us], "cdf array<double>, u double")
+        assert [x.n for x in one.select(mixing.below(F.col("cdf"), F.col("u")).alias("n")).collect()] == [sum(c <= u for c in r.cdf) for u in us]
+
+
+def test_names_alone_drop_no_text():
+    body = "<h1>Head</h1><p>Body text number one.</p><p>Second paragraph.</p>"
+    for name in "legal-analysis related notice social-history banner-story article-header comments ad".split():
+        page = page_tree.parse(f'<html><body><article><div class="{name}">{body}</div></article></body></html>')
+        assert page_tree.extract(page, page_tree.judge(page_tree.wrapper_of(page))) == ["Head", "Body text number one.", "Second paragraph."]
+    deep = "<article>" + "<div>" * 300 + "<p>a</p><div><p>b</p></div><p>c</p><div><p>d</p></div><p>e</p>" + "</div>" * 300 + "</article>"
+    page = page_tree.parse(deep)
+    assert page_tree.extract(page, page_tree.judge(page_tree.wrapper_of(page))) == list("abcde")
+
+
+def test_wrapper_stays_bounded_and_decides():
+    import json
+
+    def infer(pages):
+        trees, w = [page_tree.parse(p) for p in pages], None
+        for t in trees:
+            one = page_tree.wrapper_of(t, page_tree.print_of(t))
+            w = one if w is None else page_tree.merge(w, one)
+        return trees, w
+
+    odd = [f'<body><div id="post{i}" class="c{chr(97 + i % 26)}{chr(97 + i // 26)}"><p>text {i}</p></div></body>' for i in range(600)]
+    trees, w = infer(odd)
+    assert len(json.dumps(w)) < 20_000
+    verdicts = page_tree.judge(w)
+    assert all(page_tree.extract(t, verdicts) == [f"text {i}"] for i, t in enumerate(trees))
+    page = "<body><div class=x1a><div>Site name</div><div class=content><h2>T{0}</h2><p>Para {0} long text here.</p><div class=ad>Buy {0}</div><p>Tail {0}.</div><ul><li><a>link {0}</a><li><a>link b</a></ul><div id=comments><div><p>bla {0}</div><div><p>bla bla</div></div><div>copyright</div></div></body>"
+    trees, w = infer([page.format(i * 7) for i in range(6)])
+    verdicts = page_tree.judge(w)
+    assert [page_tree.extract(t, verdicts) for t in trees] == [[f"T{i * 7}", f"Para {i * 7} long text here.", f"Tail {i * 7}."] for i in range(6)]
+
+
+def test_alignment_against_brute_force():
+    import re as regex
+
+    rnd = random.Random(3)
+
+    def pattern(w):
+        body = f"<{w[0]}>" + "".join(map(pattern, w[page_tree.WITHIN])) + f"</{w[0]}>"
+        return f"(?:{body})" + ("*" if w[1] and w[2] else "+" if w[1] else "?" if w[2] else "")
+
+    def shape(t):
+        return f"<{t[0]}>" + "".join(map(shape, t[2])) + f"</{t[0]}>"
+
+    for _ in range(60):  # every page of a small host matches the wrapper as a regular expression
+        pages = [["r", [], [[rnd.choice("abc"), [], [[rnd.choice("xy"), [], []] for _ in range(rnd.randrange(2))]] for _ in range(rnd.randrange(1, 4))]] for _ in range(3)]
+        w = None
+        for p in pages:
+            one = page_tree.wrapper_of(p)
+            w = one if w is None else page_tree.merge(w, one)
+        if any(k[1] for k in w[page_tree.WITHIN]):
+            continue  # repeats fold pairs, whose groups pattern() doesn't write
+        assert all(regex.fullmatch(pattern(w), shape(p)) for p in pages), (pages, w)
 
 
 def test_hot_windows_are_confirmed_before_they_are_dealt(spark, monkeypatch):
