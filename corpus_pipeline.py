@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All stages but the last return
 the columns of `documents`; the last adds the columns of the mixture.
+
+Edge cases, in all stages: a column of the documents keeps its name and values whatever its
+name is (columns that the last stage adds get underscores where theirs is taken); an
+empty table gives an empty table; repeated rows are treated alike, and those that repeat an id are
+documents of that id. What a stage does with null and empty texts, null ids and ties
+is in its docstring.
 """
 
 from __future__ import annotations
@@ -22,27 +28,27 @@ def _recount(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return site_bayes.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Rejected documents go; null, empty and wordless texts are rejected. Null source or lang is a site or path of its own."""
+    return site_bayes.without_bad(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, that with the smallest id. Texts without words and null ids are in no group, and stay."""
     return near_dedup.without_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur earlier in the corpus are cut."""
+    """Passages that occur earlier in the corpus are cut; a null id counts as the largest. Texts of fewer than 20 words stay as they are, null ones too; a text of which nothing is left goes."""
     return _recount(repeats.without_repeats(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut; documents that are mostly benchmark go."""
+    """Benchmark passages are cut; documents that are mostly benchmark go. Texts without hits, null ones too, stay byte for byte; items without words are ignored."""
     return _recount(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated or thinned to their target weights, and shuffled."""
+    """Sources are repeated or thinned to their target weights, and shuffled. A null source is a source of its own, a null id is drawn as an empty one; sources without text go."""
     return mixing.mix(docs)
 
 
