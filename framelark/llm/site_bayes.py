@@ -48,6 +48,7 @@ from framelark.llm.textscan import ALNUM, LOWER, Words, lookup, slices
 from framelark.llm.textstats import FIELDS, stats_of, text_stats
 
 SAMPLE = 20_000
+LEAST_WEIGHT = 0.01  # a shrunk log ratio below says nothing: that of a word with alike shares is about 1e-4
 SLAB, SPREAD = 0.01, 3.0  # share of words that speak for or against toxicity, and the spread of their log ratios
 
 
@@ -123,26 +124,26 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Evidence(rules, (k + 0.5 * low.mean()) / (n + 0.5), words, weights, math.log((n_toxic + 0.5) / (n_clean + 0.5)), good)
 
 
-def shrunk(t: np.ndarray, c: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+def shrunk(t: Column, c: Column, n_toxic: int, n_clean: int) -> Column:
     """Log ratio of the shares t / n_toxic and c / n_clean of a word, shrunk by how little its counts say."""
     total = n_toxic + n_clean
-    a, b = t + n_toxic / total, c + n_clean / total
-    ratio, noise = np.log(a / n_toxic) - np.log(b / n_clean), 1 / a + 1 / b
-    wide = noise + SPREAD**2
-    odds = SLAB / (1 - SLAB) * np.sqrt(noise / wide) * np.exp(np.minimum(ratio**2 / 2 * (1 / noise - 1 / wide), 500))
-    return ratio * odds / (1 + odds) * SPREAD**2 / wide
+    a, b = t + F.lit(n_toxic / total), c + F.lit(n_clean / total)
+    ratio, noise = F.log(a / F.lit(n_toxic)) - F.log(b / F.lit(n_clean)), 1 / a + 1 / b
+    wide = noise + F.lit(SPREAD**2)
+    odds = F.lit(SLAB / (1 - SLAB)) * F.sqrt(noise / wide) * F.exp(F.least(ratio * ratio / 2 * (1 / noise - 1 / wide), F.lit(500.0)))
+    return ratio * odds / (1 + odds) * F.lit(SPREAD**2) / wide
 
 
 def toxic_words(rows: DataFrame, text: str, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
-    """All words of the labelled sample, sorted by hash, and their weights."""
+    """The words of the labelled sample whose weight is not next to nothing, sorted by hash, and the weights."""
     if not n_toxic or not n_clean:
         return np.zeros(0, np.uint64), np.zeros(0)
     counted = rows.select("_toxic", F.explode(distinct_words(F.col(text))).alias("w")).groupBy("w").agg(F.sum("_toxic").alias("t"), F.count("*").alias("n"))
-    got = counted.toPandas()  # the words of at most `sample` documents
+    weighed = counted.select("w", shrunk(F.col("t"), F.col("n") - F.col("t"), n_toxic, n_clean).alias("weight"))
+    got = weighed.where(F.abs("weight") >= LEAST_WEIGHT).toPandas()  # some of the words of at most `sample` documents
     words = got["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
-    t, n = got["t"].to_numpy(float)[order], got["n"].to_numpy(float)[order]
-    return words[order], shrunk(t, n - t, n_toxic, n_clean).astype(np.float32)
+    return words[order], got["weight"].to_numpy(float)[order]
 
 
 SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("llr", T.DoubleType())])

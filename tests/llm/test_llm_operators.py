@@ -149,19 +149,155 @@ def test_language_model(docs, rows):
     assert pitman_yor.score_documents(docs.limit(0)).count() == 0
 
 
-def test_root_probabilities_sum_to_one():
-    w = textscan.mix(np.arange(1, 400, dtype=np.uint64))
-    c = np.random.default_rng(1).zipf(1.5, len(w)).clip(1, 5000).astype(float)
-    none = np.zeros(0, np.int64)
-    totals = pitman_yor.Totals(len(w), np.zeros(1))
-    for k in range(3):
-        for _, _, rc, rt in pitman_yor.sweeps(w, c, none, none, np.zeros(0), totals, k):
-            pass
-        totals.tables.append(np.zeros(1))
-        totals.root_tables.append(rt.sum())
-        totals.root_customers.append(rc.sum())
-    unknown = (pitman_yor.ROOT_STRENGTH + pitman_yor.ROOT_DISCOUNT * rt.sum()) * totals.base / (pitman_yor.ROOT_STRENGTH + rc.sum())
-    assert totals.root(2, rc, rt).sum() + unknown == pytest.approx(1)
+def stirling(c, d):
+    """Weights of the ways to seat c customers at 1..c tables (index: tables)."""
+    row = [1.0]
+    for n in range(c):
+        row = [(row[k] * (n - d * k) if k < len(row) else 0.0) + (row[k - 1] if k else 0.0) for k in range(len(row) + 1)]
+    return row
+
+
+def test_seating_has_the_posterior_of_enumeration():
+    d, theta, counts, chance = 0.6, 1.5, (5, 3, 1), np.array([0.3, 0.05, 0.1])
+    weights = {}
+    for t in itertools.product(*(range(1, c + 1) for c in counts)):
+        rising = math.prod(theta + d * k for k in range(1, sum(t)))
+        weights[t] = rising * math.prod(stirling(c, d)[k] * p**k for c, k, p in zip(counts, t, chance))
+    total = sum(weights.values())
+    want = np.array([sum(t[i] * w for t, w in weights.items()) / total for i in range(3)])
+    many = 4000  # alike restaurants
+    s = pitman_yor.Seating(np.tile(counts, many), np.repeat(np.arange(many), 3), many, d, theta, np.random.default_rng(0))
+    kept = []
+    for k in range(30):
+        s.sweep(np.tile(chance, many))
+        assert (s.tables == s.t.reshape(many, 3).sum(axis=1)).all() and (s.size >= 0).all()
+        if k >= 10:
+            kept.append(s.t.reshape(many, 3).mean(axis=0))
+    assert np.mean(kept, axis=0) == pytest.approx(want, rel=0.02)  # dishes move at the same time, which small restaurants feel most
+
+
+def test_large_dishes_have_the_expected_tables():
+    rng, d, weight, n = np.random.default_rng(2), 0.7, 3.0, 3000
+    seen = []
+    for _ in range(200):
+        t = 1
+        for j, u in enumerate(rng.random(n - 1), 1):
+            t += u < weight / (weight + j - d * t)
+        seen.append(t)
+    assert pitman_yor.expected_tables(np.array([float(n)]), np.array([weight]), d)[0] == pytest.approx(np.mean(seen), rel=0.05)
+
+
+def test_discount_and_strength_are_found():
+    rng, true_d, true_s = np.random.default_rng(5), 0.6, 4.0
+    n, at = [], []
+    for r in range(300):  # restaurants drawn from the process itself; each table serves a dish of its own
+        sizes = []
+        for j in range(400):
+            if rng.random() * (true_s + j) < true_s + true_d * len(sizes):
+                sizes.append(1)
+            else:
+                x = np.array(sizes) - true_d
+                sizes[rng.choice(len(sizes), p=x / x.sum())] += 1
+        n += sizes
+        at += [r] * len(sizes)
+    d, s = 0.3, 20.0
+    for k in range(60):
+        seats = pitman_yor.Seating(np.array(n), np.array(at), 300, 1e-9, s, np.random.default_rng(k))  # at this discount a dish begins at one table
+        seats.discount = d
+        d, s = pitman_yor.drawn(seats.evidence(), k)
+    assert d == pytest.approx(true_d, abs=0.05) and s == pytest.approx(true_s, rel=0.3)
+
+
+def brute_model(train, texts, sweeps, seed):
+    """Log10 probabilities of texts under the same model: each customer of each restaurant seated anew, one by one, with lists of tables."""
+    rnd, h = random.Random(seed), None
+    parts = {}
+    for words in train:
+        for u, w in zip([0, *words], words):
+            parts.setdefault(u, {}).setdefault(w, []).append(1)
+    vocabulary = {w for r in parts.values() for w in r}
+    root = {w: [1] * sum(len(r.get(w, ())) for r in parts.values()) for w in vocabulary}
+    d, s, d0, s0 = h or (0.8, 5.0, 0.6, 10.0)
+    base = 1 / (len(vocabulary) + 1)
+    tables = {u: sum(map(len, r.values())) for u, r in parts.items()}
+    root_tables, root_customers = sum(map(len, root.values())), sum(map(sum, root.values()))
+
+    def p_root(w):
+        x = root.get(w, [])
+        return (sum(x) - d0 * len(x) + (s0 + d0 * root_tables) * base) / (s0 + root_customers)
+
+    def up(w, by):
+        nonlocal root_tables, root_customers
+        x = root[w]
+        if by < 0:
+            k = rnd.choices(range(len(x)), x)[0]
+            x[k] -= 1
+            root_customers -= 1
+            if not x[k]:
+                del x[k]
+                root_tables -= 1
+            return
+        k = rnd.choices(range(len(x) + 1), [*(c - d0 for c in x), (s0 + d0 * root_tables) * base])[0]
+        root_customers += 1
+        if k == len(x):
+            x.append(1)
+            root_tables += 1
+        else:
+            x[k] += 1
+
+    for sweep in range(sweeps):
+        for u, r in parts.items():
+            for w, x in r.items():
+                for _ in range(sum(x)):
+                    k = rnd.choices(range(len(x)), x)[0]
+                    x[k] -= 1
+                    if not x[k]:
+                        del x[k]
+                        tables[u] -= 1
+                        up(w, -1)
+                    k = rnd.choices(range(len(x) + 1), [*(c - d for c in x), (s + d * tables[u]) * p_root(w)])[0]
+                    if k == len(x):
+                        x.append(1)
+                        tables[u] += 1
+                        up(w, 1)
+                    else:
+                        x[k] += 1
+    out = []
+    for words in texts:
+        total = 0.0
+        for u, w in zip([0, *words], words):
+            r = parts.get(u, {})
+            x, c, t = r.get(w, []), sum(map(sum, r.values())), tables.get(u, 0)
+            total += math.log10((sum(x) - d * len(x) + (s + d * t) * p_root(w)) / (s + c))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 12])
+def test_scores_agree_with_a_sampler_in_memory(spark, monkeypatch, hot):
+    py = pitman_yor
+    monkeypatch.setattr(py, "HOT", hot)
+    monkeypatch.setattr(py, "SHARD", 2_000)
+    monkeypatch.setattr(py, "TOP", 40)
+    monkeypatch.setattr(py, "drawn", lambda evidence, seed: (0.8, 5.0) if seed == 1 else (0.6, 10.0))
+    rnd = random.Random(8)
+    follows = {i: [rnd.randrange(1, 150) for _ in range(6)] for i in range(151)}
+    texts = []
+    for _ in range(400):
+        words = [0]
+        while len(words) < 25:
+            words.append(rnd.choice(follows[words[-1]]) if rnd.random() < 0.8 else rnd.randrange(1, 150))
+        texts.append(words[1:])
+    docs = spark.createDataFrame([(str(i), " ".join(f"w{w}" for w in t), "en", "s", 0, "") for i, t in enumerate(texts)], DOCS.replace("doc_id long", "doc_id string")).repartition(3)
+    got = {int(r.doc_id): r for r in py.score_documents(docs).collect()}
+    ends = [[*t, -1] for t in texts]
+    train = [t for i, t in enumerate(ends) if zlib.crc32(str(i).encode()) % 10]
+    want = brute_model(train, ends, 12, 1)
+    held = [i for i in got if got[i].held_out]
+    assert held and all(got[i].n_tokens == 25 for i in got)
+    for ids in (held, list(got)):
+        assert sum(got[i].score for i in ids) == pytest.approx(sum(want[i] for i in ids), rel=0.01)
+    assert all(got[i].score == pytest.approx(want[i], rel=0.12) for i in got)
 
 
 def test_suffix_automaton_against_brute_force():
@@ -323,50 +459,6 @@ def test_pipeline_keeps_columns(spark, tmp_path, docs):
     assert set(docs.columns) - {"kept"} <= set(out.columns) and out.count() > 0
 
 
-def test_every_context_of_the_corpus_is_seated(spark):
-    py = pitman_yor
-    rnd = random.Random(4)
-    texts = [f"a{i} b{i} c{rnd.randrange(9)}" for i in range(300) for _ in range(4)]  # 300 contexts, all alike in count
-    docs = spark.createDataFrame([(i, t, "en", "s", 0, "") for i, t in enumerate(texts)], DOCS).repartition(3)
-    hashes = {}
-    for t in {w for x in texts for w in x.split()}:
-        hashes[t] = int(py.tokens_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0][0])
-    begin, end = int(py.BEGIN), int(py.END)
-    count = {}
-    for i, t in enumerate(texts):
-        if zlib.crc32(str(i).encode()) % 10:
-            words = [begin, *(hashes[w] for w in t.split()), end]
-            for p in zip(words, words[1:]):
-                count[p] = count.get(p, 0) + 1
-    pairs = list(count)
-    us, ws = sorted({u for u, _ in pairs}), sorted({w for _, w in pairs})
-    ui, wi = np.array([us.index(u) for u, _ in pairs]), np.array([ws.index(w) for _, w in pairs])
-    n, w = np.array([float(count[p]) for p in pairs]), np.array(ws, np.uint64)
-    c, total = np.bincount(ui, n), np.bincount(wi, n)
-    totals = py.Totals(len(ws), c)
-    chance, pull, before, kept, roots, pulls = (total + 0.1) / n.sum(), py.STRENGTH + py.DISCOUNT * 0.1 * c, float(len(ws)), 0, [], []
-    for k in range(py.BURN + py.SAMPLES):
-        t = py.seat(n, np.minimum(chance[wi], 1), pull[ui], py.DISCOUNT, py._salt(w[wi], k, np.array(us, np.uint64)[ui]))
-        rc = np.bincount(wi, t)
-        rt = py.seat(rc, np.full(len(w), totals.base), np.full(len(w), py.ROOT_STRENGTH + py.ROOT_DISCOUNT * before), py.ROOT_DISCOUNT, py._salt(w, k, 0))
-        before = rt.sum()
-        totals.root_tables.append(before)
-        totals.root_customers.append(rc.sum())
-        chance, pull = totals.root(k, rc, rt), py.STRENGTH + py.DISCOUNT * np.bincount(ui, t)
-        if k >= py.BURN:
-            kept = kept + (n - py.DISCOUNT * t) / py.SAMPLES
-            roots.append(chance)
-            pulls.append(pull)
-    seated = dict(zip(pairs, kept))
-    for r in py.score_documents(docs).collect():
-        words, want = [begin, *(hashes[x] for x in texts[r.doc_id].split()), end], 0.0
-        for u, x in zip(words, words[1:]):
-            root = [p[ws.index(x)] if x in ws else totals.root(py.BURN + s, 0, 0) for s, p in enumerate(roots)]
-            up = [p[us.index(u)] if u in us else py.STRENGTH for p in pulls]
-            want += math.log10((seated.get((u, x), 0.0) + np.mean(np.multiply(root, up))) / (py.STRENGTH + (c[us.index(u)] if u in us else 0)))
-        assert r.score == pytest.approx(want)
-
-
 def test_mixture_query_returns_whole_documents(spark, docs, rows, tmp_path):
     from framelark.llm import queries
 
