@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     bucket = first_rule(rules, x)
     n, k = np.bincount(bucket, minlength=len(rules) + 1), np.bincount(bucket, low, len(rules) + 1)
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    words, weights = toxic_words(rows, text, n_toxic, n_clean)
+    words, weights = toxic_words(rows, text)
     return Evidence(rules, (k + 0.5 * low.mean()) / (n + 0.5), words, weights, math.log((n_toxic + 0.5) / (n_clean + 0.5)), good)
 
 
@@ -134,12 +134,19 @@ def shrunk(t: Column, c: Column, n_toxic: int, n_clean: int) -> Column:
     return ratio * odds / (1 + odds) * F.lit(SPREAD**2) / wide
 
 
-def toxic_words(rows: DataFrame, text: str, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words of the labelled sample whose weight is not next to nothing, sorted by hash, and the weights."""
-    if not n_toxic or not n_clean:
+def toxic_words(rows: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the labelled sample whose weight is not next to nothing, sorted by hash, and the weights.
+
+    Near copies would make their words look frequent. Documents with the same least word (which
+    two share with a chance of their similarity) count as one.
+    """
+    each = rows.select("_toxic", distinct_words(F.col(text)).alias("ws")).where(F.size("ws") > 0).select("_toxic", F.get("ws", F.lit(0)).alias("copy"), "ws")
+    n = each.select("_toxic", "copy").distinct().agg(F.count_if(F.col("_toxic") == 1).alias("toxic"), F.count_if(F.col("_toxic") == 0).alias("clean")).first()
+    if not n.toxic or not n.clean:
         return np.zeros(0, np.uint64), np.zeros(0)
-    counted = rows.select("_toxic", F.explode(distinct_words(F.col(text))).alias("w")).groupBy("w").agg(F.sum("_toxic").alias("t"), F.count("*").alias("n"))
-    weighed = counted.select("w", shrunk(F.col("t"), F.col("n") - F.col("t"), n_toxic, n_clean).alias("weight"))
+    once = each.select("_toxic", "copy", F.explode("ws").alias("w")).distinct()
+    counted = once.groupBy("w").agg(F.count_if(F.col("_toxic") == 1).alias("t"), F.count_if(F.col("_toxic") == 0).alias("c"))
+    weighed = counted.select("w", shrunk(F.col("t"), F.col("c"), n.toxic, n.clean).alias("weight"))
     got = weighed.where(F.abs("weight") >= LEAST_WEIGHT).toPandas()  # some of the words of at most `sample` documents
     words = got["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
