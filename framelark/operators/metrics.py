@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -58,36 +60,44 @@ def tolerant_presence(truth: DataFrame, predicted: DataFrame, radius: int, *by:
 
 
 def _pairs(tolerances: list[int]):
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        track, pitch = frame["track"].iloc[0], frame["pitch"].iloc[0]
-        a = frame.loc[frame["t"] == 1, ["frame", "id"]].sort_values(["frame", "id"]).to_numpy()
-        b = frame.loc[frame["t"] == 0, ["frame", "id"]].sort_values(["frame", "id"]).to_numpy()
-        out = []
-        for tolerance in tolerances:
-            i = j = 0
-            while i < len(a) and j < len(b):
-                d = b[j][0] - a[i][0]
-                if d < -tolerance:
-                    j += 1
-                elif d > tolerance:
-                    i += 1
-                else:
-                    out.append((track, pitch, tolerance, a[i][1], b[j][1], d))
-                    i, j = i + 1, j + 1
-        return pd.DataFrame(out, columns=["track", "pitch", "tolerance", "target_id", "predicted_id", "error"])
-
-    return match
+    """mapInArrow over onsets sorted by voice and frame; holds the onsets of one voice that can still be matched."""
+
+    def run(batches):
+        voice, waiting = None, []
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for track, pitch, frame, ident, t in zip(*(batch[c].to_pylist() for c in ("track", "pitch", "frame", "id", "t")), strict=True):
+                if (track, pitch) != voice:
+                    voice, waiting = (track, pitch), [(deque(), deque()) for _ in tolerances]
+                for tolerance, sides in zip(tolerances, waiting, strict=True):
+                    other = sides[1 - t]
+                    while other and other[0][0] < frame - tolerance:
+                        other.popleft()
+                    if not other:
+                        sides[t].append((frame, ident))
+                        continue
+                    at, partner = other.popleft()
+                    target, predicted = (ident, partner) if t else (partner, ident)
+                    row = (track, pitch, tolerance, target, predicted, at - frame if t else frame - at)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, MATCHES.types, strict=True)], schema=MATCHES)
+
+    return run
+
+
+MATCHES = pa.schema([("track", pa.int64()), ("pitch", pa.int32()), ("tolerance", pa.int32()), ("target_id", pa.int64()), ("predicted_id", pa.int64()), ("error", pa.int64())])
 
 
 def match_onsets(target: DataFrame, predicted: DataFrame, tolerances: list[int]) -> DataFrame:
     """One-to-one matches of onsets (track, pitch, frame, id) within each tolerance.
 
-    The earliest possible pairing in frame order, which has as many pairs as any. It is sequential within a
-    voice, so each voice is one group: a voice is bounded by its track's length.
+    The earliest possible pairing in frame order, which has as many pairs as any. Onsets are dealt by voice and
+    streamed in frame order; what a task holds is what lies within the tolerance of the current frame.
     """
     both = target.select(*VOICE, "frame", "id", F.lit(1).alias("t")).unionByName(predicted.select(*VOICE, "frame", "id", F.lit(0).alias("t")))
-    schema = "track long, pitch int, tolerance int, target_id long, predicted_id long, error long"
-    return both.groupBy(*VOICE).applyInPandas(_pairs(tolerances), schema)
+    dealt = both.repartition(*VOICE).sortWithinPartitions(*VOICE, "frame", "id")
+    return dealt.mapInArrow(_pairs(tolerances), "track long, pitch int, tolerance int, target_id long, predicted_id long, error long")
 
 
 def polyphony_frames(rows: DataFrame) -> DataFrame:
@@ -96,17 +106,54 @@ def polyphony_frames(rows: DataFrame) -> DataFrame:
 
 
 def polyphony_summary(per_frame: DataFrame, frames: int) -> DataFrame:
-    """Chord frames (2 or more true pitches): pitch recall and rate of complete frames; mean polyphony, per track."""
+    """Chord frames (2 or more true pitches): mean pitch recall and rate of complete frames; mean polyphony, per track."""
     chord = F.col("n_true") >= 2
+    mean = lambda value: F.round(F.coalesce(F.avg(F.when(chord, value)), F.lit(0.0)), 6)
     return per_frame.groupBy("track").agg(
         F.count_if(chord).alias("chord_frames"),
-        F.round(F.coalesce(F.sum(F.when(chord, F.col("n_both"))), F.lit(0)) / F.greatest(F.coalesce(F.sum(F.when(chord, F.col("n_true"))), F.lit(0)), F.lit(1)), 6).alias("chord_pitch_recall"),
-        F.round(F.count_if(chord & (F.col("n_both") == F.col("n_true"))) / F.greatest(F.count_if(chord), F.lit(1)), 6).alias("chord_complete_rate"),
+        mean(F.col("n_both") / F.col("n_true")).alias("chord_pitch_recall"),
+        mean((F.col("n_both") == F.col("n_true")).cast("double")).alias("chord_complete_rate"),
         F.round(F.sum("n_true") / frames, 6).alias("target_polyphony"),
         F.round(F.sum("n_pred") / frames, 6).alias("predicted_polyphony"),
     )
 
 
+RADII = (2, 4, 8)
+
+
+def polyphonic_metrics(activity: DataFrame, onsets: DataFrame, truth_onsets: DataFrame, predicted_onsets: DataFrame, frames: int) -> DataFrame:
+    """Per track: exact activity and onset rates, onset rates within each of RADII, and the chord figures.
+
+    activity and onsets: cells (track, pitch, frame, y, p) of both heads; the last two are the rolls of onsets.
+    """
+
+    def named(counts: DataFrame, name: str) -> DataFrame:
+        return with_rates(counts).select("track", *(F.col(c).alias(f"{name}_{c}") for c in ("precision", "recall", "f1")))
+
+    out = polyphony_summary(polyphony_frames(activity), frames).join(named(confusion(activity, "track"), "activity"), "track", "left").join(named(confusion(onsets, "track"), "onset"), "track", "left")
+    for radius in RADII:
+        out = out.join(named(tolerant_presence(truth_onsets, predicted_onsets, radius, "track"), f"onset_within_{radius}"), "track", "left")
+    return out
+
+
+def event_metrics(targets: DataFrame, predicted: DataFrame, matches: DataFrame, low_max: int) -> DataFrame:
+    """Per tolerance: counts and rates of all events and of low ones, and the recall of flagged subsets of the targets.
+
+    targets: event_id, pitch, retrigger, active_previous, chord. predicted: event_id, pitch. matches: those of `match_onsets`.
+    Events match within a pitch only, so low targets against low predictions are the matches at low pitches.
+    """
+    low = F.when(F.col("pitch") <= low_max, "low")
+    of_targets = F.array_compact(F.array(F.lit("all"), low, F.when(F.col("retrigger"), "retrigger"), F.when(F.col("active_previous"), "active_previous"), F.when(F.col("chord"), "chord").otherwise("single")))
+    wanted = targets.select("event_id", F.explode(of_targets).alias("subset"))
+    n_wanted = wanted.groupBy("subset").agg(F.count("*").alias("targets"))
+    n_given = predicted.select(F.explode(F.array_compact(F.array(F.lit("all"), low))).alias("subset")).groupBy("subset").agg(F.count("*").alias("predicted"))
+    found = wanted.join(matches.select(F.col("target_id").alias("event_id"), "tolerance", "error"), "event_id")
+    hits = found.groupBy("subset", "tolerance").agg(F.count("*").alias("tp"), F.round(F.avg(F.abs("error")), 6).alias("mean_abs_error"))
+    rows = hits.join(n_wanted, "subset").join(n_given, "subset", "left")
+    rows = rows.withColumn("fp", F.col("predicted") - F.col("tp")).withColumn("fn", F.col("targets") - F.col("tp"))
+    return with_rates(rows)
+
+
 def by_polyphony(rows: DataFrame, low_max: int) -> DataFrame:
     """Confusion by overlapping buckets: the frame's true polyphony (4+ in one), single, polyphonic, all, low pitches."""
     n = F.sum("y").over(W.partitionBy("track", "frame"))

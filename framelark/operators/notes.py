@@ -90,6 +90,38 @@ def spaced(candidates: DataFrame, gap: int) -> DataFrame:
     return folded.select(*VOICE, F.explode("kept").alias("frame"))
 
 
+def note_ons(notes: DataFrame, onsets: DataFrame, refractory: int) -> DataFrame:
+    """track, pitch, on, off, frame, retrigger: the note-on of each note [on, off), and its retriggers.
+
+    A rising onset while the note is on (after its first frame) triggers it again if `refractory` frames have passed since its
+    last note-on. Notes and onsets of a voice share one window; each note is a fold over its own onsets.
+    """
+    rising = rising_edges(onsets).select(*VOICE, "frame", F.lit(None).cast("int").alias("on"), F.lit(None).cast("int").alias("off"))
+    starts = notes.select(*VOICE, F.col("on").cast("int").alias("frame"), F.col("on").cast("int").alias("on"), F.col("off").cast("int").alias("off"))
+    so_far = W.partitionBy(*VOICE).orderBy("frame").rangeBetween(W.unboundedPreceding, 0)
+    both = starts.unionByName(rising.withColumn("frame", F.col("frame").cast("int"))).select(
+        *VOICE, "frame", F.col("on").alias("own"), F.last("on", True).over(so_far).alias("on"), F.last("off", True).over(so_far).alias("off")
+    )
+    inside = both.where((F.col("own") == F.col("frame")) | (F.col("own").isNull() & (F.col("frame") > F.col("on")) & (F.col("frame") < F.col("off"))))
+
+    def step(kept: Column, frame: Column) -> Column:
+        return F.when(frame - F.element_at(kept, -1) >= refractory, F.concat(kept, F.array(frame))).otherwise(kept)
+
+    frames = F.array_sort(F.collect_set("frame"))  # the note-on is the first
+    kept = F.aggregate(F.slice(frames, 2, F.size(frames)), F.slice(frames, 1, 1), step)
+    each = inside.groupBy(*VOICE, "on", "off").agg(kept.alias("kept"))
+    return each.select(*VOICE, "on", "off", F.explode("kept").alias("frame")).withColumn("retrigger", F.col("frame") > F.col("on"))
+
+
+def midi_of_notes(ons: DataFrame, rate: int = 960, velocity: int = 100) -> DataFrame:
+    """MIDI messages of `note_ons`: a retrigger ends the note and begins it at the same tick; every note ends, at the last frame at the latest."""
+    until = F.coalesce(F.lead("frame").over(W.partitionBy(*VOICE, "on").orderBy("frame")), F.col("off"))
+    pair = F.array(F.struct((until * rate).cast("long").alias("tick"), F.lit(0).alias("on"), F.lit(0).alias("velocity")), F.struct((F.col("frame") * rate).cast("long").alias("tick"), F.lit(1).alias("on"), F.lit(velocity).alias("velocity")))
+    rows = ons.withColumn("m", pair).select(*VOICE, F.explode("m").alias("m")).select(*VOICE, "m.*")
+    order = W.partitionBy("track").orderBy("tick", "on", "pitch")
+    return rows.withColumn("seq", F.row_number().over(order)).withColumn("delta", F.col("tick") - F.coalesce(F.lag("tick").over(order), F.lit(0)))
+
+
 def midi_events(events: DataFrame, rate: int = 960) -> DataFrame:
     """Note-on and note-off rows with ticks and delta ticks; off before on at a tick, then by pitch."""
     lasting = events.withColumn("end", F.greatest("end", F.col("start") + 1))

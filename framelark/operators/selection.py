@@ -82,16 +82,20 @@ def f1() -> Column:
     return 2.0 * F.col("tp") / F.greatest(F.col("predicted") + F.col("target"), F.lit(1))
 
 
-def calibrate(scores: DataFrame, cap: float, *by: str, floor: float | None = None) -> DataFrame:
+def calibrate(scores: DataFrame, cap: float, *by: str, floor: float | None = None, fall_back: bool = False) -> DataFrame:
     """Best F1 threshold with predicted <= cap * target (and >= floor * target if given); the higher one on ties.
 
-    Without an allowed threshold that scores above 0 the result predicts nothing: top score + 1.
+    Without an allowed threshold the best of all counts if `fall_back`. If none scores above 0
+    the result predicts nothing: top score + 1.
     """
     curve = threshold_curve(scores, *by).withColumn("f1", f1())
     allowed = F.col("predicted") <= cap * F.col("target")
     if floor is not None:
         allowed = allowed & (F.col("predicted") >= floor * F.col("target"))
-    best = F.max(F.when(allowed & (F.col("f1") > 0), F.struct("f1", "score", "tp", "predicted")))
+    point = F.when(F.col("f1") > 0, F.struct("f1", "score", "tp", "predicted"))
+    best = F.max(F.when(allowed, point))
+    if fall_back:
+        best = F.coalesce(best, F.when(F.count_if(allowed) == 0, F.max(point)))
     got = curve.groupBy(*by).agg(best.alias("b"), F.max("top").alias("top"), F.max("target").alias("target"))
     return got.select(
         *by,
@@ -121,6 +125,38 @@ def calibrate_on_grid(scores: DataFrame, points: int, low: float, high: float) -
     return got.select("member", F.round(F.coalesce("b.threshold", "n.threshold"), 6).alias("threshold"), F.round(F.coalesce("b.f1", "n.f1"), 6).alias("f1"))
 
 
+def tolerant_cuts(truth: DataFrame, predicted: DataFrame, radius: int, quantiles: list[float]) -> DataFrame:
+    """cut, predicted, tp, fp, fn, f1 of events (track, pitch, frame; predicted ones with amp) at each quantile of amp, and at 0.
+
+    Whether a prediction has a target near does not depend on the cut, and a target is missed above the largest amp near it. So both are
+    found once, summed between cuts, and added up from the highest cut down.
+    """
+    amp = F.when(F.col("t") == 0, F.col("amp"))
+    both = truth.select("track", "pitch", "frame", F.lit(1).alias("t"), F.lit(None).cast("double").alias("amp")).unionByName(predicted.select("track", "pitch", "frame", F.lit(0).alias("t"), "amp"))
+    near = W.partitionBy("track", "pitch").orderBy("frame").rangeBetween(-radius, radius)
+    seen = both.select("t", "amp", (F.max("t").over(near) == 1).alias("hit"), F.max(amp).over(near).alias("best"))
+    counts = seen.groupBy("t", F.when(F.col("t") == 0, F.col("amp")).otherwise(F.col("best")).alias("amp")).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    grid = counts.where("t = 0").agg(F.percentile("amp", quantiles, F.col("n")).alias("g"))  # over distinct values
+    cuts = grid.select(F.explode(F.array_distinct(F.concat("g", F.array(F.lit(0.0))))).alias("cut"))
+    steps = counts.where("amp is not null").select("amp", F.when(F.col("t") == 0, F.col("n")).otherwise(0).alias("p"), F.when(F.col("t") == 0, F.col("hits")).otherwise(0).alias("tp"), F.when(F.col("t") == 1, F.col("n")).otherwise(0).alias("met"), F.lit(None).cast("double").alias("cut"))
+    marks = cuts.select(F.col("cut").alias("amp"), F.lit(0).alias("p"), F.lit(0).alias("tp"), F.lit(0).alias("met"), "cut")
+    whole = counts.agg(F.coalesce(F.sum(F.when(F.col("t") == 1, F.col("n"))), F.lit(0)).alias("target"))
+    down = W.orderBy(F.col("amp").desc())  # a row for each distinct amp: equal ones count together
+    at = steps.unionByName(marks).select("cut", *(F.sum(c).over(down).alias(c) for c in ("p", "tp", "met"))).where("cut is not null")
+    rows = at.join(whole, F.lit(True))  # one row
+    rows = rows.select("cut", F.col("p").alias("predicted"), "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("target") - F.col("met")).alias("fn"), "target")
+    return rows.withColumn("f1", 2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)))
+
+
+def calibrate_tolerant(truth: DataFrame, predicted: DataFrame, radius: int, low: float, high: float, points: int = 160) -> DataFrame:
+    """The cut with the best tolerant F1 among those with low..high times as many events as the targets (else among all); the higher on ties."""
+    cuts = tolerant_cuts(truth, predicted, radius, [0.01 + (0.999 - 0.01) * i / (points - 1) for i in range(points)])
+    allowed = F.col("predicted").between(low * F.col("target"), high * F.col("target"))
+    row = F.struct("f1", "cut", "predicted", "tp", "fp", "fn")
+    got = cuts.agg(F.coalesce(F.max(F.when(allowed, row)), F.max(row)).alias("b"))
+    return got.select(F.round("b.cut", 6).alias("cut"), "b.predicted", "b.tp", "b.fp", "b.fn", F.round("b.f1", 6).alias("f1"))
+
+
 def best_checkpoint(epochs: DataFrame) -> DataFrame:
     """Per run the epoch with the best (f1, precision, recall, threshold), the earliest on ties."""
     by = W.partitionBy("run").orderBy(*(F.col(c).desc() for c in ("f1", "precision", "recall", "threshold")), "epoch")

@@ -21,10 +21,28 @@ def o069(spark, d):
     return C.must_match(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").where("doc_id is not null"), ["doc_id"])
 
 
-@query("o070_scores_with_truth", with_ctes("ne", "pe", "act", "pact", "cells", body="SELECT track, frame, sum(y * p)::BIGINT AS both, count(*) AS cells FROM cells GROUP BY ALL"))
+@query(
+    "o070_scores_by_row",
+    with_ctes("sc", body=""", pl AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS row FROM (SELECT DISTINCT frame FROM sc))
+  SELECT member, pitch, count(*) AS rows, count(*) FILTER (WHERE score >= 0 AND truth = 1) AS tp, count(*) FILTER (WHERE score >= 0 AND truth = 0) AS fp, sum(row)::BIGINT AS places FROM sc JOIN pl USING (frame) GROUP BY member, pitch"""),
+)
 def o070(spark, d):
-    rows = M.cells(N.rasterise(note_events(spark, d), FRAMES), N.rasterise(predicted_events(spark, d), FRAMES))
-    return rows.groupBy("track", "frame").agg(F.sum(F.col("y") * F.col("p")).alias("both"), F.count("*").alias("cells"))
+    """Scores against labels of another table that numbers its frames in another way: they meet by row position."""
+    s = scores(spark, d)
+    labels = table(spark, d, "embeddings").select((F.col("vec_id") * 3 + 7).alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("pitch"), "label")
+    rows = C.by_row(s.select("member", "frame", "pitch", "score"), labels.select("frame", "pitch", (F.col("label") == F.col("pitch")).cast("int").alias("truth")), "member")
+    on, true = F.col("score") >= 0, F.col("truth") == 1
+    return rows.groupBy("member", "pitch").agg(F.count("*").alias("rows"), F.count_if(on & true).alias("tp"), F.count_if(on & ~true).alias("fp"), F.sum("row").alias("places"))
+
+
+@query(
+    "o070_header_differences",
+    with_ctes("sc", body=" SELECT 'outputs' AS field, '10' AS \"left\", (SELECT count(DISTINCT label) + 1 FROM embeddings)::VARCHAR AS \"right\" UNION ALL SELECT 'threshold', '0', NULL"),
+)
+def o070_headers(spark, d):
+    s = scores(spark, d).agg(F.count_distinct("frame").alias("frames"), F.count_distinct("pitch").alias("outputs"), F.min("pitch").alias("midi_min"), F.lit(0).alias("threshold"))
+    e = table(spark, d, "embeddings").agg(F.count_distinct("vec_id").alias("frames"), (F.count_distinct("label") + 1).alias("outputs"), F.lit(0).alias("midi_min"))
+    return C.header_differences(s, e)
 
 
 @query(
@@ -104,7 +122,7 @@ def o133(spark, d):
     return C.fingerprint(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_regionkey")
 
 
-@query("o134_contract_equality", with_ctes("corp", body=" SELECT a.grp, a.n AS train, b.n AS test, a.n >= 4 * b.n AS ok FROM (SELECT grp, count(*) AS n FROM corp WHERE split = 'train' GROUP BY 1) a JOIN (SELECT grp, count(*) AS n FROM corp WHERE split <> 'train' GROUP BY 1) b USING (grp)"))
+@query("split_balance", with_ctes("corp", body=" SELECT a.grp, a.n AS train, b.n AS test, a.n >= 4 * b.n AS ok FROM (SELECT grp, count(*) AS n FROM corp WHERE split = 'train' GROUP BY 1) a JOIN (SELECT grp, count(*) AS n FROM corp WHERE split <> 'train' GROUP BY 1) b USING (grp)"))
 def o134(spark, d):
     c = corpus(spark, d)
     a = c.where("split = 'train'").groupBy("grp").agg(F.count("*").alias("train"))
@@ -143,13 +161,13 @@ def o019(spark, d):
     return note_events(spark, d).where("`end` > start").select("event_id", "pitch", "start", "end", (F.col("pitch") - 40).alias("channel"))
 
 
-@query("o123_names", "SELECT url, regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g') AS name, regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9_.-]{0,63}$') AS valid FROM pages")
+@query("safe_names", "SELECT url, regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS name, regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9_.-]{0,63}$') AS valid FROM pages")
 def o123_names(spark, d):
     return table(spark, d, "pages").select("url", C.safe_name(F.col("url")).alias("name"), C.valid_id(F.col("url")).alias("valid"))
 
 
 @query(
-    "o066_turn_audit",
+    "turn_audit",
     """SELECT conv_id, count(*) AS turns, sum((turn <> k)::INT)::BIGINT AS gaps, sum(coalesce(role = p, false)::INT)::BIGINT AS repeats FROM
     (SELECT conv_id, turn, role, row_number() OVER w - 1 + min(turn) OVER (PARTITION BY conv_id) AS k, lag(role) OVER w AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) GROUP BY 1""",
 )

@@ -239,6 +239,6 @@ def o043(spark, d):
     return x.select("vec_id", F.round(0.5 * (F.col("embedding")[0].cast("double") + F.col("embedding")[1].cast("double")), 6).alias("mono"))
 
 
-@query("o048_frame_activity_share", with_ctes("ne", "act", body="SELECT track, round(count(DISTINCT frame) / 720, 6) AS share FROM act GROUP BY track"))
+@query("frame_activity_share", with_ctes("ne", "act", body="SELECT track, round(count(DISTINCT frame) / 720, 6) AS share FROM act GROUP BY track"))
 def o048(spark, d):
     return N.rasterise(note_events(spark, d), FRAMES).groupBy("track").agg(F.round(F.count_distinct("frame") / FRAMES, 6).alias("share"))

@@ -182,6 +182,38 @@ def o077(spark, d):
     return M.tolerant_presence(onset(note_events(spark, d)), onset(predicted_events(spark, d)), 2, "pitch")
 
 
+NOTES = "," + DENSE.format(src="act", name="notes") + """,
+  iv AS (SELECT track, pitch, min(frame) AS "on", max(frame) + 1 AS off FROM (SELECT *, frame - row_number() OVER (PARTITION BY track, pitch ORDER BY frame) AS g FROM notes) GROUP BY track, pitch, g),
+  ol AS (SELECT DISTINCT track, pitch, frame FROM (SELECT track, pitch, unnest(range(start + 2, least(start + 5, 720)))::INT AS frame FROM ne WHERE "end" > start AND start < 720)),
+  ri AS (SELECT o.* FROM ol o WHERE NOT EXISTS (SELECT 1 FROM ol b WHERE b.track = o.track AND b.pitch = o.pitch AND b.frame = o.frame - 1)),
+  cd AS (SELECT iv.*, ri.frame FROM iv JOIN ri ON ri.track = iv.track AND ri.pitch = iv.pitch AND ri.frame > "on" AND ri.frame < off),
+  k AS (SELECT track, pitch, "on", off, "on" AS frame FROM iv
+        UNION ALL
+        SELECT k.track, k.pitch, k."on", k.off, (SELECT min(c.frame) FROM cd c WHERE c.track = k.track AND c.pitch = k.pitch AND c."on" = k."on" AND c.frame >= k.frame + 6) AS frame
+        FROM k WHERE EXISTS (SELECT 1 FROM cd c WHERE c.track = k.track AND c.pitch = k.pitch AND c."on" = k."on" AND c.frame >= k.frame + 6))"""
+
+
+def _note_ons(spark, d):
+    ne = note_events(spark, d)
+    return N.note_ons(N.note_state(N.rasterise(ne, FRAMES), FRAMES), N.onset_labels(ne, FRAMES, delay=2, width=3), 6)
+
+
+@query("o062_note_ons", with_ctes("ne", "act", body="@").replace("WITH ", "WITH RECURSIVE ", 1).replace("@", NOTES + ' SELECT track, pitch, frame::INT AS frame, frame > "on" AS retrigger FROM k'))
+def o062_note_ons(spark, d):
+    return _note_ons(spark, d).select("track", "pitch", "frame", "retrigger")
+
+
+@query(
+    "o014_midi_of_notes",
+    with_ctes("ne", "act", body="@").replace("WITH ", "WITH RECURSIVE ", 1).replace("@", NOTES + """,
+  sg AS (SELECT *, coalesce(lead(frame) OVER (PARTITION BY track, pitch, "on" ORDER BY frame), off) AS until FROM k),
+  ms AS (SELECT track, pitch, unnest([until::BIGINT * 960, frame::BIGINT * 960]) AS tick, unnest([0, 1]) AS "on", unnest([0, 100]) AS velocity FROM sg)
+  SELECT *, row_number() OVER o::INT AS seq, tick - coalesce(lag(tick) OVER o, 0) AS delta FROM ms WINDOW o AS (PARTITION BY track ORDER BY tick, "on", pitch)"""),
+)
+def o014(spark, d):
+    return N.midi_of_notes(_note_ons(spark, d))
+
+
 @query("o076_onset_matching")
 def o076(spark, d):
     onset = lambda e: e.where("`end` > start").select("track", "pitch", F.col("start").alias("frame"), F.col("event_id").alias("id"))
@@ -190,26 +222,38 @@ def o076(spark, d):
 
 @query("o085_event_metrics")
 def o085(spark, d):
-    """Per tolerance: targets, predictions, matches and rates, for all and for flagged subsets of the targets."""
+    """Per tolerance: counts and rates of all and of low events, recall of flagged subsets."""
     flagged = N.chord_flag(N.event_flags(note_events(spark, d), FRAMES), 0)
-    subset = F.array_compact(F.array(F.lit("all"), F.when(F.col("retrigger"), "retrigger"), F.when(F.col("active_previous"), "active_previous"), F.when(F.col("chord"), "chord").otherwise("single"), F.when(F.col("pitch") <= 41, "low")))
-    matches = o076(spark, d)
-    targets = flagged.select("event_id", F.explode(subset).alias("subset"))
-    found = targets.join(matches.select(F.col("target_id").alias("event_id"), "tolerance", "error"), "event_id")
-    hits = found.groupBy("subset", "tolerance").agg(F.count("*").alias("matched"), F.round(F.avg(F.abs("error")), 6).alias("mean_abs_error"))
-    return hits.join(targets.groupBy("subset").agg(F.count("*").alias("targets")), "subset").withColumn("recall", F.round(F.col("matched") / F.col("targets"), 6))
+    predicted = predicted_events(spark, d).where("`end` > start").select("event_id", "pitch")
+    return M.event_metrics(flagged, predicted, o076(spark, d), 41)
+
+
+ROLLS = """,
+  ot AS (SELECT DISTINCT track, pitch, frame FROM (SELECT track, pitch, unnest(range(start, least(start + 2, 720)))::INT AS frame FROM ne WHERE "end" > start AND start < 720)),
+  op AS (SELECT DISTINCT track, pitch, frame FROM (SELECT track, pitch, unnest(range(start, least(start + 2, 720)))::INT AS frame FROM pe WHERE "end" > start AND start < 720)),
+  oc AS (SELECT coalesce(a.track, p.track) AS track, (a.track IS NOT NULL)::INT AS y, (p.track IS NOT NULL)::INT AS p FROM ot a FULL JOIN op p ON a.track = p.track AND a.pitch = p.pitch AND a.frame = p.frame)"""
+_RATE = """round(tp / greatest(tp + fp, 1), 6) AS {0}_precision, round(tp / greatest(tp + fn, 1), 6) AS {0}_recall,
+  round(2 * (tp / greatest(tp + fp, 1)) * (tp / greatest(tp + fn, 1)) / greatest(tp / greatest(tp + fp, 1) + tp / greatest(tp + fn, 1), 1e-12), 6) AS {0}_f1"""
+_NEAR = """(SELECT track, {1} FROM (SELECT track, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+    SELECT track, (hit)::INT AS tp, (NOT hit)::INT AS fp, 0 AS fn FROM (SELECT p.track, EXISTS (SELECT 1 FROM ot t WHERE t.track = p.track AND t.pitch = p.pitch AND abs(t.frame - p.frame) <= {0}) AS hit FROM op p)
+    UNION ALL SELECT track, 0, 0, (NOT hit)::INT FROM (SELECT t.track, EXISTS (SELECT 1 FROM op p WHERE t.track = p.track AND t.pitch = p.pitch AND abs(t.frame - p.frame) <= {0}) AS hit FROM ot t)) GROUP BY track))"""
 
 
 @query(
     "o083_polyphonic_metrics",
-    with_ctes("ne", "pe", "act", "pact", "cells", body="""SELECT track, count(*) FILTER (WHERE t >= 2) AS chord_frames,
-      round(coalesce(sum(b) FILTER (WHERE t >= 2), 0) / greatest(coalesce(sum(t) FILTER (WHERE t >= 2), 0), 1), 6) AS chord_pitch_recall,
-      round(count(*) FILTER (WHERE t >= 2 AND b = t) / greatest(count(*) FILTER (WHERE t >= 2), 1), 6) AS chord_complete_rate,
+    with_ctes("ne", "pe", "act", "pact", "cells", body=ROLLS + f"""
+    SELECT * FROM (SELECT track, count(*) FILTER (WHERE t >= 2) AS chord_frames,
+      round(coalesce(avg(b / t) FILTER (WHERE t >= 2), 0), 6) AS chord_pitch_recall,
+      round(coalesce(avg((b = t)::INT) FILTER (WHERE t >= 2), 0), 6) AS chord_complete_rate,
       round(sum(t) / 720, 6) AS target_polyphony, round(sum(q) / 720, 6) AS predicted_polyphony
-    FROM (SELECT track, frame, sum(y) AS t, sum(p) AS q, sum(y * p) AS b FROM cells GROUP BY 1, 2) GROUP BY track"""),
+    FROM (SELECT track, frame, sum(y) AS t, sum(p) AS q, sum(y * p) AS b FROM cells GROUP BY 1, 2) GROUP BY track)
+    LEFT JOIN (SELECT track, {_RATE.format("activity")} FROM (SELECT track, {CONF} FROM cells GROUP BY track)) USING (track)
+    LEFT JOIN (SELECT track, {_RATE.format("onset")} FROM (SELECT track, {CONF} FROM oc GROUP BY track)) USING (track)
+    """ + " ".join(f"LEFT JOIN {_NEAR.format(r, _RATE.format(f'onset_within_{r}'))} USING (track)" for r in M.RADII)),
 )
 def o083(spark, d):
-    return M.polyphony_summary(M.polyphony_frames(_cells(spark, d)), FRAMES)
+    truth, predicted = (N.onset_labels(e, FRAMES, delay=0, width=2) for e in (note_events(spark, d), predicted_events(spark, d)))
+    return M.polyphonic_metrics(_cells(spark, d), M.cells(truth, predicted), truth, predicted, FRAMES)
 
 
 @query(

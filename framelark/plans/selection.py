@@ -73,7 +73,7 @@ def o099(spark, d):
 
 
 @query(
-    "o100_onset_training_sample",
+    "amplitude_kind_quota",
     with_ctes("ne", body="""SELECT kind, count(*) AS n FROM (
       SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5(concat_ws('/', 'o', event_id::VARCHAR)), event_id) AS place FROM (
         SELECT event_id, CASE WHEN amp >= 0.3 THEN 'strong' WHEN amp >= 0.05 THEN 'weak' ELSE 'noise' END AS kind FROM ne)) WHERE place <= CASE kind WHEN 'strong' THEN 550 WHEN 'weak' THEN 350 ELSE 100 END GROUP BY kind"""),
@@ -100,9 +100,12 @@ def o101(spark, d):
     return S.calibrate(scores(spark, d), 1.5, "member")
 
 
-@query("o102_bounded_calibration", with_ctes("sc", body="," + CURVE + CAL.format("predicted <= 4.0 * target AND predicted >= 0.5 * target")))
+FREE = CAL.format("(predicted <= 4.0 * target AND predicted >= 0.5 * target OR NOT EXISTS (SELECT 1 FROM fc f WHERE f.member = fc.member AND f.predicted <= 4.0 * f.target AND f.predicted >= 0.5 * f.target))")
+
+
+@query("o102_bounded_calibration", with_ctes("sc", body="," + CURVE + FREE))
 def o102(spark, d):
-    return S.calibrate(scores(spark, d), 4.0, "member", floor=0.5)
+    return S.calibrate(scores(spark, d), 4.0, "member", floor=0.5, fall_back=True)
 
 
 @query(
@@ -120,25 +123,17 @@ def o103(spark, d):
 
 @query(
     "o104_tolerant_calibration",
-    with_ctes("ne", "pe", body=""", c AS (SELECT unnest([0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4]) AS cut),
-      s AS (SELECT cut, pe.* FROM pe, c WHERE amp >= cut),
-      a AS (SELECT cut, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fp FROM
-        (SELECT s.cut, EXISTS (SELECT 1 FROM ne t WHERE t.track = s.track AND t.pitch = s.pitch AND abs(t.start - s.start) <= 2) AS hit FROM s) GROUP BY 1),
-      b AS (SELECT cut, count(*) FILTER (WHERE NOT hit) AS fn FROM
-        (SELECT c.cut, EXISTS (SELECT 1 FROM pe p WHERE p.amp >= c.cut AND t.track = p.track AND t.pitch = p.pitch AND abs(t.start - p.start) <= 2) AS hit FROM ne t, c) GROUP BY 1)
-      SELECT cut::DOUBLE AS cut, tp, fp, fn, round(2 * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1 FROM a JOIN b USING (cut)"""),
+    with_ctes("ne", "pe", body=""", g AS (SELECT DISTINCT unnest(list_append(quantile_cont(amp, list_transform(range(0, 160), lambda i: 0.01::DOUBLE + (0.999::DOUBLE - 0.01::DOUBLE) * i / 159)), 0.0)) AS cut FROM pe),
+      h AS (SELECT amp, EXISTS (SELECT 1 FROM ne t WHERE t.track = p.track AND t.pitch = p.pitch AND abs(t.start - p.start) <= 2) AS hit FROM pe p),
+      m AS (SELECT (SELECT max(amp) FROM pe p WHERE t.track = p.track AND t.pitch = p.pitch AND abs(t.start - p.start) <= 2) AS best FROM ne t),
+      c AS (SELECT cut, (SELECT count(*) FROM h WHERE amp >= cut) AS predicted, (SELECT count(*) FROM h WHERE amp >= cut AND hit) AS tp, (SELECT count(*) FROM m WHERE best IS NULL OR best < cut) AS fn, (SELECT count(*) FROM ne) AS target FROM g),
+      f AS (SELECT *, predicted - tp AS fp, 2 * tp / greatest(tp + predicted + fn, 1) AS f1, predicted BETWEEN 0.5 * target AND 4.0 * target AS ok FROM c)
+      SELECT round(cut, 6) AS cut, predicted, tp, fp, fn, round(f1, 6) AS f1 FROM f ORDER BY ok DESC, f1 DESC, cut DESC LIMIT 1"""),
 )
 def o104(spark, d):
-    """Tolerant counts for each candidate cut of the amplitude; cuts are a handful, so events are multiplied by them."""
-    cuts = [0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4]
-    each = F.explode(F.array(*(F.lit(c) for c in cuts))).alias("cut")
-    truth = note_events(spark, d).select("track", "pitch", F.col("start").alias("frame"), each)
-    predicted = predicted_events(spark, d).select("track", "pitch", F.col("start").alias("frame"), "amp", each).where("amp >= cut")
-    both = truth.select("cut", "track", "pitch", "frame", F.lit(1).alias("t")).unionByName(predicted.select("cut", "track", "pitch", "frame", F.lit(0).alias("t")))
-    near = S.W.partitionBy("cut", "track", "pitch").orderBy("frame").rangeBetween(-2, 2)
-    seen = both.withColumn("x", F.max("t").over(near) == 1).withColumn("y", F.min("t").over(near) == 0)
-    counts = seen.groupBy("cut").agg(F.count_if((F.col("t") == 0) & F.col("x")).alias("tp"), F.count_if((F.col("t") == 0) & ~F.col("x")).alias("fp"), F.count_if((F.col("t") == 1) & ~F.col("y")).alias("fn"))
-    return counts.withColumn("f1", F.round(2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)), 6))
+    """The best of 160 quantiles of the predicted amplitudes, and 0, by tolerant F1 within the bounds."""
+    truth, predicted = (e.select("track", "pitch", F.col("start").alias("frame"), "amp") for e in (note_events(spark, d), predicted_events(spark, d)))
+    return S.calibrate_tolerant(truth, predicted, 2, 0.5, 4.0)
 
 
 EPOCHS = """ep AS (SELECT label AS run, (vec_id // 10)::BIGINT AS epoch, round(abs(embedding[1]::DOUBLE), 2) AS f1, round(abs(embedding[2]::DOUBLE), 2) AS precision,
@@ -188,7 +183,7 @@ def o108(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.row_number().over(by).alias("place"), "label")
 
 
-@query("o088_label_calibration", """WITH sc AS (SELECT 0 AS member, n_chars::INT AS score, quality AS truth FROM labels JOIN documents USING (doc_id)), """ + CURVE + CAL.format("predicted <= 1.5 * target"))
+@query("label_length_calibration", """WITH sc AS (SELECT 0 AS member, n_chars::INT AS score, quality AS truth FROM labels JOIN documents USING (doc_id)), """ + CURVE + CAL.format("predicted <= 1.5 * target"))
 def o088(spark, d):
     """Which length tells good documents apart, on labelled documents."""
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
