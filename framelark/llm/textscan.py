@@ -165,16 +165,27 @@ def cover(starts: np.ndarray, width: int, total: int) -> np.ndarray:
 
 
 def lookup(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of each value in the sorted table, -1 if absent; a bitmap of low bits sorts out most misses."""
+    """Index of each value in the sorted table, -1 if absent.
+
+    Found by a slot for the low bits; values whose slot another one took are searched for.
+    """
     out = np.full(len(x), -1, np.int64)
     if not len(table) or not len(x):
         return out
-    bits = max(16, int(len(table) * 8).bit_length())
-    seen = np.zeros(1 << bits, bool)
+    bits = max(12, int(len(table) * 8).bit_length())
     low = np.uint64((1 << bits) - 1)
-    seen[table & low] = True
-    at = np.flatnonzero(seen[x & low])
-    y = x[at]
-    k = np.minimum(np.searchsorted(table, y), len(table) - 1)
-    out[at] = np.where(table[k] == y, k, -1)
+    own = np.arange(len(table), dtype=np.int32)
+    slot = np.full(1 << bits, -1, np.int32)
+    slot[table & low] = own
+    late = np.flatnonzero(slot[table & low] != own)
+    k = slot[x & low]
+    taken = np.flatnonzero(k >= 0)
+    k = k[taken]
+    right = table[k] == x[taken]
+    out[taken[right]] = k[right]
+    if len(late):
+        wrong = taken[~right]
+        y, rest = x[wrong], table[late]
+        j = np.minimum(np.searchsorted(rest, y), len(rest) - 1)
+        out[wrong] = np.where(rest[j] == y, late[j], -1)
     return out
