@@ -35,6 +35,37 @@ def salience(harmonics: Column, count: int) -> Column:
     return F.aggregate(F.zip_with(harmonics, w, lambda a, b: unit_db(a) * b), F.lit(0.0), lambda s, x: s + x)
 
 
+def harmonics(spectrum: Column, fundamental: Column, count: int, semitones: float = 0.0) -> Column:
+    """Unit decibels at the first `count` harmonics of a fundamental bin, moved by so many semitones."""
+    moved = fundamental * (2.0 ** (semitones / 12.0))
+    return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda h: unit_db(sample_bin(spectrum, moved * h)))
+
+
+def weighted(units: Column, count: int) -> Column:
+    """Mean of units of harmonics with weights 1/sqrt(h)."""
+    weights = [1.0 / (h**0.5) for h in range(1, count + 1)]
+    w = F.array(*(F.lit(x / sum(weights)) for x in weights))
+    return F.aggregate(F.zip_with(units, w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def sides(spectrum: Column, fundamental: Column, count: int, semitones: float = 0.5) -> Column:
+    """Mean unit decibels a little below and above each harmonic."""
+    low, high = (harmonics(spectrum, fundamental, count, x) for x in (-semitones, semitones))
+    return F.zip_with(low, high, lambda a, b: 0.5 * (a + b))
+
+
+def local_contrast(spectrum: Column, fundamental: Column, count: int, every_harmonic: bool) -> Column:
+    """Salience less its sides: those of the fundamental alone, or of every harmonic with its weight."""
+    loud = weighted(harmonics(spectrum, fundamental, count), count)
+    side = weighted(sides(spectrum, fundamental, count), count) if every_harmonic else sides(spectrum, fundamental, 1)[0]
+    return centred(loud - side)
+
+
+def local_profile(spectrum: Column, fundamental: Column, count: int) -> Column:
+    """Each harmonic less its sides."""
+    return F.zip_with(harmonics(spectrum, fundamental, count), sides(spectrum, fundamental, count), lambda a, b: centred(a - b))
+
+
 def centred(difference: Column) -> Column:
     """A signed difference put around one half and clipped to 0..1."""
     return clip(difference + 0.5, 0.0, 1.0)

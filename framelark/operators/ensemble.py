@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from framelark.operators.selection import calibrate
+from framelark.operators.sized import small
+
 INT_MAX = 2**31 - 1
 
 
@@ -16,13 +19,13 @@ def firing(set_literals: DataFrame, clauses: DataFrame) -> DataFrame:
     on equality and counted.
     """
     sizes = clauses.groupBy("clause").agg(F.count("*").alias("size"))
-    hits = set_literals.join(F.broadcast(clauses), "literal").groupBy("frame", "clause").agg(F.count("*").alias("hits"))
-    return hits.join(F.broadcast(sizes), "clause").where("hits = size").select("frame", "clause")
+    hits = set_literals.join(small(clauses), "literal").groupBy("frame", "clause").agg(F.count("*").alias("hits"))
+    return hits.join(small(sizes), "clause").where("hits = size").select("frame", "clause")
 
 
 def class_sums(fired: DataFrame, weights: DataFrame, frames: DataFrame, outputs: int) -> DataFrame:
     """frame, output, score: weights of the firing clauses, saturated to 32 bits; silent frames get 0."""
-    total = fired.join(F.broadcast(weights), "clause").groupBy("frame", "output").agg(F.sum("weight").alias("score"))
+    total = fired.join(small(weights), "clause").groupBy("frame", "output").agg(F.sum("weight").alias("score"))
     grid = frames.select("frame", F.explode(F.sequence(F.lit(0), F.lit(outputs - 1))).alias("output"))
     return grid.join(total, ["frame", "output"], "left").select("frame", "output", F.greatest(F.least(F.coalesce("score", F.lit(0)), F.lit(INT_MAX)), F.lit(-INT_MAX - 1)).alias("score"))
 
@@ -62,6 +65,39 @@ def fuse(members: DataFrame, rule: str) -> DataFrame:
     return ordered.select("frame", "pitch", (total / F.size(values)).cast("float").alias("fused"))
 
 
+#: fixed values: the rules that each head may choose from, in order, and its bound on predicted over target cells
+RULES = {"activity": ("mean",), "onset": ("mean", "top2_mean", "max")}
+CAPS = {"activity": 1.5, "onset": 4.0}
+
+
+def fit(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """head, rule, threshold, f1: for each head the first of its rules whose calibrated F1 no later one beats.
+
+    members: member, frame, pitch, z, truth; heads: member, head (a row for each member).
+    """
+    found = None
+    for head, rules in RULES.items():
+        z = members.join(heads.where(F.col("head") == head), "member")
+        truth = z.groupBy("frame", "pitch").agg(F.max("truth").alias("truth"))
+        for place, rule in enumerate(rules):
+            scored = fuse(z, rule).select("frame", "pitch", quantise(F.col("fused")).alias("score"), F.lit(head).alias("head"), F.lit(rule).alias("rule"), F.lit(place).alias("place"))
+            one = calibrate(scored.join(truth, ["frame", "pitch"]), CAPS[head], "head", "rule", "place").select("head", "rule", "place", "threshold", "f1")
+            found = one if found is None else found.unionByName(one)
+    best = found.groupBy("head").agg(F.max_by(F.struct("rule", "threshold", "f1"), F.struct("f1", -F.col("place"))).alias("b"))  # a few rows
+    return best.select("head", "b.*")
+
+
+def apply_fitted(members: DataFrame, heads: DataFrame, fitted: DataFrame) -> DataFrame:
+    """head, frame, pitch, on: each head fused by its fitted rule and cut at its fitted threshold."""
+    out = None
+    for head, rules in RULES.items():
+        z = members.join(heads.where(F.col("head") == head), "member")
+        for rule in rules:
+            one = fuse(z, rule).select(F.lit(head).alias("head"), F.lit(rule).alias("rule"), "frame", "pitch", quantise(F.col("fused")).alias("score"))
+            out = one if out is None else out.unionByName(one)
+    return out.join(fitted.select("head", "rule", "threshold"), ["head", "rule"]).select("head", "frame", "pitch", (F.col("score") >= F.col("threshold")).cast("int").alias("on"))
+
+
 def quantise(fused: Column, steps: int = 1024) -> Column:
     """Nearest whole step, ties to even, within 32 bits less one."""
     return F.greatest(F.least(F.rint(fused.cast("double") * steps), F.lit(float(INT_MAX - 1))), F.lit(float(-INT_MAX - 1))).cast("int")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from framelark.operators.sized import small
+
 FRAME = ("track", "frame")
 LAGS = (0, 1, 2, 4, 8, 16, 32)
 
@@ -40,23 +42,45 @@ def flux(wide: DataFrame, initial: float = 0.0) -> DataFrame:
     return wide.select(*FRAME, change.alias("x"))
 
 
-def smoothed(wide: DataFrame, alpha: float = 0.08) -> DataFrame:
+SPAN = 4096  # frame numbers of a block
+
+
+def smoothed(wide: DataFrame, alpha: float = 0.08, span: int = SPAN) -> DataFrame:
     """Fast minus slow: clip(x - ema + 0.5), the average being updated first.
 
-    A first-order recurrence has no window form, so each track is one Arrow group:
-    a track is bounded by its length. Float order within a track is frame order.
+    The average is linear, so tracks are cut into blocks of `span` frame numbers: each block is averaged from
+    zero, the ends of a track's blocks are carried on (a vector for each block), and a block then adds what
+    was carried to it. So a task holds one block, however long a track is.
     """
+    keep = 1.0 - alpha
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("frame")
-        x = np.stack(frame["x"].to_list()) if len(frame) else np.zeros((0, 0))
-        out, ema = np.empty_like(x), x[0].copy()
+        x = np.stack(frame["x"].to_list())
+        slow, ema = np.empty_like(x), np.zeros_like(x[0])
         for i, row in enumerate(x):
-            ema += alpha * (row - ema)
-            out[i] = np.clip(row - ema + 0.5, 0.0, 1.0)
-        return pd.DataFrame({"track": frame["track"], "frame": frame["frame"], "x": list(out)})
-
-    return wide.select(*FRAME, "x").groupBy("track").applyInPandas(run, "track long, frame long, x array<double>")
+            ema = keep * ema + alpha * row
+            slow[i] = ema
+        return pd.DataFrame({"track": frame["track"], "block": frame["block"], "frame": frame["frame"], "k": np.arange(1, len(x) + 1), "x": list(x), "slow": list(slow)})
+
+    blocks = wide.select(*FRAME, "x", F.floor(F.col("frame") / span).alias("block"))
+    schema = "track long, block long, frame long, k long, x array<double>, slow array<double>"
+    averaged = blocks.groupBy("track", "block").applyInPandas(local, schema)
+    ends = averaged.groupBy("track", "block").agg(F.max_by("slow", "k").alias("end"), F.max("k").alias("n"), F.min_by("x", "k").alias("first"))
+
+    def on(carried: Column, block: Column) -> Column:
+        decay = F.pow(F.lit(keep), block["n"])
+        now = F.element_at(carried, -1)["carry"]
+        after = F.zip_with(now, block["end"], lambda c, e: c * decay + e)
+        return F.concat(carried, F.array(F.struct(F.lit(None).cast("long").alias("block"), after.alias("carry"))))
+
+    listed = ends.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("block", "n", "end", "first"))).alias("b"))
+    start = F.array(F.struct(F.lit(None).cast("long").alias("block"), F.col("b")[0]["first"].alias("carry")))  # a track begins at its first value
+    carry = listed.select("track", "b", F.aggregate("b", start, on).alias("c")).select("track", F.explode(F.arrays_zip("b", F.slice("c", 1, F.size("b")))).alias("z"))
+    carry = carry.select("track", F.col("z")["b"]["block"].alias("block"), F.col("z").getField("1")["carry"].alias("carry"))
+    slow = F.zip_with("slow", "carry", lambda s, c: s + c * F.pow(F.lit(keep), F.col("k")))
+    fast = F.zip_with("x", slow, lambda x, e: F.greatest(F.least(x - e + 0.5, F.lit(1.0)), F.lit(0.0)))
+    return averaged.join(carry, ["track", "block"]).select(*FRAME, fast.alias("x"))
 
 
 QUANTILES = (0.5, 0.7, 0.85, 0.95)
@@ -70,7 +94,7 @@ def thermometer_fit(long: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -
 
 def thermometer_bits(long: DataFrame, thresholds: DataFrame) -> DataFrame:
     """track, frame, d, q, bit: v >= threshold. The thresholds are a row for each column and quantile, so they are broadcast."""
-    return long.join(F.broadcast(thresholds), "d").select(*FRAME, "d", "q", (F.col("v") >= F.col("threshold")).cast("int").alias("bit"))
+    return long.join(small(thresholds), "d").select(*FRAME, "d", "q", (F.col("v") >= F.col("threshold")).cast("int").alias("bit"))
 
 
 def varying_literals(bits: DataFrame) -> DataFrame:
@@ -82,7 +106,7 @@ def varying_literals(bits: DataFrame) -> DataFrame:
 
 def encode(bits: DataFrame, literals: DataFrame) -> DataFrame:
     """track, frame, literal of the set literals."""
-    return bits.where("bit = 1").join(F.broadcast(literals), ["d", "q"]).select(*FRAME, "literal")
+    return bits.where("bit = 1").join(small(literals), ["d", "q"]).select(*FRAME, "literal")
 
 
 def with_negations(set_bits: DataFrame, frames: DataFrame, count: int) -> DataFrame:

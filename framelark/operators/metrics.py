@@ -44,13 +44,13 @@ def with_rates(counts: DataFrame, digits: int = 6) -> DataFrame:
     return counts.select("*", F.round(precision(), digits).alias("precision"), F.round(recall(), digits).alias("recall"), F.round(f_beta(), digits).alias("f1"))
 
 
-def tolerant_presence(truth: DataFrame, predicted: DataFrame, radius: int, *by: str) -> DataFrame:
+def tolerant_presence(truth: DataFrame, predicted: DataFrame, radius: int, *by: str, apart: tuple[str, ...] = ()) -> DataFrame:
     """Counts in which a cell is right if the other side has one within `radius` frames (not one to one).
 
-    Sorted events of both sides share one window; nothing is joined by range.
+    Sorted events of both sides share one window; nothing is joined by range. Events meet within a voice and equal columns `apart`.
     """
-    both = truth.select(*VOICE, "frame", F.lit(1).alias("t")).unionByName(predicted.select(*VOICE, "frame", F.lit(0).alias("t")))
-    near = W.partitionBy(*VOICE).orderBy("frame").rangeBetween(-radius, radius)
+    both = truth.select(*apart, *VOICE, "frame", F.lit(1).alias("t")).unionByName(predicted.select(*apart, *VOICE, "frame", F.lit(0).alias("t")))
+    near = W.partitionBy(*apart, *VOICE).orderBy("frame").rangeBetween(-radius, radius)
     seen = both.withColumn("with_t", F.max("t").over(near) == 1).withColumn("with_p", F.min("t").over(near) == 0)
     return seen.groupBy(*by).agg(
         F.count_if((F.col("t") == 0) & F.col("with_t")).alias("tp"),

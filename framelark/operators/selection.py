@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from framelark.operators.sized import small
+
 
 def order_hash(*parts: Column) -> Column:
     """A hash that sorts rows in a fixed random order."""
@@ -51,7 +53,7 @@ def balanced_sample(frames: DataFrame, total: int, seed: str = "b") -> DataFrame
     """Frames (track, frame, category) by quota, in hash order; a short category is repeated to its quota."""
     counts = frames.groupBy("category").agg(F.count("*").alias("available"))
     quota = category_quotas(counts, total)
-    ranked = frames.join(F.broadcast(quota), "category")  # five rows
+    ranked = frames.join(small(quota), "category")  # five rows
     by = W.partitionBy("category").orderBy(order_hash(F.lit(seed), F.col("track"), F.col("frame")), "track", "frame")
     place = ranked.withColumn("place", F.row_number().over(by)).where(F.col("place") <= F.col("wanted"))
     copies = F.floor((F.col("wanted") - F.col("place")) / F.col("available")) + 1

@@ -86,11 +86,11 @@ def downsample_causal(audio: DataFrame, up: int, down: int, taps: int = 257, bet
     return audio.select("track", "samples").mapInPandas(run, "track long, samples array<double>")
 
 
-def train_clauses(rows: DataFrame, members: list[dict], features: int) -> DataFrame:
+def train_clauses(rows: DataFrame, members: list[dict], features: int, sample: int = 4096) -> DataFrame:
     """Clause models (a Tsetlin machine), one for each entry of `members` (keys member, clauses, threshold, s, epochs, seed).
 
     Members train in parallel, each in one task on the same rows (y, literals): training is
-    sequential by definition, so the rows of one model are one group. `rows` must be a bounded training set.
+    sequential by definition, so the rows of one model are one group: at most `sample` of `rows`, chosen by a hash of their columns.
     Returns member, clause, weight, literal for the included literals.
     """
 
@@ -122,7 +122,8 @@ def train_clauses(rows: DataFrame, members: list[dict], features: int) -> DataFr
         return pd.DataFrame({"member": np.full(len(clause), key[0]), "clause": clause, "weight": sign[clause], "literal": literal})
 
     each = F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in m.items())) for m in members)))
-    return rows.select("y", "literals", each.alias("m")).select("y", "literals", "m.*").groupBy("member").applyInPandas(run, "member int, clause int, weight int, literal int")
+    bounded = rows.orderBy(F.xxhash64(*rows.columns)).limit(sample)
+    return bounded.select("y", "literals", each.alias("m")).select("y", "literals", "m.*").groupBy("member").applyInPandas(run, "member int, clause int, weight int, literal int")
 
 
 def energy(magnitude: Column) -> Column:

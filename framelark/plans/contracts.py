@@ -9,6 +9,7 @@ from framelark.operators import metrics as M
 from framelark.operators import notes as N
 from framelark.plans.registry import query
 from framelark.sources.adapters import FRAMES, corpus, note_events, predicted_events, scores, table, with_ctes
+from framelark.operators.sized import small
 
 
 @query("o068_manifest_join", "SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
@@ -88,7 +89,7 @@ def o075(spark, d):
 @query("o078_bank_lookup", with_ctes("sc", body=" SELECT bank, member, count(*) AS n FROM sc JOIN (SELECT unnest([0, 1, 2, 3, 4, 5])::INT AS member, unnest(['plain', 'plain', 'contrast', 'contrast', 'profile', 'attack']) AS bank) USING (member) GROUP BY ALL"))
 def o078(spark, d):
     banks = spark.createDataFrame(list(enumerate(["plain", "plain", "contrast", "contrast", "profile", "attack"])), "member int, bank string")
-    return scores(spark, d).join(F.broadcast(banks), "member").groupBy("bank", "member").agg(F.count("*").alias("n"))  # a row for each member
+    return scores(spark, d).join(small(banks), "member").groupBy("bank", "member").agg(F.count("*").alias("n"))  # a row for each member
 
 
 @query("o110_concatenate", "SELECT 'supplier' AS kind, s_suppkey AS id, s_nationkey AS nation FROM supplier UNION ALL SELECT 'customer', c_custkey, c_nationkey FROM customer")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from framelark.operators import ensemble as E
 from framelark.operators import features as X
+from framelark.operators import metrics as M
 from framelark.operators import selection as S
+from framelark.operators.sized import small
 from framelark.plans.registry import query
 from framelark.sources.adapters import features, scores, table, with_ctes
 
@@ -83,13 +85,13 @@ def o122(spark, d):
 
 def _z(spark, d):
     s = scores(spark, d)
-    return s.join(F.broadcast(E.robust_scale(s, "member")), "member").withColumn("z", E.normalised(F.col("score"), F.lit(20), F.round("scale", 4)))  # a row for each member
+    return s.join(small(E.robust_scale(s, "member")), "member").withColumn("z", E.normalised(F.col("score"), F.lit(20), F.round("scale", 4)))  # a row for each member
 
 
 @query("o123_clipped_normalisation", with_ctes("sc", body="," + SCALE + " SELECT member, round(avg(greatest(least((score - 20) / scale, 4.0), -4.0)), 6) AS mean, count(*) FILTER (WHERE abs((score - 20) / scale) >= 4) AS clipped FROM sc JOIN sl USING (member) GROUP BY 1"))
 def o123(spark, d):
     s = scores(spark, d)
-    z = s.join(F.broadcast(E.robust_scale(s, "member")), "member").withColumn("c", E.clipped(F.col("score"), F.lit(20), F.col("scale")))
+    z = s.join(small(E.robust_scale(s, "member")), "member").withColumn("c", E.clipped(F.col("score"), F.lit(20), F.col("scale")))
     return z.groupBy("member").agg(F.round(F.avg("c"), 6).alias("mean"), F.count_if(F.abs("c") >= 4).alias("clipped"))
 
 
@@ -134,31 +136,93 @@ def _rules(spark, d):
     return rules.join(truth, ["frame", "pitch"])
 
 
-@query("o127_fit_ensemble", with_ctes("sc", body="," + SCALE + FIT.format(rules=RULES) + " SELECT member, score AS threshold, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY f1 DESC, score DESC) AS k FROM fc) WHERE k = 1"))
-def o127(spark, d):
+@query("o127_rule_calibration", with_ctes("sc", body="," + SCALE + FIT.format(rules=RULES) + " SELECT member, score AS threshold, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY f1 DESC, score DESC) AS k FROM fc) WHERE k = 1"))
+def o127_rules(spark, d):
     return S.calibrate(_rules(spark, d), 1.5, "member").select("member", "threshold", "f1")
 
 
-@query("o128_apply_ensemble", with_ctes("sc", body="," + SCALE + f" SELECT pitch, count(*) FILTER (WHERE score >= 900) AS predicted, count(*) AS frames FROM (SELECT frame, pitch, {QUANT.format(FUSE['mean'])} AS score FROM nz GROUP BY 1, 2) GROUP BY pitch"))
+def _per_head(rule: str, head: str, members: str, n: int) -> str:
+    sql = FUSE[rule].replace("/ 6::FLOAT", f"/ {n}::FLOAT")
+    return f"SELECT '{head}' AS head, '{rule}' AS rule, frame, pitch, max(truth) AS truth, {QUANT.format(sql)} AS score FROM nz WHERE {members} GROUP BY 3, 4"
+
+
+HEADS = """, hd AS ({rows}),
+hc AS (SELECT head, rule, score, sum(n) OVER w AS predicted, sum(t) OVER w AS tp, sum(t) OVER (PARTITION BY head, rule) AS target
+  FROM (SELECT head, rule, score, count(*) AS n, sum(truth) AS t FROM hd GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY head, rule ORDER BY score DESC)),
+hf AS (SELECT *, 2.0::DOUBLE * tp / greatest(predicted + target, 1) AS f1 FROM hc WHERE predicted <= CASE head WHEN 'activity' THEN 1.5 ELSE 4.0 END * target),
+ft AS (SELECT head, rule, score AS threshold, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY round(f1, 6) DESC, CASE rule WHEN 'mean' THEN 0 WHEN 'top2_mean' THEN 1 ELSE 2 END) AS k FROM
+  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY head, rule ORDER BY f1 DESC, score DESC) AS b FROM hf) WHERE b = 1)) WHERE k = 1)""".format(
+    rows=" UNION ALL ".join([_per_head("mean", "activity", "member < 3", 3), *(_per_head(r, "onset", "member >= 3", 3) for r in E.RULES["onset"])])
+)
+
+
+def _heads(spark, d):
+    return scores(spark, d).select("member", F.when(F.col("member") < 3, "activity").otherwise("onset").alias("head")).distinct()
+
+
+@query("o127_fit_ensemble", with_ctes("sc", body="," + SCALE + HEADS + " SELECT head, rule, threshold, f1 FROM ft"))
+def o127(spark, d):
+    return E.fit(_z(spark, d), _heads(spark, d))
+
+
+@query("o128_apply_ensemble", with_ctes("sc", body="," + SCALE + HEADS + " SELECT head, pitch, count(*) FILTER (WHERE score >= threshold) AS predicted, count(*) AS frames FROM hd JOIN ft USING (head, rule) GROUP BY 1, 2"))
 def o128(spark, d):
-    fused = E.fuse(_z(spark, d), "mean").select("pitch", E.quantise(F.col("fused")).alias("score"))
-    return fused.groupBy("pitch").agg(F.count_if(F.col("score") >= 900).alias("predicted"), F.count("*").alias("frames"))
+    """The fitted rule and threshold of each head, applied: active cells by pitch."""
+    on = E.apply_fitted(_z(spark, d), _heads(spark, d), o127(spark, d))
+    return on.groupBy("head", "pitch").agg(F.sum("on").alias("predicted"), F.count("*").alias("frames"))
+
+
+#: fixed values: members of each head over all banks, and the head's threshold
+GLOBAL = {"activity": (0, 7, -169), "onset": (7, 17, -492)}
+SC17 = """sc AS (SELECT c AS member, vec_id AS frame, p AS pitch, floor(embedding[(10 * c + p) % 64 + 1]::DOUBLE * 1000)::INT AS score, (label = p)::INT AS truth
+  FROM (SELECT vec_id, label, embedding, unnest(range(0, 17))::INT AS c FROM embeddings), (SELECT unnest(range(0, 10))::INT AS p))"""
+
 
+def _bank(spark, d):
+    """Scores of 17 members: member m scores pitch p by feature (10m + p) mod 64."""
+    x = table(spark, d, "embeddings")
+    cell = F.explode(F.sequence(F.lit(0), F.lit(169))).alias("c")
+    rows = x.select(F.col("vec_id").alias("frame"), "label", "embedding", cell)
+    return rows.select(
+        F.floor(F.col("c") / 10).cast("int").alias("member"), "frame", (F.col("c") % 10).cast("int").alias("pitch"),
+        F.floor(F.element_at("embedding", F.col("c") % 64 + 1).cast("double") * 1000).cast("int").alias("score"), (F.col("label") == F.col("c") % 10).cast("int").alias("truth"),
+    )
 
-@query("o129_global_fusion", with_ctes("sc", body="," + SCALE + """ SELECT head, count(*) FILTER (WHERE s >= t) AS predicted FROM (SELECT CASE WHEN member < 3 THEN 'activity' ELSE 'onset' END AS head, CASE WHEN member < 3 THEN 300 ELSE 500 END AS t, frame, pitch,
-  round_even((list_reduce(list(z ORDER BY member), lambda a, b: (a + b)::FLOAT) / 3::FLOAT)::FLOAT::DOUBLE * 1024, 0) AS s FROM nz GROUP BY 1, 2, 3, 4) GROUP BY head"""))
+
+@query("o129_global_fusion", f"WITH {SC17},\n" + SCALE + """ SELECT head, pitch, count(*) FILTER (WHERE s >= CASE head WHEN 'activity' THEN -169 ELSE -492 END) AS predicted, count(*) AS frames FROM (
+  SELECT CASE WHEN member < 7 THEN 'activity' ELSE 'onset' END AS head, frame, pitch, round_even((list_reduce(list(z ORDER BY member), lambda a, b: (a + b)::FLOAT) / count(*)::FLOAT)::FLOAT::DOUBLE * 1024, 0) AS s FROM nz GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def o129(spark, d):
-    z = _z(spark, d)
+    s = _bank(spark, d)
+    z = s.join(small(E.robust_scale(s, "member")), "member").withColumn("z", E.normalised(F.col("score"), F.lit(20), F.round("scale", 4)))
     out = None
-    for head, test, cut in (("activity", F.col("member") < 3, 300), ("onset", F.col("member") >= 3, 500)):
-        one = E.fuse(z.where(test), "mean").agg(F.count_if(E.quantise(F.col("fused")) >= cut).alias("predicted")).select(F.lit(head).alias("head"), "predicted")
-        out = one if out is None else out.unionByName(one)
-    return out
+    for head, (first, last, cut) in GLOBAL.items():
+        on = E.fuse(z.where((F.col("member") >= first) & (F.col("member") < last)), "mean").select(F.lit(head).alias("head"), "pitch", (E.quantise(F.col("fused")) >= cut).cast("int").alias("on"))
+        out = on if out is None else out.unionByName(on)
+    return out.groupBy("head", "pitch").agg(F.sum("on").alias("predicted"), F.count("*").alias("frames"))
+
+
+PICK = """, tr AS (SELECT pitch, frame % 10 AS track, frame // 10 AS at FROM sc WHERE member = 0 AND truth = 1),
+cut AS (SELECT member, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY f1 DESC, score DESC) AS k FROM fc) WHERE k = 1),
+pr AS (SELECT rl.member, rl.pitch, frame % 10 AS track, frame // 10 AS at, truth FROM rl JOIN cut USING (member) WHERE score >= threshold),
+ex AS (SELECT member, count(*) AS predicted, sum(truth) AS tp FROM pr GROUP BY 1),
+tp AS (SELECT member, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fp FROM (SELECT member, EXISTS (SELECT 1 FROM tr WHERE tr.track = pr.track AND tr.pitch = pr.pitch AND abs(tr.at - pr.at) <= 2) AS hit FROM pr) GROUP BY 1),
+fn AS (SELECT member, count(*) FILTER (WHERE NOT hit) AS fn FROM (SELECT cut.member, EXISTS (SELECT 1 FROM pr WHERE pr.member = cut.member AND tr.track = pr.track AND tr.pitch = pr.pitch AND abs(tr.at - pr.at) <= 2) AS hit FROM tr, cut) GROUP BY 1),
+al AS (SELECT member, round(2 * tp.tp / greatest(2 * tp.tp + fp + fn, 1), 6) AS tolerant_f1, round(2 * ex.tp / greatest(predicted + (SELECT count(*) FROM tr), 1), 6) AS exact_f1, abs(predicted - (SELECT count(*) FROM tr)) AS off FROM ex JOIN tp USING (member) JOIN fn USING (member))"""
 
 
-@query("o130_pick_fusion_rule", with_ctes("sc", body="," + SCALE + FIT.format(rules=RULES) + " SELECT member, round(f1, 6) AS f1 FROM (SELECT member, max(f1) AS f1 FROM fc GROUP BY 1) ORDER BY f1 DESC, member LIMIT 1"))
+@query("o130_pick_fusion_rule", with_ctes("sc", body="," + SCALE + FIT.format(rules=RULES) + PICK + " SELECT member, tolerant_f1, exact_f1 FROM al ORDER BY tolerant_f1 DESC, exact_f1 DESC, off, member LIMIT 1"))
 def o130(spark, d):
-    return E.pick(S.calibrate(_rules(spark, d), 1.5, "member").select("member", "f1"), F.col("f1").desc(), F.col("member"))
+    """The rule with the best tolerant F1, then exact F1, then the count nearest to the targets'."""
+    rules = _rules(spark, d)
+    cuts = S.calibrate(rules, 1.5, "member").select("member", "threshold")
+    cells = rules.join(small(cuts), "member").withColumn("p", (F.col("score") >= F.col("threshold")).cast("int"))
+    place = (F.col("member").alias("rule"), F.pmod("frame", F.lit(10)).alias("track"), "pitch", F.floor(F.col("frame") / 10).alias("frame"))
+    truth, predicted = cells.where("truth = 1").select(*place), cells.where("p = 1").select(*place)
+    near = M.tolerant_presence(truth, predicted, 2, "rule", apart=("rule",)).withColumn("tolerant_f1", F.round(2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)), 6))
+    exact = cells.groupBy("member").agg(F.count_if((F.col("p") == 1) & (F.col("truth") == 1)).alias("tp"), F.sum("p").alias("predicted"), F.sum("truth").alias("target"))
+    exact = exact.select(F.col("member").alias("rule"), F.round(S.f1(), 6).alias("exact_f1"), F.abs(F.col("predicted") - F.col("target")).alias("off"))
+    ranked = near.select("rule", "tolerant_f1").join(exact, "rule")
+    return E.pick(ranked, F.col("tolerant_f1").desc(), F.col("exact_f1").desc(), "off", "rule").select(F.col("rule").alias("member"), "tolerant_f1", "exact_f1")
 
 
 @query("o095_ensemble_gain", with_ctes("sc", body="," + SCALE + FIT.format(rules=RULES) + """,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from framelark.functions import dsp
 from framelark.operators import features as X
@@ -43,16 +44,33 @@ def o029(spark, d):
     return features(spark, d).select("frame", F.round(dsp.salience(F.slice("x", 1, 6), 6), 6).alias("salience"))
 
 
-@query(
-    "o030_local_contrast",
-    with_ctes("longx", body="""SELECT frame, d, round(least(greatest(v - (coalesce(lag(v) OVER w, 0) + coalesce(lead(v) OVER w, 0)) / 2 + 0.5, 0), 1), 6) AS contrast
-      FROM longx WINDOW w AS (PARTITION BY frame ORDER BY d)"""),
-)
-def o030(spark, d):
-    x = F.col("x")
-    left, right = F.concat(F.array(F.lit(0.0)), F.slice(x, 1, 63)), F.concat(F.slice(x, 2, 63), F.array(F.lit(0.0)))
-    side = F.zip_with(left, right, lambda a, b: (a + b) / 2)
-    return features(spark, d).select("frame", F.posexplode(F.zip_with(x, side, lambda a, b: F.round(dsp.centred(a - b), 6))).alias("d", "contrast"))
+#: the fundamental of a frame, and its harmonics and their sides, from the magnitudes of its 64 bins
+HARMONICS = """hm AS (SELECT vec_id AS frame, list_transform(embedding::DOUBLE[], lambda v: abs(v)) AS e, (2 + vec_id % 8)::DOUBLE AS f, unnest(range(1, 7))::INT AS h FROM embeddings),
+sp AS (SELECT frame, h, e, f, unnest([0.0, -0.5, 0.5])::DOUBLE AS m FROM hm),
+po AS (SELECT frame, h, m, e, f * pow(2.0::DOUBLE, m / 12) * h AS pos FROM sp),
+un AS (SELECT frame, h, m, least(greatest((20 * log10(greatest(CASE WHEN floor(pos) + 1 > 64 THEN 0 ELSE e[floor(pos)::INT + 1] * (1 - (pos - floor(pos))) + coalesce(e[floor(pos)::INT + 2], 0) * (pos - floor(pos)) END, 1e-7)) + 100) / 100, 0), 1) AS u FROM po),
+hs AS (SELECT frame, h, max(u) FILTER (WHERE m = 0) AS u, 0.5 * sum(u) FILTER (WHERE m <> 0) AS side, 1 / sqrt(h) / (SELECT sum(1 / sqrt(i)) FROM range(1, 7) t(i)) AS w FROM un GROUP BY frame, h)"""
+
+
+def _bins(spark, d):
+    x = table(spark, d, "embeddings")
+    return x.select(F.col("vec_id").alias("frame"), F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("x"), (2 + F.pmod("vec_id", F.lit(8))).cast("double").alias("f"))
+
+
+@query("o030_contrast_fundamental", f"WITH {HARMONICS} SELECT frame, round(least(greatest(sum(u * w) - max(side) FILTER (WHERE h = 1) + 0.5, 0), 1), 6) AS contrast FROM hs GROUP BY frame")
+def o030_fundamental(spark, d):
+    return _bins(spark, d).select("frame", F.round(dsp.local_contrast(F.col("x"), F.col("f"), 6, False), 6).alias("contrast"))
+
+
+@query("o030_contrast_harmonic", f"WITH {HARMONICS} SELECT frame, round(least(greatest(sum(u * w) - sum(side * w) + 0.5, 0), 1), 6) AS contrast FROM hs GROUP BY frame")
+def o030_harmonic(spark, d):
+    return _bins(spark, d).select("frame", F.round(dsp.local_contrast(F.col("x"), F.col("f"), 6, True), 6).alias("contrast"))
+
+
+@query("o031_local_profile", f"WITH {HARMONICS} SELECT frame, h, round(least(greatest(u - side + 0.5, 0), 1), 6) AS value FROM hs")
+def o031(spark, d):
+    profile = F.posexplode(dsp.local_profile(F.col("x"), F.col("f"), 6)).alias("h", "value")
+    return _bins(spark, d).select("frame", profile).select("frame", (F.col("h") + 1).alias("h"), F.round("value", 6).alias("value"))
 
 
 @query(
@@ -66,24 +84,31 @@ def o033(spark, d):
 
 @query(
     "o034_fast_minus_slow",
-    """WITH RECURSIVE x AS (SELECT vec_id % 10 AS track, vec_id AS frame, embedding[1]::DOUBLE AS v FROM embeddings),
-    e AS (SELECT track, frame, v, v AS ema FROM x WHERE frame < 10
-          UNION ALL SELECT x.track, x.frame, x.v, e.ema + 0.08 * (x.v - e.ema) FROM e JOIN x ON x.frame = e.frame + 10)
-    SELECT track, frame, round(least(greatest(v - ema + 0.5, 0), 1), 6) AS value FROM e""",
+    """WITH RECURSIVE x AS (SELECT vec_id % 10 AS track, vec_id AS frame, unnest(range(0, 64))::INT AS d, unnest(embedding)::DOUBLE AS v FROM embeddings),
+    e AS (SELECT track, frame, d, v, v AS ema FROM x WHERE frame < 10
+          UNION ALL SELECT x.track, x.frame, x.d, x.v, e.ema + 0.08 * (x.v - e.ema) FROM e JOIN x ON x.frame = e.frame + 10 AND x.d = e.d)
+    SELECT track, frame, d, round(least(greatest(v - ema + 0.5, 0), 1), 6) AS value FROM e""",
 )
 def o034(spark, d):
-    return X.smoothed(features(spark, d).withColumn("x", F.slice("x", 1, 1))).select("track", "frame", F.round(F.col("x")[0], 6).alias("value"))
+    return X.smoothed(features(spark, d)).select("track", "frame", F.posexplode("x").alias("d", "value")).withColumn("value", F.round("value", 6))
 
 
 @query(
     "o035_frame_globals",
-    with_ctes("longx", body="""SELECT frame, round(sqrt(sum(v * v) / 64), 6) AS rms, round(sum(d * abs(v)) / greatest(sum(abs(v)), 1e-12) / 63, 6) AS centroid FROM longx GROUP BY frame"""),
+    with_ctes("longx", body=""" SELECT frame, round(least(greatest((20 * log10(greatest(sqrt(sum(v * v) / 64), 1e-7)) + 100) / 100, 0), 1), 6) AS rms, round(least(40 * sum(greatest(abs(v) - p, 0)) / 64, 1), 6) AS flux,
+      round(least(CASE WHEN sum(abs(v)) > 1e-9 THEN sum(d * abs(v)) / sum(abs(v)) ELSE 0 END / 63, 1), 6) AS centroid FROM
+      (SELECT *, coalesce(abs(lag(v) OVER (PARTITION BY track, d ORDER BY frame)), 0) AS p FROM longx) GROUP BY frame"""),
 )
 def o035(spark, d):
-    power = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    mass = F.aggregate("x", F.lit(0.0), lambda s, v: s + F.abs(v))
-    moment = F.aggregate(F.transform("x", lambda v, i: F.abs(v) * i), F.lit(0.0), lambda s, v: s + v)
-    return features(spark, d).select("frame", F.round(F.sqrt(power / 64), 6).alias("rms"), F.round(moment / F.greatest(mass, F.lit(1e-12)) / 63, 6).alias("centroid"))
+    """Loudness in decibels, broadband flux and spectral centroid of each frame, all from 0 to 1."""
+    before = F.coalesce(F.lag("m").over(W.partitionBy("track").orderBy("frame")), F.transform("m", lambda v: F.lit(0.0)))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    rows = features(spark, d).withColumn("m", F.transform("x", lambda v: F.abs(v))).withColumn("before", before)
+    rise = total(F.zip_with("m", "before", lambda a, b: F.greatest(a - b, F.lit(0.0)))) / 64
+    mass = total(F.col("m"))
+    centre = F.when(mass > 1e-9, total(F.transform("m", lambda v, i: v * i)) / mass).otherwise(0.0) / 63
+    loud = dsp.unit_db(F.sqrt(total(F.transform("m", lambda v: v * v)) / 64))
+    return rows.select("frame", F.round(loud, 6).alias("rms"), F.round(dsp.clip(rise * 40, 0.0, 1.0), 6).alias("flux"), F.round(dsp.clip(centre, 0.0, 1.0), 6).alias("centroid"))
 
 
 @query(
@@ -213,10 +238,10 @@ def o054_back(spark, d):
 
 @query(
     "o055_literal_encoding",
-    _thermo("SELECT f.track, f.frame, f.literal + CASE WHEN en.literal IS NULL THEN 64 ELSE 0 END AS literal FROM (SELECT vec_id % 10 AS track, vec_id AS frame, unnest(range(0, 64))::INT AS literal FROM embeddings) f LEFT JOIN en USING (track, frame, literal)"),
+    _thermo("SELECT f.track, f.frame, f.literal + CASE WHEN en.literal IS NULL THEN 256 ELSE 0 END AS literal FROM (SELECT vec_id % 10 AS track, vec_id AS frame, unnest(range(0, 256))::INT AS literal FROM embeddings) f LEFT JOIN en USING (track, frame, literal)"),
 )
 def o055(spark, d):
-    return X.with_negations(o051(spark, d).where("literal < 64"), features(spark, d), 64)
+    return X.with_negations(o051(spark, d), features(spark, d), 256)
 
 
 @query("o090_literal_audit", _thermo("SELECT count(*) AS frames, min(n)::BIGINT AS least, max(n)::BIGINT AS most, round(avg(n), 6) AS mean, median(n) AS median FROM (SELECT track, frame, count(*) AS n FROM en GROUP BY 1, 2)"))

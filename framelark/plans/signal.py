@@ -60,9 +60,9 @@ def o064(spark, d):
 @query("o117_clause_training")
 def o117(spark, d):
     rows = table(spark, d, "embeddings")
-    bits = F.array_compact(F.transform(F.slice("embedding", 1, 16), lambda v, i: F.when(v >= 0, i)))
+    bits = F.array_compact(F.transform("embedding", lambda v, i: F.when(v >= 0, i)))
     members = [{"member": m, "clauses": 10, "threshold": 5, "s": 3.0 + m, "epochs": 2, "seed": 42 + 9973 * m} for m in range(3)]
-    return G.train_clauses(rows.select((F.col("label") == 3).cast("int").alias("y"), bits.alias("literals")), members, 16)
+    return G.train_clauses(rows.select((F.col("label") == 3).cast("int").alias("y"), bits.alias("literals"), "vec_id"), members, 64)
 
 
 @query("o118_counter_random")

@@ -164,3 +164,99 @@ def test_streamed_notes_do_not_depend_on_batches(spark, tmp_path):
     one = run_stream(spark, tmp_path, "one", rows, "track long, pitch int, frame int", lambda s: causal.note_messages(s, 2, 3), [range(8)])
     two = run_stream(spark, tmp_path, "two", rows, "track long, pitch int, frame int", lambda s: causal.note_messages(s, 2, 3), [range(3), range(3, 6), range(6, 8)])
     assert one == two == [(0, 40, 4, 1), (0, 40, 9, 0), (0, 40, 13, 1), (0, 40, 16, 0)]
+
+
+def test_note_ons_and_midi_fixture(spark):
+    both = spark.createDataFrame([(0, p, f) for p in (0, 1) for f in range(12)], "track long, pitch int, frame int")
+    onsets = spark.createDataFrame([(0, 0, f) for f in (3, 4, 5, 8)] + [(0, 1, 4)], "track long, pitch int, frame int")
+    ons = N.note_ons(N.note_state(both, 12, 1, 2), onsets, 3)
+    assert {(r.pitch, r.frame, r.retrigger) for r in ons.collect()} == {(0, 0, False), (0, 3, True), (0, 8, True), (1, 0, False), (1, 4, True)}
+    midi = N.midi_of_notes(ons).orderBy("seq").collect()
+    assert [r.on for r in midi if r.tick == 3 * 960] == [0, 1] and sum(1 if r.on else -1 for r in midi) == 0
+    assert max(r.tick for r in midi) == 12 * 960 and sum(r.delta for r in midi) == 12 * 960
+
+
+def test_note_ons_against_a_frame_by_frame_decoder(spark):
+    rnd, act, ons, want = random.Random(7), [], [], set()
+    for track in range(50):
+        active, on, off, wait, before = False, 0, 0, 0, False
+        for f in range(60):
+            a, o = rnd.random() < 0.7, rnd.random() < 0.4
+            act += [(track, 40, f)] if a else []
+            ons += [(track, 40, f)] if o else []
+            wait, rising, before = max(wait - 1, 0), o and not before, o
+            if active:
+                off = 0 if a else off + 1
+                if off >= 4:
+                    active, off, on = False, 0, 0
+                if active and rising and not wait:
+                    want.add((track, f, True))
+                    wait = 5
+            else:
+                on = on + 1 if a else 0
+                if on >= 2:
+                    active, on, off, wait = True, 0, 0, 5
+                    want.add((track, f, False))
+    schema = "track long, pitch int, frame int"
+    got = N.note_ons(N.note_state(spark.createDataFrame(act, schema), 60, 2, 4), spark.createDataFrame(ons, schema), 5)
+    assert {(r.track, r.frame, r.retrigger) for r in got.collect()} == want
+
+
+def test_bounded_calibration_fixture(spark):
+    def run(scores, truth, cap):
+        rows = [(0, s, int((i, j) in truth)) for i, row in enumerate(scores) for j, s in enumerate(row)]
+        return S.calibrate(spark.createDataFrame(rows, "member int, score int, truth int"), cap, "member", floor=0.5, fall_back=True).first()
+
+    a = run([[5, 4], [3, 2], [1, 4], [0, -1]], {(0, 0), (1, 0), (2, 1)}, 1.5)
+    assert (a.threshold, a.tp, a.fp, a.fn, a.f1) == (3, 3, 1, 0, round(6 / 7, 6))
+    b = run([[5, 4], [3, 2], [1, 8], [0, -1]], {(2, 1)}, 4.0)
+    assert (b.threshold, b.tp, b.fp, b.f1) == (8, 1, 0, 1.0)
+    c = run([[7, 7], [7, 7]], set(), 1.5)
+    assert (c.threshold, c.tp, c.fp) == (8, 0, 0)
+    d = run([[9, 9], [9, 9]], {(0, 0)}, 1.5)  # no allowed threshold: the best of all
+    assert (d.threshold, d.tp, d.fp) == (9, 1, 3)
+
+
+def test_event_metrics_against_brute_force(spark):
+    rnd = random.Random(11)
+    targets = [(i, 0, rnd.choice([40, 41, 45]), rnd.randrange(80), rnd.random() < 0.3, rnd.random() < 0.3, rnd.random() < 0.5) for i in range(60)]
+    given = [(i, 0, rnd.choice([40, 41, 45]), rnd.randrange(80)) for i in range(70)]
+    t = spark.createDataFrame(targets, "event_id long, track long, pitch int, frame int, retrigger boolean, active_previous boolean, chord boolean")
+    p = spark.createDataFrame(given, "event_id long, track long, pitch int, frame int")
+    onset = lambda x: x.select("track", "pitch", "frame", F.col("event_id").alias("id"))
+    got = {(r.subset, r.tolerance): r for r in M.event_metrics(t, p, M.match_onsets(onset(t), onset(p), [0, 2]), 41).collect()}
+    for tolerance in (0, 2):
+        matched = set()
+        for pitch in (40, 41, 45):
+            a = sorted((x[3], x[0]) for x in targets if x[2] == pitch)
+            b = sorted((x[3], x[0]) for x in given if x[2] == pitch)
+            i = j = 0
+            while i < len(a) and j < len(b):
+                if abs(a[i][0] - b[j][0]) <= tolerance:
+                    matched.add(a[i][1])
+                    i, j = i + 1, j + 1
+                elif b[j][0] < a[i][0]:
+                    j += 1
+                else:
+                    i += 1
+        r = got["all", tolerance]
+        assert (r.tp, r.fp, r.fn) == (len(matched), 70 - len(matched), 60 - len(matched))
+        low = {x[0] for x in targets if x[2] <= 41}
+        r = got["low", tolerance]
+        assert (r.tp, r.fp, r.targets) == (len(matched & low), sum(x[2] <= 41 for x in given) - len(matched & low), len(low))
+        chord = {x[0] for x in targets if x[6]}
+        assert got["chord", tolerance].recall == round(len(matched & chord) / len(chord), 6)
+
+
+def test_smoothing_does_not_depend_on_blocks(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.random((2, 50, 3))
+    rows = [(t, 7 * f, x[t, f].tolist()) for t in range(2) for f in range(50)]
+    wide = spark.createDataFrame(rows, "track long, frame long, x array<double>")
+    for span in (4096, 30):
+        got = {(r.track, r.frame): r.x for r in X.smoothed(wide, 0.08, span).collect()}
+        for t in range(2):
+            ema = x[t, 0].copy()
+            for f in range(50):
+                ema += 0.08 * (x[t, f] - ema)
+                assert got[t, 7 * f] == pytest.approx(np.clip(x[t, f] - ema + 0.5, 0, 1))
