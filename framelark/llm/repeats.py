@@ -9,18 +9,19 @@ same document. Every word of a removed window is cut.
    Equal windows have equal minimizers, so a window can only recur if its anchor does.
    Anchors are counted over all documents (8 bytes each, summed map-side first).
 2. Runs. Consecutive windows with the same recurring anchor form a run. Its words
-   go to the shard of the anchor. Nothing else of a text leaves its document.
-3. Phrases. In a shard the windows that occur twice or more are confirmed and
-   compiled, over word numbers, into Aho-Corasick automata of bounded size. A run that
+   go to the shard of the anchor. Nothing else of a text leaves its document, so all documents are streamed, but each
+   only to the automata that can hold something of it.
+3. Phrases. In a shard the windows whose hashes occur twice or more are confirmed, and their words
+   compiled, as word numbers, into Aho-Corasick automata of bounded size. A run that
    only occurs as a whole is one phrase; else each of its windows is.
-4. Occurrences. All runs of the shard are streamed through the automata; every located
-   phrase but its first occurrence is removed.
+4. Occurrences. All runs of the shard are streamed through the automata, which locate every occurrence of each
+   phrase by its words; the first stays, the others are removed.
 
 Anchors met more than HOT times are not left to one task. Their windows (first
 occurrence and count) are summed up by a groupBy on the words, and those that occur once are
 dropped. The confirmed ones of an anchor are dealt by their words over buckets of about
 AUTOMATON_PHRASES, and a run goes to the buckets of its windows. Each bucket is dealt
-over SALTS sub-shards by document, its phrases to all of them. So a passage that a third of
+over sub-shards by document, one for every HOT occurrences of the anchor by bucket, and its phrases to all of them. So a passage that a third of
 all documents share is spread, and no task holds more phrases than a bucket.
 
 Equality of windows is decided on the words themselves, inside the automata. Hashes
@@ -46,13 +47,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelark.llm.common import bounded_batches, fresh, stash
-from framelark.llm.textscan import NON_SPACE, Words, slices, windows
+from framelark.llm.common import bounded_batches, fresh, small, stash
+from framelark.llm.textscan import NON_SPACE, Words, inside, slices, windows
 
 WINDOW = 20
 GRAM = 6
-HOT = 4_000  # occurrences of an anchor from which its runs are spread over SALTS tasks
-SALTS = 16
+HOT = 4_000  # occurrences of an anchor from which its runs are spread, and of which a task then gets about so many
 AUTOMATON_PHRASES = 20_000
 LAST_ID = 2**63 - 1
 
@@ -115,7 +115,8 @@ def anchors(window: int):
 
 
 #: kind 0: sums of a hot window, 1: a run of a hot anchor, 2: any other run
-RUNS = "shard long, kind int, rid long, id long, start int, words string, n int"
+#: total: occurrences of a hot anchor
+RUNS = "shard long, kind int, rid long, id long, start int, words string, n int, total long"
 HELD_PHRASES = 50_000
 
 
@@ -123,7 +124,7 @@ def runs_of(window: int, sums_only: bool = False):
     """mapInArrow: the runs of each text whose anchors are in `cold` or `hot`, or else the sums of hot windows; shard is the anchor."""
 
     def cut(batches):
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         held = 0
         sums: dict[tuple[int, bytes], list] = {}
 
@@ -132,16 +133,16 @@ def runs_of(window: int, sums_only: bool = False):
                 column.append(value)
 
         def batch_of() -> pa.RecordBatch:
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
             arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
             arrays[5] = arrays[5].cast(pa.string())
             for c in out:
                 c.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["shard", "kind", "rid", "id", "start", "words", "n"])
+            return pa.RecordBatch.from_arrays(arrays, names=["shard", "kind", "rid", "id", "start", "words", "n", "total"])
 
         def phrases():
-            for (key, words), (at, start, n) in sums.items():
-                put(key, 0, None, at, start, words, n)
+            for (key, words), (at, start, n, total) in sums.items():
+                put(key, 0, None, at, start, words, n, total)
                 if len(out[0]) >= 20_000:
                     yield batch_of()
             sums.clear()
@@ -165,7 +166,8 @@ def runs_of(window: int, sums_only: bool = False):
                     rid, ident = rids[lo + d], ids[lo + d]
                     edges = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
                     keys = m[edges].view(np.int64)
-                    is_hot = np.isin(keys, np.asarray(hot[lo + d].values))
+                    totals = {x["h"]: x["n"] for x in hot[lo + d].as_py()}
+                    is_hot = np.isin(keys, np.fromiter(totals, np.int64, len(totals)))
                     wanted = is_hot if sums_only else is_hot | np.isin(keys, np.asarray(cold[lo + d].values))
                     ends = np.concatenate([edges[1:], [len(m)]])
                     for k in np.flatnonzero(wanted).tolist():
@@ -174,13 +176,13 @@ def runs_of(window: int, sums_only: bool = False):
                         text = b" ".join(words)
                         if not sums_only:
                             held += len(text) + 60
-                            put(key, 1 if is_hot[k] else 2, rid, ident, i, text, 1)
+                            put(key, 1 if is_hot[k] else 2, rid, ident, i, text, 1, totals.get(key))
                             continue
                         for x in range(j - i - window + 1):
                             phrase = (key, b" ".join(words[x : x + window]))
                             old = sums.get(phrase)
                             if old is None:
-                                sums[phrase] = [ident, i + x, 1]
+                                sums[phrase] = [ident, i + x, 1, totals[key]]
                             else:
                                 old[:2] = min((old[0], old[1]), (ident, i + x))
                                 old[2] += 1
@@ -202,7 +204,8 @@ class Locator:
         self.window = window
         self.numbers: dict[str, int] = {}
         self.automata: list = []
-        self.first: list[tuple[int, int]] = []
+        self.first: list[tuple[int, int] | None] = []  # first occurrence of each phrase
+        self.length: list[int] = []
         self._open = None
 
     def number(self, words: str) -> tuple[int, ...]:
@@ -214,22 +217,28 @@ class Locator:
         get, none = self.numbers.get, len(self.numbers)
         return tuple([get(w, none) for w in words.split(" ")])
 
-    def add(self, phrase: tuple[int, ...], first: tuple[int, int]) -> None:
+    def add(self, phrase: tuple[int, ...], first: tuple[int, int] | None = None) -> None:
         if self._open is None or len(self._open) >= AUTOMATON_PHRASES:
             self._open = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
             self.automata.append(self._open)
         self._open.add_word(phrase, len(self.first))
-        self.first.append((first, len(phrase)))
+        self.first.append(first)
+        self.length.append(len(phrase))
 
     def compile(self) -> None:
         for a in self.automata:
             a.make_automaton()
 
-    def locate(self, numbers: tuple[int, ...]) -> list[tuple[int, int, tuple[int, int]]]:
-        """(start within the run, windows, first occurrence) of every located phrase, sorted."""
-        first, w = self.first, self.window
-        found = ((end, *first[k]) for a in self.automata for end, k in a.iter(numbers))
-        return sorted((end - n + 1, n - w + 1, at) for end, at, n in found)
+    def locate(self, numbers: tuple[int, ...]) -> list[tuple[int, int, int]]:
+        """(start within the run, windows, phrase) of every located phrase, sorted."""
+        length, w = self.length, self.window
+        return sorted((end - length[k] + 1, length[k] - w + 1, k) for a in self.automata for end, k in a.iter(numbers))
+
+    def meet(self, located: list[tuple[int, int, int]], at: int, start: int) -> None:
+        """Count an occurrence of what was located in a run of document `at` that begins at `start`."""
+        for i, _, k in located:
+            if self.first[k] is None or (at, start + i) < self.first[k]:
+                self.first[k] = (at, start + i)
 
 
 def _ranges(starts: list[int]) -> list[list[int]]:
@@ -251,49 +260,54 @@ def _removed(locator: Locator, rows: list[tuple], located: dict[str, list]) -> p
     """Which windows of each run (rid, id, start, words) are not in the first occurrence of their phrase."""
     rids, cuts = [], []
     for rid, at, start, words in rows:
-        gone = sorted({start + i + x for i, n, first in located[words] if first < (at, start + i) for x in range(n)})
+        gone = sorted({start + i + x for i, n, k in located.get(words, ()) if locator.first[k] < (at, start + i) for x in range(n)})
         if gone:
             rids.append(rid)
             cuts.append(_ranges(gone))
     return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(cuts, _CUT_TYPE)], names=["rid", "cuts"])
 
 
+def _window_hashes(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place within it, hash) of every window of some texts, in order."""
+    parts = []
+    for lo, _, buf, offs in slices(pa.array(texts, pa.string())):
+        w = Words(buf, offs, NON_SPACE)
+        starts = np.flatnonzero(inside(w.first, window, len(w)))
+        doc = w.doc[starts]
+        parts.append((lo + doc, starts - w.first[doc], windows(w.hashes(), window)[starts]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 def _cold(window: int, groups: list[list[tuple]]) -> pa.RecordBatch:
     """Confirm, compile and locate the runs of some anchors."""
-    locator = Locator(window)
-    numbers: dict[str, tuple] = {}
+    copies: dict[str, list] = {}  # of each different run
+    alone: set[str] = set()  # runs that are the only one of their anchor
     for rows in groups:
-        texts: dict[str, list] = {}  # first occurrence and count of each different run
         for _, at, start, words in rows:
-            old = texts.get(words)
-            if old is None:
-                texts[words] = [(at, start), 1]
-            else:
-                old[0] = min(old[0], (at, start))
-                old[1] += 1
-        for words in texts:
-            numbers[words] = locator.number(words)
-        if len(texts) == 1:
-            (words, (first, n)), text = next(iter(texts.items())), numbers[next(iter(texts))]
-            if len({text[i : i + window] for i in range(len(text) - window + 1)}) == len(text) - window + 1:
-                if n > 1:
-                    locator.add(text, first)
-                continue
-        met: dict[tuple, list] = {}
-        for words, ((at, start), n) in texts.items():
-            text = numbers[words]
-            for i in range(len(text) - window + 1):
-                old = met.get(text[i : i + window])
-                if old is None:
-                    met[text[i : i + window]] = [(at, start + i), n]
-                else:
-                    old[0] = min(old[0], (at, start + i))
-                    old[1] += n
-        for phrase, (first, n) in met.items():
-            if n > 1:
-                locator.add(phrase, first)
+            copies.setdefault(words, []).append((at, start))
+        if all(r[3] == rows[0][3] for r in rows):
+            alone.add(rows[0][3])
+    texts = list(copies)
+    of, place, hashes = _window_hashes(texts, window)
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    times = np.bincount(which, np.array([len(copies[t]) for t in texts], np.int64)[of], len(first))
+    confirmed = times[which] > 1
+    n_windows, n_confirmed, n_first = (np.bincount(x, minlength=len(texts)) for x in (of, of[confirmed], of[first]))
+
+    locator = Locator(window)
+    numbers = {t: locator.number(texts[t]) for t in np.flatnonzero(n_confirmed).tolist()}
+    whole = {t for t in numbers if texts[t] in alone and n_first[t] == n_windows[t] == n_confirmed[t]}
+    for t in whole:
+        locator.add(numbers[t])
+    for k in first[confirmed[first]].tolist():
+        t = int(of[k])
+        if t not in whole:
+            locator.add(numbers[t][int(place[k]) : int(place[k]) + window])
     locator.compile()
-    located = {words: locator.locate(text) for words, text in numbers.items()}
+    located = {texts[t]: locator.locate(x) for t, x in numbers.items()}
+    for words, found in located.items():
+        for at, start in copies[words]:
+            locator.meet(found, at, start)
     return _removed(locator, [r for rows in groups for r in rows], located)
 
 
@@ -353,23 +367,23 @@ def locate(window: int):
     return run
 
 
-def dealt(texts: DataFrame, window: int) -> DataFrame:
+def dealt(texts: DataFrame, window: int, hot: int = HOT) -> DataFrame:
     """The rows that `locate` takes: cold runs by anchor, confirmed hot windows and hot runs by bucket and salt."""
     first = F.min(F.struct("id", "start"))
-    sums = texts.mapInArrow(runs_of(window, True), RUNS).groupBy("shard", "words").agg(first.alias("first"), F.sum("n").alias("n")).where("n > 1")
+    sums = texts.mapInArrow(runs_of(window, True), RUNS).groupBy("shard", "words").agg(first.alias("first"), F.sum("n").alias("n"), F.max("total").alias("total")).where("n > 1")
     # a row for AUTOMATON_PHRASES phrases at least, so this side is small
     buckets = sums.groupBy("shard").count().where(F.col("count") > AUTOMATON_PHRASES)
-    buckets = F.broadcast(buckets.select("shard", F.ceil(F.col("count") / AUTOMATON_PHRASES).alias("_b")))
+    buckets = small(stash(buckets.select("shard", F.ceil(F.col("count") / AUTOMATON_PHRASES).alias("_b"))))
     bucket = lambda words: F.pmod(F.xxhash64(words), F.coalesce("_b", F.lit(1)))
+    salts = F.ceil(F.col("total") / (F.lit(hot) * F.coalesce("_b", F.lit(1))))
     phrases = sums.join(buckets, "shard", "left").select(
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.xxhash64("shard", bucket(F.col("words")), s.cast("long")))).alias("shard"),
+        F.explode(F.transform(F.sequence(F.lit(0).cast("long"), salts - 1), lambda s: F.xxhash64("shard", bucket(F.col("words")), s))).alias("shard"),
         F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rid"), "first.id", "first.start", "words", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"),
     )
     words = F.split("words", " ")
     each = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: bucket(F.array_join(F.slice(words, i, F.lit(window)), " ")))
     own = F.when(F.col("_b").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(each))
-    salt = F.pmod("rid", F.lit(SALTS)).cast("long")
-    shards = F.when(F.col("kind") == 2, F.array("shard")).otherwise(F.transform(own, lambda b: F.xxhash64("shard", b, salt)))
+    shards = F.when(F.col("kind") == 2, F.array("shard")).otherwise(F.transform(own, lambda b: F.xxhash64("shard", b, F.pmod("rid", salts))))
     runs = texts.mapInArrow(runs_of(window), RUNS).join(buckets, "shard", "left")
     runs = runs.select(F.explode(shards).alias("shard"), "kind", "rid", "id", "start", "words", "n")
     return phrases.unionByName(runs)
@@ -381,18 +395,18 @@ def with_cuts(docs: DataFrame, into: str, key: str = "doc_id", text: str = "text
     rid = F.xxhash64(F.col(key), F.coalesce(text, F.lit("")))
     listed = stash(docs.select(rid.alias("rid"), F.explode(anchors(window)(F.col(text))).alias("a")).select("rid", "a.h", "a.n"))
     counted = listed.groupBy("h").agg(F.sum("n").alias("n"))
-    recurring = stash(counted.where("n > 1").select("h", (F.col("n") > hot).alias("hot")))
+    recurring = stash(counted.where("n > 1").select("h", F.col("n").alias("total"), (F.col("n") > hot).alias("hot")))
     wanted = (
         listed.select("rid", "h")
         .join(recurring, "h")
         .groupBy("rid")
-        .agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+        .agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.struct("h", F.col("total").alias("n")))).alias("hot"))
     )  # a document's own anchors
     # both joins read the same columns, so texts are shuffled once; the caller's travel as one struct, so no name of theirs meets one used here
     keyed = docs.select(rid.alias("key"), F.struct(*(F.col(c) for c in docs.columns)).alias("own"))
     found = keyed.join(wanted, F.col("key") == F.col("rid"))
     ident = F.coalesce(F.col("own")[key].cast("long"), F.lit(LAST_ID))
-    runs = dealt(found.select("rid", ident.alias("id"), F.col("own")[text].alias("text"), "cold", "hot"), window)
+    runs = dealt(found.select("rid", ident.alias("id"), F.col("own")[text].alias("text"), "cold", "hot"), window, hot)
     cuts = runs.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(locate(window), CUTS)
     cuts = cuts.groupBy("rid").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
     return keyed.join(cuts, F.col("key") == F.col("rid"), "left").select("own.*", F.col("cuts").alias(into))
