@@ -52,7 +52,7 @@ MINIMA = 128
 BANDS = 32
 ROWS = MINIMA // BANDS
 BLOCK = 4096  # members compared by signature in one group
-INDEX = 2048  # members of a component in one index
+INDEX = 512  # members of a component in one index
 SPREAD = 4.5  # standard errors by which a signature may fall short of the threshold
 
 _rng = np.random.default_rng(7)
@@ -135,14 +135,20 @@ def shingle_array(texts: pa.Array) -> pa.Array:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= threshold * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= threshold * union.
+
+    Few different a stand in many pairs. So pairs are dealt by a, in parts of about BLOCK; the set of a goes to each
+    part once, and the sets of its partners are streamed past it.
+    """
     wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = docs.join(small(wanted), "id", "left_semi").select("id", shingle_array(F.col("text")).alias("s"))
-    sets = stash(sets)  # read twice
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa") + F.size("sb") - shared
-    return both.where((shared > 0) & (100 * shared >= threshold * union)).select("a", "b").distinct()
+    sets = stash(docs.join(small(wanted), "id", "left_semi").select("id", shingle_array(F.col("text")).alias("s")))  # read twice
+    parts = stash(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    hubs = sets.join(parts, F.col("id") == F.col("a")).select("id", "s", part).select(F.xxhash64("id", "part").alias("group"), F.lit(None).cast("long").alias("small"), "id", "s")
+    others = pairs.join(small(parts), "a").join(sets, F.col("b") == F.col("id"))
+    others = others.select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("group"), F.col("b").alias("small"), "id", "s")
+    rows = hubs.unionByName(others).repartition("group").sortWithinPartitions("group", F.col("small").isNotNull(), "small")
+    return rows.mapInArrow(_settle(threshold), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
