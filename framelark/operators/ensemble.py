@@ -70,32 +70,37 @@ RULES = {"activity": ("mean",), "onset": ("mean", "top2_mean", "max")}
 CAPS = {"activity": 1.5, "onset": 4.0}
 
 
-def fit(members: DataFrame, heads: DataFrame) -> DataFrame:
-    """head, rule, threshold, f1: for each head the first of its rules whose calibrated F1 no later one beats.
+def fused_by_rule(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """head, rule, place, frame, pitch, score, truth: every head under each of its rules, from one grouping of the members.
 
     members: member, frame, pitch, z, truth; heads: member, head (a row for each member).
     """
-    found = None
+    cells = members.join(small(heads), "member").groupBy("head", "frame", "pitch").agg(F.array_sort(F.collect_list(F.struct("member", "z"))).alias("s"), F.max("truth").alias("truth"))
+    values = F.transform("s", lambda x: x["z"])  # one entry for each member
+    best = F.slice(F.sort_array(values, asc=False), 1, 2)
+    mean = lambda x: (F.aggregate(x, F.lit(0.0).cast("float"), lambda a, b: (a + b).cast("float")) / F.size(x)).cast("float")
+    fused = {"mean": mean(values), "top2_mean": mean(best), "max": F.array_max(values)}
+    options = None
     for head, rules in RULES.items():
-        z = members.join(heads.where(F.col("head") == head), "member")
-        truth = z.groupBy("frame", "pitch").agg(F.max("truth").alias("truth"))
-        for place, rule in enumerate(rules):
-            scored = fuse(z, rule).select("frame", "pitch", quantise(F.col("fused")).alias("score"), F.lit(head).alias("head"), F.lit(rule).alias("rule"), F.lit(place).alias("place"))
-            one = calibrate(scored.join(truth, ["frame", "pitch"]), CAPS[head], "head", "rule", "place").select("head", "rule", "place", "threshold", "f1")
-            found = one if found is None else found.unionByName(one)
+        row = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(k).alias("place"), quantise(fused[r]).alias("score")) for k, r in enumerate(rules)))
+        options = F.when(F.col("head") == head, row) if options is None else options.when(F.col("head") == head, row)
+    return cells.select("head", "frame", "pitch", "truth", F.explode(options).alias("o")).select("head", "o.*", "frame", "pitch", "truth")
+
+
+def fit(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """head, rule, threshold, f1: for each head the first of its rules whose calibrated F1 no later one beats."""
+    cap = None
+    for head, bound in CAPS.items():
+        cap = F.when(F.col("head") == head, bound) if cap is None else cap.when(F.col("head") == head, bound)
+    found = calibrate(fused_by_rule(members, heads), cap, "head", "rule", "place")
     best = found.groupBy("head").agg(F.max_by(F.struct("rule", "threshold", "f1"), F.struct("f1", -F.col("place"))).alias("b"))  # a few rows
     return best.select("head", "b.*")
 
 
 def apply_fitted(members: DataFrame, heads: DataFrame, fitted: DataFrame) -> DataFrame:
     """head, frame, pitch, on: each head fused by its fitted rule and cut at its fitted threshold."""
-    out = None
-    for head, rules in RULES.items():
-        z = members.join(heads.where(F.col("head") == head), "member")
-        for rule in rules:
-            one = fuse(z, rule).select(F.lit(head).alias("head"), F.lit(rule).alias("rule"), "frame", "pitch", quantise(F.col("fused")).alias("score"))
-            out = one if out is None else out.unionByName(one)
-    return out.join(fitted.select("head", "rule", "threshold"), ["head", "rule"]).select("head", "frame", "pitch", (F.col("score") >= F.col("threshold")).cast("int").alias("on"))
+    chosen = fused_by_rule(members, heads).join(small(fitted.select("head", "rule", "threshold")), ["head", "rule"])
+    return chosen.select("head", "frame", "pitch", (F.col("score") >= F.col("threshold")).cast("int").alias("on"))
 
 
 def quantise(fused: Column, steps: int = 1024) -> Column:

@@ -84,7 +84,7 @@ def f1() -> Column:
     return 2.0 * F.col("tp") / F.greatest(F.col("predicted") + F.col("target"), F.lit(1))
 
 
-def calibrate(scores: DataFrame, cap: float, *by: str, floor: float | None = None, fall_back: bool = False) -> DataFrame:
+def calibrate(scores: DataFrame, cap: float | Column, *by: str, floor: float | None = None, fall_back: bool = False) -> DataFrame:
     """Best F1 threshold with predicted <= cap * target (and >= floor * target if given); the higher one on ties.
 
     Without an allowed threshold the best of all counts if `fall_back`. If none scores above 0
