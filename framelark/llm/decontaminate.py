@@ -264,7 +264,8 @@ def benchmark_hits(text: Column, block: list[tuple[str, str]], window: int, spar
             names=HITS.fieldNames(),
         )
 
-    return scan(text, F.lit(None).cast(HITS) if before is None else before)
+    # not deterministic to the planner: so a filter on the hits doesn't scan the texts once more
+    return scan.asNondeterministic()(text, F.lit(None).cast(HITS) if before is None else before)
 
 
 def with_hits(

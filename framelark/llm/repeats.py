@@ -473,7 +473,7 @@ def _cut_text(window: int):
             out.append(b"".join([*kept, raw[at:]]).decode())
         return pa.array(out, pa.string())
 
-    return cut
+    return cut.asNondeterministic()  # to the planner: so a filter on the new text doesn't cut once more
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **kw) -> DataFrame:
