@@ -4,6 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All stages but the last return
 the columns of `documents`; the last adds the columns of the mixture.
 
+A stage's result is written before the next stage begins; then the intermediate results of the earlier stage are removed.
+
 Edge cases, in all stages: a column of the documents keeps its name and values whatever its
 name is (columns that the last stage adds get underscores where theirs is taken); an
 empty table gives an empty table; repeated rows are treated alike, and those that repeat an id are
@@ -14,12 +16,27 @@ is in its docstring.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelark.llm import decontaminate, mixing, near_dedup, repeats, site_bayes
-from framelark.llm.common import shared_folder, table
+from framelark.llm.common import remove, shared_folder, stashes, table
+
+_made: list[str] = []  # intermediate results of the stage before
+
+
+def _stage(f):
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _made)
+        with stashes() as made:
+            out = f(spark, docs, sf_dir)
+        _made.extend(made)
+        return out
+
+    return run_stage
 
 
 def _recount(docs: DataFrame) -> DataFrame:
@@ -27,26 +44,31 @@ def _recount(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; null, empty and wordless texts are rejected. Null source or lang is a site or path of its own."""
     return site_bayes.without_bad(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that with the smallest id. Texts without words and null ids are in no group, and stay."""
     return near_dedup.without_near_duplicates(docs)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur earlier in the corpus are cut; a null id counts as the largest. Texts of fewer than 20 words stay as they are, null ones too; a text of which nothing is left goes."""
     return _recount(repeats.without_repeats(docs))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut; documents that are mostly benchmark go. Texts without hits, null ones too, stay byte for byte; items without words are ignored."""
     return _recount(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated or thinned to their target weights, and shuffled. A null source is a source of its own, a null id is drawn as an empty one; sources without text go."""
     return mixing.mix(docs)
@@ -71,4 +93,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+    remove(spark, _made)
     return docs
