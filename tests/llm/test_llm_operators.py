@@ -607,3 +607,59 @@ def test_region_is_chosen_for_each_page(spark):
     assert all(got[2 + i] == f"Head\nplain block {i} of some length" for i in range(2))
     assert all(got[10 + i] == "Head\nplain block same of some length" for i in range(4))
     assert got[20] == "deep text"
+
+
+def test_empty_tables(spark, docs):
+    names = pytest.importorskip("public_tokenizers")
+    none, labels = docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for made in (
+        near_dedup.near_duplicates(none),
+        repeats.report(none),
+        bpe_counts.count_documents(none, names.path("word_bpe_49k.json")),
+        main_text.extract_main_text(pages),
+        site_bayes.classify(none, labels),
+        site_bayes.without_bad(none, labels),
+        mixing.mix(none),
+    ):
+        assert made.columns and made.count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark, docs, rows):
+    from pyspark.sql import functions as F
+
+    twice = docs.unionByName(docs).unionByName(spark.createDataFrame([(None, rows[0][1], None, None, 0, ""), (None, rows[0][1], None, None, 0, "")], DOCS))
+    once = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
+    got = near_dedup.near_duplicates(twice).collect()
+    assert len(got) == 2 * len(rows) + 2
+    for r in got:
+        assert r.component_id is None and r.kept if r.doc_id is None else r == once[r.doc_id]
+    once = {r.doc_id: r for r in repeats.report(docs).collect()}
+    for r in repeats.report(twice).collect():
+        n = len(WORD.findall(rows[0][1]))
+        assert (r.n_words, r.n_removed) == (n, n if n >= 20 else 0) if r.doc_id is None else r == once[r.doc_id]
+    scored = pitman_yor.score_documents(twice).collect()
+    assert len(scored) == len(got) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in scored)
+    assert [r.held_out for r in scored if r.doc_id is None] == [True, True]
+    count = {}
+    for i, t, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            for x in WORD.findall(lower(t)) + [None]:
+                count[x] = count.get(x, 0) + 2
+    n, v = sum(count.values()), len(count)
+    base = {i: sum(math.log10((count.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in WORD.findall(lower(t)) + [None]) for i, t, *_ in rows}
+    assert all(r.base_score == pytest.approx(base[0 if r.doc_id is None else r.doc_id]) for r in scored)
+    mixed = mixing.mix(twice).groupBy("doc_id", "copy").agg(F.count("*").alias("n")).where("doc_id is not null").collect()
+    assert mixed and all(r.n == 2 for r in mixed)
+    bench = spark.createDataFrame([(None, rows[2][1])], "item_id long, text string")
+    hit = {r.doc_id: r for r in decontaminate.report(docs, bench).collect()}[2]
+    assert hit.contaminated and hit.n_items == 0 and hit.n_hit == hit.n_words
+
+
+def test_verdict_of_quality_rules_is_the_first_rule_that_fires(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(45)], "doc_id long, quality int, toxic int")
+    rules = quality_rules.learn_rules(docs, labels) or [[quality_rules.Test("chars_per_word", True, 3.2)]]
+    rules.append([quality_rules.Test("words", False, 31.0), quality_rules.Test("repeat_share", True, 0.0)])
+    for r in quality_rules.judge(docs, labels, rules=rules).collect():
+        x = {f: np.array([r[a] / max(r[b], 1) if b else float(r[a])]) for f, (a, b) in quality_rules.FEATURES.items()}
+        assert r.kept == (not r.base_failed and not any(quality_rules.cover_of(rule, x)[0] for rule in rules))
