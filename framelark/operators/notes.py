@@ -172,3 +172,56 @@ def complexity_profile(events: DataFrame, roll: DataFrame, frames: int) -> DataF
         F.round(F.coalesce("two", F.lit(0)) / frames, 6).alias("share_two"),
         F.round(F.coalesce("four", F.lit(0)) / frames, 6).alias("share_four"),
     )
+
+
+def absolute_messages(events: DataFrame, low: int, high: int, rate: int = 960) -> DataFrame:
+    """MIDI messages of one reference each (ref, seconds, on, channel, pitch, velocity) at wall-clock ticks.
+
+    Pitches outside low..high go; ties of a rounded tick go to the even number; at a tick old notes end before new ones begin.
+    """
+    tick = F.greatest(F.rint(F.col("seconds") * rate), F.lit(0.0)).cast("long")
+    velocity = F.when(F.col("on") == 1, F.greatest(F.least("velocity", F.lit(127)), F.lit(1))).otherwise(0).cast("int")
+    rows = events.where(F.col("pitch").between(low, high)).select("ref", tick.alias("tick"), "on", "channel", "pitch", velocity.alias("velocity"))
+    order = W.partitionBy("ref").orderBy("tick", "on", "channel", "pitch", "velocity")
+    return rows.withColumn("seq", F.row_number().over(order)).withColumn("delta", F.col("tick") - F.coalesce(F.lag("tick").over(order), F.lit(0)))
+
+
+def label_events(labels: DataFrame) -> DataFrame:
+    """Events of labels (ref, start, end, midi, velocity, string): a string 0..5 is its channel, any other plays on 0; empty labels go."""
+    channel = F.when(F.col("string").between(0, 5), F.col("string")).otherwise(0).cast("int")
+    velocity = F.rint(F.coalesce("velocity", F.lit(80.0))).cast("int")
+    pair = F.array(F.struct(F.col("start").cast("double").alias("seconds"), F.lit(1).alias("on"), velocity.alias("velocity")), F.struct(F.col("end").cast("double").alias("seconds"), F.lit(0).alias("on"), F.lit(0).alias("velocity")))
+    return labels.where("`end` > start").select("ref", channel.alias("channel"), F.col("midi").cast("int").alias("pitch"), F.explode(pair).alias("m")).select("ref", "channel", "pitch", "m.*")
+
+
+def tempo_events(messages: DataFrame, per_beat: int, tempo: int = 500_000) -> DataFrame:
+    """Events of messages (ref, seq, delta, tempo or null, on or null, channel, pitch, velocity) with the tempo map worked into seconds.
+
+    A message's delta passes at the tempo set before it. A note-on of velocity 0 is a note-off.
+    """
+    order = W.partitionBy("ref").orderBy("seq")
+    before = F.coalesce(F.last("tempo", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(tempo))
+    timed = messages.withColumn("passed", (F.col("delta") * before).cast("long"))  # whole numbers, so that sums are exact
+    timed = timed.withColumn("seconds", F.sum("passed").over(order.rowsBetween(W.unboundedPreceding, 0)) / F.lit(per_beat * 1e6))
+    on = F.when((F.col("on") == 1) & (F.col("velocity") > 0), 1).otherwise(0)
+    return timed.where("on is not null").select("ref", "channel", "pitch", "seconds", on.alias("on"), F.when(on == 1, F.col("velocity")).otherwise(0).alias("velocity"))
+
+
+def routed(plan: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+    """Events of each planned reference (ref, kind) from the source of its kind."""
+    out = None
+    for kind, events in sources.items():
+        one = events.join(plan.where(F.col("kind") == kind).select("ref"), "ref", "left_semi").select("ref", F.lit(kind).alias("kind"), "seconds", "on", "channel", "pitch", "velocity")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def unsupported(plan: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+    """Planned references of a kind that has no source: empty when the plan can be carried out."""
+    return plan.where(~F.col("kind").isin(*sources) | F.col("kind").isNull())
+
+
+def all_notes_off(midi: DataFrame, upto: int) -> DataFrame:
+    """Note-offs at tick `upto` for every voice that then sounds: the panic message, one for each voice."""
+    sounding = midi.where(F.col("tick") <= upto).groupBy(*VOICE).agg(F.max_by("on", "seq").alias("last"))
+    return sounding.where("last = 1").select(*VOICE, F.lit(upto).cast("long").alias("tick"), F.lit(0).alias("on"), F.lit(0).alias("velocity"))

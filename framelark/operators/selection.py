@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from framelark.operators.sized import small
@@ -14,6 +18,16 @@ def order_hash(*parts: Column) -> Column:
     return F.md5(F.concat_ws("/", *(p.cast("string") for p in parts)))
 
 
+@F.arrow_udf(T.LongType())
+def _digest(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else int.from_bytes(hashlib.blake2s(t.encode(), digest_size=4).digest(), "little") for t in texts.to_pylist()], pa.int64())
+
+
+def stable_seed(text: Column, seed: int) -> Column:
+    """A 32-bit seed for a text: its blake2s digest of four bytes, exclusive-or `seed`."""
+    return _digest(text).bitwiseXOR(F.lit(seed))
+
+
 def stratified(corpus: DataFrame, limit: int, seed: str = "s") -> DataFrame:
     """`limit` rows, dealt in turn over sources, within a source over groups, within a group in hash order.
 

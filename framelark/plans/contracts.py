@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framelark.operators import contracts as C
 from framelark.operators import metrics as M
 from framelark.operators import notes as N
+from framelark.operators import selection as S
 from framelark.plans.registry import query
 from framelark.sources.adapters import FRAMES, corpus, note_events, predicted_events, scores, table, with_ctes
 from framelark.operators.sized import small
@@ -176,3 +177,27 @@ def o066_turns(spark, d):
     w = N.W.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, d, "conversations").withColumn("k", F.row_number().over(w) - 1 + F.min("turn").over(N.W.partitionBy("conv_id"))).withColumn("p", F.lag("role").over(w))
     return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("turn") != F.col("k")).alias("gaps"), F.count_if(F.col("role") == F.col("p")).alias("repeats"))
+
+
+@query(
+    "o134_contract_violations",
+    with_ctes("corp", body=""", c AS (SELECT source, split = 'train' AS t, count(DISTINCT grp) AS groups, min(id) % 4 AS least, count(*) % 3 AS size FROM corp WHERE split <> 'test' GROUP BY 1, 2),
+      l AS (SELECT source, t, unnest(['groups', 'least', 'size']) AS field, unnest([groups::VARCHAR, least::VARCHAR, size::VARCHAR]) AS v FROM c)
+      SELECT source, field, a.v AS given, b.v AS wanted FROM (SELECT * FROM l WHERE t) a FULL JOIN (SELECT * FROM l WHERE NOT t) b USING (source, field) WHERE a.v IS DISTINCT FROM b.v"""),
+)
+def o134_violations(spark, d):
+    c = corpus(spark, d)
+    of = lambda split: c.where(F.col("split") == split).groupBy("source").agg(F.count_distinct("grp").alias("groups"), (F.min("id") % 4).alias("least"), (F.count("*") % 3).alias("size"))
+    return C.contract_violations(of("train"), of("validation"), "source", ["groups", "least", "size"])
+
+
+@query("o088_realtime_factor", """SELECT user_id AS track, round(count(*) * 256 / 22050.0::DOUBLE / greatest(sum(value) / 1000, 1e-9), 6) AS factor FROM events GROUP BY 1""")
+def o088(spark, d):
+    """A frame of 256 samples for each event, against its value as milliseconds."""
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("track")).agg(F.count("*").alias("n"), F.sum("value").alias("ms"))
+    return e.select("track", F.round(C.realtime_factor(F.col("n") * 256 / F.lit(22050.0), F.col("ms") / 1000), 6).alias("factor"))
+
+
+@query("o097_stable_seed")
+def o097(spark, d):
+    return corpus(spark, d).select("id", S.stable_seed(F.concat_ws("/", "source", "id"), 42).alias("seed"))

@@ -303,3 +303,52 @@ def note_state_f1(spark, d):
     roll = N.rasterise(note_events(spark, d), FRAMES)
     state = N.spread(N.note_state(roll, FRAMES), F.col("on"), F.col("off"), "track", "pitch")
     return M.with_rates(M.confusion(M.cells(roll, state), "pitch"))
+
+
+LABELS = """lb AS (SELECT event_id, track AS ref, start * 0.25::DOUBLE AS s, "end" * 0.25::DOUBLE AS e, pitch, least(greatest(round_even(amp * 150, 0), 1), 127)::INT AS v, CASE WHEN event_id % 8 <= 5 THEN event_id % 8 ELSE 0 END AS channel FROM ne WHERE "end" > start),
+  le AS (SELECT ref, unnest([s, e]) AS seconds, unnest([1, 0]) AS "on", channel, pitch, unnest([v, 0]) AS velocity FROM lb)"""
+TEMPO = """tm AS (SELECT event_id, track AS ref, start % 7 AS delta, CASE WHEN pitch = 41 THEN 400000 + 1000 * (event_id % 300) END AS tempo, pitch, amp FROM ne),
+  ts AS (SELECT *, sum((delta * before)::BIGINT) OVER (PARTITION BY ref ORDER BY event_id)::DOUBLE / 480e6::DOUBLE AS seconds FROM (SELECT *, coalesce(last_value(tempo IGNORE NULLS) OVER (PARTITION BY ref ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 500000) AS before FROM tm)),
+  te AS (SELECT ref, seconds, (pitch < 44 AND round_even(amp * 127, 0) > 0)::INT AS "on", 0 AS channel, pitch, CASE WHEN pitch < 44 THEN round_even(amp * 127, 0)::INT ELSE 0 END AS velocity FROM ts WHERE tempo IS NULL)"""
+ABSOLUTE = """ab AS (SELECT ref, greatest(round_even(seconds * 960, 0), 0)::BIGINT AS tick, "on", channel, pitch, velocity FROM {0} WHERE pitch BETWEEN 40 AND 43)
+  SELECT ref, tick, "on", channel, pitch, velocity, row_number() OVER o::INT AS seq, tick - coalesce(lag(tick) OVER o, 0) AS delta FROM ab WINDOW o AS (PARTITION BY ref ORDER BY tick, "on", channel, pitch, velocity)"""
+
+
+def _labels(spark, d):
+    ne = note_events(spark, d)
+    return N.label_events(ne.select(F.col("track").alias("ref"), (F.col("start") * 0.25).alias("start"), (F.col("end") * 0.25).alias("end"), F.col("pitch").alias("midi"), (F.col("amp") * 150).alias("velocity"), F.pmod("event_id", F.lit(8)).alias("string")))
+
+
+def _tempo(spark, d):
+    ne = note_events(spark, d)
+    tempo = F.when(F.col("pitch") == 41, 400_000 + 1000 * F.pmod("event_id", F.lit(300)))
+    rows = ne.select(F.col("track").alias("ref"), F.col("event_id").alias("seq"), F.pmod("start", F.lit(7)).alias("delta"), tempo.alias("tempo"), F.when(tempo.isNull(), (F.col("pitch") < 44).cast("int")).alias("on"), F.lit(0).alias("channel"), "pitch", F.rint(F.col("amp") * 127).cast("int").alias("velocity"))
+    return N.tempo_events(rows, 480)
+
+
+@query("o018_absolute_midi", with_ctes("ne", body=", " + TEMPO + ", " + ABSOLUTE.format("te")))
+def o018(spark, d):
+    return N.absolute_messages(_tempo(spark, d), 40, 43)
+
+
+@query("o019_label_messages", with_ctes("ne", body=", " + LABELS + ", " + ABSOLUTE.format("le")))
+def o019(spark, d):
+    return N.absolute_messages(_labels(spark, d), 40, 43)
+
+
+@query(
+    "o020_reference_router",
+    with_ctes("ne", body=", " + LABELS + ", " + TEMPO + """ SELECT ref, kind, count(*) AS messages, round(max(seconds), 6) AS last FROM (
+      SELECT ref, 'labels-tsv' AS kind, seconds FROM le WHERE ref % 3 = 0 UNION ALL SELECT ref, 'absolute-midi', seconds FROM te WHERE ref % 3 = 1) GROUP BY 1, 2"""),
+)
+def o020(spark, d):
+    """References by kind: labels for every third track, MIDI with a tempo map for the next; the last kind has no source."""
+    plan = note_events(spark, d).select(F.col("track").alias("ref")).distinct()
+    plan = plan.withColumn("kind", F.when(F.pmod("ref", F.lit(3)) == 0, "labels-tsv").when(F.pmod("ref", F.lit(3)) == 1, "absolute-midi").otherwise("events-tsv"))
+    rows = N.routed(plan, {"labels-tsv": _labels(spark, d), "absolute-midi": _tempo(spark, d)})
+    return rows.groupBy("ref", "kind").agg(F.count("*").alias("messages"), F.round(F.max("seconds"), 6).alias("last"))
+
+
+@query("o065_all_notes_off", _midi('SELECT track, pitch, 345600::BIGINT AS tick, 0 AS "on", 0 AS velocity FROM mm WHERE tick <= 345600 GROUP BY track, pitch HAVING arg_max("on", seq) = 1'))
+def o065(spark, d):
+    return N.all_notes_off(N.midi_events(note_events(spark, d)), 360 * 960)

@@ -260,3 +260,26 @@ def test_smoothing_does_not_depend_on_blocks(spark):
             for f in range(50):
                 ema += 0.08 * (x[t, f] - ema)
                 assert got[t, 7 * f] == pytest.approx(np.clip(x[t, f] - ema + 0.5, 0, 1))
+
+
+def test_streamed_lags_do_not_depend_on_batches(spark, tmp_path):
+    rows = [(0, f, [float(f), 1.0]) for f in range(1, 9)]
+    schema = "track long, frame long, x array<double>"
+    one = run_stream(spark, tmp_path, "lag1", rows, schema, lambda s: causal.lagged(s, (0, 1, 3), 2), [range(8)])
+    two = run_stream(spark, tmp_path, "lag2", rows, schema, lambda s: causal.lagged(s, (0, 1, 3), 2), [range(3), range(3, 4), range(4, 8)])
+    value = lambda f: [float(f), 1.0] if f >= 1 else [0.0, 0.0]
+    assert [tuple(map(str, r)) for r in one] == [tuple(map(str, r)) for r in two]
+    assert {r[1]: list(r[2]) for r in one} == {f: value(f) + value(f - 1) + value(f - 3) for f in range(1, 9)}
+
+
+def test_stable_seed(spark):
+    import hashlib
+
+    texts = ["", "a/1", "é", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.stable_seed(F.col("t"), 42).alias("s")).collect()
+    assert {r.t: r.s for r in got} == {t: None if t is None else int.from_bytes(hashlib.blake2s(t.encode(), digest_size=4).digest(), "little") ^ 42 for t in texts}
+
+
+def test_a_plan_of_an_unknown_kind_is_named(spark):
+    plan = spark.createDataFrame([(1, "labels-tsv"), (2, "other"), (3, None)], "ref long, kind string")
+    assert {r.ref for r in N.unsupported(plan, {"labels-tsv": None}).collect()} == {2, 3}
