@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from framelark.functions import dsp
 from framelark.operators import features as X
 from framelark.operators import notes as N
+from framelark.operators.sized import small
 from framelark.plans.registry import query
 from framelark.sources.adapters import FRAMES, features, note_events, table, with_ctes
 
@@ -131,7 +132,7 @@ def o038(spark, d):
 def o039(spark, d):
     cells = X.to_long(features(spark, d)).select("track", "frame", F.col("d").alias("pitch"), F.abs("v").alias("amp"))
     links = X.owners(spark.range(64).select(F.col("id").cast("int").alias("pitch")))
-    return X.owner_residual(cells, F.broadcast(links)).withColumn("residual", F.round("residual", 6))
+    return X.owner_residual(cells, small(links)).withColumn("residual", F.round("residual", 6))
 
 
 @query(
@@ -223,7 +224,7 @@ def o051(spark, d):
 def o053(spark, d):
     long = X.to_long(features(spark, d)).withColumn("split", F.when(F.col("frame") % 10 < 8, "train").otherwise("test"))
     fit = X.thermometer_fit(long.where("split = 'train'"), (0.7,))
-    return long.join(F.broadcast(fit), "d").groupBy("split", "d").agg(F.sum((F.col("v") >= F.col("threshold")).cast("int")).alias("set_bits"))
+    return long.join(small(fit), "d").groupBy("split", "d").agg(F.sum((F.col("v") >= F.col("threshold")).cast("int")).alias("set_bits"))
 
 
 @query("o054_pack_words", _thermo("SELECT track, frame, (literal // 64)::INT AS word, bit_or(CASE WHEN literal % 64 = 63 THEN -9223372036854775808 ELSE 1::BIGINT << (literal % 64) END)::BIGINT AS bits FROM en GROUP BY ALL"))
