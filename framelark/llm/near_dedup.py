@@ -52,6 +52,7 @@ MINIMA = 128
 BANDS = 32
 ROWS = MINIMA // BANDS
 BLOCK = 4096  # members compared by signature in one group
+PARTNERS = 256  # pairs of one document that are verified in one group
 INDEX = 512  # members of a component in one index
 SPREAD = 4.5  # standard errors by which a signature may fall short of the threshold
 
@@ -137,12 +138,12 @@ def shingle_array(texts: pa.Array) -> pa.Array:
 def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= threshold * union.
 
-    Few different a stand in many pairs. So pairs are dealt by a, in parts of about BLOCK; the set of a goes to each
+    Few different a stand in many pairs. So pairs are dealt by a, in parts of about PARTNERS; the set of a goes to each
     part once, and the sets of its partners are streamed past it.
     """
     wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = stash(docs.join(small(wanted), "id", "left_semi").select("id", shingle_array(F.col("text")).alias("s")))  # read twice
-    parts = stash(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
+    parts = stash(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")))
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
     hubs = sets.join(parts, F.col("id") == F.col("a")).select("id", "s", part).select(F.xxhash64("id", "part").alias("group"), F.lit(None).cast("long").alias("small"), "id", "s")
     others = pairs.join(small(parts), "a").join(sets, F.col("b") == F.col("id"))

@@ -87,6 +87,7 @@ def test_components_of_a_chain(spark):
 def test_family_of_near_copies_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 12)
     monkeypatch.setattr(near_dedup, "INDEX", 5)
+    monkeypatch.setattr(near_dedup, "PARTNERS", 4)
     rnd = random.Random(1)
     texts = []
     for f in range(2):
