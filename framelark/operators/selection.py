@@ -69,7 +69,8 @@ def balanced_sample(frames: DataFrame, total: int, seed: str = "b") -> DataFrame
     quota = category_quotas(counts, total)
     ranked = frames.join(small(quota), "category")  # five rows
     by = W.partitionBy("category").orderBy(order_hash(F.lit(seed), F.col("track"), F.col("frame")), "track", "frame")
-    place = ranked.withColumn("place", F.row_number().over(by)).where(F.col("place") <= F.col("wanted"))
+    # no category takes more than `total`: so tasks hand on no more than that of each
+    place = ranked.withColumn("place", F.row_number().over(by)).where((F.col("place") <= total) & (F.col("place") <= F.col("wanted")))
     copies = F.floor((F.col("wanted") - F.col("place")) / F.col("available")) + 1
     return place.select("category", "track", "frame", F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy"))
 

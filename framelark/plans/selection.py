@@ -83,7 +83,7 @@ def o100(spark, d):
     quota = F.when(F.col("kind") == "strong", 550).when(F.col("kind") == "weak", 350).otherwise(100)
     rows = note_events(spark, d).select("event_id", kind.alias("kind"))
     by = S.W.partitionBy("kind").orderBy(S.order_hash(F.lit("o"), F.col("event_id")), "event_id")
-    return rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= quota).groupBy("kind").agg(F.count("*").alias("n"))
+    return rows.withColumn("place", F.row_number().over(by)).where((F.col("place") <= 550) & (F.col("place") <= quota)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 CURVE = """cu AS (SELECT member, score, sum(n) OVER w AS predicted, sum(t) OVER w AS tp, sum(t) OVER (PARTITION BY member) AS target, max(score) OVER (PARTITION BY member) AS top
