@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm import bpe_counts, decontaminate, main_text, mixing, near_dedup, oracles, pitman_yor, quality_rules, repeats, site_bayes, warc
+from framelark.llm import bpe_counts, decontaminate, main_text, mixing, near_dedup, oracles, periodic_runs, pitman_yor, quality_rules, repeats, site_bayes, warc
 from framelark.llm.common import table
 
 QUERIES = {}
@@ -74,3 +74,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_lm_scores")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents"))))
