@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm import bpe_counts, decontaminate, main_text, mixing, near_dedup, oracles, periodic_runs, pitman_yor, quality_rules, repeats, site_bayes, warc
+from framelark.llm import bpe_counts, chat_format, decontaminate, main_text, mixing, near_dedup, oracles, periodic_runs, pitman_yor, quality_rules, repeats, site_bayes, vector_codes, warc
 from framelark.llm.common import table
 
 QUERIES = {}
@@ -79,3 +79,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
+@query("op12_vector_codes", vector_codes.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_chat_format", chat_format.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.blocks(chat_format.with_control_strings(table(spark, sf_dir, "conversations"))))
