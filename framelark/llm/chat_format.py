@@ -255,14 +255,14 @@ def with_control_strings(rows: DataFrame) -> DataFrame:
     return own.union(more.select(*(F.col(f.name).cast(f.dataType) for f in own.schema)))
 
 
-ORACLE = r"""
+_ESCAPED = r"length(regexp_replace(replace({0}, '\', '\\'), '(\[|<)(s>|/s>|/?SYS\]|/?INST\]|/?ROLE\]|/TURN\])', '\1\\\2', 'g'))"
+
+ORACLE = rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) AS before,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, md5(text) DESC) AS from_end FROM c),
-e AS (SELECT *, length(regexp_replace(replace(text, '', '\'), '(\[|<)(s>|/s>|/?SYS\]|/?INST\]|/?ROLE\]|/TURN\])', '\', 'g'))
-        + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
-          ELSE 20 + length(regexp_replace(replace(role, '', '\'), '(\[|<)(s>|/s>|/?SYS\]|/?INST\]|/?ROLE\]|/TURN\])', '\', 'g')) END AS n,
+e AS (SELECT *, {_ESCAPED.format("text")} + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 20 + {_ESCAPED.format("role")} END AS n,
         NOT coalesce(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant') WHEN 'assistant' THEN before = 'user' END, false) AS wrong
       FROM o)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
