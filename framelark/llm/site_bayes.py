@@ -5,7 +5,7 @@ learned decision list (`quality_rules.learn`), and the share of low quality in t
 bucket is its chance of low quality. Its words give, by naive Bayes over their presence,
 its chance of being toxic: every word of the labelled sample has a log ratio of its
 shares among toxic and other documents, shrunk by its counts. The shrinkage is
-empirical Bayes with a spike and a slab: most words say nothing (SLAB is the share of those that do), so
+empirical Bayes with a spike and a slab: most words say nothing (the share of those that do is fitted to the counts), so
 a word met once or twice weighs next to nothing and one met often keeps its ratio.
 A good document is neither; the evidence is the log odds of
 that, less the log odds of a good document at large.
@@ -43,13 +43,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelark.llm.common import bounded_batches, fresh, small, stash
+from framelark.llm.near_dedup import shingle_array, signature
 from framelark.llm.quality_rules import FEATURES, Test, cover_of, labelled_sample, learn
 from framelark.llm.textscan import ALNUM, LOWER, Words, lookup, slices
 from framelark.llm.textstats import FIELDS, stats_of, text_stats
 
 SAMPLE = 20_000
-LEAST_WEIGHT = 0.01  # a shrunk log ratio below says nothing: that of a word with alike shares is about 1e-4
-SLAB, SPREAD = 0.01, 3.0  # share of words that speak for or against toxicity, and the spread of their log ratios
+NEAR = 75  # per cent of similarity from which labelled documents are near copies
+FOLDS = 3
+SPREAD = 3.0  # standard deviation of the log ratios of words that speak for or against toxicity
 
 
 @dataclass
@@ -60,7 +62,7 @@ class Evidence:
     low: np.ndarray  # chance of low quality by first rule that fires; last: none does
     words: np.ndarray  # sorted hashes
     weights: np.ndarray  # shrunk log ratio of toxic over other documents for the presence of each
-    toxic_prior: float  # log odds of a toxic document
+    toxic_prior: float  # log odds of a toxic document without any of them
     prior: float  # share of good documents among the labelled
 
     def of(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,38 +121,111 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rules = learn(x, low, got["_part"].to_numpy())
     bucket = first_rule(rules, x)
     n, k = np.bincount(bucket, minlength=len(rules) + 1), np.bincount(bucket, low, len(rules) + 1)
-    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    words, weights = toxic_words(rows, text)
-    return Evidence(rules, (k + 0.5 * low.mean()) / (n + 0.5), words, weights, math.log((n_toxic + 0.5) / (n_clean + 0.5)), good)
+    words, weights, base = toxic_words(rows, text)
+    return Evidence(rules, (k + 0.5 * low.mean()) / (n + 0.5), words, weights, base, good)
 
 
-def shrunk(t: Column, c: Column, n_toxic: int, n_clean: int) -> Column:
-    """Log ratio of the shares t / n_toxic and c / n_clean of a word, shrunk by how little its counts say."""
-    total = n_toxic + n_clean
-    a, b = t + F.lit(n_toxic / total), c + F.lit(n_clean / total)
-    ratio, noise = F.log(a / F.lit(n_toxic)) - F.log(b / F.lit(n_clean)), 1 / a + 1 / b
-    wide = noise + F.lit(SPREAD**2)
-    odds = F.lit(SLAB / (1 - SLAB)) * F.sqrt(noise / wide) * F.exp(F.least(ratio * ratio / 2 * (1 / noise - 1 / wide), F.lit(500.0)))
-    return ratio * odds / (1 + odds) * F.lit(SPREAD**2) / wide
+def word_weights(t: np.ndarray, c: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Expected log ratio of the shares of toxic and other documents that hold a word, given that t and c of them do.
 
-
-def toxic_words(rows: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The words of the labelled sample whose weight is not next to nothing, sorted by hash, and the weights.
-
-    Near copies would make their words look frequent. Documents with the same least word (which
-    two share with a chance of their similarity) count as one.
+    Most words say nothing; the log ratios of the others are spread normally. Their share is what makes the counts of all words likeliest.
+    """
+    pairs, back, times = np.unique(np.stack([t, c]), axis=1, return_inverse=True, return_counts=True)
+    t, c = pairs
+    theta = np.linspace(-5, 5, 201) * SPREAD
+    mass = np.exp(-((theta / SPREAD) ** 2) / 2)
+    mass /= mass.sum()
+    least = np.log(n_toxic / n_clean) + theta
+    # a word's documents are toxic with a chance whose log odds are those of the sample plus theta
+    log_p, log_q = -np.logaddexp(0, -least), -np.logaddexp(0, least)
+    base = t * -np.log1p(n_clean / n_toxic) + c * -np.log1p(n_toxic / n_clean)
+    factor, mean = np.zeros(len(t)), np.zeros(len(t))
+    for k in range(len(theta)):
+        f = mass[k] * np.exp(np.minimum(t * log_p[k] + c * log_q[k] - base, 600.0))
+        factor += f
+        mean += f * theta[k]
+    share = 0.01  # where the search for the likeliest share begins
+    for _ in range(5000):
+        before, share = share, float(np.average(share * factor / (1 - share + share * factor), weights=times))
+        if abs(share - before) < 1e-5 * share:
+            break
+    return (share * mean / (1 - share + share * factor))[back.ravel()]
+
+
+def without_near_copies(rows: DataFrame, text: str) -> DataFrame:
+    """`_toxic` and the distinct words `ws` of the labelled rows, without near copies of an earlier row with the same label.
+
+    Near copies would make their words look frequent. Rows that share a bucket of their MinHash signatures are compared
+    with the first one in it, on full sets of 5-word shingles; copies have a similarity of 0.75 or more. All other rows count in full.
     """
-    each = rows.select("_toxic", distinct_words(F.col(text)).alias("ws")).where(F.size("ws") > 0).select("_toxic", F.get("ws", F.lit(0)).alias("copy"), "ws")
-    n = each.select("_toxic", "copy").distinct().agg(F.count_if(F.col("_toxic") == 1).alias("toxic"), F.count_if(F.col("_toxic") == 0).alias("clean")).first()
-    if not n.toxic or not n.clean:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    once = each.select("_toxic", "copy", F.explode("ws").alias("w")).distinct()
-    counted = once.groupBy("w").agg(F.count_if(F.col("_toxic") == 1).alias("t"), F.count_if(F.col("_toxic") == 0).alias("c"))
-    weighed = counted.select("w", shrunk(F.col("t"), F.col("c"), n.toxic, n.clean).alias("weight"))
-    got = weighed.where(F.abs("weight") >= LEAST_WEIGHT).toPandas()  # some of the words of at most `sample` documents
+    signed = stash(
+        rows.select(F.monotonically_increasing_id().alias("row"), "_toxic", F.col(text).alias("text")).select(
+            "row", "_toxic", distinct_words(F.col("text")).alias("ws"), signature(F.col("text")).alias("s"), shingle_array(F.col("text")).alias("shingles")
+        )
+    )
+    spread = signed.select("row", "_toxic", F.explode("s.buckets").alias("bucket"))
+    first = spread.groupBy("bucket", "_toxic").agg(F.min("row").alias("first"))
+    pairs = spread.join(first, ["bucket", "_toxic"]).where("row <> first").select("row", "first").distinct()
+    sets = signed.select("row", "shingles")
+    both = pairs.join(sets, "row").join(sets.select(F.col("row").alias("first"), F.col("shingles").alias("others")), "first")
+    common = F.size(F.array_intersect("shingles", "others"))
+    copies = both.where(100 * common >= NEAR * (F.size("shingles") + F.size("others") - common)).select("row").distinct()
+    return signed.where(F.size("ws") > 0).join(copies, "row", "left_anti").select("_toxic", "ws")
+
+
+def word_sums(words: np.ndarray, weights: list[np.ndarray]):
+    """UDF: sum of the weights of a document's distinct words, those of its fold."""
+
+    @F.arrow_udf(T.DoubleType())
+    def total(ws: pa.Array, fold: pa.Array) -> pa.Array:
+        size = np.asarray(ws.value_lengths())
+        at = lookup(words, ws.flatten().to_numpy().view(np.uint64))
+        own = np.repeat(np.arange(len(ws)), size)
+        f = np.asarray(fold)[own]
+        values = np.where(at >= 0, np.stack(weights)[f, at], 0.0)
+        return pa.array(np.bincount(own, values, len(ws)))
+
+    return total
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of the log odds of y given x, by Newton's method with a weak prior on both."""
+    design, beta = np.stack([np.ones(len(x)), x]), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(beta @ design, -500, 500)))
+        step = np.linalg.solve((design * (p * (1 - p))) @ design.T + 1e-3 * np.eye(2), design @ (y - p) - 1e-3 * beta)
+        beta += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0]), float(beta[1])
+
+
+def toxic_words(rows: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """The words of the labelled sample, sorted by hash, their weights, and the log odds without any of them; near copies count once.
+
+    Words of a document don't come by chance alone, so sums of their weights say too much. What they say is
+    measured on documents of which the weights know nothing: each of FOLDS parts is scored with the weights of the others.
+    """
+    nothing = np.zeros(0, np.uint64), np.zeros(0)
+    each = stash(without_near_copies(rows, text).withColumn("fold", F.pmod(F.xxhash64("ws"), F.lit(FOLDS)).cast("int")))
+    n = {(r._toxic, r.fold): r["count"] for r in each.groupBy("_toxic", "fold").count().collect()}  # 2 x FOLDS rows
+    of = {k: np.array([n.get((k, f), 0) for f in range(FOLDS)]) for k in (0, 1)}
+    if not of[0].sum() or not of[1].sum():
+        return *nothing, math.log((of[1].sum() + 0.5) / (of[0].sum() + 0.5))
+    per_fold = [F.count_if((F.col("_toxic") == k) & (F.col("fold") == f)).alias(f"n{k}{f}") for k in (0, 1) for f in range(FOLDS)]
+    got = each.select("_toxic", "fold", F.explode("ws").alias("w")).groupBy("w").agg(*per_fold).toPandas()  # words of at most `sample` documents
     words = got["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
-    return words[order], got["weight"].to_numpy(float)[order]
+    words, counts = words[order], {k: got[[f"n{k}{f}" for f in range(FOLDS)]].to_numpy(float)[order] for k in (0, 1)}
+
+    def weights_without(f: int | None) -> np.ndarray:
+        kept = np.arange(FOLDS) != f
+        t, c = (counts[k][:, kept].sum(axis=1) for k in (1, 0))
+        return word_weights(t, c, max(int(of[1][kept].sum()), 1), max(int(of[0][kept].sum()), 1))
+
+    held = each.select("_toxic", word_sums(words, [weights_without(f) for f in range(FOLDS)])(F.col("ws"), F.col("fold")).alias("x")).toPandas()
+    base, slope = logistic(held["x"].to_numpy(float), held["_toxic"].to_numpy(float))
+    return words, weights_without(None) * max(slope, 0.0), base
 
 
 SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("llr", T.DoubleType())])
