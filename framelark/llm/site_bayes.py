@@ -125,12 +125,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Evidence(rules, (k + 0.5 * low.mean()) / (n + 0.5), words, weights, base, good)
 
 
-def word_weights(t: np.ndarray, c: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+def word_weights(t: np.ndarray, c: np.ndarray, n_toxic: int, n_clean: int, words: np.ndarray | None = None) -> np.ndarray:
     """Expected log ratio of the shares of toxic and other documents that hold a word, given that t and c of them do.
 
+    `words`: how many words have each of the counts (default: one).
+
     Most words say nothing; the log ratios of the others are spread normally. Their share is what makes the counts of all words likeliest.
     """
-    pairs, back, times = np.unique(np.stack([t, c]), axis=1, return_inverse=True, return_counts=True)
+    pairs, back = np.unique(np.stack([t, c]), axis=1, return_inverse=True)
+    times = np.bincount(back.ravel(), words)
     t, c = pairs
     theta = np.linspace(-5, 5, 201) * SPREAD
     mass = np.exp(-((theta / SPREAD) ** 2) / 2)
@@ -212,20 +215,31 @@ def toxic_words(rows: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, flo
     of = {k: np.array([n.get((k, f), 0) for f in range(FOLDS)]) for k in (0, 1)}
     if not of[0].sum() or not of[1].sum():
         return *nothing, math.log((of[1].sum() + 0.5) / (of[0].sum() + 0.5))
+    names = [f"n{k}{f}" for k in (0, 1) for f in range(FOLDS)]
     per_fold = [F.count_if((F.col("_toxic") == k) & (F.col("fold") == f)).alias(f"n{k}{f}") for k in (0, 1) for f in range(FOLDS)]
-    got = each.select("_toxic", "fold", F.explode("ws").alias("w")).groupBy("w").agg(*per_fold).toPandas()  # words of at most `sample` documents
-    words = got["w"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    words, counts = words[order], {k: got[[f"n{k}{f}" for f in range(FOLDS)]].to_numpy(float)[order] for k in (0, 1)}
+    counted = stash(each.select("_toxic", "fold", F.explode("ws").alias("w")).groupBy("w").agg(*per_fold))
+    kinds = counted.groupBy(*names).agg(F.count("*").alias("words")).toPandas()  # most words have one of a few counts
+    counts, times = {k: kinds[[f"n{k}{f}" for f in range(FOLDS)]].to_numpy(float) for k in (0, 1)}, kinds["words"].to_numpy(float)
 
     def weights_without(f: int | None) -> np.ndarray:
         kept = np.arange(FOLDS) != f
         t, c = (counts[k][:, kept].sum(axis=1) for k in (1, 0))
-        return word_weights(t, c, max(int(of[1][kept].sum()), 1), max(int(of[0][kept].sum()), 1))
-
-    held = each.select("_toxic", word_sums(words, [weights_without(f) for f in range(FOLDS)])(F.col("ws"), F.col("fold")).alias("x")).toPandas()
+        return word_weights(t, c, max(int(of[1][kept].sum()), 1), max(int(of[0][kept].sum()), 1), times)
+
+    for f in range(FOLDS):
+        kinds[f"x{f}"] = weights_without(f)
+    kinds["x"] = weights_without(None)
+    values = ["x", *(f"x{f}" for f in range(FOLDS))]
+    table = counted.join(small(rows.sparkSession.createDataFrame(kinds[names + values])), names)
+    # numbers of the words of at most `sample` documents: 8 bytes for a word, 4 for a weight
+    got = table.select("w", *(F.col(c).cast("float").alias(c) for c in values)).toArrow()
+    words = got["w"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    words, (final, *others) = words[order], [got[c].to_numpy()[order] for c in values]
+    del got
+    held = each.select("_toxic", word_sums(words, others)(F.col("ws"), F.col("fold")).alias("x")).toPandas()
     base, slope = logistic(held["x"].to_numpy(float), held["_toxic"].to_numpy(float))
-    return words, weights_without(None) * max(slope, 0.0), base
+    return words, final * np.float32(max(slope, 0.0)), base
 
 
 SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("llr", T.DoubleType())])
