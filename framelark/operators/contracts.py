@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from framelark.operators.running import row_numbers
+from framelark.operators.sized import small
+
 
 def must_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `left` without a partner: empty when the contract holds."""
@@ -45,7 +48,14 @@ def by_row(scores: DataFrame, labels: DataFrame, *by: str) -> DataFrame:
 
     The position of a frame is its place among the frames of its own table, so tables need not number frames alike.
     """
-    place = lambda df, keys: df.select(*keys, "frame").distinct().withColumn("row", F.dense_rank().over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("frame")) - 1)
+
+    def place(df: DataFrame, keys: list[str]) -> DataFrame:
+        numbered = row_numbers(df.select(*keys, "frame").distinct(), [F.col(c) for c in (*keys, "frame")], "row")
+        if not keys:
+            return numbered
+        first = numbered.groupBy(*keys).agg(F.min("row").alias("_first"))
+        return numbered.join(small(first), keys).select(*keys, "frame", (F.col("row") - F.col("_first")).alias("row"))
+
     left = scores.join(place(scores, list(by)), [*by, "frame"])
     right = labels.join(place(labels, []), "frame").select("row", "pitch", "truth")
     return left.join(right, ["row", "pitch"]).select(*by, "row", "pitch", "score", "truth")
@@ -63,11 +73,22 @@ def in_order(members: DataFrame, expected: DataFrame) -> DataFrame:
     return both.where(~F.col("got").eqNullSafe(F.col("want")))
 
 
+DIGIT_SETS = 8  # a SHA-256 as so many unsigned 32-bit numbers
+
+
 def fingerprint(df: DataFrame, *by: str) -> DataFrame:
-    """by.., digest: a SHA-256 of the canonical JSON of each row, combined independently of row order."""
+    """by.., digest, rows: a SHA-256 over the rows as a multiset, whatever their order and partitions.
+
+    Each row's canonical JSON is hashed; hashes are counted and added up as eight 32-bit numbers each (sums that every task can begin),
+    and the digest is taken of the sums and the count. So no task holds the hashes of a group.
+    """
     cols = sorted(c for c in df.columns if c not in by)
-    row = F.sha2(F.to_json(F.struct(*cols)), 256)
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ","), 256).alias("digest"), F.count("*").alias("rows"))
+    h = F.sha2(F.to_json(F.struct(*cols)), 256)
+    hashed = df.select(*by, h.alias("_h"))
+    sums = [F.sum(F.conv(F.substring("_h", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"_s{k}") for k in range(DIGIT_SETS)]
+    total = hashed.groupBy(*by).agg(*sums, F.count("*").alias("rows"))
+    text = F.concat_ws(",", *(F.coalesce(F.col(f"_s{k}"), F.lit(0)).cast("decimal(38,0)").cast("string") for k in range(DIGIT_SETS)), F.col("rows").cast("string"))
+    return total.select(*by, F.sha2(text, 256).alias("digest"), "rows")
 
 
 def inherit(experiment_head: Column, experiment: Column, default_head: Column, default: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from framelark.operators.selection import calibrate
+from framelark.operators.quantiles import quantile_columns
 from framelark.operators.sized import small
 
 INT_MAX = 2**31 - 1
@@ -32,16 +33,17 @@ def class_sums(fired: DataFrame, weights: DataFrame, frames: DataFrame, outputs:
 
 def robust_scale(scores: DataFrame, *by: str) -> DataFrame:
     """by.., scale: 1.4826 * MAD, else IQR / 1.349, else median |x|, else 1 (each used if at least 1)."""
-    mid = scores.groupBy(*by).agg(F.median("score").alias("m"), F.percentile("score", [0.25, 0.75]).alias("q"), F.median(F.abs("score")).alias("a"))
-    mad = scores.join(mid.select(*by, "m"), list(by)).groupBy(*by).agg((1.4826 * F.median(F.abs(F.col("score") - F.col("m")))).alias("mad"))
-    iqr = (F.col("q")[1] - F.col("q")[0]) / 1.349
+    mid = quantile_columns(scores, by, "score", low=0.25, m=0.5, high=0.75).join(quantile_columns(scores, by, F.abs("score"), a=0.5), list(by))
+    mid = small(mid)  # a row for each group
+    mad = quantile_columns(scores.join(mid.select(*by, "m"), list(by)), by, F.abs(F.col("score") - F.col("m")), mad=0.5).withColumn("mad", 1.4826 * F.col("mad"))
+    iqr = (F.col("high") - F.col("low")) / 1.349
     scale = F.when(F.col("mad") >= 1, F.col("mad")).when(iqr >= 1, iqr).when(F.col("a") >= 1, F.col("a")).otherwise(1.0)
     return mid.join(mad, list(by)).select(*by, scale.alias("scale"))
 
 
 def tail_scale(scores: DataFrame, *by: str) -> DataFrame:
     """by.., scale: the 95th percentile of |score|, at least 1."""
-    return scores.groupBy(*by).agg(F.greatest(F.percentile(F.abs("score"), 0.95), F.lit(1.0)).alias("scale"))
+    return quantile_columns(scores, by, F.abs("score"), p95=0.95).select(*by, F.greatest("p95", F.lit(1.0)).alias("scale"))
 
 
 def normalised(score: Column, threshold: Column, scale: Column) -> Column:
@@ -117,11 +119,24 @@ def diversity(scores: DataFrame) -> DataFrame:
     return pairs.groupBy("m", "n").agg(F.corr("x", "y").alias("correlation"), F.avg(differ).alias("sign_difference"))
 
 
-def member_configs(base: DataFrame, members: int) -> DataFrame:
-    """Diverse member settings from (s, q, seed): s grows and q shrinks with a pattern over members."""
+def mask_of(x: Column, included) -> Column:
+    """64 flags of an array in a bigint, the first in the lowest bit."""
+    bits = F.transform(x, lambda v, i: F.when(included(v), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def sparse_literals(masks: DataFrame, features: int) -> DataFrame:
+    """clause, feature, negated of the included literals, from masks (clause, own, negated)."""
+    each = masks.select("clause", F.posexplode(F.array("own", "negated")).alias("side", "mask")).where("mask <> 0")
+    each = each.select("clause", "side", "mask", F.explode(F.sequence(F.lit(0), F.lit(features - 1))).alias("feature"))
+    return each.where("getbit(mask, feature) = 1").select("clause", "feature", (F.col("side") == 1).alias("negated"))
+
+
+def member_configs(base: DataFrame, members: int, *keep: str) -> DataFrame:
+    """Diverse member settings from (s, q, seed) rows: s grows and q shrinks with a pattern over members."""
     p = ((F.col("member") % 3) - 1).cast("double")
     return base.select("*", F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member")).select(
-        "member", F.round(F.col("s") * (1 + 0.25 * p), 6).alias("s"), F.round(F.col("q") * (1 - 0.2 * p), 6).alias("q"), (F.col("seed") + 9973 * F.col("member")).alias("seed")
+        *keep, "member", F.round(F.col("s") * (1 + 0.25 * p), 6).alias("s"), F.round(F.col("q") * (1 - 0.2 * p), 6).alias("q"), (F.col("seed") + 9973 * F.col("member")).alias("seed")
     )
 
 

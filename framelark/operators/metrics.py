@@ -27,17 +27,23 @@ def confusion(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def share(part: Column, whole: Column) -> Column:
+    """part / whole; 0 where there is nothing, null where a count is null."""
+    return F.when(whole.isNotNull(), part / F.greatest(whole, F.lit(1)))
+
+
 def precision() -> Column:
-    return F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))
+    return share(F.col("tp"), F.col("tp") + F.col("fp"))
 
 
 def recall() -> Column:
-    return F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
+    return share(F.col("tp"), F.col("tp") + F.col("fn"))
 
 
 def f_beta(beta: float = 1.0) -> Column:
     b = beta * beta
-    return (1 + b) * precision() * recall() / F.greatest(b * precision() + recall(), F.lit(1e-12))
+    below = b * precision() + recall()
+    return F.when(below.isNotNull(), (1 + b) * precision() * recall() / F.greatest(below, F.lit(1e-12)))
 
 
 def with_rates(counts: DataFrame, digits: int = 6) -> DataFrame:
@@ -136,22 +142,31 @@ def polyphonic_metrics(activity: DataFrame, onsets: DataFrame, truth_onsets: Dat
     return out
 
 
-def event_metrics(targets: DataFrame, predicted: DataFrame, matches: DataFrame, low_max: int) -> DataFrame:
-    """Per tolerance: counts and rates of all events and of low ones, and the recall of flagged subsets of the targets.
+SUBSETS = ("all", "low", "retrigger", "active_previous", "chord", "single")
+
+
+def event_metrics(targets: DataFrame, predicted: DataFrame, matches: DataFrame, low_max: int, tolerances: list[int]) -> DataFrame:
+    """A row for each of SUBSETS and each tolerance: targets, tp (those matched), recall and the matches' mean error; predicted, fp, precision and f1 for all and low events.
 
     targets: event_id, pitch, retrigger, active_previous, chord. predicted: event_id, pitch. matches: those of `match_onsets`.
-    Events match within a pitch only, so low targets against low predictions are the matches at low pitches.
+    Events match within a pitch only, so low targets against low predictions are the matches at low pitches. The other subsets are of the
+    targets: a prediction has no such flag, so what depends on predictions is null. Subsets without events or matches have their rows.
     """
+    spark = targets.sparkSession
     low = F.when(F.col("pitch") <= low_max, "low")
-    of_targets = F.array_compact(F.array(F.lit("all"), low, F.when(F.col("retrigger"), "retrigger"), F.when(F.col("active_previous"), "active_previous"), F.when(F.col("chord"), "chord").otherwise("single")))
+    flags = [F.when(F.col(c), c) for c in ("retrigger", "active_previous")]
+    of_targets = F.array_compact(F.array(F.lit("all"), low, *flags, F.when(F.col("chord"), "chord").otherwise("single")))
     wanted = targets.select("event_id", F.explode(of_targets).alias("subset"))
     n_wanted = wanted.groupBy("subset").agg(F.count("*").alias("targets"))
     n_given = predicted.select(F.explode(F.array_compact(F.array(F.lit("all"), low))).alias("subset")).groupBy("subset").agg(F.count("*").alias("predicted"))
     found = wanted.join(matches.select(F.col("target_id").alias("event_id"), "tolerance", "error"), "event_id")
     hits = found.groupBy("subset", "tolerance").agg(F.count("*").alias("tp"), F.round(F.avg(F.abs("error")), 6).alias("mean_abs_error"))
-    rows = hits.join(n_wanted, "subset").join(n_given, "subset", "left")
-    rows = rows.withColumn("fp", F.col("predicted") - F.col("tp")).withColumn("fn", F.col("targets") - F.col("tp"))
-    return with_rates(rows)
+    grid = spark.createDataFrame([(s, t) for s in SUBSETS for t in tolerances], "subset string, tolerance int")
+    none = F.lit(0).cast("long")
+    rows = grid.join(hits, ["subset", "tolerance"], "left").join(n_wanted, "subset", "left").join(n_given, "subset", "left")
+    predicted_ = F.when(F.col("subset").isin("all", "low"), F.coalesce("predicted", none))
+    rows = rows.withColumns({"tp": F.coalesce("tp", none), "targets": F.coalesce("targets", none), "predicted": predicted_})
+    return with_rates(rows.withColumn("fp", F.col("predicted") - F.col("tp")).withColumn("fn", F.col("targets") - F.col("tp")))
 
 
 def by_polyphony(rows: DataFrame, low_max: int) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from framelark.operators.quantiles import quantiles
+from framelark.operators.running import running_sums
 from framelark.operators.sized import small
+from framelark.written import written
 
 
 def order_hash(*parts: Column) -> Column:
@@ -130,9 +133,10 @@ def calibrate_on_grid(scores: DataFrame, points: int, low: float, high: float) -
     Without an allowed point, the one whose count is nearest to the target.
     """
     qs = [i / (points - 1) for i in range(points)]
-    grid = scores.groupBy("member").agg(F.array_distinct(F.concat(F.percentile("score", qs), F.array(F.lit(0.0)))).alias("g"))
+    found = quantiles(scores, tuple(qs), ("member",), "score").select("member", F.col("v").alias("threshold"))
+    grid = found.unionByName(scores.select("member", F.lit(0.0).alias("threshold")).distinct()).distinct()  # some hundred rows
     curve = threshold_curve(scores, "member")
-    at = grid.select("member", F.explode("g").alias("threshold")).join(curve, "member").where("score >= threshold")
+    at = small(grid).join(curve, "member").where("score >= threshold")
     # counts at a threshold are those of the lowest score at or above it
     points_ = at.groupBy("member", "threshold").agg(F.max("predicted").alias("predicted"), F.max("tp").alias("tp"), F.max("target").alias("target")).withColumn("f1", f1())
     allowed = F.col("predicted").between(low * F.col("target"), high * F.col("target"))
@@ -142,7 +146,7 @@ def calibrate_on_grid(scores: DataFrame, points: int, low: float, high: float) -
     return got.select("member", F.round(F.coalesce("b.threshold", "n.threshold"), 6).alias("threshold"), F.round(F.coalesce("b.f1", "n.f1"), 6).alias("f1"))
 
 
-def tolerant_cuts(truth: DataFrame, predicted: DataFrame, radius: int, quantiles: list[float]) -> DataFrame:
+def tolerant_cuts(truth: DataFrame, predicted: DataFrame, radius: int, points: list[float]) -> DataFrame:
     """cut, predicted, tp, fp, fn, f1 of events (track, pitch, frame; predicted ones with amp) at each quantile of amp, and at 0.
 
     Whether a prediction has a target near does not depend on the cut, and a target is missed above the largest amp near it. So both are
@@ -153,13 +157,14 @@ def tolerant_cuts(truth: DataFrame, predicted: DataFrame, radius: int, quantiles
     near = W.partitionBy("track", "pitch").orderBy("frame").rangeBetween(-radius, radius)
     seen = both.select("t", "amp", (F.max("t").over(near) == 1).alias("hit"), F.max(amp).over(near).alias("best"))
     counts = seen.groupBy("t", F.when(F.col("t") == 0, F.col("amp")).otherwise(F.col("best")).alias("amp")).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
-    grid = counts.where("t = 0").agg(F.percentile("amp", quantiles, F.col("n")).alias("g"))  # over distinct values
-    cuts = grid.select(F.explode(F.array_distinct(F.concat("g", F.array(F.lit(0.0))))).alias("cut"))
+    counts = written(counts)  # a row for each distinct value
+    grid = quantiles(counts.where("t = 0").withColumn("all", F.lit(0)), tuple(points), ("all",), "amp", F.col("n")).select(F.col("v").alias("cut"))
+    cuts = small(grid.unionByName(grid.sparkSession.range(1).select(F.lit(0.0).alias("cut"))).distinct())
     steps = counts.where("amp is not null").select("amp", F.when(F.col("t") == 0, F.col("n")).otherwise(0).alias("p"), F.when(F.col("t") == 0, F.col("hits")).otherwise(0).alias("tp"), F.when(F.col("t") == 1, F.col("n")).otherwise(0).alias("met"), F.lit(None).cast("double").alias("cut"))
     marks = cuts.select(F.col("cut").alias("amp"), F.lit(0).alias("p"), F.lit(0).alias("tp"), F.lit(0).alias("met"), "cut")
     whole = counts.agg(F.coalesce(F.sum(F.when(F.col("t") == 1, F.col("n"))), F.lit(0)).alias("target"))
-    down = W.orderBy(F.col("amp").desc())  # a row for each distinct amp: equal ones count together
-    at = steps.unionByName(marks).select("cut", *(F.sum(c).over(down).alias(c) for c in ("p", "tp", "met"))).where("cut is not null")
+    moved = steps.unionByName(marks).select("amp", "cut", *(F.col(c).alias(f"_{c}") for c in ("p", "tp", "met")))
+    at = running_sums(moved, [F.col("amp").desc()], p=F.col("_p"), tp=F.col("_tp"), met=F.col("_met")).where("cut is not null").select("cut", "p", "tp", "met")
     rows = at.join(whole, F.lit(True))  # one row
     rows = rows.select("cut", F.col("p").alias("predicted"), "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("target") - F.col("met")).alias("fn"), "target")
     return rows.withColumn("f1", 2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)))

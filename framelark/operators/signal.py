@@ -1,8 +1,8 @@
 """Framing, spectra and counter-based random numbers: the parts that need numpy inside tasks.
 
 Framing is stateless: frame n is the last `size` samples that end at sample 1 + n * hop,
-zero-padded on the left, so a long track can be cut into blocks of frames that are
-transformed independently. Blocks are rows, so one long track is spread over tasks.
+zero-padded on the left. Signals come in blocks with the samples before them (`blocks.with_halo`), so one
+long track is spread over tasks.
 """
 
 from __future__ import annotations
@@ -14,34 +14,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FFT, HOP, BLOCK = 2048, 256, 512
+from framelark.operators.blocks import HOP, SPAN, floats, frames_of, lists
+from framelark.operators.frontend import spectrum
 
+FFT = 2048
 
-def frame_blocks(audio: DataFrame, size: int = FFT, hop: int = HOP, block: int = BLOCK) -> DataFrame:
-    """track, first, samples: the samples that `block` frames from `first` on need, overlapping by `size`."""
-    frames = F.ceil(F.size("samples") / hop)
-    starts = audio.where(F.size("samples") > 0).select("track", "samples", F.explode(F.sequence(F.lit(0).cast("long"), frames - 1, F.lit(block).cast("long"))).alias("first"))
-    lo = F.greatest(F.col("first") * hop + 1 - size, F.lit(0))
-    hi = F.least((F.col("first") + block - 1) * hop + 1, F.size("samples"))
-    return starts.select("track", "first", F.slice("samples", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("samples"), frames.alias("frames"))
 
+def framed(cut: DataFrame, size: int = FFT, hop: int = HOP) -> DataFrame:
+    """track, frame, x: the samples of each frame of cut signals (`blocks.with_halo`); a signal's first frames are shorter."""
+    first = F.col("block") * (SPAN // hop)
+    each = cut.where(F.size("samples") > 0).select("track", first.alias("first"), F.size("halo").alias("h"), F.concat("halo", "samples").alias("x"), F.explode(F.sequence(F.lit(0), F.ceil(F.size("samples") / hop).cast("int") - 1)).alias("k"))
+    end = F.col("h") + F.col("k") * hop + 1
+    begin = F.greatest(end - size, F.lit(0))
+    return each.select("track", (F.col("first") + F.col("k")).alias("frame"), F.slice("x", begin + 1, end - begin).alias("x"))
 
-def spectra(blocks: DataFrame, size: int = FFT, hop: int = HOP, block: int = BLOCK) -> DataFrame:
-    """track, frame, magnitude: Hann-windowed magnitudes over half the window's sum."""
-    window = np.hanning(size + 1)[:size]
 
-    def run(frames):
-        for pdf in frames:
-            for track, first, samples, total in zip(pdf["track"], pdf["first"], pdf["samples"], pdf["frames"], strict=True):
-                n = np.arange(first, min(first + block, total))
-                lo = max(first * hop + 1 - size, 0)
-                x = np.concatenate([np.zeros(size), np.asarray(samples, float)])
-                ends = np.minimum(n * hop + 1 - lo, len(samples)) + size
-                cut = np.stack([x[e - size : e] for e in ends])
-                mag = np.abs(np.fft.rfft(cut * window, axis=1)) / (window.sum() / 2)
-                yield pd.DataFrame({"track": track, "frame": n, "magnitude": list(mag)})
+def spectra(cut: DataFrame, size: int = FFT, hop: int = HOP) -> DataFrame:
+    """track, frame, magnitude: Hann-windowed magnitudes over half the window's sum, of cut signals."""
 
-    return blocks.mapInPandas(run, "track long, frame long, magnitude array<double>")
+    def run(batches):
+        for batch in batches:
+            blocks = batch.column("block").to_pylist()
+            for i, (b, halo, samples) in enumerate(zip(blocks, floats(batch.column("halo")), floats(batch.column("samples")), strict=True)):
+                if len(samples):
+                    m = spectrum(frames_of(halo, samples, size, hop))
+                    track = batch.column("track").take(pa.array(np.full(len(m), i)))
+                    yield pa.RecordBatch.from_arrays([track, pa.array(b * (SPAN // hop) + np.arange(len(m))), lists(m, pa.float64())], names=["track", "frame", "magnitude"])
+
+    return cut.mapInArrow(run, f"track {cut.schema['track'].dataType.simpleString()}, frame long, magnitude array<double>")
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -60,32 +60,6 @@ def uniform64(*keys: pa.Array) -> pa.Array:
     return pa.array((state >> np.uint64(11)).astype(float) / float(1 << 53))
 
 
-def downsample_causal(audio: DataFrame, up: int, down: int, taps: int = 257, beta: float = 8.6) -> DataFrame:
-    """track, samples: causal polyphase FIR (Kaiser window) by up/down; ceil(n * up / down) outputs; non-finite input counts as 0."""
-    k = np.arange(taps) - (taps - 1) / 2
-    cut = min(1.0 / up, 1.0 / down)
-    kernel = np.sinc(k * cut) * np.kaiser(taps, beta)
-    kernel *= up / kernel.sum()
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for samples in pdf["samples"]:
-                x = np.nan_to_num(np.asarray(samples, float), nan=0.0, posinf=0.0, neginf=0.0)
-                n = -(-len(x) * up // down)
-                at = np.arange(n) * down
-                y = np.zeros(n)
-                for phase in range(min(up, taps)):  # taps that meet a sample of the zero-stuffed input
-                    pick = np.flatnonzero(at % up == phase)
-                    part = kernel[phase::up]
-                    index = (at[pick] // up)[:, None] - np.arange(len(part))
-                    y[pick] = (np.where((index >= 0) & (index < len(x)), x[np.clip(index, 0, max(len(x) - 1, 0))], 0.0) * part).sum(axis=1) if len(x) else 0
-                out.append(y)
-            yield pd.DataFrame({"track": pdf["track"], "samples": out})
-
-    return audio.select("track", "samples").mapInPandas(run, "track long, samples array<double>")
-
-
 def train_clauses(rows: DataFrame, members: list[dict], features: int, sample: int = 4096) -> DataFrame:
     """Clause models (a Tsetlin machine), one for each entry of `members` (keys member, clauses, threshold, s, epochs, seed).
 

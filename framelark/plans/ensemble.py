@@ -8,6 +8,7 @@ from framelark.operators import ensemble as E
 from framelark.operators import features as X
 from framelark.operators import metrics as M
 from framelark.operators import selection as S
+from framelark.operators.quantiles import quantile_columns
 from framelark.operators.sized import small
 from framelark.plans.registry import query
 from framelark.sources.adapters import features, scores, table, with_ctes
@@ -49,9 +50,15 @@ def o116(spark, d):
     return o115(spark, d).groupBy("output").agg(F.count_if(F.col("score") >= 2).alias("predicted"), F.count("*").alias("frames"))
 
 
-@query("o131_sparse_extraction", with_ctes("longx", body="," + CLAUSES + " SELECT clause, literal % 64 AS feature, literal >= 64 AS negated FROM cl"))
+@query(
+    "o131_sparse_extraction",
+    with_ctes("longx", body="SELECT frame AS clause, d AS feature, false AS negated FROM longx WHERE v >= 0.2 UNION ALL SELECT frame, d, true FROM longx WHERE v <= -0.2"),
+)
 def o131(spark, d):
-    return _model(spark)[0].select("clause", (F.col("literal") % 64).alias("feature"), (F.col("literal") >= 64).alias("negated"))
+    """The literals of clauses that are kept as bit masks: a clause for each vector, its strong components included."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("clause"), E.mask_of(x, lambda v: v >= 0.2).alias("own"), E.mask_of(x, lambda v: v <= -0.2).alias("negated"))
+    return E.sparse_literals(rows, 64)
 
 
 SCALE = """md AS (SELECT member, median(score) AS m, quantile_cont(score, [0.25, 0.75]) AS q, median(abs(score)) AS a FROM sc GROUP BY 1),
@@ -78,9 +85,11 @@ def o093(spark, d):
     return E.diversity(scores(spark, d)).select("m", "n", F.round("correlation", 6).alias("correlation"), F.round("sign_difference", 6).alias("sign_difference"))
 
 
-@query("o122_member_configs", "SELECT i AS member, round(3.9 * (1 + 0.25 * (i % 3 - 1)), 6) AS s, round(7.5 * (1 - 0.2 * (i % 3 - 1)), 6) AS q, 42 + 9973 * i AS seed FROM (SELECT unnest(range(0, 10))::INT AS i)")
+@query("o122_member_configs", "SELECT label AS head, i AS member, round(3.9 * (1 + 0.25 * (i % 3 - 1)), 6) AS s, round(frames / 7.5 * (1 - 0.2 * (i % 3 - 1)), 6) AS q, (42 + label + 9973 * i)::BIGINT AS seed FROM (SELECT label, count(*) AS frames FROM embeddings GROUP BY 1), (SELECT unnest(range(0, 10))::INT AS i)")
 def o122(spark, d):
-    return E.member_configs(spark.range(1).select(F.lit(3.9).alias("s"), F.lit(7.5).alias("q"), F.lit(42).alias("seed")), 10)
+    """Ten members for each head; q goes by the number of the head's frames."""
+    heads = table(spark, d, "embeddings").groupBy(F.col("label").alias("head")).agg(F.count("*").alias("frames"))
+    return E.member_configs(heads.select("head", F.lit(3.9).alias("s"), (F.col("frames") / 7.5).alias("q"), (F.col("head") + 42).cast("long").alias("seed")), 10, "head")
 
 
 def _z(spark, d):
@@ -242,5 +251,6 @@ def o113(spark, d):
 
 @query("o094_velocity_statistics", "SELECT event_type, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, median(value) AS median, count(DISTINCT value) AS different FROM events GROUP BY 1")
 def o094(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"), F.median(v).alias("median"), F.count_distinct(v).alias("different"))
+    v, rows = F.col("value"), table(spark, d, "events")
+    rest = rows.groupBy("event_type").agg(F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"), F.count_distinct(v).alias("different"))
+    return rest.join(small(quantile_columns(rows, ("event_type",), v, median=0.5)), "event_type", "left")

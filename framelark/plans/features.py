@@ -114,11 +114,14 @@ def o035(spark, d):
 
 @query(
     "o038_harmonic_owners",
-    """WITH p AS (SELECT unnest(range(40, 89))::INT AS pitch), h AS (SELECT unnest(range(2, 12))::INT AS h)
-    SELECT a.pitch, b.pitch AS owner, h FROM p a, p b, h WHERE abs(1200 * log2(pow(2.0, (a.pitch - b.pitch) / 12.0) / h)) <= 18""",
+    """WITH p AS (SELECT 39 + l_quantity::INT AS pitch, count(*) AS cells FROM lineitem GROUP BY 1), h AS (SELECT unnest(range(2, 12))::INT AS h)
+    SELECT a.pitch, b.pitch AS owner, h, a.cells, b.cells AS owner_cells FROM p a, p b, h WHERE abs(1200 * log2(pow(2.0, (a.pitch - b.pitch) / 12.0) / h)) <= 18""",
 )
 def o038(spark, d):
-    return X.owners(spark.range(40, 89).select(F.col("id").cast("int").alias("pitch")))
+    """Owners among the pitches that occur (a pitch for each quantity), with how often both do."""
+    cells = table(spark, d, "lineitem").groupBy((F.col("l_quantity").cast("int") + 39).alias("pitch")).agg(F.count("*").alias("cells"))
+    owned = X.owners(cells.select("pitch")).join(small(cells), "pitch")
+    return owned.join(small(cells.select(F.col("pitch").alias("owner"), F.col("cells").alias("owner_cells"))), "owner")
 
 
 @query(
@@ -200,20 +203,19 @@ def o049(spark, d):
     return X.thermometer_fit(X.to_long(features(spark, d))).withColumn("threshold", F.round("threshold", 9))
 
 
-def _bits(spark, d):
+def _literals(spark, d):
     long = X.to_long(features(spark, d))
-    return X.thermometer_bits(long, X.thermometer_fit(long))
+    return X.varying_literals(long, X.thermometer_fit(long))
 
 
 @query("o050_varying_literals", _thermo("SELECT literal, d, q FROM lit"))
 def o050(spark, d):
-    return X.varying_literals(_bits(spark, d))
+    return _literals(spark, d).drop("threshold")
 
 
 @query("o051_thermometer_encode", _thermo("SELECT track, frame, literal FROM en"))
 def o051(spark, d):
-    bits = _bits(spark, d)
-    return X.encode(bits, X.varying_literals(bits))
+    return X.encode_wide(features(spark, d), _literals(spark, d))
 
 
 @query(

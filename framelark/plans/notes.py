@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from framelark.operators import metrics as M
 from framelark.operators import notes as N
+from framelark.operators.sized import small
 from framelark.plans.registry import query
-from framelark.sources.adapters import FRAMES, note_events, predicted_events, with_ctes
+from framelark.sources.adapters import FRAMES, HIGH, LOW, note_events, predicted_events, with_ctes
 
 RATES = """tp / greatest(tp + fp, 1) AS pr, tp / greatest(tp + fn, 1) AS rc"""
 CONF = """count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp,
@@ -203,29 +204,93 @@ def o062_note_ons(spark, d):
     return _note_ons(spark, d).select("track", "pitch", "frame", "retrigger")
 
 
+#: notes in the rolls of predictions: runs of activity, cut at rising onsets
+SEGMENTS = """,
+  rn AS (SELECT track, pitch, min(frame) AS start, max(frame) + 1 AS "end" FROM (SELECT *, frame - row_number() OVER (PARTITION BY track, pitch ORDER BY frame) AS g FROM pact) GROUP BY track, pitch, g),
+  oo AS (SELECT DISTINCT track, pitch, frame FROM (SELECT track, pitch, unnest(range(start, least(start + 2, 720)))::INT AS frame FROM pe WHERE "end" > start AND start < 720)),
+  ri AS (SELECT * FROM oo o WHERE NOT EXISTS (SELECT 1 FROM oo b WHERE b.track = o.track AND b.pitch = o.pitch AND b.frame = o.frame - 1)),
+  cu AS (SELECT track, pitch, start AS run, "end", start AS frame FROM rn UNION ALL SELECT rn.track, rn.pitch, rn.start, rn."end", ri.frame FROM rn JOIN ri ON ri.track = rn.track AND ri.pitch = rn.pitch AND ri.frame > rn.start AND ri.frame < rn."end"),
+  sg AS (SELECT track, pitch, frame AS start, coalesce(lead(frame) OVER (PARTITION BY track, pitch, run ORDER BY frame), "end") AS "end" FROM cu)"""
+
+
+def _prediction_rolls(spark, d):
+    pe = predicted_events(spark, d)
+    return N.rasterise(pe, FRAMES), N.onset_labels(pe, FRAMES)
+
+
 @query(
     "o014_midi_of_notes",
-    with_ctes("ne", "act", body="@").replace("WITH ", "WITH RECURSIVE ", 1).replace("@", NOTES + """,
-  sg AS (SELECT *, coalesce(lead(frame) OVER (PARTITION BY track, pitch, "on" ORDER BY frame), off) AS until FROM k),
-  ms AS (SELECT track, pitch, unnest([until::BIGINT * 960, frame::BIGINT * 960]) AS tick, unnest([0, 1]) AS "on", unnest([0, 100]) AS velocity FROM sg)
+    with_ctes("ne", "pe", "pact", body="@").replace("@", SEGMENTS + """,
+  ms AS (SELECT track, pitch, unnest([round_even("end" * (256 / 22050::DOUBLE) * 960, 0)::BIGINT, round_even(start * (256 / 22050::DOUBLE) * 960, 0)::BIGINT]) AS tick, unnest([0, 1]) AS "on", unnest([0, 80]) AS velocity FROM sg)
   SELECT *, row_number() OVER o::INT AS seq, tick - coalesce(lag(tick) OVER o, 0) AS delta FROM ms WINDOW o AS (PARTITION BY track ORDER BY tick, "on", pitch)"""),
 )
 def o014(spark, d):
-    return N.midi_of_notes(_note_ons(spark, d))
+    return N.midi_of_predictions(*_prediction_rolls(spark, d))
+
+
+@query(
+    "o057_classified_events",
+    with_ctes("ne", body=""", k AS (SELECT * FROM ne WHERE start < 720 AND "end" > start)
+      SELECT event_id, track, pitch, start, "end",
+        coalesce((SELECT max(b."end") >= k.start FROM k b WHERE b.track = k.track AND b.pitch = k.pitch AND b.start < k.start), false) AS active_previous,
+        coalesce((SELECT max(b."end") >= k.start FROM k b WHERE b.track = k.track AND b.pitch = k.pitch AND b.start < k.start), false)
+          OR coalesce((SELECT k.start - max(b."end") < 3 FROM k b WHERE b.track = k.track AND b.pitch = k.pitch AND (b.start, b."end", b.event_id) < (k.start, k."end", k.event_id)), false) AS retrigger,
+        EXISTS (SELECT 1 FROM k b WHERE b.track = k.track AND b.pitch <> k.pitch AND b.start = k.start) AS chord FROM k"""),
+)
+def o057(spark, d):
+    """The events of an evaluation with their classes; unsound rows fail it."""
+    ne = note_events(spark, d)
+    bad = N.evaluation_violations(ne, LOW, HIGH)
+    sound = ne.join(small(bad.groupBy().agg(F.count("*").alias("bad"))), F.lit(True)).withColumn("ok", F.when(F.col("bad") == 0, True).otherwise(F.raise_error(F.lit("events of the evaluation are not sound")).cast("boolean"))).where("ok")
+    return N.classified_events(sound, FRAMES).select("event_id", "track", "pitch", "start", "end", "active_previous", "retrigger", "chord")
 
 
-@query("o076_onset_matching")
+#: one-to-one matches: two pointers go through the onsets of a voice, in order of frame and id
+MATCHES = """,
+  vt AS (SELECT track, pitch, list({'f': start, 'id': event_id} ORDER BY start, event_id) AS t FROM ne WHERE "end" > start GROUP BY ALL),
+  vp AS (SELECT track, pitch, list({'f': start, 'id': event_id} ORDER BY start, event_id) AS p FROM pe WHERE "end" > start GROUP BY ALL),
+  st AS (SELECT vt.track, vt.pitch, tol, t, p, 1 AS i, 1 AS j, false AS hit, 0::BIGINT AS target_id, 0::BIGINT AS predicted_id, 0::BIGINT AS error FROM vt JOIN vp ON vt.track = vp.track AND vt.pitch = vp.pitch, (SELECT unnest([0, 1, 2, 4])::INT AS tol)
+    UNION ALL
+    SELECT track, pitch, tol, t, p, CASE WHEN p[j].f < t[i].f - tol THEN i ELSE i + 1 END, CASE WHEN p[j].f > t[i].f + tol THEN j ELSE j + 1 END,
+      abs(p[j].f - t[i].f) <= tol, t[i].id, p[j].id, p[j].f - t[i].f FROM st WHERE i <= len(t) AND j <= len(p)),
+  mt AS (SELECT track, pitch, tol AS tolerance, target_id, predicted_id, error FROM st WHERE hit)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("o076_onset_matching", _recursive(with_ctes("ne", "pe", body="@").replace("@", MATCHES + " SELECT * FROM mt")))
 def o076(spark, d):
     onset = lambda e: e.where("`end` > start").select("track", "pitch", F.col("start").alias("frame"), F.col("event_id").alias("id"))
     return M.match_onsets(onset(note_events(spark, d)), onset(predicted_events(spark, d)), [0, 1, 2, 4])
 
 
-@query("o085_event_metrics")
+TOLERANCES = [0, 1, 2, 4]
+
+
+@query(
+    "o085_event_metrics",
+    _recursive(with_ctes("ne", "pe", body="@")).replace("@", MATCHES + """,
+  k AS (SELECT * FROM ne WHERE start < 720 AND "end" > start),
+  fl AS (SELECT event_id, pitch,
+        coalesce((SELECT max(b."end") >= k.start FROM k b WHERE b.track = k.track AND b.pitch = k.pitch AND b.start < k.start), false) AS active_previous,
+        coalesce((SELECT k.start - max(b."end") < 3 FROM k b WHERE b.track = k.track AND b.pitch = k.pitch AND (b.start, b."end", b.event_id) < (k.start, k."end", k.event_id)), false) AS near,
+        EXISTS (SELECT 1 FROM k b WHERE b.track = k.track AND b.pitch <> k.pitch AND b.start = k.start) AS chord FROM k),
+  su AS (SELECT event_id, unnest(list_filter(['all', CASE WHEN pitch <= 41 THEN 'low' END, CASE WHEN active_previous OR near THEN 'retrigger' END, CASE WHEN active_previous THEN 'active_previous' END, CASE WHEN chord THEN 'chord' ELSE 'single' END], lambda x: x IS NOT NULL)) AS subset FROM fl),
+  gr AS (SELECT subset, tolerance FROM (SELECT unnest(['all', 'low', 'retrigger', 'active_previous', 'chord', 'single']) AS subset), (SELECT unnest([0, 1, 2, 4])::INT AS tolerance)),
+  ct AS (SELECT gr.subset, gr.tolerance, (SELECT count(*) FROM su WHERE su.subset = gr.subset) AS targets,
+      (SELECT count(*) FROM su JOIN mt ON mt.target_id = su.event_id AND mt.tolerance = gr.tolerance WHERE su.subset = gr.subset) AS tp,
+      (SELECT round(avg(abs(error)), 6) FROM su JOIN mt ON mt.target_id = su.event_id AND mt.tolerance = gr.tolerance WHERE su.subset = gr.subset) AS mean_abs_error,
+      CASE gr.subset WHEN 'all' THEN (SELECT count(*) FROM pe WHERE "end" > start) WHEN 'low' THEN (SELECT count(*) FROM pe WHERE "end" > start AND pitch <= 41) END AS predicted FROM gr),
+  rt AS (SELECT *, predicted - tp AS fp, targets - tp AS fn, CASE WHEN predicted IS NOT NULL THEN tp / greatest(predicted, 1) END AS pr, tp / greatest(targets, 1) AS re FROM ct)
+  SELECT subset, tolerance, tp, mean_abs_error, targets, predicted, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr IS NOT NULL THEN 2 * pr * re / greatest(pr + re, 1e-12) END, 6) AS f1 FROM rt"""),
+)
 def o085(spark, d):
     """Per tolerance: counts and rates of all and of low events, recall of flagged subsets."""
-    flagged = N.chord_flag(N.event_flags(note_events(spark, d), FRAMES), 0)
+    flagged = N.classified_events(note_events(spark, d), FRAMES)
     predicted = predicted_events(spark, d).where("`end` > start").select("event_id", "pitch")
-    return M.event_metrics(flagged, predicted, o076(spark, d), 41)
+    return M.event_metrics(flagged, predicted, o076(spark, d), 41, TOLERANCES)
 
 
 ROLLS = """,

@@ -171,9 +171,36 @@ def test_note_ons_and_midi_fixture(spark):
     onsets = spark.createDataFrame([(0, 0, f) for f in (3, 4, 5, 8)] + [(0, 1, 4)], "track long, pitch int, frame int")
     ons = N.note_ons(N.note_state(both, 12, 1, 2), onsets, 3)
     assert {(r.pitch, r.frame, r.retrigger) for r in ons.collect()} == {(0, 0, False), (0, 3, True), (0, 8, True), (1, 0, False), (1, 4, True)}
-    midi = N.midi_of_notes(ons).orderBy("seq").collect()
-    assert [r.on for r in midi if r.tick == 3 * 960] == [0, 1] and sum(1 if r.on else -1 for r in midi) == 0
+    midi = N.midi_of_predictions(both, onsets, 1.0).orderBy("seq").collect()
+    assert [(r.on, r.velocity) for r in midi if r.tick == 3 * 960] == [(0, 0), (1, 80)] and sum(1 if r.on else -1 for r in midi) == 0
     assert max(r.tick for r in midi) == 12 * 960 and sum(r.delta for r in midi) == 12 * 960
+    assert {r.tick // 960 for r in midi if r.on and r.pitch == 0} == {0, 3, 8}
+
+
+def test_midi_of_predictions_against_a_frame_by_frame_writer(spark):
+    rnd, act, ons, want = random.Random(5), [], [], set()
+    seconds = 256 / 22050
+    for track in range(40):
+        active, before, a = False, False, False
+        for f in range(50):
+            a, o = rnd.random() < 0.7, rnd.random() < 0.4
+            act += [(track, 40, f)] if a else []
+            ons += [(track, 40, f)] if o else []
+            tick, rising, before = round(f * seconds * 960), o and not before, o
+            if active and (not a or rising):
+                want.add((track, tick, 0))
+                active = False
+            if a and not active:
+                want.add((track, tick, 1))
+                active = True
+        if active:
+            want.add((track, round(50 * seconds * 960), 0))
+    schema = "track long, pitch int, frame int"
+    got = N.midi_of_predictions(spark.createDataFrame(act, schema), spark.createDataFrame(ons, schema)).collect()
+    assert {(r.track, r.tick, r.on) for r in got} == want and len(got) == len(want)
+    bad = [(1, 40, 0, 4), (2, 39, 0, 4), (3, 40, -1, 4), (4, 40, 5, 4), (5, None, 1, 2)]
+    problems = N.evaluation_violations(spark.createDataFrame(bad, "event_id long, pitch int, start int, end int"), 40, 44).collect()
+    assert {r.event_id for r in problems} == {2, 3, 4, 5}
 
 
 def test_note_ons_against_a_frame_by_frame_decoder(spark):
@@ -224,28 +251,36 @@ def test_event_metrics_against_brute_force(spark):
     t = spark.createDataFrame(targets, "event_id long, track long, pitch int, frame int, retrigger boolean, active_previous boolean, chord boolean")
     p = spark.createDataFrame(given, "event_id long, track long, pitch int, frame int")
     onset = lambda x: x.select("track", "pitch", "frame", F.col("event_id").alias("id"))
-    got = {(r.subset, r.tolerance): r for r in M.event_metrics(t, p, M.match_onsets(onset(t), onset(p), [0, 2]), 41).collect()}
+    rows = M.event_metrics(t, p, M.match_onsets(onset(t), onset(p), [0, 2]), 41, [0, 2]).collect()
+    got = {(r.subset, r.tolerance): r for r in rows}
+    assert len(rows) == len(got) == 12
     for tolerance in (0, 2):
-        matched = set()
+        error = {}
         for pitch in (40, 41, 45):
             a = sorted((x[3], x[0]) for x in targets if x[2] == pitch)
             b = sorted((x[3], x[0]) for x in given if x[2] == pitch)
             i = j = 0
             while i < len(a) and j < len(b):
                 if abs(a[i][0] - b[j][0]) <= tolerance:
-                    matched.add(a[i][1])
+                    error[a[i][1]] = abs(a[i][0] - b[j][0])
                     i, j = i + 1, j + 1
                 elif b[j][0] < a[i][0]:
                     j += 1
                 else:
                     i += 1
-        r = got["all", tolerance]
-        assert (r.tp, r.fp, r.fn) == (len(matched), 70 - len(matched), 60 - len(matched))
-        low = {x[0] for x in targets if x[2] <= 41}
-        r = got["low", tolerance]
-        assert (r.tp, r.fp, r.targets) == (len(matched & low), sum(x[2] <= 41 for x in given) - len(matched & low), len(low))
-        chord = {x[0] for x in targets if x[6]}
-        assert got["chord", tolerance].recall == round(len(matched & chord) / len(chord), 6)
+        subsets = {"all": lambda x: True, "low": lambda x: x[2] <= 41, "retrigger": lambda x: x[4], "active_previous": lambda x: x[5], "chord": lambda x: x[6], "single": lambda x: not x[6]}
+        for name, inside in subsets.items():
+            wanted = {x[0] for x in targets if inside(x)}
+            tp = len(wanted & error.keys())
+            n = {"all": 70, "low": sum(x[2] <= 41 for x in given)}.get(name)
+            rate = round(tp / n, 6) if n else None
+            f1 = round(2 * (tp / n) * (tp / len(wanted)) / (tp / n + tp / len(wanted)), 6) if n else None
+            r = got[name, tolerance]
+            assert (r.targets, r.tp, r.fn, r.predicted, r.fp) == (len(wanted), tp, len(wanted) - tp, n, n and n - tp)
+            assert (r.recall, r.precision, r.f1) == (round(tp / len(wanted), 6), rate, f1)
+            assert r.mean_abs_error == (round(sum(error[k] for k in wanted & error.keys()) / tp, 6) if tp else None)
+    empty = M.event_metrics(t.limit(0), p.limit(0), M.match_onsets(onset(t.limit(0)), onset(p), [0]), 41, [0]).collect()
+    assert len(empty) == 6 and all(r.tp == r.targets == 0 and r.recall == 0 for r in empty)
 
 
 def test_smoothing_does_not_depend_on_blocks(spark):

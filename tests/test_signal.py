@@ -1,26 +1,23 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from framelark.operators import blocks
 from framelark.operators import signal as G
 
 
-def test_spectra_do_not_depend_on_blocks(spark):
+def test_spectra_of_blocks(spark):
     x = np.sin(2 * np.pi * 440 * np.arange(20000) / 22050)
-    audio = spark.createDataFrame([(1, [float(v) for v in x])], "track long, samples array<double>")
-    a = {r.frame: r.magnitude for r in G.spectra(G.frame_blocks(audio, block=16), block=16).collect()}
-    b = {r.frame: r.magnitude for r in G.spectra(G.frame_blocks(audio)).collect()}
-    assert sorted(a) == sorted(b) == list(range(79))
-    assert all(np.allclose(a[k], b[k]) for k in a)
-    assert abs(int(np.argmax(a[60])) - 440 * 2048 / 22050) < 1 and 0.8 < max(a[60]) <= 1.01
-
-
-def test_causal_resampler(spark):
-    t = np.arange(4800) / 48000
-    audio = spark.createDataFrame([(1, [float(v) for v in np.sin(2 * np.pi * 1000 * t)])], "track long, samples array<double>")
-    y = np.array(G.downsample_causal(audio, 1, 2).first().samples)
-    assert len(y) == 2400 and abs(np.abs(y[600:2000]).max() - 1) < 0.01
-    late = np.sin(2 * np.pi * 1000 * (np.arange(2400) / 24000 - 128 / 48000))
-    assert np.abs(y - late)[300:2300].max() < 0.01
+    rows = [(1, b, [float(v) for v in x[b * blocks.SPAN : (b + 1) * blocks.SPAN]]) for b in range(2)]
+    cut = blocks.with_halo(spark.createDataFrame(rows, "track long, block long, samples array<float>"), G.FFT - 1)
+    got = {r.frame: np.array(r.magnitude) for r in G.spectra(cut).collect()}
+    assert sorted(got) == list(range(79)) and abs(int(np.argmax(got[60])) - 440 * 2048 / 22050) < 1 and 0.8 < max(got[60]) <= 1.01
+    w = np.hanning(2048)
+    for f in (0, 3, 63, 64, 70, 78):
+        part = x[max(0, f * 256 + 1 - 2048) : f * 256 + 1]
+        want = np.abs(np.fft.rfft(np.concatenate([np.zeros(2048 - len(part)), part]) * w)) / (w.sum() / 2)
+        assert np.abs(got[f] - want).max() < 1e-5
+    framed = {r.frame: r.x for r in G.framed(cut).collect()}
+    assert all(np.allclose(framed[f], x[max(0, f * 256 + 1 - 2048) : f * 256 + 1], atol=1e-6) for f in range(79))
 
 
 def test_random_numbers_do_not_depend_on_rows(spark):
