@@ -203,19 +203,19 @@ def o049(spark, d):
     return X.thermometer_fit(X.to_long(features(spark, d))).withColumn("threshold", F.round("threshold", 9))
 
 
-def _literals(spark, d):
+def thermometer_literals(spark, d):
     long = X.to_long(features(spark, d))
     return X.varying_literals(long, X.thermometer_fit(long))
 
 
 @query("o050_varying_literals", _thermo("SELECT literal, d, q FROM lit"))
 def o050(spark, d):
-    return _literals(spark, d).drop("threshold")
+    return thermometer_literals(spark, d).drop("threshold")
 
 
 @query("o051_thermometer_encode", _thermo("SELECT track, frame, literal FROM en"))
 def o051(spark, d):
-    return X.encode_wide(features(spark, d), _literals(spark, d))
+    return X.encode_wide(features(spark, d), thermometer_literals(spark, d))
 
 
 @query(

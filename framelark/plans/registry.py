@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from framelark.plans import contracts, ensemble, features, notes, selection, signal, windows  # noqa: F401
+    from framelark.plans import artifacts, contracts, ensemble, features, notes, selection, signal, windows  # noqa: F401
 
 
 load()

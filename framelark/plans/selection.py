@@ -190,3 +190,27 @@ def o088(spark, d):
     return S.calibrate(rows.select(F.lit(0).alias("member"), F.col("n_chars").cast("int").alias("score"), F.col("quality").alias("truth")), 1.5, "member")
 
 
+
+
+#: frames with how many pitches sound and begin in them
+LABELLED = """tk AS (SELECT DISTINCT track FROM ne),
+  al AS (SELECT track, unnest(range(0, 720))::INT AS frame FROM tk),
+  ac AS (SELECT track, frame, count(*) AS activity FROM act GROUP BY 1, 2),
+  onl AS (SELECT track, frame, count(DISTINCT pitch) AS onsets FROM (SELECT track, pitch, unnest(range(start, least(start + 2, 720)))::INT AS frame FROM ne WHERE "end" > start AND start < 720) GROUP BY 1, 2),
+  st AS (SELECT track, frame, CASE WHEN coalesce(onsets, 0) > 0 THEN 0 WHEN coalesce(activity, 0) > 0 THEN 1 ELSE 2 END AS stratum FROM al LEFT JOIN ac USING (track, frame) LEFT JOIN onl USING (track, frame)),
+  nr AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY track, frame) - 1 AS i, count(*) OVER (PARTITION BY stratum) AS n FROM st),
+  rw AS (SELECT count(*) // 4 AS rows FROM st),
+  dr AS (SELECT draw, CASE WHEN draw < round_even(rows * 0.55::DOUBLE, 0) THEN 0 WHEN draw < round_even(rows * 0.55::DOUBLE, 0) + round_even(rows * 0.35::DOUBLE, 0) THEN 1 ELSE 2 END AS stratum FROM (SELECT rows, unnest(range(0, rows)) AS draw FROM rw)),
+  pk AS (SELECT draw, dr.stratum, track, frame FROM dr JOIN (SELECT stratum, max(n) AS n FROM nr GROUP BY 1) c USING (stratum)
+    JOIN nr ON nr.stratum = dr.stratum AND nr.i = floor(('0x' || md5('o/' || draw)[1:13])::BIGINT / 4503599627370496.0::DOUBLE * c.n)::BIGINT)"""
+
+
+@query("o100_onset_sample", with_ctes("ne", "act", body=", " + LABELLED + " SELECT (row_number() OVER (ORDER BY md5('o/place/' || draw), draw) - 1)::BIGINT AS place, track, frame, stratum FROM pk"))
+def o100(spark, d):
+    """A quarter as many draws as there are frames."""
+    ne = note_events(spark, d)
+    grid = ne.select("track").distinct().select("track", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
+    activity = N.rasterise(ne, FRAMES).groupBy("track", "frame").agg(F.count("*").alias("activity"))
+    onsets = N.onset_labels(ne, FRAMES).groupBy("track", "frame").agg(F.count("*").alias("onsets"))
+    labelled = grid.join(activity, ["track", "frame"], "left").join(onsets, ["track", "frame"], "left").fillna(0, ["activity", "onsets"])
+    return S.onset_sample(labelled, grid.count() // 4)
