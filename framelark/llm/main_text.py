@@ -8,8 +8,8 @@ holds; a page's main text is what stands in the nodes that its host's wrapper co
 
 Scale: each task merges the pages of a host that it reads into one wrapper before
 anything is shuffled, so what is shuffled is bounded by hosts times tasks, not by
-pages; a wrapper's own size is bounded (see `page_tree`). Wrappers of a host are merged in two rounds (spread over MERGE_SPREAD
-groups first), so a host with a third of all pages is no single group. Merging
+pages; a wrapper's own size is bounded (see `page_tree`). Wrappers of a host are merged in rounds of groups of
+about FAN, so a host with a third of all pages is no single group however many tasks read it. Merging
 is associative enough for any order: labels that occur stay covered. The table of
 wrappers is broadcast only if its size is counted small, else joined by host with
 splittable skew.
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelark.llm import page_tree as P
-from framelark.llm.common import bounded_batches, stash
+from framelark.llm.common import bounded_batches, small, stash
 
-MERGE_SPREAD = 32
+FAN = 32  # wrappers merged in one group
 HELD_HOSTS = 2_000  # wrappers that a task holds before it emits them
 BROADCAST_CHARS = 16_000_000
 
@@ -78,9 +78,15 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     bounded_batches(pages.sparkSession)
     schema = "host string, wrapper string"
     parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_infer, schema)
-    parts = parts.withColumn("spread", F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_SPREAD)))
-    some = parts.groupBy("host", "spread").applyInArrow(_merge_group, schema)
-    return stash(some.groupBy("host").applyInArrow(_merge_group, schema))
+    while True:
+        parts = stash(parts.withColumn("n", F.monotonically_increasing_id()))
+        many = stash(parts.groupBy("host").count().where("count > 1").select(F.col("host").alias("of"), F.ceil(F.col("count") / FAN).alias("groups")))
+        rounds = many.agg(F.max("groups")).first()[0]
+        if rounds is None:
+            return parts.select("host", "wrapper")
+        spread = parts.join(small(many), F.col("host") == F.col("of"), "left")
+        group = F.coalesce(F.pmod(F.xxhash64("n"), F.col("groups")), F.lit(0)).alias("group")
+        parts = spread.select("host", "wrapper", group).groupBy("host", "group").applyInArrow(_merge_group, schema)
 
 
 @F.arrow_udf(T.StringType())

@@ -18,12 +18,13 @@ What is main text is decided by HTML's own elements and roles, and by the host's
 
 * The region is the article elements, else the main element or role, else the block that is reached
   from the root by following the child that holds most of the host's varying, unlinked text.
-* A text that is the same in TEMPLATE_PAGES different pages is template, if most of
-  the region's text on the host varies.
-* A repeated group of which nearly all text is links is a menu, if it is the smaller part of the region.
-* A block whose class or id is the very name of a kind that is no main text (KINDS) goes only if the
-  wrapper says the same: it is the smaller part of the host's region, or a repeated
-  group of records. Words inside longer names say nothing.
+* In a block region, a repeated group of which nearly all text is links is a menu, if it is the smaller part of the
+  region. Articles and main elements keep their lists of links.
+* A block goes if its class or id names a kind that is no main text: it consists of such a name (KINDS) and
+  words that say no more than that it is a block (AROUND), as in `comment-list` or `page-footer`. The
+  wrapper has to say the same: it is the smaller part of the host's region, or a repeated group of records. A notice is one only
+  if its text is the same on different pages. Words inside other names say nothing.
+* Headings, paragraphs and all other text in the region stay, whether pages share them or not.
 * A page of which nothing would be left keeps all of its region.
 """
 
@@ -32,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/][^>]*>|<[!?][^>]*>|<[a-zA-Z/!?].*\Z|[^<]+|<", re.S
@@ -41,9 +43,10 @@ _DIGITS = re.compile(r"\d+")
 
 _WORDS = str.split
 VOID = frozenset(_WORDS("area base br col embed hr img input link meta param source track wbr"))
-RAW = frozenset(_WORDS("script style textarea title noscript template iframe svg math object canvas audio video select"))
+RAW = frozenset(_WORDS("script style textarea title noscript template iframe svg object canvas audio video select annotation annotation-xml"))
 INLINE = frozenset(
     _WORDS("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var label")
+    + _WORDS("math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mpadded mphantom menclose")
 )
 HEAD = frozenset(_WORDS("base link meta title style script noscript template"))
 #: tag -> open tags that its start closes, up to a barrier
@@ -62,8 +65,10 @@ CLOSES = {
 OUT_TAGS = frozenset(_WORDS("nav footer aside form button menu dialog head fieldset"))
 OUT_ROLES = frozenset(_WORDS("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar"))
 HEADINGS = frozenset(_WORDS("h1 h2 h3 h4 h5 h6"))
-#: names of kinds of blocks that are no main text, as a whole class word or id
-KINDS = frozenset(_WORDS("menu header footer sidebar notice ad ads advert adverts comment comments"))
+#: names of kinds of blocks that are no main text
+KINDS = frozenset(_WORDS("menu header footer sidebar notice notices ad ads advert adverts advertisement sponsored promo comment comments nav navbar"))
+#: words beside which such a name still stands for the whole block
+AROUND = frozenset(_WORDS("list item items slot box block bar area section wrapper wrap container page site main top bottom left right inner outer widget unit thread form"))
 
 
 def tag_of(label: str) -> str:
@@ -77,8 +82,19 @@ def out_of_text(label: str) -> bool:
     return tag in OUT_TAGS or role in OUT_ROLES or names.startswith("!")
 
 
-def is_kind(label: str) -> bool:
-    return not KINDS.isdisjoint(label.partition("|")[2].partition("|")[2].split())
+def kind_of(name: str) -> str:
+    """The kind that a class word or id names, '' if it names none."""
+    if name in KINDS:
+        return name
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    if "".join(parts) in KINDS:
+        return "".join(parts)
+    kinds = [x for x in parts if x in KINDS]
+    return kinds[0] if kinds and all(x in KINDS or x in AROUND for x in parts) else ""
+
+
+def kinds_of(label: str) -> set[str]:
+    return {kind_of(x) for x in label.partition("|")[2].partition("|")[2].split()} - {""}
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -93,7 +109,7 @@ def _label(tag: str, attributes: str) -> str:
             hidden = True
         elif name == "class":
             names.update(x for x in value.split() if not _DIGITS.search(x) and "|" not in x)
-        elif name == "id" and value in KINDS:
+        elif name == "id" and kind_of(value):
             names.add(value)
     if hidden:
         return f"{tag}|{role}|!hidden"
@@ -101,9 +117,14 @@ def _label(tag: str, attributes: str) -> str:
 
 
 def parse(page: str) -> list:
-    """The tree of a page: [label, texts, kids], texts being (position among the kids, text, its characters in links)."""
+    """The tree of a page: [label, texts, kids], texts being (position among the kids, text, its characters in links).
+
+    What is open is kept as a stack with, for each entry, the node that texts and kids of its inside go to, and the place of the
+    open paragraph that a block would end; and open tags are counted. So a step takes as long in a deep page as in a flat one.
+    """
     root = ["#", [], []]
-    stack = [(root, "#")]
+    stack = [("#", root, 0)]  # tag, node, place of the open paragraph or 0
+    open_: Counter[str] = Counter()
     at, end = 0, len(page)
     match = _TOKEN.match
     pending: list[str] = []
@@ -116,15 +137,25 @@ def parse(page: str) -> list:
             in_links, linked = min(linked, len(text)), 0
             pending.clear()
             if text:
-                node = stack[-1][0]
-                k = len(stack) - 1
-                while k and stack[k][1] in INLINE and "|" not in stack[k][0][0]:
-                    k -= 1
-                node = stack[k][0]
+                node = stack[-1][1]
                 node[1].append((len(node[2]), text, in_links))
 
+    def push(tag: str, label: str | None):
+        """A node of its own, or none (label None) for an inline tag."""
+        _, node, paragraph = stack[-1]
+        if label is not None:
+            kid = [label, [], []]
+            node[2].append(kid)
+            node = kid
+        if tag not in INLINE:
+            paragraph = len(stack) if tag == "p" else 0
+        stack.append((tag, node, paragraph))
+        open_[tag] += 1
+
     def pop_to(k: int):
         flush()
+        for tag, _, _ in stack[k:]:
+            open_[tag] -= 1
         del stack[k:]
 
     while at < end:
@@ -135,30 +166,32 @@ def parse(page: str) -> list:
             token = m[0]
             if token[0] != "<" or token == "<":
                 pending.append(token)
-                if any(x[1] == "a" for x in stack):
+                if open_["a"]:
                     linked += len(token.strip())
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in INLINE:
+            if tag == "br":
+                pending.append(" ")
+            elif not open_[tag]:
+                if tag not in INLINE:
+                    flush()
+            elif tag in INLINE:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == tag:
-                        if "|" in stack[k][0][0]:
-                            pop_to(k)
-                        else:
+                    if stack[k][0] == tag:
+                        if stack[k][1] is stack[k - 1][1]:  # transparent: what is open within stays open
                             del stack[k]
+                            open_[tag] -= 1
+                        else:
+                            pop_to(k)
                         break
-                    if stack[k][1] not in INLINE:
+                    if stack[k][0] not in INLINE:
                         break
-            elif tag == "br":
-                pending.append(" ")
             else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == tag:
-                        pop_to(k)
-                        break
-                else:
-                    flush()
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                pop_to(k)
             continue
         if tag in VOID:
             if tag == "br":
@@ -174,38 +207,28 @@ def parse(page: str) -> list:
             continue
         if tag in INLINE:
             if not out_of_text(label):
-                stack.append(([tag, [], []], tag))  # transparent: not hung into the tree
+                push(tag, None)  # transparent: not hung into the tree
             else:
                 flush()
-                node = [label, [], []]
-                parent = next(s[0] for s in reversed(stack) if s[1] not in INLINE or "|" in s[0][0])
-                parent[2].append(node)
-                stack.append((node, tag))
+                push(tag, label)
             continue
         flush()
-        if tag in CLOSES:
+        if tag in CLOSES and any(open_[x] for x in CLOSES[tag][0]):
             closed, barrier = CLOSES[tag]
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] in barrier:
+                if stack[k][0] in barrier:
                     break
-                if stack[k][1] in closed:
+                if stack[k][0] in closed:
                     low = k
-                    while low > 1 and stack[low - 1][1] in closed:
+                    while low > 1 and stack[low - 1][0] in closed:
                         low -= 1
                     pop_to(low)
                     break
-        for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph and what stands in it
-            if stack[k][1] == "p":
-                pop_to(k)
-                break
-            if stack[k][1] not in INLINE:
-                break
-        if tag not in HEAD and tag != "html" and len(stack) > 1 and any(s[1] == "head" for s in stack):
-            pop_to(next(k for k, s in enumerate(stack) if s[1] == "head"))
-        node = [label, [], []]
-        parent = next(s[0] for s in reversed(stack) if s[1] not in INLINE or "|" in s[0][0])
-        parent[2].append(node)
-        stack.append((node, tag))
+        if stack[-1][2]:  # a block ends an open paragraph and what stands in it
+            pop_to(stack[-1][2])
+        if open_["head"] and tag not in HEAD and tag != "html":
+            pop_to(next(k for k, x in enumerate(stack) if x[0] == "head"))
+        push(tag, label)
     flush()
     return root
 
@@ -213,7 +236,7 @@ def parse(page: str) -> list:
 # ---- wrappers -----------------------------------------------------------------
 
 
-TEMPLATE_PAGES = 3  # different pages from which an equal text counts as part of the template
+TEMPLATE_PAGES = 2  # different pages that show that a text is the host's and not a page's
 KIDS = 64
 DEPTH = 60
 CELLS = 250_000  # label comparisons of one alignment; longer sequences are grouped by label
@@ -378,29 +401,35 @@ def _block(w: list) -> list[list]:
         path.append(kids[0])
 
 
+def _same_everywhere(w: list) -> bool:
+    return not _sum(w, lambda x: 0 if _fixed(x) else x[MASS])
+
+
 def judge(w: list) -> dict:
-    """The host's verdicts: for each kind of region the wrapper nodes that go (`drop`) and those whose own text is template (`fixed`), by id()."""
+    """The host's verdicts: for each kind of region the wrapper nodes that go, by id()."""
     path = _block(w)
     found = {}
     for kind, roots in (("article", _regions(w, "article")), ("main", _regions(w, "main")), ("block", [path[-1]])):
-        drop, fixed = set(), set()
+        drop = set()
         total = sum(map(mass, roots))
-        settled = sum(_sum(r, lambda x: x[MASS] if _fixed(x) else 0) for r in roots)
         stack = list(roots)
         while stack:
             x = stack.pop()
             if out_of_text(x[0]):
                 continue
-            own, linked = mass(x), _sum(x, lambda y: y[LINKED])
+            own = mass(x)
             records = any(k[REPEATED] for k in x[WITHIN])
             small = own < 0.5 * total
-            if x not in roots and ((is_kind(x[0]) and (small or (records or x[REPEATED]) and own < total)) or (records and small and linked >= 0.8 * own > 0)):
+            kinds = kinds_of(x[0])
+            if kinds <= {"notice", "notices"} and not _same_everywhere(x):
+                kinds = set()
+            named = bool(kinds) and (small or ((records or x[REPEATED]) and own < total))
+            menu = kind == "block" and records and small and _sum(x, lambda y: y[LINKED]) >= 0.8 * own > 0
+            if x not in roots and (named or menu):
                 drop.add(id(x))
                 continue
-            if settled < 0.5 * total and _fixed(x):
-                fixed.add(id(x))
             stack += x[WITHIN]
-        found[kind] = (drop, fixed)
+        found[kind] = drop
     return {"wrapper": w, "path": {id(x) for x in path}, "end": id(path[-1]), "kinds": found}
 
 
@@ -419,7 +448,7 @@ def extract(page: list, verdicts: dict) -> list[str]:
 
 
 def _collect(page: list, verdicts: dict, kind: str, careful: bool) -> list[str]:
-    drop, fixed = verdicts["kinds"][kind]
+    drop = verdicts["kinds"][kind]
     out: list[str] = []
     # (node, its place in the wrapper, inside the region) or a text to give out
     stack: list = [(page, verdicts["wrapper"], False)]
@@ -439,9 +468,9 @@ def _collect(page: list, verdicts: dict, kind: str, careful: bool) -> list[str]:
             inside = inside or id(w) == verdicts["end"]
         else:
             inside = inside or is_region(node[0], kind)
-        if careful and inside and (is_kind(node[0]) if w is None else id(w) in drop):  # below the wrapper the name decides
+        if careful and inside and (bool(kinds_of(node[0])) if w is None else id(w) in drop):  # below the wrapper the name decides
             continue
-        own = inside and not (careful and w is not None and id(w) in fixed)
+        own = inside
         within = w[WITHIN] if w is not None else []
         todo, t, at = [], 0, 0
         texts = node[1]

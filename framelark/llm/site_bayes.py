@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from framelark.llm.common import bounded_batches, fresh, small, stash
 from framelark.llm.near_dedup import shingle_array, signature
 from framelark.llm.quality_rules import FEATURES, Test, cover_of, labelled_sample, learn
-from framelark.llm.textscan import ALNUM, LOWER, Words, lookup, slices
+from framelark.llm.textscan import ALNUM, LOWER, Index, Words, slices
 from framelark.llm.textstats import FIELDS, stats_of, text_stats
 
 SAMPLE = 20_000
@@ -65,15 +65,15 @@ class Evidence:
     toxic_prior: float  # log odds of a toxic document without any of them
     prior: float  # share of good documents among the labelled
 
-    def of(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words and log-likelihood ratio (good over bad) of each text."""
+    def of(self, buf: np.ndarray, offs: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+        """Words and log-likelihood ratio (good over bad) of each text; `index` is that of the words."""
         stats = dict(zip(FIELDS, stats_of(buf, offs), strict=True))
         low = self.low[first_rule(self.rules, ratios(stats))]
         toxic = np.full(len(low), self.toxic_prior)
         if len(self.words):
             w = Words(LOWER[buf], offs, ALNUM)
             h = w.hashes()
-            at = lookup(self.words, h)
+            at = index.find(h)
             hit = np.flatnonzero(at >= 0)
             pairs = np.unique(w.doc[hit] * len(self.words) + at[hit])
             toxic += np.bincount(pairs // len(self.words), self.weights[pairs % len(self.words)], len(low))
@@ -179,13 +179,18 @@ def without_near_copies(rows: DataFrame, text: str) -> DataFrame:
 def word_sums(words: np.ndarray, weights: list[np.ndarray]):
     """UDF: sum of the weights of a document's distinct words, those of its fold."""
 
+    index: list[Index] = []
+    table = np.stack(weights)
+
     @F.arrow_udf(T.DoubleType())
     def total(ws: pa.Array, fold: pa.Array) -> pa.Array:
+        if not index:
+            index.append(Index(words, 2))  # once for a task
         size = np.asarray(ws.value_lengths())
-        at = lookup(words, ws.flatten().to_numpy().view(np.uint64))
+        at = index[0].find(ws.flatten().to_numpy().view(np.uint64))
         own = np.repeat(np.arange(len(ws)), size)
         f = np.asarray(fold)[own]
-        values = np.where(at >= 0, np.stack(weights)[f, at], 0.0)
+        values = np.where(at >= 0, table[f, at], 0.0)
         return pa.array(np.bincount(own, values, len(ws)))
 
     return total
@@ -246,15 +251,19 @@ SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("llr
 
 
 def evidence_of(text: Column, model: Evidence | None) -> Column:
+    index: list[Index] = []
+
     @F.arrow_udf(SCORE)
     def score(texts: pa.Array) -> pa.Array:
+        if model is not None and not index:
+            index.append(Index(model.words, 2))  # once for a task
         n, llr = [np.zeros(0, np.int64)], [np.zeros(0)]
         for _, _, buf, offs in slices(texts):
             if model is None:
                 n.append(Words(buf, offs, ALNUM).counts)
                 llr.append(np.zeros(len(offs) - 1))
             else:
-                a, b = model.of(buf, offs)
+                a, b = model.of(buf, offs, index[0])
                 n.append(a)
                 llr.append(b)
         return pa.StructArray.from_arrays([pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(llr))], names=["n_words", "llr"])

@@ -164,28 +164,40 @@ def cover(starts: np.ndarray, width: int, total: int) -> np.ndarray:
     return np.cumsum(step[:total]) > 0
 
 
-def lookup(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of each value in the sorted table, -1 if absent.
+class Index:
+    """A sorted table of different values, to look values up in. Built once, with a few bytes for each value.
 
     Found by a slot for the low bits; values whose slot another one took are searched for.
     """
-    out = np.full(len(x), -1, np.int64)
-    if not len(table) or not len(x):
+
+    def __init__(self, table: np.ndarray, slots: int = 8):
+        self.table = table
+        bits = max(12, int(len(table) * slots).bit_length())
+        self.low = np.uint64((1 << bits) - 1)
+        own = np.arange(len(table), dtype=np.int32)
+        self.slot = np.full(1 << bits, -1, np.int32)
+        self.slot[table & self.low] = own
+        self.late = np.flatnonzero(self.slot[table & self.low] != own)
+        self.rest = table[self.late]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of each value in the table, -1 if absent."""
+        out = np.full(len(x), -1, np.int64)
+        if not len(self.table) or not len(x):
+            return out
+        k = self.slot[x & self.low]
+        taken = np.flatnonzero(k >= 0)
+        k = k[taken]
+        right = self.table[k] == x[taken]
+        out[taken[right]] = k[right]
+        if len(self.late):
+            wrong = taken[~right]
+            y = x[wrong]
+            j = np.minimum(np.searchsorted(self.rest, y), len(self.rest) - 1)
+            out[wrong] = np.where(self.rest[j] == y, self.late[j], -1)
         return out
-    bits = max(12, int(len(table) * 8).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    own = np.arange(len(table), dtype=np.int32)
-    slot = np.full(1 << bits, -1, np.int32)
-    slot[table & low] = own
-    late = np.flatnonzero(slot[table & low] != own)
-    k = slot[x & low]
-    taken = np.flatnonzero(k >= 0)
-    k = k[taken]
-    right = table[k] == x[taken]
-    out[taken[right]] = k[right]
-    if len(late):
-        wrong = taken[~right]
-        y, rest = x[wrong], table[late]
-        j = np.minimum(np.searchsorted(rest, y), len(rest) - 1)
-        out[wrong] = np.where(rest[j] == y, late[j], -1)
-    return out
+
+
+def lookup(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Index of each value in the sorted table, -1 if absent."""
+    return Index(table).find(x) if len(x) else np.full(0, -1, np.int64)
