@@ -88,10 +88,8 @@ def o136(spark, d):
 
 @query("o064_note_tracking")
 def o064(spark, d):
-    x = features(spark, d)
-    part = lambda lo: F.transform(F.slice("x", lo, 20), lambda v: F.abs(v))
-    evidence = x.select("track", "frame", part(1).alias("activity"), part(21).alias("onset"), part(41).alias("attack"))
-    return tracker.track(evidence, 40)
+    """Notes of the signals, by the evidence for all pitches."""
+    return tracker.track(A.evidence(B.with_halo(signal(spark, d), A.DualResolution().halo)), A.LOW)
 
 
 @query("o117_clause_training")

@@ -55,11 +55,11 @@ def artifact_digest(kind: str, head: dict, sections: dict[str, dict]) -> str:
     return hashlib.sha256(_canonical([kind, head, {n: [s["rows"], s["digest"]] for n, s in sections.items()}]).encode()).hexdigest()
 
 
-def publish(spark: SparkSession, path: str, kind: str, head: dict, sections: dict[str, tuple[DataFrame, list[str]]], fan: int = FAN) -> dict:
-    """Write the sections (a table and the columns of its order, which must not tie), then the manifest; gives the manifest."""
+def publish(spark: SparkSession, path: str, kind: str, head: dict, sections: dict[str, tuple[DataFrame, list[str] | str]], fan: int = FAN) -> dict:
+    """Write the sections, then the manifest; gives the manifest. A section is a table and the columns of its order, which must not tie, or the column that numbers its rows from 0."""
     listed = {}
     for name, (df, order) in sections.items():
-        numbered = row_numbers(df, [F.col(c) for c in order], "_row")
+        numbered = df.withColumn("_row", F.col(order).cast("long")) if isinstance(order, str) else row_numbers(df, [F.col(c) for c in order], "_row")
         numbered.repartitionByRange("_row").sortWithinPartitions("_row").write.parquet(f"{path}/{name}")
         back = spark.read.parquet(f"{path}/{name}")
         block_digests(back, fan).write.parquet(f"{path}/{DIGESTS}/{name}")
@@ -140,7 +140,7 @@ def publish_dataset(spark: SparkSession, path: str, frames: DataFrame, indices:
     """A dataset; head needs feature_count, note_count, midi_min, sample_rate, hop_size, seed and can have fingerprint."""
     words = [-(-head[k] // 64) for k in ("feature_count", "note_count")]
     _refuse(dataset_violations(frames, indices, *words), "the dataset doesn't fit together")
-    sections = {name: (frames.select("row", F.col(name).alias("words")), ["row"]) for name in ("features", "activity", "onset")}
+    sections = {name: (frames.select("row", F.col(name).alias("words")), "row") for name in ("features", "activity", "onset")}
     return publish(spark, path, "dataset", head, sections | {"indices": (indices.select("place", "row"), ["place"])}, fan)
 
 
@@ -206,7 +206,7 @@ def publish_bundle(spark: SparkSession, path: str, members: DataFrame, clauses:
     if not legacy and members.where("fingerprint is null").limit(1).count():
         raise ValueError("models without a feature fingerprint are bundled only if `legacy` says so")
     rows, flat = sparse_rows(clauses, literals)
-    return publish(spark, path, "bundle", head, {"members": (members, ["head", "place"]), "clauses": (rows, ["id", "clause"]), "literals": (flat, ["position"])})
+    return publish(spark, path, "bundle", head, {"members": (members, ["head", "place"]), "clauses": (rows, ["id", "clause"]), "literals": (flat, "position")})
 
 
 BLOCK = 1 << 16
@@ -244,7 +244,7 @@ def publish_frontend(spark: SparkSession, path: str, entries: DataFrame, head: d
 
 def publish_thermometer(spark: SparkSession, path: str, literals: DataFrame, head: dict) -> dict:
     """Literals of a fitted thermometer (literal, d, q, threshold)."""
-    return publish(spark, path, "thermometer", head, {"literals": (literals, ["literal"])})
+    return publish(spark, path, "thermometer", head, {"literals": (literals, "literal")})
 
 
 # --- metadata that grew ----------------------------------------------------------------------------------

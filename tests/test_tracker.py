@@ -1,6 +1,6 @@
 import numpy as np
 
-from framelark.operators.tracker import Settings, track, track_notes
+from framelark.operators.tracker import Settings, stretches, track, track_notes
 
 
 def evidence(frames=40, pitches=3):
@@ -35,3 +35,20 @@ def test_velocity_grows_with_the_attack(spark):
     table = spark.createDataFrame(rows, "track long, frame long, activity array<double>, onset array<double>, attack array<double>")
     got = track(table, 40).where("`on` = 1").orderBy("track").collect()
     assert [r.pitch for r in got] == [40] * 3 and got[0].velocity < got[1].velocity < got[2].velocity
+
+
+def test_stretches_give_the_messages_of_the_whole_track(spark):
+    rnd = np.random.default_rng(9)
+    rows, want = [], []
+    for t in range(4):
+        frames, loud = 900, np.zeros(900, bool)
+        for at in rnd.integers(0, 880, 14):
+            loud[at : at + rnd.integers(2, 25)] = True
+        a, o, k = (rnd.random((frames, 4)) * loud[:, None] * scale for scale in (0.9, 0.9, 0.02))
+        k += rnd.random(k.shape) * 0.0019  # never nothing, always below the floors
+        rows += [(t, f + 100, a[f].tolist(), o[f].tolist(), k[f].tolist()) for f in range(frames)]
+        want += [(t, f + 100, 40 + p, on, v) for f, p, on, v in track_notes(a, o, k, Settings())]
+    table = spark.createDataFrame(rows, "track long, frame long, activity array<double>, onset array<double>, attack array<double>").repartition(5)
+    parts = stretches(table, Settings()).orderBy("track", "first").collect()
+    assert len(parts) > 12 and all(a.track != b.track or a.last == b.first for a, b in zip(parts, parts[1:]))
+    assert sorted(tuple(r) for r in track(table, 40).collect()) == sorted(want) and len(want) > 40
