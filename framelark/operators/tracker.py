@@ -110,16 +110,15 @@ def track_notes(activity: np.ndarray, onset: np.ndarray, attack: np.ndarray, s:
 def stretches(evidence: DataFrame, s: Settings) -> DataFrame:
     """track, first, last: half-open ranges of frames that can be tracked by themselves.
 
-    Works on a flag for each frame. A cut lies `settled` frames after a pause begins, and as many of its frames at least are
-    left to the stretch after it: so values below all thresholds that are remembered over the cut are forgotten before anything depends on them.
+    Works on a flag for each frame. A stretch begins with the last `settled` + 1 frames of a pause, which has as many frames at least before the cut: so values below all thresholds that are remembered over the cut are forgotten before anything depends on them.
     """
     floor = min(s.floor_new, s.floor_again, s.floor_global)
     top = lambda c: F.coalesce(F.array_max(c), F.lit(0.0))
     loud = (top("activity") >= s.activity_off) | (top("onset") >= s.onset_on) | (top("attack") >= floor)
-    marks = evidence.select("track", "frame", loud.alias("loud"))
     order = W.partitionBy("track").orderBy("frame")
-    sounds = marks.where("loud").withColumn("before", F.lag("frame").over(order))
-    cuts = sounds.where(F.col("frame") - F.col("before") > 2 * s.settled + 1).select("track", (F.col("before") + 1 + s.settled).alias("first"))
+    marks = evidence.select("track", "frame", loud.alias("loud")).withColumn("place", F.row_number().over(order)).withColumn("back", F.lag("frame", s.settled + 1).over(order))
+    sounds = marks.where("loud").withColumn("before", F.lag("place").over(order))
+    cuts = sounds.where(F.col("place") - F.col("before") > 2 * s.settled + 1).select("track", F.col("back").alias("first"))
     begins = evidence.groupBy("track").agg(F.min("frame").alias("first"), (F.max("frame") + 1).alias("end"))
     all_ = begins.select("track", "first").unionByName(cuts).distinct()
     ends = F.lead("first").over(W.partitionBy("track").orderBy("first"))
@@ -130,7 +129,7 @@ SPAN = 4096  # frame numbers of a block in which frames meet stretches
 
 
 def track(evidence: DataFrame, low: int, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """track, frame, pitch, on, velocity from (track, frame, activity, onset, attack) rows with arrays over pitches; frames follow each other."""
+    """track, frame, pitch, on, velocity from (track, frame, activity, onset, attack) rows with arrays over pitches; a track's rows follow each other, whatever their numbers."""
 
     def run(pdf):
         pdf = pdf.sort_values("frame")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framelark.operators import confirmation as K
 from framelark.operators import contracts as C
 from framelark.operators import metrics as M
 from framelark.operators import notes as N
@@ -201,3 +202,17 @@ def o088(spark, d):
 @query("o097_stable_seed")
 def o097(spark, d):
     return corpus(spark, d).select("id", S.stable_seed(F.concat_ws("/", "source", "id"), 42).alias("seed"))
+
+
+@query(
+    "o141_leak_guard",
+    with_ctes("corp", body=""", us AS (SELECT 'activity' AS fit, id FROM corp WHERE split = 'train' UNION ALL SELECT 'threshold', id FROM corp WHERE split = 'validation' OR id % 100 = 19 UNION ALL SELECT 'threshold', -1 - id FROM corp WHERE id % 500 = 7)
+      SELECT fit, us.id, CASE WHEN corp.id IS NULL THEN 'unknown row' WHEN split = 'test' THEN 'held-out row' ELSE 'group of a held-out row' END AS problem
+      FROM us LEFT JOIN corp ON corp.id = us.id WHERE corp.id IS NULL OR split = 'test' OR source || '/' || coalesce(grp, '') || '/' || us.id % 7 IN (SELECT source || '/' || coalesce(grp, '') || '/' || id % 7 FROM corp WHERE split = 'test' AND source IS NOT NULL)"""),
+)
+def o141(spark, d):
+    """What two fits read, with some held-out rows among it: the rows that forbid a confirmation."""
+    c = corpus(spark, d).withColumn("grp", F.when(F.col("source").isNotNull(), F.concat_ws("/", "source", F.coalesce("grp", F.lit("")), F.col("id") % 7)))
+    fit = lambda name, rows, ident="id": rows.select(F.lit(name).alias("fit"), F.expr(ident).alias("id"))
+    used = fit("activity", c.where("split = 'train'")).unionByName(fit("threshold", c.where("split = 'validation' or id % 100 = 19"))).unionByName(fit("threshold", c.where("id % 500 = 7"), "-1 - id"))
+    return K.leaks(used, c)

@@ -78,6 +78,16 @@ def o037(spark, d):
     return each.select("track", "frame", (F.col("k") + A.LOW).alias("pitch"), *(F.round(F.col("e")[c].cast("double"), 6).alias(c) for c in columns))
 
 
+@query("o031_pitch_profile")
+def o031_all(spark, d):
+    """Each harmonic's own contrast, and the contrast of each pitch, for all pitches and frames of the signals."""
+    f = A.PitchFeatures(every_harmonic=True, profile=True)
+    n = len(f.pitches)
+    x = B.features(B.with_halo(signal(spark, d), f.halo), f).select("track", "frame", "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p"))
+    profile = F.transform(F.sequence(F.lit(0), F.lit(f.harmonics - 1)), lambda h: F.round(F.get(F.col("x"), (h + len(A.GROUPS)) * n + F.col("p")).cast("double"), 6))
+    return x.select("track", "frame", (F.col("p") + f.low).alias("pitch"), F.round(F.get("x", 2 * n + F.col("p")).cast("double"), 6).alias("contrast"), profile.alias("profile"))
+
+
 @query("o136_causal_dataset")
 def o136(spark, d):
     """Literals of the signals, as words, with thresholds at the quantiles of their own features."""
@@ -88,8 +98,11 @@ def o136(spark, d):
 
 @query("o064_note_tracking")
 def o064(spark, d):
-    """Notes of the signals, by the evidence for all pitches."""
-    return tracker.track(A.evidence(B.with_halo(signal(spark, d), A.DualResolution().halo)), A.LOW)
+    """The thirds of a vector as the activity, onset and attack of 21 pitches."""
+    x = features(spark, d)
+    part = lambda lo: F.transform(F.slice("x", lo, 21), lambda v: F.abs(v))
+    evidence = x.select("track", "frame", part(1).alias("activity"), part(22).alias("onset"), part(43).alias("attack"))
+    return tracker.track(evidence, 40)
 
 
 @query("o117_clause_training")

@@ -10,6 +10,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window as W
 
 
 def note_messages(active: DataFrame, on_after: int = 2, off_after: int = 4) -> DataFrame:
@@ -83,3 +85,67 @@ def sessions(events: DataFrame, ts: Column, gap: str = "6 hours", late: str = "2
     """Sessions of each user, closed after `gap` without an event."""
     timed = events.withColumn("_ts", ts).withWatermark("_ts", late)
     return timed.groupBy(F.session_window("_ts", gap), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def silent_voices(messages: DataFrame, silence_ms: int, until_ms: Column) -> DataFrame:
+    """track, pitch, at_ms: note-offs for voices that sound and hear nothing for `silence_ms`, at the time they are due; those due after `until_ms` are open.
+
+    messages: track, pitch, at_ms, on. The batch form of `end_silent_voices`.
+    """
+    order = W.partitionBy("track", "pitch").orderBy("at_ms", "on")
+    due = F.col("at_ms") + silence_ms
+    after = F.lead("at_ms").over(order)
+    left = messages.withColumn("due", due).withColumn("after", after).where("`on` = 1 and (after is null or after > due)")
+    return left.where(F.col("due") <= until_ms).select("track", "pitch", F.col("due").alias("at_ms"))
+
+
+class SilentVoice(StatefulProcessor):
+    """A voice's messages are taken in order of time once the watermark has passed them, so batches and arrival don't matter."""
+
+    def __init__(self, silence_ms: int):
+        self.silence = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at_ms long, on int")
+        self.voice = handle.getValueState("voice", "at_ms long, on int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            for at, on in zip(frame["at_ms"].tolist(), frame["on"].tolist(), strict=True):
+                self.waiting.appendValue((int(at), int(on)))
+                self.handle.registerTimer(int(at))
+                if on:
+                    self.handle.registerTimer(int(at) + self.silence)
+        yield pd.DataFrame({"track": [], "pitch": [], "at_ms": []}).astype({"track": "int64", "pitch": "int32", "at_ms": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        waiting = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
+        ready, later = [w for w in waiting if w[0] <= now], [w for w in waiting if w[0] > now]
+        at, on = self.voice.get() if self.voice.exists() else (0, 0)
+        due = []
+        for then, what in ready:
+            if on and then > at + self.silence:
+                due.append(at + self.silence)
+            at, on = then, what
+        if on and now >= at + self.silence:
+            due.append(at + self.silence)
+            on = 0
+        self.voice.update((at, on))
+        if ready:
+            self.waiting.put(later) if later else self.waiting.clear()
+        yield pd.DataFrame({"track": [key[0]] * len(due), "pitch": [key[1]] * len(due), "at_ms": due}).astype({"track": "int64", "pitch": "int32", "at_ms": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def end_silent_voices(messages: DataFrame, ts: Column, silence_ms: int, late: str = "2 seconds") -> DataFrame:
+    """track, pitch, at_ms: a stream of note-offs for voices that sound and hear nothing for `silence_ms`; no message has to come for one.
+
+    messages: track, pitch, on, and their time `ts`; later ones than `late` are dropped. A voice's state is its last message and those that the
+    watermark has not reached. Needs the state store that has timers (spark.sql.streaming.stateStore.providerClass: RocksDBStateStoreProvider).
+    """
+    timed = messages.withColumn("_ts", ts).withWatermark("_ts", late).withColumn("at_ms", F.unix_millis("_ts"))
+    return timed.groupBy("track", "pitch").transformWithStateInPandas(SilentVoice(silence_ms), "track long, pitch int, at_ms long", "append", "eventTime")

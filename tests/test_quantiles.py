@@ -64,3 +64,19 @@ def test_digests_do_not_depend_on_order(spark):
     whole = digest(table)
     assert whole == digest(table.repartition(9).orderBy(F.col("a").desc())) and whole[0][1] == 69
     assert digest(table.dropDuplicates())[0] != whole[0] and digest(table.withColumn("a", F.col("a") + (F.col("a") == 4).cast("int")))[1] != whole[1]
+
+
+def test_leaks_and_confirmation_guards(spark):
+    from framelark.operators import confirmation as K
+
+    splits = spark.createDataFrame([(1, "a", "train"), (2, "a", "train"), (3, "b", "test"), (4, "b", "train"), (5, None, "test"), (6, None, "train")], "id long, grp string, split string")
+    used = spark.createDataFrame([("f", 1), ("f", 2), ("f", 6)], "fit string, id long")
+    assert K.leaks(used, splits).count() == 0
+    planted = used.union(spark.createDataFrame([("f", 3), ("f", 4), ("g", 9), ("g", 5), ("f", 3)], used.schema))
+    assert {tuple(r) for r in K.leaks(planted, splits).collect()} == {("f", 3, "held-out row"), ("f", 4, "group of a held-out row"), ("g", 9, "unknown row"), ("g", 5, "held-out row")}
+    validation = spark.createDataFrame([("x", {"t": 1.0}, 0.5), ("y", {"t": 2.0}, 0.7), ("z", {"t": 3.0}, 0.7)], "candidate string, params map<string, double>, f1 double")
+    choice = K.frozen(validation, F.col("f1").desc())
+    assert choice.first().candidate == "y"
+    runs = spark.createDataFrame([("y", {"t": 2.0}, 1), ("y", {"t": 2.5}, 1), ("x", {"t": 1.0}, 1), ("y", {"t": 2.0}, 2)], "candidate string, params map<string, double>, run int")
+    assert sorted(r.problem for r in K.confirmation_guards(choice, runs).collect()) == ["confirmed more than once", "not the frozen candidate", "parameters changed"]
+    assert K.confirmation_guards(choice, runs.limit(1)).count() == 0

@@ -46,8 +46,8 @@ def test_stretches_give_the_messages_of_the_whole_track(spark):
             loud[at : at + rnd.integers(2, 25)] = True
         a, o, k = (rnd.random((frames, 4)) * loud[:, None] * scale for scale in (0.9, 0.9, 0.02))
         k += rnd.random(k.shape) * 0.0019  # never nothing, always below the floors
-        rows += [(t, f + 100, a[f].tolist(), o[f].tolist(), k[f].tolist()) for f in range(frames)]
-        want += [(t, f + 100, 40 + p, on, v) for f, p, on, v in track_notes(a, o, k, Settings())]
+        rows += [(t, (1 + 9 * (t % 2)) * f + 100, a[f].tolist(), o[f].tolist(), k[f].tolist()) for f in range(frames)]
+        want += [(t, (1 + 9 * (t % 2)) * f + 100, 40 + p, on, v) for f, p, on, v in track_notes(a, o, k, Settings())]
     table = spark.createDataFrame(rows, "track long, frame long, activity array<double>, onset array<double>, attack array<double>").repartition(5)
     parts = stretches(table, Settings()).orderBy("track", "first").collect()
     assert len(parts) > 12 and all(a.track != b.track or a.last == b.first for a, b in zip(parts, parts[1:]))
