@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelark.operators.running import row_numbers
+
 #: A side of a join is broadcast only when its measured size is at most this.
 BROADCAST_ROWS = 200_000
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -66,23 +69,28 @@ def stash(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    for kept in _open:
+    for kept in _opened():
         kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_open: list[list[str]] = []
+_threads = threading.local()
+
+
+def _opened() -> list[list[str]]:
+    """The lists of this thread that are open."""
+    return _threads.__dict__.setdefault("lists", [])
 
 
 @contextmanager
 def stashes():
     """The paths of the results that `stash` writes within: what is made of them must be written before they are removed."""
     made: list[str] = []
-    _open.append(made)
+    _opened().append(made)
     try:
         yield made
     finally:
-        _open.remove(made)
+        _opened()[:] = [x for x in _opened() if x is not made]
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -108,3 +116,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def is_number(docs: DataFrame, key: str) -> bool:
+    """Whether ids are whole numbers that a long holds."""
+    return docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def id_numbers(docs: DataFrame, key: str) -> DataFrame:
+    """(_id, _n): a number for each id of another type, in their order; written, so it is the same each time it is read."""
+    ids = docs.select(F.col(key).alias("_id")).where("_id is not null").distinct()
+    return stash(row_numbers(ids, [F.col("_id")], "_n"))

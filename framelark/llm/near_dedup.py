@@ -29,7 +29,7 @@ hot. Links, components and signatures never come to the driver; it sees
 only counts.
 
 Edge cases: a null or wordless text has an empty set: n_shingles 0, linked with
-nothing. A null id is a row of its own: not linked, kept. Rows that repeat an id are
+nothing. Ids of any type are compared in their own order. A null id is a row of its own: not linked, kept. Rows that repeat an id are
 one document with all of their texts. Ties go to the smallest id. An empty table gives
 an empty result. Other columns are ignored.
 """
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelark.llm.common import bounded_batches, small, stash
+from framelark.llm.common import bounded_batches, id_numbers, is_number, small, stash
 from framelark.llm.textscan import LOWER, NON_SPACE, Words, mix, slices, windows
 
 SHINGLE = 5
@@ -189,6 +189,8 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: its id, n_shingles, component_id and kept."""
     bounded_batches(docs.sparkSession)
+    if not is_number(docs, key):
+        return _of_other_ids(docs, threshold, key, text)
     signed = stash(docs.select(F.col(key).alias("id"), signature(F.col(text)).alias("s")).select("id", "s.*"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     real = F.col("id").isNotNull() & F.col("digest").isNotNull()
@@ -226,6 +228,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, key: str = "doc_id", t
     )
 
 
+def _of_other_ids(docs: DataFrame, threshold: int, key: str, text: str) -> DataFrame:
+    """The same for ids that are no whole numbers: they are numbered in their order, and put back."""
+    ids = id_numbers(docs, key)
+    numbered = docs.select(F.col(key).alias("_own"), F.col(text).alias("text")).join(ids, F.col("_own") == F.col("_id"), "left").select("_n", "text")
+    got = near_duplicates(numbered, threshold, "_n", "text")
+    names = lambda column, name: ids.select(F.col("_n").alias(f"_{name}_n"), F.col("_id").alias(name))
+    got = got.join(names("_n", "_key"), F.col("_n") == F.col("__key_n"), "left").join(names("component_id", "_component"), F.col("component_id") == F.col("__component_n"), "left")
+    return got.select(F.col("_key").alias(key), "n_shingles", F.col("_component").alias("component_id"), "kept")
+
+
 def in_buckets(reps: DataFrame) -> DataFrame:
     """(bucket, id, low) for the members of buckets with two or more members; low is the smallest."""
     spread = reps.select(F.explode("buckets").alias("bucket"), "id")

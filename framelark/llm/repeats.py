@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelark.llm.common import bounded_batches, fresh, small, stash
+from framelark.llm.common import bounded_batches, fresh, id_numbers, is_number, small, stash
 from framelark.llm.textscan import NON_SPACE, Words, inside, slices, windows
 
 WINDOW = 20
@@ -405,7 +405,11 @@ def with_cuts(docs: DataFrame, into: str, key: str = "doc_id", text: str = "text
     # both joins read the same columns, so texts are shuffled once; the caller's travel as one struct, so no name of theirs meets one used here
     keyed = docs.select(rid.alias("key"), F.struct(*(F.col(c) for c in docs.columns)).alias("own"))
     found = keyed.join(wanted, F.col("key") == F.col("rid"))
-    ident = F.coalesce(F.col("own")[key].cast("long"), F.lit(LAST_ID))
+    if is_number(docs, key):
+        number = F.col("own")[key].cast("long")
+    else:  # ids of another type go by their place in their order
+        found, number = found.join(id_numbers(docs, key), F.col("own")[key] == F.col("_id"), "left"), F.col("_n").cast("long")
+    ident = F.coalesce(number, F.lit(LAST_ID))
     runs = dealt(found.select("rid", ident.alias("id"), F.col("own")[text].alias("text"), "cold", "hot"), window, hot)
     cuts = runs.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(locate(window), CUTS)
     cuts = cuts.groupBy("rid").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
