@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All stages but the last return
 the columns of `documents`; the last adds the columns of the mixture.
 
-A stage's result is written before the next stage begins; then the intermediate results of the earlier stage are removed.
+A stage's result is written before the next stage begins; then the intermediate results of the earlier stage are removed. `run` owns those of its
+stages and removes them, and each stage's result when the next one is written, so runs beside each other don't meet. A stage that is called by itself
+leaves its intermediate results to a later stage called in the same session and thread.
 
 Edge cases, in all stages: a column of the documents keeps its name and values whatever its
 name is (columns that the last stage adds get underscores where theirs is taken); an
@@ -15,6 +17,7 @@ is in its docstring.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from functools import wraps
 
@@ -24,18 +27,26 @@ from pyspark.sql import functions as F
 from framelark.llm import decontaminate, mixing, near_dedup, repeats, site_bayes
 from framelark.llm.common import remove, shared_folder, stashes, table
 
-_made: list[str] = []  # intermediate results of the stage before
-
-
 def _stage(f):
+    """A stage that removes what earlier stages, called by themselves in this session and thread, have left."""
+
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _made)
-        with stashes() as made:
-            out = f(spark, docs, sf_dir)
-        _made.extend(made)
+        place = [g for _, g in STAGES].index(run_stage)
+        left = spark.__dict__.setdefault("_framelark_stages", {}).setdefault(threading.get_ident(), [])
+        for entry in [e for e in left if e[0] < place]:
+            remove(spark, entry[1])
+            left.remove(entry)
+        out, made = run_stage.owned(spark, docs, sf_dir)
+        left.append((place, made))
         return out
 
+    def owned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, list[str]]:
+        """The stage's result and the paths that it needs until it is written."""
+        with stashes() as made:
+            return f(spark, docs, sf_dir), made
+
+    run_stage.owned = owned
     return run_stage
 
 
@@ -87,11 +98,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, each stage written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage, each stage written to the shared folder; only the last one's result stays there."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    remove(spark, _made)
+        out, made = stage.owned(spark, docs, sf_dir)
+        out.write.parquet(path)
+        remove(spark, [*made, *before])
+        docs, before = spark.read.parquet(path), [path]
     return docs
