@@ -27,6 +27,24 @@ def confusion(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def interval_confusion(truth: DataFrame, predicted: DataFrame, *by: str) -> DataFrame:
+    """`confusion` of two sides' cells, from intervals (track, pitch, start, end) that don't overlap within a side and voice.
+
+    Between the borders of a voice's intervals nothing changes, so frames are counted by lengths and never made.
+    """
+    border = lambda df, y, p: df.select(*VOICE, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("b")).select(
+        *VOICE, "b.at", (F.col("b.d") * y).alias("dy"), (F.col("b.d") * p).alias("dp")
+    )
+    both = border(truth, 1, 0).unionByName(border(predicted, 0, 1))
+    order = W.partitionBy(*VOICE).orderBy("at")
+    so_far = order.rangeBetween(W.unboundedPreceding, 0)
+    steps = both.select(*VOICE, F.sum("dy").over(so_far).alias("y"), F.sum("dp").over(so_far).alias("p"), (F.lead("at").over(order) - F.col("at")).alias("n")).where("n > 0 and (y > 0 or p > 0)")
+    y, p = F.col("y") > 0, F.col("p") > 0
+    frames = lambda where: F.coalesce(F.sum(F.when(where, F.col("n")).otherwise(0)), F.lit(0)).cast("long")
+    named = {"tp": y & p, "fp": ~y & p, "fn": y & ~p, "predicted": p, "target": y}
+    return steps.groupBy(*by).agg(*(frames(where).alias(name) for name, where in named.items()))
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole; 0 where there is nothing, null where a count is null."""
     return F.when(whole.isNotNull(), part / F.greatest(whole, F.lit(1)))

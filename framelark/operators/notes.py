@@ -56,11 +56,25 @@ def runs(roll: DataFrame) -> DataFrame:
     return numbered.groupBy(*VOICE, "_island").agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("end")).drop("_island")
 
 
+def covered(events: DataFrame, frames: int) -> DataFrame:
+    """track, pitch, start, end of the maximal runs of frames that events cover: the runs of `rasterise`, without its frames."""
+    kept = events.where(F.col("start") < frames).select(*VOICE, "start", F.least("end", F.lit(frames)).alias("end")).where("`end` > start")
+    by = W.partitionBy(*VOICE).orderBy("start", "end")
+    upto = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
+    numbered = kept.withColumn("_new", F.coalesce((F.col("start") > upto).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*VOICE, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
 def rising_edges(roll: DataFrame) -> DataFrame:
     return runs(roll).select(*VOICE, F.col("start").alias("frame"))
 
 
 def note_state(roll: DataFrame, frames: int, on_after: int = 2, off_after: int = 4) -> DataFrame:
+    """`note_state_of_runs` of a roll's runs."""
+    return note_state_of_runs(runs(roll), frames, on_after, off_after)
+
+
+def note_state_of_runs(sounding: DataFrame, frames: int, on_after: int = 2, off_after: int = 4) -> DataFrame:
     """Intervals [on, off) of a causal decoder: on after `on_after` sounding frames in a row, off after `off_after` silent ones.
 
     Runs closer than `off_after` frames form a cluster; the note begins in the first
@@ -68,7 +82,7 @@ def note_state(roll: DataFrame, frames: int, on_after: int = 2, off_after: int =
     """
     by = W.partitionBy(*VOICE).orderBy("start")
     split = F.coalesce((F.col("start") - F.lag("end").over(by) >= off_after).cast("int"), F.lit(1))
-    clustered = runs(roll).withColumn("_split", split).withColumn("_cluster", F.sum("_split").over(by))
+    clustered = sounding.withColumn("_split", split).withColumn("_cluster", F.sum("_split").over(by))
     on = F.min(F.when(F.col("end") - F.col("start") >= on_after, F.col("start") + (on_after - 1)))
     off = F.least(F.max("end") + (off_after - 1), F.lit(frames))
     notes = clustered.groupBy(*VOICE, "_cluster").agg(on.alias("on"), off.alias("off"))

@@ -74,7 +74,7 @@ def o060(spark, d):
 
 @query("o061_note_state", with_ctes("ne", "act", body="SELECT * FROM notes").replace("SELECT * FROM notes", "," + DENSE.format(src="act", name="notes") + "\nSELECT track, pitch, frame FROM notes"))
 def o061(spark, d):
-    notes = N.note_state(N.rasterise(note_events(spark, d), FRAMES), FRAMES)
+    notes = N.note_state_of_runs(N.covered(note_events(spark, d), FRAMES), FRAMES)
     return N.spread(notes, F.col("on"), F.col("off"), "track", "pitch")
 
 
@@ -147,18 +147,23 @@ def o067(spark, d):
     return N.complexity_profile(ne, N.rasterise(ne, FRAMES), FRAMES)
 
 
+def _sides(spark, d):
+    """The runs that sound in truth and as predicted."""
+    return N.covered(note_events(spark, d), FRAMES), N.covered(predicted_events(spark, d), FRAMES)
+
+
 def _cells(spark, d):
     return M.cells(N.rasterise(note_events(spark, d), FRAMES), N.rasterise(predicted_events(spark, d), FRAMES))
 
 
 @query("o079_confusion", with_ctes("ne", "pe", "act", "pact", "cells", body=f"SELECT pitch, {CONF} FROM cells GROUP BY pitch"))
 def o079(spark, d):
-    return M.confusion(_cells(spark, d), "pitch")
+    return M.interval_confusion(*_sides(spark, d), "pitch")
 
 
 @query("o080_rates", with_ctes("ne", "pe", "act", "pact", "cells", body=f"SELECT * {RATED} FROM (SELECT track, {CONF} FROM cells GROUP BY track)"))
 def o080(spark, d):
-    return M.with_rates(M.confusion(_cells(spark, d), "track"))
+    return M.with_rates(M.interval_confusion(*_sides(spark, d), "track"))
 
 
 @query(
@@ -167,7 +172,7 @@ def o080(spark, d):
       FROM (SELECT track, {RATES} FROM (SELECT track, {CONF} FROM cells GROUP BY track))"""),
 )
 def o081(spark, d):
-    return M.confusion(_cells(spark, d), "track").select("track", F.round(M.f_beta(0.5), 6).alias("f_half"), F.round(M.f_beta(2.0), 6).alias("f_two"))
+    return M.interval_confusion(*_sides(spark, d), "track").select("track", F.round(M.f_beta(0.5), 6).alias("f_half"), F.round(M.f_beta(2.0), 6).alias("f_two"))
 
 
 @query(
@@ -337,8 +342,7 @@ def o084(spark, d):
     with_ctes("ne", "pe", "act", "pact", "cells", body=f"SELECT * {RATED} FROM (SELECT track % 5 AS source, track, {CONF} FROM cells GROUP BY ROLLUP (track % 5, track))"),
 )
 def o086(spark, d):
-    rows = _cells(spark, d).withColumn("source", F.pmod("track", F.lit(5)))
-    per = M.confusion(rows, "source", "track")  # summed once, then rolled up
+    per = M.interval_confusion(*_sides(spark, d), "track").withColumn("source", F.pmod("track", F.lit(5)))  # summed once, then rolled up
     sums = per.rollup("source", "track").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "predicted", "target")))
     return M.with_rates(sums)
 
@@ -351,7 +355,7 @@ def o086(spark, d):
       FROM (SELECT track % 5 AS source, track, {CONF} FROM cells GROUP BY ALL)) GROUP BY source"""),
 )
 def o087(spark, d):
-    per = M.confusion(_cells(spark, d).withColumn("source", F.pmod("track", F.lit(5))), "source", "track").withColumn("f1", M.f_beta())
+    per = M.interval_confusion(*_sides(spark, d), "track").withColumn("source", F.pmod("track", F.lit(5))).withColumn("f1", M.f_beta())
     micro = 2 * F.sum("tp") / F.greatest(2 * F.sum("tp") + F.sum("fp") + F.sum("fn"), F.lit(1))
     return per.groupBy("source").agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(micro, 6).alias("micro_f1"), F.count("*").alias("tracks"))
 
@@ -365,9 +369,9 @@ def o087(spark, d):
 )
 def note_state_f1(spark, d):
     """Per pitch: how well the causal note-state decoder reproduces the activity it is fed."""
-    roll = N.rasterise(note_events(spark, d), FRAMES)
-    state = N.spread(N.note_state(roll, FRAMES), F.col("on"), F.col("off"), "track", "pitch")
-    return M.with_rates(M.confusion(M.cells(roll, state), "pitch"))
+    sounding = N.covered(note_events(spark, d), FRAMES)
+    state = N.note_state_of_runs(sounding, FRAMES).select("track", "pitch", F.col("on").alias("start"), F.col("off").alias("end"))
+    return M.with_rates(M.interval_confusion(sounding, state, "pitch"))
 
 
 LABELS = """lb AS (SELECT event_id, track AS ref, start * 0.25::DOUBLE AS s, "end" * 0.25::DOUBLE AS e, pitch, least(greatest(round_even(amp * 150, 0), 1), 127)::INT AS v, CASE WHEN event_id % 8 <= 5 THEN event_id % 8 ELSE 0 END AS channel FROM ne WHERE "end" > start),

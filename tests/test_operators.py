@@ -318,3 +318,16 @@ def test_stable_seed(spark):
 def test_a_plan_of_an_unknown_kind_is_named(spark):
     plan = spark.createDataFrame([(1, "labels-tsv"), (2, "other"), (3, None)], "ref long, kind string")
     assert {r.ref for r in N.unsupported(plan, {"labels-tsv": None}).collect()} == {2, 3}
+
+
+def test_intervals_count_as_cells(spark):
+    rnd = random.Random(8)
+    schema = "event_id long, track long, pitch int, start int, end int, amp double"
+    events = lambda n: spark.createDataFrame([(i, rnd.randrange(3), 40 + rnd.randrange(2), s := rnd.randrange(70), s + rnd.randrange(9), 0.5) for i in range(n)], schema)
+    a, b = events(90), events(80)
+    one, two = N.rasterise(a, 64), N.rasterise(b, 64)
+    assert N.covered(a, 64).select("track", "pitch", "start", "end").exceptAll(N.runs(one).select("track", "pitch", "start", "end")).count() == 0
+    for by in (["pitch"], ["track", "pitch"], []):
+        want = [tuple(r) for r in M.confusion(M.cells(one, two), *by).collect()]
+        assert sorted(tuple(r) for r in M.interval_confusion(N.covered(a, 64), N.covered(b, 64), *by).collect()) == sorted(want)
+    assert M.interval_confusion(N.covered(a.limit(0), 64), N.covered(b, 64), "pitch").where("tp > 0 or fn > 0").count() == 0
