@@ -77,8 +77,10 @@ def fused_by_rule(members: DataFrame, heads: DataFrame) -> DataFrame:
 
     members: member, frame, pitch, z, truth; heads: member, head (a row for each member).
     """
-    cells = members.join(small(heads), "member").groupBy("head", "frame", "pitch").agg(F.array_sort(F.collect_list(F.struct("member", "z"))).alias("s"), F.max("truth").alias("truth"))
-    values = F.transform("s", lambda x: x["z"])  # one entry for each member
+    known = [r.member for r in heads.select("member").distinct().orderBy("member").collect()]  # a row for each member
+    own = [F.max(F.when(F.col("member") == m, F.col("z"))).alias(f"z{k}") for k, m in enumerate(known)]  # sums that every task can begin
+    cells = members.join(small(heads), "member").groupBy("head", "frame", "pitch").agg(*own, F.max("truth").alias("truth"))
+    values = F.array_compact(F.array(*(F.col(f"z{k}") for k in range(len(known)))))  # in member order
     best = F.slice(F.sort_array(values, asc=False), 1, 2)
     mean = lambda x: (F.aggregate(x, F.lit(0.0).cast("float"), lambda a, b: (a + b).cast("float")) / F.size(x)).cast("float")
     fused = {"mean": mean(values), "top2_mean": mean(best), "max": F.array_max(values)}
