@@ -109,9 +109,13 @@ def key_violations(given: DataFrame, known: DataFrame) -> DataFrame:
     return unknown.unionByName(missing)
 
 
+#: the letters, digits and marks of POSIX's portable file names; others can mean something to a shell or a file system
+PORTABLE = "A-Za-z0-9._-"
+
+
 def safe_name(name: Column) -> Column:
-    """A name for a file: every run of other characters becomes one underscore, dots and underscores at the ends go."""
-    return F.regexp_replace(F.regexp_replace(name, r"[^\w.-]+", "_"), r"^[._]+|[._]+$", "")
+    """A portable file name: what isn't portable becomes an underscore for each run; it neither hides the file nor ends in marks."""
+    return F.btrim(F.regexp_replace(name, f"[^{PORTABLE}]+", "_"), F.lit("._"))
 
 
 def valid_id(name: Column) -> Column:
