@@ -53,7 +53,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_warc", warc.ORACLE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"))
-    return warc.records(warc.read_warc(spark, manifest, keep_data=False))
+    return warc.records(warc.read_warc(spark, manifest))
 
 
 @query("op9_main_text")
