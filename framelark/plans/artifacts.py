@@ -12,7 +12,8 @@ from framelark.operators import repack as R
 from framelark.plans.features import THERMO, o051, thermometer_literals
 from framelark.plans.registry import query
 from framelark.sources import artifacts as A
-from framelark.sources.adapters import table, with_ctes
+from framelark.sources.adapters import scores, table, with_ctes
+from framelark.sources.scores import read_score_file, write_score_file
 from framelark.written import shared_folder
 
 FAN = 64
@@ -173,3 +174,12 @@ def o013(spark, d):
     path = _path(spark)
     A.publish_thermometer(spark, path, thermometer_literals(spark, d), {"levels": list(X.QUANTILES)})
     return A.tables(spark, path, "thermometer")["literals"].withColumn("threshold", F.round("threshold", 9))
+
+
+@query("o006_score_file", with_ctes("sc", body=" SELECT frame, pitch + 40 AS pitch, score, (score >= 20)::INT AS pred FROM sc WHERE member = 0"))
+def o006(spark, d):
+    """A member's scores, written as a score file and read back."""
+    path = _path(spark)
+    rows = scores(spark, d).where("member = 0").select("frame", (F.col("pitch") + 40).alias("pitch"), "score", (F.col("score") >= 20).cast("int").alias("pred"))
+    write_score_file(rows, path, "SCORES_V1", {"head": "activity", "outputs": 10, "midi_min": 40, "sample_rate": 22050, "hop_size": 256, "threshold": 20})
+    return read_score_file(spark, path, "SCORES_V1")[1]
