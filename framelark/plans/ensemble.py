@@ -239,9 +239,7 @@ def o130(spark, d):
     FROM (SELECT member, score, count(*) AS n, sum(truth) AS t FROM sc GROUP BY 1, 2) WINDOW w AS (PARTITION BY member ORDER BY score DESC)) WHERE predicted <= 1.5 * target GROUP BY 1)
   SELECT round(e - m, 5) AS over_mean, round(e - b, 5) AS over_best FROM (SELECT round(max(f1), 6) AS e FROM fc), (SELECT avg(f1) AS m, max(f1) AS b FROM mc)"""))
 def o095(spark, d):
-    single = S.calibrate(scores(spark, d), 1.5, "member").agg(F.avg("f1").alias("m"), F.max("f1").alias("b"))
-    whole = S.calibrate(_rules(spark, d), 1.5, "member").agg(F.max("f1").alias("e"))
-    return whole.join(single, F.lit(True)).select(F.round(F.col("e") - F.col("m"), 5).alias("over_mean"), F.round(F.col("e") - F.col("b"), 5).alias("over_best"))  # one row each
+    return E.gain(S.calibrate(_rules(spark, d), 1.5, "member"), S.calibrate(scores(spark, d), 1.5, "member"))
 
 
 @query("o113_distinct_thresholds", with_ctes("sc", body=" SELECT member, count(DISTINCT score) AS thresholds, count(*) - count(DISTINCT score) AS repeated FROM sc GROUP BY 1"))

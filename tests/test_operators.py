@@ -331,3 +331,12 @@ def test_intervals_count_as_cells(spark):
         want = [tuple(r) for r in M.confusion(M.cells(one, two), *by).collect()]
         assert sorted(tuple(r) for r in M.interval_confusion(N.covered(a, 64), N.covered(b, 64), *by).collect()) == sorted(want)
     assert M.interval_confusion(N.covered(a.limit(0), 64), N.covered(b, 64), "pitch").where("tp > 0 or fn > 0").count() == 0
+
+
+def test_ensemble_gain_does_not_depend_on_the_order_of_rows(spark):
+    values = {5: 0.127869, 1: 0.118495, 4: 0.133333, 0: 0.128721, 3: 0.104839, 2: 0.111411}  # in doubles their mean is 0.120778 or the next one, by order; the gain is 0.013635
+    whole = spark.createDataFrame([("mean", 0.134413), ("max", 0.1)], "member string, f1 double")
+    for order in (list(values), sorted(values), [3, 0, 4, 1, 5, 2]):
+        single = spark.createDataFrame([(k, values[k]) for k in order], "member int, f1 double").coalesce(1)
+        assert [tuple(r) for r in E.gain(whole, single).collect()] == [(0.01364, 0.00108)]
+    assert [tuple(r) for r in E.gain(single, whole).collect()] == [(0.01613, -0.00108)]
