@@ -34,3 +34,22 @@ def test_query_equals_sql(spark, name):
 
 def test_every_sql_form_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and len(registry.QUERIES) > 90
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_midi_of_notes_has_every_event(spark):
+    from framelark.sources.adapters import FRAMES, note_events
+
+    tick = lambda frame: round(frame * (256 / 22050) * 960)
+    open_, notes = {}, {}
+    for r in registry.QUERIES["o014_midi_of_notes"](spark, SF).orderBy("track", "seq").collect():
+        voice = (r.track, r.pitch)
+        if r.on:
+            open_[voice] = r.tick
+        else:
+            notes.setdefault(voice, []).append((open_.pop(voice), r.tick))
+    assert not open_
+    events = note_events(spark, SF).where(f"`end` > start and start < {FRAMES}").collect()
+    cells = lambda lo, hi: set(range(lo, hi))
+    sounding = {v: set().union(*(cells(*n) for n in ns)) for v, ns in notes.items()}
+    assert events and all(cells(tick(e.start), tick(e.end)) <= sounding.get((e.track, e.pitch), set()) for e in events)
