@@ -253,5 +253,6 @@ def onset_sample(frames: DataFrame, rows: int, seed: str = "o") -> DataFrame:
     at = halved(F.col("ends"), F.col("rank"))  # ends begin with 0
     placed = ranked.select("draw", "stratum", F.element_at("parts", at).alias("_part"), (F.col("rank") - F.get(F.col("ends"), at - 1)).alias("i"))
     numbered = both.withColumn("i", F.row_number().over(W.partitionBy("_part", "stratum").orderBy("track", "frame")).cast("long") - 1)
-    drawn = placed.join(numbered, ["_part", "stratum", "i"]).select("draw", "track", "frame", "stratum")
+    # frames as written are so compact that Spark would take their table for small and send all its rows through the driver
+    drawn = placed.join(numbered.hint("merge"), ["_part", "stratum", "i"]).select("draw", "track", "frame", "stratum")
     return row_numbers(drawn, [order_hash(F.lit(seed), F.lit("place"), F.col("draw")), F.col("draw")], "place").select("place", "track", "frame", "stratum")

@@ -212,5 +212,6 @@ def o100(spark, d):
     grid = ne.select("track").distinct().select("track", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
     activity = N.rasterise(ne, FRAMES).groupBy("track", "frame").agg(F.count("*").alias("activity"))
     onsets = N.onset_labels(ne, FRAMES).groupBy("track", "frame").agg(F.count("*").alias("onsets"))
-    labelled = grid.join(activity, ["track", "frame"], "left").join(onsets, ["track", "frame"], "left").fillna(0, ["activity", "onsets"])
+    # all grow with the events, and more than Spark's guess from the file's size
+    labelled = grid.join(activity.hint("merge"), ["track", "frame"], "left").join(onsets.hint("merge"), ["track", "frame"], "left").fillna(0, ["activity", "onsets"])
     return S.onset_sample(labelled, grid.count() // 4)

@@ -218,3 +218,17 @@ def test_onset_sample(spark):
     loud = frames.where("activity > 0")
     assert [S.onset_draws(c, 100) for c in ([5, 5, 5], [0, 5, 5], [5, 0, 5], [5, 5, 0], [0, 0, 0])] == [[55, 35, 10, 0], [0, 35, 65, 0], [55, 0, 45, 0], [55, 35, 0, 10], [0, 0, 0, 0]]
     assert {r.stratum for r in S.onset_sample(loud, 100).collect()} == {0, 1, 3} and S.onset_sample(frames.limit(0), 10).count() == 0
+
+
+def test_onset_sample_sends_no_frames_through_the_driver(spark, monkeypatch):
+    from framelark.plans import registry
+
+    plans = []
+    kept = S.in_order
+    monkeypatch.setattr(S, "in_order", lambda rows, *order: (plans.append(rows), kept(rows, *order))[1])  # the frames as they are dealt, and the draws
+    monkeypatch.setattr(S, "row_numbers", lambda rows, order, name: (plans.append(rows), rows.withColumn(name, F.lit(0)))[1])
+    registry.QUERIES["o100_onset_sample"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2
+    text = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert "BroadcastHashJoin" not in text[0] and text[0].count("SortMergeJoin") == 2
+    assert text[1].count("BroadcastHashJoin") == 1 and text[1].count("SortMergeJoin") == 1  # only the table of strata is broadcast
