@@ -9,9 +9,8 @@ of the root.
 Seating is sampled by Gibbs: in each sweep customers get up one after the other and are seated anew by
 the Chinese restaurant rule, given where all others sit: at a table of their dish in proportion to its
 customers less the discount, or at a new one in proportion to the restaurant's pull and the root's
-probability of the dish. A dish of up to WHOLE customers is gone through whole in each sweep, of a larger one the
-root of WHOLE times their number, drawn anew each time (which customers get up does not depend on where they sit,
-so the seating's distribution stays). After BURN sweeps SAMPLES sweeps are kept, and
+probability of the dish. Every customer of every dish gets up once in each sweep: dishes of up to ALONE customers
+side by side, longer ones by themselves. After BURN sweeps SAMPLES sweeps are kept, and
 a text's probability uses the predictive probabilities averaged over them. Discounts and strengths
 start at START and are drawn once from their posterior (auxiliary variables) given the first seating.
 
@@ -30,9 +29,9 @@ So what is gathered is every pair of the corpus, and a task holds one shard of a
 about CHUNK. The driver holds sums, the list of TOP words and the totals of hot restaurants.
 Nothing relies on how the input is partitioned from one job to another.
 
-Choices: one customer of each dish moves at a time, all dishes in parallel; so a dish sees its restaurant's tables
+Choices: one customer of each dish moves at a time, all dishes of up to ALONE customers in parallel; so a dish sees its restaurant's tables
 without those of the others that have just got up. In restaurants of three dishes and nine customers mean tables
-are within 2 % of those of enumeration, in larger ones nearer. Pairs of more than LARGE tokens have the expected number of tables (its relative deviation is under a thousandth).
+are within 2 % of those of enumeration, in larger ones nearer. A task goes through all customers of a dish: the most frequent pair's grow with the corpus.
 Tables of a hot restaurant are summed over its shards once, after job 2, and held through job 4. Words are compared
 by 64-bit hashes.
 
@@ -44,6 +43,7 @@ itself. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -61,8 +61,7 @@ TOP = 65_535
 HOT = 1_000
 CHUNK, CHUNK_DOCS = 1_000_000, 16_000
 SHARD = 3_000_000
-LARGE = 1 << 20
-WHOLE = 16
+ALONE = 1024
 END = np.uint64(0x5BD1E995C6A4A793)
 BEGIN = np.uint64(0x2545F4914F6CDD1D)  # the restaurant at the begin of a text
 SPELLED = 0xFFFF  # code of a word that is not among the TOP
@@ -105,30 +104,70 @@ def opened(c: np.ndarray, weight: np.ndarray, discount: float) -> np.ndarray:
     return t
 
 
+class LongDish:
+    """The seating of one dish with many customers: the table of each, and the tables' sizes."""
+
+    def __init__(self, n: int, start: int):
+        self.n = n
+        self.table = np.arange(n, dtype=np.int32) % np.int32(start)
+        self.size = np.bincount(self.table, minlength=start).tolist()
+        self.free: list[int] = []
+
+    def sweep(self, rnd, tables: float, moves: bool, chance: float, discount: float, strength: float) -> int:
+        """Each customer gets up and is seated anew; by how much the number of tables changes. rnd: uniform random numbers; tables: the restaurant's."""
+        table, size, free, others = memoryview(self.table), self.size, self.free, self.n - 1
+        before = t = len(size) - len(free)
+        for x in range(self.n):
+            a = table[x]
+            left = size[a] = size[a] - 1
+            if not left:
+                free.append(a)
+                t -= 1
+            weight = (strength + discount * (tables + t - before if moves else tables)) * chance
+            if rnd() * (weight + others - discount * t) < weight:
+                if free:
+                    a = free.pop()
+                else:
+                    a = len(size)
+                    size.append(0)
+                size[a] = 1
+                t += 1
+            else:  # a table in proportion to its customers less the discount: that of a random other customer, rejected at times
+                while True:
+                    y = int(rnd() * others)
+                    a = table[y + (y >= x)]
+                    s = size[a]
+                    if rnd() * s < s - discount:
+                        break
+                size[a] = s + 1
+            table[x] = a
+        return t - before
+
+
 class Seating:
     """Where the customers of some dishes sit.
 
-    n: customers of each dish; at: its restaurant. The table of each customer is kept
-    for dishes of 2 to LARGE customers: a single one has one table always.
+    n: customers of each dish; at: its restaurant. The table of each customer is kept, here
+    for dishes of 2 to ALONE customers: a single one has one table always.
     """
 
     def __init__(self, n: np.ndarray, at: np.ndarray, restaurants: int, discount: float, strength: float, rng: np.random.Generator, held: np.ndarray | None = None, held_tables: np.ndarray | None = None, chance: np.ndarray | None = None):
         self.discount, self.strength, self.rng, self.of = discount, strength, rng, at
         self.n = n.astype(np.int64)
-        moving = np.flatnonzero((self.n >= 2) & (self.n <= LARGE))
-        visits = np.where(self.n[moving] <= WHOLE, self.n[moving], np.sqrt(WHOLE * self.n[moving])).astype(np.int64)
-        order = np.argsort(-self.n[moving], kind="stable")
-        self.dish, self.visits = moving[order], visits[order]
-        self.large = np.flatnonzero(self.n > LARGE)
+        moving = np.flatnonzero((self.n >= 2) & (self.n <= ALONE))
+        self.dish = moving[np.argsort(-self.n[moving], kind="stable")]
+        self.long = np.flatnonzero(self.n > ALONE)
         c = self.c = self.n[self.dish]
         self.off = np.concatenate([[0], np.cumsum(c)])[:-1]
         total = int(c.sum())
-        start = np.clip(np.round(c**discount), 1, c)
+        start, longs = np.clip(np.round(c**discount), 1, c), np.round(self.n[self.long] ** discount)
         if chance is not None:  # about as many tables as a sequence of customers opens
-            tables = np.bincount(at, np.minimum(self.n, 1), restaurants) + np.bincount(at[self.dish], start - 1, restaurants)
+            tables = np.bincount(at, np.minimum(self.n, 1), restaurants) + np.bincount(at[self.dish], start - 1, restaurants) + np.bincount(at[self.long], longs - 1, restaurants)
             start = opened(c, (strength + discount * tables[at[self.dish]]) * chance[self.dish], discount)
             start = np.clip(np.floor(start + rng.random(len(c))), 1, c)
-        start = start.astype(np.int64)
+            longs = np.round(expected_tables(self.n[self.long].astype(float), (strength + discount * tables[at[self.long]]) * chance[self.long], discount))
+        start, longs = start.astype(np.int64), np.clip(longs, 1, self.n[self.long]).astype(np.int64)
+        self.long_dishes = [LongDish(int(n), int(k)) for n, k in zip(self.n[self.long], longs, strict=True)]
         within = np.arange(total) - np.repeat(self.off, c)
         self.table = (within % np.repeat(start, c)).astype(np.int32)
         self.size = np.bincount(np.repeat(self.off, c) + self.table, minlength=total).astype(np.int32)
@@ -136,7 +175,7 @@ class Seating:
         self.n_free = c - start
         self.t = np.minimum(self.n, 1).astype(float)
         self.t[self.dish] = start
-        self.t[self.large] = self.n[self.large] ** discount
+        self.t[self.long] = longs
         self.tables = np.bincount(at, self.t, restaurants)
         self.held = np.zeros(restaurants, bool) if held is None else held
         if held_tables is not None:
@@ -144,23 +183,24 @@ class Seating:
         self.moves = ~self.held
 
     def sweep(self, chance: np.ndarray) -> None:
-        """All customers that are due get up and are seated anew; chance: the parent's probability of each dish."""
+        """All customers get up and are seated anew; chance: the parent's probability of each dish."""
         rng, d = self.rng, self.discount
-        if len(self.large):
-            k = self.large
-            t = expected_tables(self.n[k].astype(float), (self.strength + d * self.tables[self.of[k]]) * chance[k], d)
-            np.add.at(self.tables, self.of[k], np.where(self.moves[self.of[k]], t - self.t[k], 0.0))
-            self.t[k] = t
+        if len(self.long):
+            rnd = random.Random(int(rng.integers(1 << 62))).random
+            for k, dish in zip(self.long.tolist(), self.long_dishes, strict=True):
+                r = int(self.of[k])
+                change = dish.sweep(rnd, float(self.tables[r]), bool(self.moves[r]), float(chance[k]), float(d), float(self.strength))
+                self.t[k] += change
+                self.tables[r] += change if self.moves[r] else 0
         at, chance, t = self.of[self.dish], chance[self.dish], self.t[self.dish]  # in the order of visits
-        moves, late = self.moves[at], -self.visits
+        moves, least = self.moves[at], -self.c
         j = 0
         while True:
-            k = int(np.searchsorted(late, -j, "left"))  # those with more than j visits
+            k = int(np.searchsorted(least, -j, "left"))  # those with more than j customers
             if not k:
                 break
             c, off = self.c[:k], self.off[:k]
-            i = np.where(c <= WHOLE, j, rng.integers(0, c)) if j < WHOLE else rng.integers(0, c)
-            x = off + i
+            x = off + j
             a = off + self.table[x]
             size = self.size[a] - 1
             self.size[a] = size
@@ -181,7 +221,7 @@ class Seating:
             todo = np.flatnonzero(~opens)
             while len(todo):  # a table in proportion to its customers less the discount: that of a random other customer, rejected at times
                 y = rng.integers(0, c[todo] - 1)
-                y += y >= i[todo]
+                y += y >= j
                 y = self.table[off[todo] + y]
                 b = off[todo] + y
                 s = self.size[b]
@@ -201,7 +241,8 @@ class Seating:
         tables, customers = tables[real].astype(np.int64), customers[real]
         most = int(tables.max(initial=1))
         y = np.concatenate([[0, 0], np.cumsum(s / (s + d * np.arange(1, most)))])[tables].sum()
-        sizes = self.size[self.size > 1]
+        sizes = np.concatenate([self.size, *(np.array(x.size, self.size.dtype) for x in self.long_dishes)])
+        sizes = sizes[sizes > 1]
         z = np.concatenate([[0, 0], np.cumsum((1 - d) / (np.arange(1, int(sizes.max(initial=1))) - d))])[sizes].sum()
         x = self.rng.beta(s + 1, np.maximum(customers[customers > 1] - 1, 1e-9))
         return np.array([y, np.maximum(tables - 1, 0).sum() - y, z, -np.log(np.maximum(x, 1e-300)).sum()])
