@@ -61,7 +61,7 @@ TOP = 65_535
 HOT = 1_000
 CHUNK, CHUNK_DOCS = 1_000_000, 16_000
 SHARD = 3_000_000
-ALONE = 1024
+ALONE = 512
 END = np.uint64(0x5BD1E995C6A4A793)
 BEGIN = np.uint64(0x2545F4914F6CDD1D)  # the restaurant at the begin of a text
 SPELLED = 0xFFFF  # code of a word that is not among the TOP
@@ -116,30 +116,35 @@ class LongDish:
     def sweep(self, rnd, tables: float, moves: bool, chance: float, discount: float, strength: float) -> int:
         """Each customer gets up and is seated anew; by how much the number of tables changes. rnd: uniform random numbers; tables: the restaurant's."""
         table, size, free, others = memoryview(self.table), self.size, self.free, self.n - 1
-        before = t = len(size) - len(free)
+        before = t = now = len(size) - len(free)
+        pull = lambda: (strength + discount * (tables + t - before if moves else tables)) * chance
+        weight = pull()
         for x in range(self.n):
             a = table[x]
             left = size[a] = size[a] - 1
             if not left:
                 free.append(a)
                 t -= 1
-            weight = (strength + discount * (tables + t - before if moves else tables)) * chance
-            if rnd() * (weight + others - discount * t) < weight:
-                if free:
-                    a = free.pop()
-                else:
-                    a = len(size)
-                    size.append(0)
-                size[a] = 1
-                t += 1
-            else:  # a table in proportion to its customers less the discount: that of a random other customer, rejected at times
-                while True:
-                    y = int(rnd() * others)
+            if t != now:
+                now, weight = t, pull()
+            while True:  # a new table, or that of a random other customer, which is rejected so that a table counts its customers less the discount
+                v = rnd() * (weight + others) - weight
+                if v < 0:
+                    if free:
+                        a = free.pop()
+                    else:
+                        a = len(size)
+                        size.append(0)
+                    size[a] = 1
+                    t += 1
+                    break
+                y = int(v)
+                if y < others:
                     a = table[y + (y >= x)]
                     s = size[a]
-                    if rnd() * s < s - discount:
+                    if (v - y) * s < s - discount:
+                        size[a] = s + 1
                         break
-                size[a] = s + 1
             table[x] = a
         return t - before
 
@@ -210,26 +215,28 @@ class Seating:
             t[left] -= 1
             np.add.at(self.tables, at[left[moves[left]]], -1)
             weight = (self.strength + d * self.tables[at[:k]]) * chance[:k]
-            opens = rng.random(k) * (weight + c - 1 - d * t[:k]) < weight
-            new = np.flatnonzero(opens)
-            self.n_free[new] -= 1
-            b = self.free[off[new] + self.n_free[new]]
-            self.table[x[new]] = b
-            self.size[off[new] + b] = 1
-            t[new] += 1
-            np.add.at(self.tables, at[new[moves[new]]], 1)
-            todo = np.flatnonzero(~opens)
-            while len(todo):  # a table in proportion to its customers less the discount: that of a random other customer, rejected at times
-                y = rng.integers(0, c[todo] - 1)
+            others, todo, opens = c - 1, np.arange(k), []
+            while len(todo):  # a new table, or that of a random other customer, which is rejected so that a table counts its customers less the discount
+                v = rng.random(len(todo)) * (weight[todo] + others[todo]) - weight[todo]
+                opens.append(todo[v < 0])
+                todo, v = todo[v >= 0], v[v >= 0]
+                y = np.minimum(v.astype(np.int64), others[todo] - 1)
+                v -= y
                 y += y >= j
                 y = self.table[off[todo] + y]
                 b = off[todo] + y
                 s = self.size[b]
-                took = rng.random(len(todo)) * s < s - d
-                done = todo[took]
-                self.table[x[done]] = y[took]
+                took = v * s < s - d
+                self.table[x[todo[took]]] = y[took]
                 self.size[b[took]] = s[took] + 1
                 todo = todo[~took]
+            new = np.concatenate(opens)
+            self.n_free[new] -= 1
+            b = self.free[off[new] + self.n_free[new]]
+            self.table[x[new]] = b
+            self.size[off[new] + b] = 1
+            t[new] += 1
+            np.add.at(self.tables, at[new[moves[new]]], 1)
             j += 1
         self.t[self.dish] = t
 
