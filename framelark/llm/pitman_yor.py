@@ -29,6 +29,8 @@ So what is gathered is every pair of the corpus, and a task holds one shard of a
 about CHUNK. The driver holds sums, the list of TOP words and the totals of hot restaurants.
 Nothing relies on how the input is partitioned from one job to another.
 
+Hashes are sorted together with their places in one number of 64 bits, which numpy sorts several times as fast as it finds an order.
+
 Choices: one customer of each dish moves at a time, all dishes of up to ALONE customers in parallel; so a dish sees its restaurant's tables
 without those of the others that have just got up. In restaurants of three dishes and nine customers mean tables
 are within 2 % of those of enumeration, in larger ones nearer. A task goes through all customers of a dish: the most frequent pair's grow with the corpus.
@@ -53,13 +55,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelark.llm.common import bounded_batches, stash
-from framelark.llm.textscan import LOWER, NON_SPACE, Words, lookup, mix, slices
+from framelark.llm.textscan import LOWER, NON_SPACE, Index, Words, lookup, mix, slices
 
 BURN, SAMPLES = 1, 2
 FOLDS = 10
 TOP = 65_535
 HOT = 1_000
 CHUNK, CHUNK_DOCS = 1_000_000, 16_000
+PIECE = 3 << 16  # bytes of text handled at once
 SHARD = 3_000_000
 ALONE = 512
 END = np.uint64(0x5BD1E995C6A4A793)
@@ -160,7 +163,7 @@ class Seating:
         self.discount, self.strength, self.rng, self.of = discount, strength, rng, at
         self.n = n.astype(np.int64)
         moving = np.flatnonzero((self.n >= 2) & (self.n <= ALONE))
-        self.dish = moving[np.argsort(-self.n[moving], kind="stable")]
+        self.dish = moving[np.argsort((-self.n[moving]).astype(np.int16), kind="stable")]
         self.long = np.flatnonzero(self.n > ALONE)
         c = self.c = self.n[self.dish]
         self.off = np.concatenate([[0], np.cumsum(c)])[:-1]
@@ -197,14 +200,14 @@ class Seating:
                 change = dish.sweep(rnd, float(self.tables[r]), bool(self.moves[r]), float(chance[k]), float(d), float(self.strength))
                 self.t[k] += change
                 self.tables[r] += change if self.moves[r] else 0
-        at, chance, t = self.of[self.dish], chance[self.dish], self.t[self.dish]  # in the order of visits
+        at, chance, t, all_others = self.of[self.dish], chance[self.dish], self.t[self.dish], self.c - 1.0  # in the order of visits
         moves, least = self.moves[at], -self.c
         j = 0
         while True:
             k = int(np.searchsorted(least, -j, "left"))  # those with more than j customers
             if not k:
                 break
-            c, off = self.c[:k], self.off[:k]
+            off, others, now = self.off[:k], all_others[:k], t[:k]
             x = off + j
             a = off + self.table[x]
             size = self.size[a] - 1
@@ -212,30 +215,35 @@ class Seating:
             left = np.flatnonzero(size == 0)
             self.free[off[left] + self.n_free[left]] = a[left] - off[left]
             self.n_free[left] += 1
-            t[left] -= 1
+            now[left] -= 1
             np.add.at(self.tables, at[left[moves[left]]], -1)
             weight = (self.strength + d * self.tables[at[:k]]) * chance[:k]
-            others, todo, opens = c - 1, np.arange(k), []
-            while len(todo):  # a new table, or that of a random other customer, which is rejected so that a table counts its customers less the discount
-                v = rng.random(len(todo)) * (weight[todo] + others[todo]) - weight[todo]
-                opens.append(todo[v < 0])
-                todo, v = todo[v >= 0], v[v >= 0]
-                y = np.minimum(v.astype(np.int64), others[todo] - 1)
+            mass = others - d * now
+            v = rng.random(k) * (weight + mass) - weight
+            opens = v < 0
+            new, todo = np.flatnonzero(opens), np.flatnonzero(~opens)
+            # at a table: that of a random other customer, rejected so that a table counts its customers less the discount; if there is one table, or a table for each of the others, all are alike
+            o, one = others[todo], now[todo]
+            v = v[todo] * (o / mass[todo])
+            alike = (one == 1) | (one == o)
+            while len(todo):
+                y = np.minimum(v.astype(np.int64), o.astype(np.int64) - 1)
                 v -= y
                 y += y >= j
                 y = self.table[off[todo] + y]
                 b = off[todo] + y
                 s = self.size[b]
-                took = v * s < s - d
+                took = alike | (v * s < s - d)
                 self.table[x[todo[took]]] = y[took]
                 self.size[b[took]] = s[took] + 1
-                todo = todo[~took]
-            new = np.concatenate(opens)
+                again = np.flatnonzero(~took)
+                todo, o, alike = todo[again], o[again], False
+                v = rng.random(len(todo)) * o
             self.n_free[new] -= 1
             b = self.free[off[new] + self.n_free[new]]
             self.table[x[new]] = b
             self.size[off[new] + b] = 1
-            t[new] += 1
+            now[new] += 1
             np.add.at(self.tables, at[new[moves[new]]], 1)
             j += 1
         self.t[self.dish] = t
@@ -276,15 +284,42 @@ def tokens_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, first
 
 
-def before_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The restaurant of each token: the word before it, BEGIN at the begin of a text."""
-    out = np.concatenate([[BEGIN], tokens[:-1]]).astype(np.uint64)
-    out[first[:-1]] = BEGIN
+def before_of(tokens: np.ndarray, first: np.ndarray, begin) -> np.ndarray:
+    """What stands before each token: `begin` at the begin of a text."""
+    out = np.empty_like(tokens)
+    out[1:] = tokens[:-1]
+    out[first[:-1]] = begin
     return out
 
 
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(((u << np.uint64(1)) | (u >> np.uint64(63))) ^ mix(w))
+    return mix(((u << np.uint64(1)) | (u >> np.uint64(63))) ^ w)
+
+
+def by_leading_bits(x: np.ndarray) -> np.ndarray:
+    """The places of 64-bit numbers in the order of their leading bits (all but those that a place takes); equal ones keep their order.
+
+    Numbers are sorted several times as fast as places.
+    """
+    low = np.uint64((1 << len(x).bit_length()) - 1)
+    key = x & ~low
+    key |= np.arange(len(x), dtype=np.uint64)
+    key.sort()
+    key &= low
+    return key.view(np.int64)
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different 64-bit numbers, sorted, and which of them each is."""
+    order = by_leading_bits(x)
+    y = x[order]
+    if (y[1:] < y[:-1]).any():
+        order = np.argsort(x)
+        y = x[order]
+    differs = np.concatenate([np.ones(min(len(x), 1), bool), y[1:] != y[:-1]])
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(differs) - 1
+    return y[differs], at
 
 
 def part_of(x: np.ndarray, parts: int) -> np.ndarray:
@@ -303,7 +338,7 @@ def chunks(batches):
 
     for batch in batches:
         held_out = np.asarray(batch["held_out"])
-        for lo, hi, buf, offs in slices(batch["text"]):
+        for lo, hi, buf, offs in slices(batch["text"], PIECE):
             tokens, first = tokens_of(buf, offs)
             parts.append((batch["id"].slice(lo, hi - lo), held_out[lo:hi], tokens, np.diff(first)))
             size += len(tokens)
@@ -390,47 +425,59 @@ def _deal(known: Known, schema: pa.Schema, with_docs: bool):
 
     def run(batches):
         number = TaskContext.get().partitionId() << 24
+        top, absent = Index(known.top), [0, 0]  # codes -1: another word, -2: the begin of a text
+        hot = np.append(lookup(known.hot, known.top) >= 0, absent).astype(bool)  # hot words are among the TOP
+        base, seen = np.append(known.base(known.count), absent), np.append(known.count > 0, absent)
+        begin = mix(np.array([BEGIN]))[0]
         for ids, held, tokens, first in chunks(batches):
             number += 1
-            u = before_of(tokens, first)
-            doc = np.repeat(np.arange(len(ids), dtype=np.int16), np.diff(first))
-            pair = pair_hash(u, tokens)
-            place = np.where(lookup(known.hot, u) >= 0, pair, (mix(u) & np.uint64(0xFFFFFFFF00000000)) | (pair & np.uint64(0xFFFFFFFF)))
-            order = np.argsort(place, kind="stable")
-            place, u, w, doc = place[order], u[order], tokens[order], doc[order]
-            differs = (place[1:] != place[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-            pairs = np.flatnonzero(np.concatenate([[True], differs]))
-            entries = np.flatnonzero(np.concatenate([[True], differs | (doc[1:] != doc[:-1])]))
-            times = np.diff(np.append(entries, len(w)))
-            docs = np.diff(np.append(np.searchsorted(entries, pairs), len(entries)))
-            n = np.add.reduceat((~held[doc]).astype(np.int64), pairs)
-            both = np.stack([u[pairs], w[pairs]], 1)
-            code = lookup(known.top, both.ravel()).reshape(both.shape)
-            spelled = code < 0
-            code = np.where(spelled, SPELLED, code).astype(np.uint32)
-            shard = part_of(place[pairs], known.shards)
+            w_code = top.find(tokens).astype(np.int32)
+            u_code = before_of(w_code, first, -2)
+            pair = mix(tokens)
+            u = before_of(pair, first, begin)
+            pair = pair_hash(u, pair)
+            place = np.where(hot[u_code], pair, (u & np.uint64(0xFFFFFFFF00000000)) | (pair & np.uint64(0xFFFFFFFF)))
+            order = by_leading_bits(place)  # a pair can stand twice beside one whose leading bits are the same: shards merge it
+            pair = pair[order]
+            differs = np.concatenate([[True], pair[1:] != pair[:-1]])
+            pairs = np.flatnonzero(differs)
+            at = order[pairs]
+            u_code, w_code_at = u_code[at], w_code[at]
+            spelled = np.flatnonzero(np.stack([u_code < 0, w_code_at < 0], 1))  # preceding words and words by turns
+            words = tokens[at[spelled >> 1] - 1 + (spelled & 1)]
+            words[(u_code[spelled >> 1] == -2) & (spelled & 1 == 0)] = BEGIN
+            code = np.where(u_code < 0, SPELLED, u_code) << 16 | np.where(w_code_at < 0, SPELLED, w_code_at)
+            if with_docs:
+                doc = np.repeat(np.arange(len(ids), dtype=np.int16), np.diff(first))[order]
+                entries = np.flatnonzero(differs | np.concatenate([[True], doc[1:] != doc[:-1]]))
+                times = np.diff(entries, append=len(tokens))
+                doc, of_pair = doc[entries], np.flatnonzero(differs[entries])
+                docs = np.diff(of_pair, append=len(entries))
+                n = np.add.reduceat(np.where(held[doc], 0, times), of_pair)
+            else:
+                n = np.add.reduceat(np.repeat(~held, np.diff(first))[order].astype(np.int32), pairs)
+            place = place[at]
+            shard = part_of(place, known.shards)
             cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
             sizes = np.diff(np.append(cut, len(pairs)))
             k = len(cut)
             columns = {
                 "shard": pa.array(shard[cut], LONG), "kind": pa.array(np.full(k, PAIRS), INT), "chunk": pa.array(np.full(k, number), LONG),
-                "code": _lists((code[:, 0] << np.uint32(16) | code[:, 1]).view(np.int32), sizes, INT),
-                "spelled": _lists(both[spelled].view(np.int64), np.add.reduceat(spelled.sum(axis=1), cut), LONG),
+                "code": _lists(code.astype(np.uint32).view(np.int32), sizes, INT),
+                "spelled": _lists(words.view(np.int64), np.diff(np.searchsorted(spelled, 2 * cut), append=len(spelled)), LONG),
                 "n": _lists(n, sizes, INT),
             }
             if with_docs:
                 of_shard = np.add.reduceat(docs, cut)
-                columns |= {"docs": _lists(docs, sizes, INT), "doc": _lists(doc[entries], of_shard, pa.int16()), "times": _lists(times, of_shard, INT)}
+                columns |= {"docs": _lists(docs, sizes, INT), "doc": _lists(doc, of_shard, pa.int16()), "times": _lists(times, of_shard, INT)}
             yield _rows(schema, k, **columns)
             if with_docs:
-                at = lookup(known.top, tokens)
-                c = known.count[at]
                 sums = lambda x, s=first[:-1]: np.add.reduceat(x, s)  # noqa: E731  every text has a token
                 one = [len(ids)]
                 yield _rows(
                     schema, 1, shard=pa.array(part_of(mix(np.array([number], np.uint64)), known.shards), LONG), kind=pa.array([IDS], INT), chunk=pa.array([number], LONG),
                     ids=pa.ListArray.from_arrays(pa.array([0, len(ids)], INT), ids), held_out=_lists(held, one, pa.bool_()), tokens=_lists(np.diff(first), one, INT),
-                    base=_lists(sums(np.where(at >= 0, known.base(c), 0.0)), one, pa.float64()), known=_lists(sums(((at >= 0) & (c > 0)).astype(np.int64)), one, INT),
+                    base=_lists(sums(base[w_code]), one, pa.float64()), known=_lists(sums(seen[w_code]), one, INT),
                 )
 
     return run
@@ -445,34 +492,48 @@ class Shard:
 
     def __init__(self, known: Known, number: int):
         self.known, self.number = known, number
-        self.u, self.w, self.n, self.parts = [], [], [], []
+        self.codes, self.spelled, self.n, self.parts = [], [], [], []
         self.replies: list[tuple] = []
 
     def add(self, batch: pa.RecordBatch, row: int) -> None:
-        code = _values(batch, "code", row).view(np.uint32)
-        code = np.stack([code >> np.uint32(16), code & np.uint32(0xFFFF)], 1)
-        spelled = code == SPELLED
-        both = np.empty(code.shape, np.uint64)
-        both[spelled] = _values(batch, "spelled", row).view(np.uint64)
-        both[~spelled] = self.known.top[code[~spelled]]
-        self.u.append(both[:, 0])
-        self.w.append(both[:, 1])
+        self.codes.append(_values(batch, "code", row).view(np.uint32))
+        self.spelled.append(_values(batch, "spelled", row).view(np.uint64))
         self.n.append(_values(batch, "n", row))
         if batch["doc"][row].is_valid:
             self.parts.append((batch["chunk"][row].as_py(), _values(batch, "docs", row), _values(batch, "doc", row), _values(batch, "times", row)))
 
     def ready(self) -> None:
-        """Merge the chunks' pairs; number words and restaurants."""
-        u, w = np.concatenate(self.u), np.concatenate(self.w)
-        self.u = self.w = None
-        different, self.pair = np.unique(pair_hash(u, w), return_inverse=True)
-        self.pair = self.pair.astype(np.int32)
-        at = np.empty(len(different), np.int64)  # some place of each pair
-        at[self.pair] = np.arange(len(self.pair))
-        n = np.bincount(self.pair, np.concatenate(self.n), len(at))
-        self.n = n.astype(np.int64)
-        self.contexts, self.context = np.unique(u[at], return_inverse=True)
-        self.words, self.word = np.unique(w[at], return_inverse=True)
+        """Merge the chunks' pairs; number words and restaurants, both in the order of their hashes."""
+        code, spelled = np.concatenate(self.codes), np.concatenate(self.spelled)
+        self.codes, self.spelled = [], []
+        top, (others, of_spelled) = self.known.top, numbered(spelled)
+        of_top = np.zeros(SPELLED + 1, np.int32)
+        of_top[: len(top)] = np.arange(len(top)) + np.searchsorted(others, top)
+        of_others = (np.arange(len(others)) + np.searchsorted(top, others)).astype(np.int32)
+        words = np.empty(len(top) + len(others), np.uint64)
+        words[of_top[: len(top)]], words[of_others] = top, others
+        code = np.stack([code >> np.uint32(16), code & np.uint32(SPELLED)], 1)
+        both = of_top[code]
+        both[code == SPELLED] = of_others[of_spelled]
+        key, rows = both[:, 0].astype(np.uint64), len(both)
+        key *= np.uint64(len(words))
+        key += both[:, 1].astype(np.uint64)
+        free = 64 - int(len(words) ** 2 - 1).bit_length()
+        order = by_leading_bits(key << np.uint64(free)) if rows.bit_length() <= free else np.argsort(key, kind="stable")
+        key = key[order]
+        different = np.concatenate([[True], key[1:] != key[:-1]])
+        self.pair = np.empty(rows, np.int32)
+        self.pair[order] = np.cumsum(different, dtype=np.int32) - 1
+        at = np.flatnonzero(different)
+        self.n = np.add.reduceat(np.concatenate(self.n)[order], at, dtype=np.int64)
+        key = key[at]
+        u = key // np.uint64(len(words))
+        w = (key - u * np.uint64(len(words))).astype(np.int64)
+        differs = np.concatenate([[True], u[1:] != u[:-1]])
+        self.contexts, self.context = words[u[differs]], np.cumsum(differs) - 1
+        used = np.zeros(len(words), bool)
+        used[w] = True
+        self.words, self.word = words[used], (np.cumsum(used) - 1)[w]
         hot = lookup(self.known.hot, self.contexts)
         self.hot = hot >= 0
         self.customers = np.where(self.hot, self.known.hot_customers[hot] if len(self.known.hot) else 0.0, np.bincount(self.context, self.n, len(self.contexts)))
@@ -483,9 +544,10 @@ class Shard:
         count, x = np.zeros(len(self.words)), np.zeros(len(self.words))
         at = lookup(self.known.top, self.words)
         count[at >= 0], x[at >= 0] = self.known.count[at[at >= 0]], self.known.root[at[at >= 0]]
-        for w, n, root in self.replies:
+        if self.replies:
+            w, n, root = (np.concatenate(v) for v in zip(*((w, n, self.known.less_discounts(root[: len(w)], root[len(w) :])) for w, n, root in self.replies), strict=True))
             k = lookup(self.words, w)
-            count[k[k >= 0]], x[k[k >= 0]] = n[k >= 0], self.known.less_discounts(root[: len(w)], root[len(w) :])[k >= 0]
+            count[k[k >= 0]], x[k[k >= 0]] = n[k >= 0], root[k >= 0]
         return count, x
 
     def seating(self, first: bool, chance: np.ndarray) -> Seating:
@@ -530,7 +592,7 @@ def _by_shard(known: Known, done, other):
         for batch in batches:
             for row, (number, kind) in enumerate(zip(batch["shard"].to_pylist(), batch["kind"].to_pylist(), strict=True)):
                 if shard is not None and (shard.number != number or kind == IDS):
-                    if shard.u:
+                    if shard.codes:
                         yield from done(shard)
                     shard = None
                 if kind == IDS:
@@ -541,7 +603,7 @@ def _by_shard(known: Known, done, other):
                     shard.replies.append((_values(batch, "spelled", row).view(np.uint64), _values(batch, "n", row), _values(batch, "x", row)))
                 else:
                     shard.add(batch, row)
-        if shard is not None and shard.u:
+        if shard is not None and shard.codes:
             yield from done(shard)
 
     return run
@@ -611,13 +673,17 @@ def _score(known: Known, schema: pa.Schema):
                 p += np.maximum(s.n - h.discount * seats.t, 0.0) + (h.strength + h.discount * seats.tables[s.context]) * root
         score = np.log10(p / SAMPLES / (h.strength + s.customers[s.context]))
         rare = lookup(known.top, s.words) < 0
-        base, is_known = np.where(rare, known.base(count), 0.0)[s.word], (rare & (count > 0))[s.word]
+        rare, base, is_known = rare[s.word], known.base(count)[s.word], (count > 0)[s.word]
         seen = 0
         for chunk, docs, doc, times in s.parts:
-            pair = np.repeat(s.pair[seen : seen + len(docs)], docs)
+            pair = s.pair[seen : seen + len(docs)]
             seen += len(docs)
-            sums = [np.bincount(doc, times * y[pair]) for y in (score, base, is_known)]
-            d = np.flatnonzero(np.bincount(doc))
+            k = np.flatnonzero(np.repeat(rare[pair], docs))  # what is known of the TOP words the chunk has said
+            of_rare, size = np.repeat(pair, docs)[k], int(doc.max()) + 1
+            sums = [np.bincount(doc, times * np.repeat(score[pair], docs))] + [np.bincount(doc[k], times[k] * y[of_rare], size) for y in (base, is_known)]
+            there = np.zeros(size, bool)
+            there[doc] = True
+            d = np.flatnonzero(there)
             one = [len(d)]
             yield _rows(
                 schema, 1, chunk=pa.array([chunk], LONG), kind=pa.array([PAIRS], INT), doc=_lists(d, one, pa.int16()),

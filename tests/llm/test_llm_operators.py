@@ -695,3 +695,89 @@ def test_a_pair_beyond_a_million_tokens_has_whole_tables():
     assert (s.t == np.round(s.t)).all() and s.tables[0] == s.t.sum()
     (dish,) = s.long_dishes
     assert sum(dish.size) == n and (np.bincount(dish.table, minlength=len(dish.size)) == dish.size).all() and sum(x > 0 for x in dish.size) == s.t[0]
+
+
+class CountedDraws:
+    """A generator that counts the uniform random numbers drawn from it."""
+
+    def __init__(self, seed):
+        self.rng, self.drawn = np.random.default_rng(seed), 0
+
+    def random(self, size):
+        self.drawn += size
+        return self.rng.random(size)
+
+    def __getattr__(self, name):
+        return getattr(self.rng, name)
+
+
+def test_a_customer_with_no_choice_among_tables_takes_one_random_number():
+    d, theta, tables, weight, many = 0.8, 5.0, 100.0, 0.5, 20_000
+    s = pitman_yor.Seating(np.full(many, 2), np.arange(many), many, d, theta, CountedDraws(3), np.ones(many, bool), np.full(many, tables))
+    for _ in range(3):
+        s.rng.drawn = 0
+        s.sweep(np.full(many, weight / (theta + d * tables)))
+        assert s.rng.drawn == 2 * many  # both customers of each dish
+        assert np.mean(s.t == 2) == pytest.approx(weight / (weight + 1 - d), abs=0.02)
+
+
+def test_shards_merge_the_pairs_of_all_chunks(monkeypatch):
+    import pyarrow as pa
+
+    py, rnd = pitman_yor, random.Random(4)
+    monkeypatch.setattr(py, "CHUNK", 300)
+    monkeypatch.setattr(py, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
+    texts = [" ".join(f"w{min(rnd.randrange(60), rnd.randrange(60))}" for _ in range(rnd.randrange(40))) for _ in range(100)]
+    held = [i % 10 == 0 for i in range(100)]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array(range(i, i + 10)), "held_out": held[i : i + 10], "text": texts[i : i + 10]}) for i in range(0, 100, 10)]
+    name = lambda w: int(py.END) if w is None else int(py.BEGIN) if w == "" else int(py.tokens_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+    want, there = {}, {}
+    for i, t in enumerate(texts):
+        words = ["", *t.split(), None]
+        for u, w in zip(words, words[1:]):
+            k = name(u), name(w)
+            want[k] = want.get(k, 0) + (not held[i])
+            there.setdefault(k, {})[i] = there.get(k, {}).get(i, 0) + 1
+    top = np.sort(np.array([name(w) for w in [None, *(f"w{i}" for i in range(25))]], np.uint64))
+    hot, nothing = top[np.isin(top, [name("w0"), name("w1")])], np.zeros(2)
+    known = py.Known(top, np.ones(len(top)), np.zeros(len(top)), hot, nothing, nothing, 1.0, 3)
+    rows = [(b, k) for b in py._deal(known, py.deal_schema(pa.int64()), True)(batches) for k in range(len(b)) if b["kind"][k].as_py() == py.PAIRS]
+    chunk_of = {number: k for k, number in enumerate(sorted({b["chunk"][k].as_py() for b, k in rows}))}
+    first = np.cumsum([0] + [len(ids) for ids, *_ in py.chunks(batches)])
+    assert len(chunk_of) > 2
+    got, documents = {}, {}
+    for number in range(3):
+        s = py.Shard(known, number)
+        for b, k in rows:
+            if b["shard"][k].as_py() == number:
+                s.add(b, k)
+        s.ready()
+        assert (s.words[1:] > s.words[:-1]).all() and (s.contexts[1:] > s.contexts[:-1]).all()
+        pairs = [(int(u), int(w)) for u, w in zip(s.contexts[s.context], s.words[s.word])]
+        assert len(set(pairs)) == len(pairs) and not set(pairs) & set(got)
+        got |= dict(zip(pairs, s.n.tolist()))
+        seen = 0
+        for chunk, docs, doc, times in s.parts:
+            of = np.repeat(s.pair[seen : seen + len(docs)], docs)
+            seen += len(docs)
+            for p, i, n in zip(of, doc, times):
+                at = documents.setdefault(pairs[p], {})
+                at[int(first[chunk_of[chunk]] + i)] = at.get(int(first[chunk_of[chunk]] + i), 0) + int(n)
+        lookups = []
+        s.replies = [(s.words[k : k + 1], np.array([k]), np.array([k, 0], np.float32)) for k in range(len(s.words)) if s.words[k] not in top]
+        with monkeypatch.context() as m:
+            m.setattr(py, "lookup", lambda table, x, f=py.lookup: lookups.append(len(x)) or f(table, x))
+            count, x = s.known_words()
+        rare = ~np.isin(s.words, top)
+        assert (count[rare] == np.flatnonzero(rare)).all() and (x[rare] == count[rare]).all() and len(s.replies) > 3 and len(lookups) == 2  # all replies at once
+    assert got == want and documents == there
+
+
+def test_numbers_are_put_in_order_where_leading_bits_are_the_same():
+    x = np.array([(i * 7919) % 5 << 60 | (i * 31) % 9 for i in range(400)], np.uint64)  # the last four bits give way to places
+    order = pitman_yor.by_leading_bits(x)
+    assert sorted(order.tolist()) == list(range(400)) and (np.diff((x[order] >> np.uint64(60)).astype(int)) >= 0).all()
+    different, at = pitman_yor.numbered(x)
+    assert different.tolist() == sorted(set(x.tolist())) and (different[at] == x).all()
+    different, at = pitman_yor.numbered(x[:0])
+    assert len(different) == len(at) == 0
