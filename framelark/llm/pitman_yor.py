@@ -63,6 +63,7 @@ TOP = 65_535
 HOT = 1_000
 CHUNK, CHUNK_DOCS = 1_000_000, 16_000
 PIECE = 3 << 16  # bytes of text handled at once
+FEW = 1 << 21  # a chunk of fewer tokens is sorted by leading bits: 11 of them at least tell a word's pairs apart
 SHARD = 3_000_000
 ALONE = 512
 END = np.uint64(0x5BD1E995C6A4A793)
@@ -437,7 +438,7 @@ def _deal(known: Known, schema: pa.Schema, with_docs: bool):
             u = before_of(pair, first, begin)
             pair = pair_hash(u, pair)
             place = np.where(hot[u_code], pair, (u & np.uint64(0xFFFFFFFF00000000)) | (pair & np.uint64(0xFFFFFFFF)))
-            order = by_leading_bits(place)  # a pair can stand twice beside one whose leading bits are the same: shards merge it
+            order = by_leading_bits(place) if len(place) < FEW else np.argsort(place, kind="stable")  # a pair can stand twice beside one whose leading bits are the same: shards merge it
             pair = pair[order]
             differs = np.concatenate([[True], pair[1:] != pair[:-1]])
             pairs = np.flatnonzero(differs)

@@ -781,3 +781,17 @@ def test_numbers_are_put_in_order_where_leading_bits_are_the_same():
     assert different.tolist() == sorted(set(x.tolist())) and (different[at] == x).all()
     different, at = pitman_yor.numbered(x[:0])
     assert len(different) == len(at) == 0
+
+
+def test_pairs_of_one_very_long_text_stand_once(monkeypatch):
+    import pyarrow as pa
+
+    py, n = pitman_yor, (1 << 21) + 9
+    monkeypatch.setattr(py, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
+    words = np.random.default_rng(1).integers(0, 100, n)
+    text = " ".join(np.array([f"w{i}" for i in range(100)])[words].tolist())
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([1]), "held_out": [False], "text": [text]})
+    nothing = np.zeros(0)
+    known = py.Known(np.array([py.END]), np.ones(1), np.zeros(1), nothing.astype(np.uint64), nothing, nothing, 1.0, 3)
+    found = [b["n"][k].values.to_pylist() for b in py._deal(known, py.deal_schema(pa.int64()), False)([batch]) for k in range(len(b))]
+    assert sorted(sum(found, [])) == sorted([1, 1, *np.unique(words[:-1] * 100 + words[1:], return_counts=True)[1].tolist()])
