@@ -142,13 +142,31 @@ def segments(activity: DataFrame, onsets: DataFrame) -> DataFrame:
     return cut.select(*VOICE, F.col("frame").alias("start"), F.coalesce(after, F.col("end")).alias("end"))
 
 
-def midi_of_predictions(activity: DataFrame, onsets: DataFrame, frame_seconds: float = FRAME_SECONDS, velocity: int = VELOCITY) -> DataFrame:
-    """MIDI messages of rolls of predictions: a note ends, and begins anew, where an onset rises in it; at a tick ends come first. Ties of a rounded tick go to the even number."""
+def sounded(ons: DataFrame) -> DataFrame:
+    """track, pitch, start, end of the notes of `note_ons`: a retrigger ends the note and begins it anew."""
+    until = F.coalesce(F.lead("frame").over(W.partitionBy(*VOICE, "on").orderBy("frame")), F.col("off"))
+    return ons.select(*VOICE, F.col("frame").alias("start"), until.alias("end"))
+
+
+def midi_of_rolls(rolls: dict[str, DataFrame], frame_seconds: float = FRAME_SECONDS, velocity: int = VELOCITY) -> DataFrame:
+    """MIDI messages of notes (track, pitch, start, end) by roll; at a tick ends come first. Ties of a rounded tick go to the even number.
+
+    `seq` numbers all messages of a track, roll by roll in the order of their names; `delta` begins anew with each roll.
+    """
     tick = lambda frame: F.rint(F.col(frame) * F.lit(frame_seconds) * TICKS).cast("long")
     pair = F.array(F.struct(tick("end").alias("tick"), F.lit(0).alias("on"), F.lit(0).alias("velocity")), F.struct(tick("start").alias("tick"), F.lit(1).alias("on"), F.lit(velocity).alias("velocity")))
-    rows = segments(activity, onsets).select(*VOICE, F.explode(pair).alias("m")).select(*VOICE, "m.*")
-    order = W.partitionBy("track").orderBy("tick", "on", "pitch")
-    return rows.withColumn("seq", F.row_number().over(order)).withColumn("delta", F.col("tick") - F.coalesce(F.lag("tick").over(order), F.lit(0)))
+    rows = None
+    for name, notes in rolls.items():
+        one = notes.select(*VOICE, F.explode(pair).alias("m")).select(*VOICE, "m.*", F.lit(name).alias("roll"))
+        rows = one if rows is None else rows.unionByName(one)
+    order = W.partitionBy("track").orderBy("roll", "tick", "on", "pitch")
+    before = F.when(F.lag("roll").over(order) == F.col("roll"), F.lag("tick").over(order))
+    return rows.select(*VOICE, "tick", "on", "velocity", F.row_number().over(order).alias("seq"), (F.col("tick") - F.coalesce(before, F.lit(0))).alias("delta"), "roll")
+
+
+def midi_of_predictions(activity: DataFrame, onsets: DataFrame, frame_seconds: float = FRAME_SECONDS, velocity: int = VELOCITY) -> DataFrame:
+    """MIDI messages of rolls of predictions: a note ends, and begins anew, where an onset rises in it."""
+    return midi_of_rolls({"raw": segments(activity, onsets)}, frame_seconds, velocity).drop("roll")
 
 
 def evaluation_violations(events: DataFrame, low: int, high: int) -> DataFrame:

@@ -213,25 +213,25 @@ def o062_note_ons(spark, d):
 SEGMENTS = """,
   rn AS (SELECT track, pitch, min(frame) AS start, max(frame) + 1 AS "end" FROM (SELECT *, frame - row_number() OVER (PARTITION BY track, pitch ORDER BY frame) AS g FROM act) GROUP BY track, pitch, g),
   oo AS (SELECT DISTINCT track, pitch, frame FROM (SELECT track, pitch, unnest(range(start, least(start + 2, 720)))::INT AS frame FROM ne WHERE "end" > start AND start < 720)),
-  ri AS (SELECT * FROM oo o WHERE NOT EXISTS (SELECT 1 FROM oo b WHERE b.track = o.track AND b.pitch = o.pitch AND b.frame = o.frame - 1)),
-  cu AS (SELECT track, pitch, start AS run, "end", start AS frame FROM rn UNION ALL SELECT rn.track, rn.pitch, rn.start, rn."end", ri.frame FROM rn JOIN ri ON ri.track = rn.track AND ri.pitch = rn.pitch AND ri.frame > rn.start AND ri.frame < rn."end"),
+  ro AS (SELECT * FROM oo o WHERE NOT EXISTS (SELECT 1 FROM oo b WHERE b.track = o.track AND b.pitch = o.pitch AND b.frame = o.frame - 1)),
+  cu AS (SELECT track, pitch, start AS run, "end", start AS frame FROM rn UNION ALL SELECT rn.track, rn.pitch, rn.start, rn."end", ro.frame FROM rn JOIN ro ON ro.track = rn.track AND ro.pitch = rn.pitch AND ro.frame > rn.start AND ro.frame < rn."end"),
   sg AS (SELECT track, pitch, frame AS start, coalesce(lead(frame) OVER (PARTITION BY track, pitch, run ORDER BY frame), "end") AS "end" FROM cu)"""
 
 
-def _rolls(spark, d):
-    ne = note_events(spark, d)
-    return N.rasterise(ne, FRAMES), N.onset_labels(ne, FRAMES)
-
-
 @query(
     "o014_midi_of_notes",
-    with_ctes("ne", "act", body="@").replace("@", SEGMENTS + """,
-  ms AS (SELECT track, pitch, unnest([round_even("end" * (256 / 22050::DOUBLE) * 960, 0)::BIGINT, round_even(start * (256 / 22050::DOUBLE) * 960, 0)::BIGINT]) AS tick, unnest([0, 1]) AS "on", unnest([0, 80]) AS velocity FROM sg)
-  SELECT *, row_number() OVER o::INT AS seq, tick - coalesce(lag(tick) OVER o, 0) AS delta FROM ms WINDOW o AS (PARTITION BY track ORDER BY tick, "on", pitch)"""),
+    with_ctes("ne", "act", body="@").replace("WITH ", "WITH RECURSIVE ", 1).replace("@", NOTES + SEGMENTS + """,
+  sn AS (SELECT track, pitch, frame AS start, coalesce(lead(frame) OVER (PARTITION BY track, pitch, "on" ORDER BY frame), off) AS "end" FROM k),
+  nt AS (SELECT track, pitch, start, "end", 'raw' AS roll FROM sg UNION ALL SELECT track, pitch, start, "end", 'stable' AS roll FROM sn),
+  ms AS (SELECT track, pitch, unnest([round_even("end" * (256 / 22050::DOUBLE) * 960, 0)::BIGINT, round_even(start * (256 / 22050::DOUBLE) * 960, 0)::BIGINT]) AS tick, unnest([0, 1]) AS "on", unnest([0, 80]) AS velocity, roll FROM nt)
+  SELECT track, pitch, tick, "on", velocity, (row_number() OVER (PARTITION BY track ORDER BY roll, tick, "on", pitch))::INT AS seq,
+    tick - coalesce(lag(tick) OVER (PARTITION BY track, roll ORDER BY tick, "on", pitch), 0) AS delta, roll FROM ms"""),
 )
 def o014(spark, d):
-    """The MIDI messages of the rolls of all events."""
-    return N.midi_of_predictions(*_rolls(spark, d))
+    """The MIDI messages of all events, raw (every sounding frame) and stable (the notes that the note state makes of them)."""
+    ne = note_events(spark, d)
+    raw = N.segments(N.rasterise(ne, FRAMES), N.onset_labels(ne, FRAMES))
+    return N.midi_of_rolls({"raw": raw, "stable": N.sounded(_note_ons(spark, d))})
 
 
 @query(
